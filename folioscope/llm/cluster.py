@@ -17,6 +17,8 @@ from . import common
 
 #: Ids of a key compared at once; a key with more is dealt as pairs of blocks.
 BLOCK = 256
+#: Ids from which a component is compared as a whole with the ids outside it that share a key.
+LARGE, GUESTS = 16, 512
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,8 +75,6 @@ def components(links: DataFrame) -> DataFrame:
 
 def _across(batches: Iterator[pa.RecordBatch], judge: Callable) -> Iterator[pa.RecordBatch]:
     """Pairs of one group (key, i, j) in different components that ``judge`` (payloads, a, b) lets pass."""
-    held: list[pa.RecordBatch] = []
-    rows = 0
 
     def pairs(table: pa.Table) -> pa.RecordBatch:
         group = [table.column(c).to_numpy() for c in ("key", "i", "j")]
@@ -93,31 +93,81 @@ def _across(batches: Iterator[pa.RecordBatch], judge: Callable) -> Iterator[pa.R
         a, b = ids[a[ok]], ids[b[ok]]
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    for batch in batches:
-        held.append(batch)
-        rows += batch.num_rows
-        if rows >= 4 * BLOCK:
-            table = pa.Table.from_batches(held).combine_chunks()
-            change = np.logical_or.reduce([np.diff(table.column(c).to_numpy()) != 0 for c in ("key", "i", "j")])
-            cut = int(np.flatnonzero(change)[-1]) + 1 if change.any() else 0
-            if cut:
-                yield pairs(table.slice(0, cut))
-            held = table.slice(cut).to_batches()
-            rows = table.num_rows - cut
-    if rows:
-        yield pairs(pa.Table.from_batches(held).combine_chunks())
+    for table in _whole(batches, ("key", "i", "j")):
+        yield pairs(table)
 
 
-def cross_pairs(live: DataFrame, comps: DataFrame, payload: DataFrame, judge: Callable) -> DataFrame:
+def placed_ids(live: DataFrame, comps: DataFrame) -> DataFrame:
+    """(key, id, comp, size) with the component of every id and its number of ids."""
+    sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
+    return live.select("key", "id").join(comps.join(sizes, "comp"), "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"), F.coalesce("size", F.lit(1)).alias("size"))
+
+
+def cross_pairs(placed: DataFrame, payload: DataFrame, judge: Callable) -> DataFrame:
     """(a, b) that share a key, lie in different components and pass ``judge``.
 
     ``payload`` holds (id, payload) for every id.  A key with many ids is dealt as pairs of blocks, so no
     task holds more than two blocks of it at once.
     """
-    placed = live.select("key", "id").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     spread = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
     members = placed.join(spread, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     dealt = members.select("key", "id", "comp", "own", F.explode(F.expr("sequence(0, parts - 1)")).alias("other"))
     dealt = dealt.select("key", "id", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(payload, "id")
     sorted_ = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return sorted_.select("key", "i", "j", "own", "comp", "id", "payload").mapInArrow(lambda it: _across(it, judge), "a long, b long").distinct()
+
+
+def large_links(placed: DataFrame, comps: DataFrame, payload: DataFrame, linked: Callable) -> DataFrame:
+    """(a, b): links of ids with a large component that they share a key with, one for each of its parts at most.
+
+    One link is enough, as the component is connected, so no pairs are listed.  Of two large components the
+    smaller one's ids are compared.  A group holds ``BLOCK`` members and ``GUESTS`` others, dealt by hash;
+    ``linked`` (member payloads, guest payloads) gives a linked member for each guest, or -1.
+    """
+    hosts = placed.where(F.col("size") >= LARGE).select("key", F.col("comp").alias("host"), F.col("size").alias("host_size")).distinct()
+    smaller = (F.col("size") < F.col("host_size")) | ((F.col("size") == F.col("host_size")) & (F.col("comp") < F.col("host")))
+    guests = common.stored(placed.join(hosts, "key").where(smaller).select("id", "host", "host_size").distinct())
+    tables = guests.groupBy("host").agg(F.ceil(F.max("host_size") / BLOCK).cast("int").alias("parts"), F.ceil(F.count(F.lit(1)) / GUESTS).cast("int").alias("tables"))
+    place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    members = comps.withColumnRenamed("comp", "host").join(tables, "host").select("host", "id", place("parts").alias("part"), F.explode(F.expr("sequence(0, tables - 1)")).alias("at"), F.lit(False).alias("guest"))
+    others = guests.join(tables, "host").select("host", "id", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), place("tables").alias("at"), F.lit(True).alias("guest"))
+    dealt = members.unionByName(others).join(payload, "id").repartition("host", "part", "at").sortWithinPartitions("host", "part", "at")
+    return dealt.select("host", "part", "at", "guest", "id", "payload").mapInArrow(lambda it: _hosted(it, linked), "a long, b long").distinct()
+
+
+def _hosted(batches: Iterator[pa.RecordBatch], linked: Callable) -> Iterator[pa.RecordBatch]:
+    for table in _whole(batches, ("host", "part", "at")):
+        data, guest, ids = common.as_array(table.column("payload")), table.column("guest").to_numpy(), table.column("id").to_numpy()
+        edges = np.flatnonzero(_changes(table, ("host", "part", "at"))) + 1
+        a, b = [], []
+        for low, high in zip([0, *edges.tolist()], [*edges.tolist(), len(ids)], strict=True):
+            inside, outside = low + np.flatnonzero(~guest[low:high]), low + np.flatnonzero(guest[low:high])
+            if len(inside) and len(outside):
+                found = linked(data.take(pa.array(inside)), data.take(pa.array(outside)))
+                a.append(ids[inside[found[found >= 0]]])
+                b.append(ids[outside[found >= 0]])
+        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def _changes(table: pa.Table, names: tuple) -> np.ndarray:
+    return np.logical_or.reduce([np.diff(table.column(c).to_numpy()) != 0 for c in names])
+
+
+def _whole(batches: Iterator[pa.RecordBatch], names: tuple) -> Iterator[pa.Table]:
+    """Tables of whole groups, from rows sorted by group."""
+    held: list[pa.RecordBatch] = []
+    rows, most = 0, 4 * BLOCK
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= most:
+            table = pa.Table.from_batches(held).combine_chunks()
+            change = _changes(table, names)
+            cut = int(np.flatnonzero(change)[-1]) + 1 if change.any() else 0
+            if cut:
+                yield table.slice(0, cut).combine_chunks()
+            held = table.slice(cut).to_batches()
+            rows = table.num_rows - cut
+    if rows:
+        yield pa.Table.from_batches(held).combine_chunks()

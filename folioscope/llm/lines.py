@@ -196,7 +196,7 @@ def dedup_lines(docs: DataFrame, most: int = THRESHOLD, least: int = LEAST_CHARS
     links = common.stored(beside.select("a", "b", "left", "right").mapInArrow(lambda it: _linked(it, most), "a long, b long"))
     comps = cluster.components(links)
     judge = lambda data, a, b: np.array([within(x, y, most) for x, y in zip(data.take(pa.array(a)).to_pylist(), data.take(pa.array(b)).to_pylist(), strict=True)], bool)
-    across = common.stored(cluster.cross_pairs(live, comps, texts.select("id", F.col("text").alias("payload")), judge))
+    across = common.stored(cluster.cross_pairs(cluster.placed_ids(live, comps), texts.select("id", F.col("text").alias("payload")), judge))
     if not across.isEmpty():
         comps = cluster.components(links.union(across))
     classed = places.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))

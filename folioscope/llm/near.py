@@ -131,6 +131,26 @@ def _confirm(batches: Iterator[pa.RecordBatch], k: int, per_cent: int) -> Iterat
         yield batch.select(["a", "b"]).filter(pa.array(ok))
 
 
+def _linked(inside: pa.Array, outside: pa.Array, k: int, per_cent: int) -> np.ndarray:
+    """For each text outside the index of a text inside that it is linked with, or -1, by whole sets."""
+    sets = shingle_sets(inside, k)
+    size = np.array([len(x) for x in sets])
+    values = np.concatenate(sets)
+    order = np.argsort(values, kind="stable")
+    keys, first = np.unique(values[order], return_index=True)
+    owner, first = np.repeat(np.arange(len(sets)), size)[order], np.append(first, len(values))
+    out = np.full(len(outside), -1)
+    for i, other in enumerate(shingle_sets(outside, k)):
+        at = np.searchsorted(keys, other)
+        at = at[(at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == other)]
+        n = first[at + 1] - first[at]
+        both = np.bincount(owner[np.repeat(first[at] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))], minlength=len(sets))
+        good = 100 * both >= per_cent * (size + len(other) - both)
+        if good.any():
+            out[i] = int(np.argmax(good))
+    return out
+
+
 def _texts(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """Texts of the rows that are wanted: rows may share an id, so the set's fingerprint decides."""
     for part in common.slices(batches):
@@ -173,10 +193,12 @@ def near_groups(docs: DataFrame, k: int = SHINGLE, per_cent: int = PER_CENT, mis
     links = common.stored(confirmed(stars))
     comps = cluster.components(links)
     judge = lambda data, a, b: alike((m := _matrix(data))[a], m[b], bounds)
-    across = common.stored(cluster.cross_pairs(live, comps, signed.select("id", F.col("signature").alias("payload")), judge))
-    if not across.isEmpty():
-        links = common.stored(links.union(confirmed(across)))
-        comps = cluster.components(links)
+    placed = common.stored(cluster.placed_ids(live, comps))
+    few = placed.where(F.col("size") < cluster.LARGE)
+    across = confirmed(cluster.cross_pairs(few, signed.select("id", F.col("signature").alias("payload")), judge))
+    joined = cluster.large_links(placed, comps, texts.select("id", F.col("text").alias("payload")), lambda inside, outside: _linked(inside, outside, k, per_cent))
+    links = common.stored(links.union(across).union(joined).distinct())
+    comps = cluster.components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     grouped = classes.join(comps, "id", "left").join(degree, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     lowest = grouped.groupBy("comp").agg(F.min("low").alias("component"))
