@@ -1,7 +1,8 @@
-"""Registry of the engine's queries and their DuckDB counterparts."""
+"""All registered queries of the engine and their DuckDB counterparts."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from folioscope.plans import checks, prose, scoring, voices  # noqa: F401  (each registers its plans)
+from folioscope.plans.registry import COVERS, ORACLES, QUERIES  # noqa: F401
+
 FLAGSHIP = "fingerprint_delta"

@@ -1,0 +1,207 @@
+"""Plans of checks: chronology, typography, reader evidence, gates, state events, style overrides."""
+
+from __future__ import annotations
+
+from folioscope.functions.dialect import Dialect
+from folioscope.plans import fixtures as fx
+from folioscope.plans.registry import chapters, plan
+
+
+def _timeline(d: Dialect, kind: str, fields: dict[str, str]) -> str:
+    cols = ", ".join(f"{d.field('line', k)} AS {v}" for k, v in fields.items())
+    return f"(SELECT lineno, {cols} FROM {d.values(fx.TIMELINE, 'lineno, line')} r WHERE lower(line) LIKE '{kind} %')"
+
+
+def events(d: Dialect) -> str:
+    return f"(SELECT id, {d.days('raw_day')} AS day FROM {_timeline(d, 'event', {'id': 'id', 'day': 'raw_day'})} e)"
+
+
+def ages(d: Dialect) -> str:
+    return f"(SELECT lineno, person, at_id, {d.number('raw_years', 'DOUBLE')} AS years, src FROM {_timeline(d, 'age', {'person': 'person', 'at': 'at_id', 'years': 'raw_years', 'src': 'src'})} a)"
+
+
+def spans(d: Dialect) -> str:
+    return f"(SELECT lineno, from_id, to_id, {d.days('raw_stated')} AS stated, src FROM {_timeline(d, 'span', {'from': 'from_id', 'to': 'to_id', 'stated': 'raw_stated', 'src': 'src'})} s)"
+
+
+def onces(d: Dialect) -> str:
+    return _timeline(d, "once", {"id": "id", "at": "at_id", "src": "src"})
+
+
+@plan("S5 FL9")
+def timeline_records(d):
+    """Kinds of record lines; comments and blanks left out, unknown kinds are errors, not exceptions."""
+    kind = f"lower({d.first('line', '^([A-Za-z]+)', 1)})"
+    return f"SELECT lineno, CASE WHEN {kind} IN ('event', 'age', 'span', 'once') THEN {kind} ELSE 'error' END AS kind FROM {d.values(fx.TIMELINE, 'lineno, line')} r WHERE line NOT LIKE '#%' AND {d.trim('line')} <> ''"
+
+
+@plan("J5")
+def timeline_unknown_events(d):
+    refs = f"SELECT lineno, at_id AS ref FROM {ages(d)} a UNION ALL SELECT lineno, from_id FROM {spans(d)} s UNION ALL SELECT lineno, to_id FROM {spans(d)} s2 UNION ALL SELECT lineno, at_id FROM {onces(d)} o"
+    return f"SELECT lineno, ref FROM ({refs}) r WHERE NOT EXISTS (SELECT 1 FROM {events(d)} e WHERE e.id = r.ref)"
+
+
+@plan("W8 J7 X27")
+def timeline_ages(d):
+    """Adjacent age claims of a person whose difference is off the days between by over a year; two years are critical."""
+    return f"""SELECT person, src, round(gap, 6) AS gap, CASE WHEN gap >= 2 THEN 'critical' ELSE 'warning' END AS level FROM (SELECT person, src, abs(((lead(years) OVER w) - years) - ((lead(day) OVER w) - day) / 365.25) AS gap
+        FROM (SELECT a.person, a.src, a.years, e.day, a.lineno FROM {ages(d)} a JOIN {events(d)} e ON e.id = a.at_id) j WINDOW w AS (PARTITION BY person ORDER BY day, lineno)) t WHERE gap > 1.0"""
+
+
+@plan("J6")
+def timeline_spans(d):
+    """Stated intervals against the events' days; half a day of tolerance under 60 days, half a year beyond."""
+    return f"""SELECT lineno, from_id, to_id, round(b.day - a.day, 6) AS actual, round(stated, 6) AS stated, CASE WHEN b.day < a.day THEN 'reversed_span' WHEN abs(b.day - a.day - stated) > CASE WHEN abs(stated) < 60 THEN 0.5 ELSE 182.6 END THEN 'span_contradiction' ELSE 'ok' END AS verdict
+        FROM {spans(d)} s JOIN {events(d)} a ON a.id = s.from_id JOIN {events(d)} b ON b.id = s.to_id"""
+
+
+@plan("A30")
+def timeline_once(d):
+    return f"SELECT id, count(DISTINCT at_id) AS anchors, {d.join(d.sorted_set('at_id'), ',')} AS at_ids FROM {onces(d)} o GROUP BY id HAVING count(DISTINCT at_id) > 1"
+
+
+def _chapter(d: Dialect, expr: str) -> str:
+    return f"SELECT manuscript_id, chapter, {expr} AS n FROM {chapters(d)} c"
+
+
+@plan("A35 P10")
+def house_style(d):
+    """Curly or straight quotes, one-character or dotted ellipses, by majority."""
+    return f"""SELECT manuscript_id, CASE WHEN curly >= straight THEN 'curly' ELSE 'straight' END AS quotes, CASE WHEN unicode >= ascii THEN 'unicode' ELSE 'ascii' END AS ellipsis FROM
+        (SELECT manuscript_id, sum({d.count('raw', '[“”]')}) AS curly, sum({d.count('raw', '"')}) AS straight, sum({d.count('raw', '…')}) AS unicode, sum({d.count('raw', '[.][.][.]')}) AS ascii FROM {chapters(d)} c GROUP BY manuscript_id) t"""
+
+
+@plan("A36")
+def dash_styles(d):
+    """Chapters with more than one kind of dash; manuscripts with more than one scene break."""
+    kinds = f"CASE WHEN {d.count('raw', '—')} > 0 THEN 1 ELSE 0 END + CASE WHEN {d.count('raw', '[^-]--[^-]')} > 0 THEN 1 ELSE 0 END + CASE WHEN {d.count('raw', ' – ')} > 0 THEN 1 ELSE 0 END"
+    stars, rules = d.count("raw", r"(?m)^[*][*][*]$"), d.count("raw", r"(?m)^---$")
+    return f"SELECT manuscript_id, chapter, {kinds} > 1 AS mixed_dashes, {stars} AS star_breaks, {rules} AS rule_breaks FROM {chapters(d)} c"
+
+
+@plan("W15 FL4")
+def unbalanced_delimiters(d):
+    """Parentheses whose depth does not return to 0, and the lowest depth on the way."""
+    chars = d.spread(f"(SELECT manuscript_id, chapter, {d.all_of('raw', '[()]')} AS ps FROM {chapters(d)} c) t", "manuscript_id, chapter", "ps", "pos", "p")
+    return f"""SELECT manuscript_id, chapter, max(CASE WHEN r = 1 THEN depth END) AS final_depth, min(depth) AS lowest FROM (SELECT manuscript_id, chapter, CAST(sum(CASE WHEN p = '(' THEN 1 ELSE -1 END) OVER (PARTITION BY manuscript_id, chapter ORDER BY pos) AS BIGINT) AS depth,
+        row_number() OVER (PARTITION BY manuscript_id, chapter ORDER BY pos DESC) AS r FROM {chars} x) q GROUP BY manuscript_id, chapter HAVING max(CASE WHEN r = 1 THEN depth END) <> 0"""
+
+
+@plan("W9")
+def unbalanced_quotes(d):
+    """Paragraphs with an open quote, unless the next one goes on with a quote."""
+    paras = d.spread(f"(SELECT manuscript_id, chapter, {d.paragraphs('raw')} AS ps FROM {chapters(d)} c) t", "manuscript_id, chapter", "ps", "para", "ptext")
+    return f"""SELECT manuscript_id, chapter, para FROM (SELECT manuscript_id, chapter, para, ({d.count('ptext', '“')} <> {d.count('ptext', '”')} OR {d.count('ptext', '"')} % 2 = 1) AS open, lead(ptext) OVER (PARTITION BY manuscript_id, chapter ORDER BY para) AS follows FROM {paras} p) q
+        WHERE open AND NOT coalesce({d.has('follows', '^["“]')}, false)"""
+
+
+@plan("W5 P10")
+def proof_counts(d):
+    """Doubled words by neighbouring tokens, doubled spaces, control characters and broken encodings."""
+    toks = d.spread(f"(SELECT manuscript_id, chapter, {d.tokens(d.strip_comments('raw'))} AS ws FROM {chapters(d)} c) t", "manuscript_id, chapter", "ws", "pos", "tok")
+    return f"""SELECT c.manuscript_id, c.chapter, coalesce(k.doubled, 0) AS doubled_words, {d.count('c.raw', '[^ .]  +[^ ]')} AS doubled_spaces, {d.count('c.raw', '[' + chr(1) + '-' + chr(8) + ']')} AS controls, {d.count('c.raw', 'Ã|â€|�')} AS mojibake FROM {chapters(d)} c
+        LEFT JOIN (SELECT manuscript_id, chapter, count(CASE WHEN tok = before THEN 1 END) AS doubled FROM (SELECT manuscript_id, chapter, tok, lag(tok) OVER (PARTITION BY manuscript_id, chapter ORDER BY pos) AS before FROM {toks} x) y GROUP BY manuscript_id, chapter) k ON k.manuscript_id = c.manuscript_id AND k.chapter = c.chapter"""
+
+
+@plan("W6 C6 S3")
+def chapter_numbering(d):
+    """Numbers from file and heading: unequal ones, and gaps after the chapter before."""
+    file_no, head_no = d.number(d.first("chapter", "([0-9]+)", 1), "BIGINT"), d.number(d.first("raw", "^# Chapter ([0-9]+)", 1), "BIGINT")
+    return f"""SELECT manuscript_id, chapter, file_no, head_no, file_no <> head_no AS mismatch, coalesce(file_no <> lag(file_no) OVER (PARTITION BY manuscript_id ORDER BY file_no) + 1, false) AS gap,
+        coalesce(file_no <= lag(file_no) OVER (PARTITION BY manuscript_id ORDER BY ord), false) AS not_rising FROM (SELECT manuscript_id, chapter, ord, {file_no} AS file_no, {head_no} AS head_no FROM {chapters(d)} c) t"""
+
+
+@plan("W16 W17")
+def heading_checks(d):
+    """Headings per chapter, top-level ones over one, and headings with nothing up to the next."""
+    lines = d.spread(f"(SELECT manuscript_id, chapter, {d.lines('raw')} AS ls FROM {chapters(d)} c) t", "manuscript_id, chapter", "ls", "pos", "ln")
+    return f"""SELECT manuscript_id, chapter, count(CASE WHEN ln LIKE '# %' THEN 1 END) AS tops, count(CASE WHEN ln LIKE '#%' THEN 1 END) AS headings, count(CASE WHEN ln LIKE '#%' AND follows LIKE '#%' THEN 1 END) AS empties FROM
+        (SELECT manuscript_id, chapter, ln, lead(ln) OVER (PARTITION BY manuscript_id, chapter ORDER BY pos) AS follows FROM {lines} x WHERE {d.trim('ln')} <> '') y GROUP BY manuscript_id, chapter"""
+
+
+@plan("S13 FL11 W11")
+def evidence_rows(d):
+    """Reader rows: rejected with a reason, doubled, or kept; invalid rows do not block later ones."""
+    good = f"{d.number('chapter', 'BIGINT')} IS NOT NULL AND {d.number('rating', 'BIGINT')} BETWEEN 1 AND 5 AND reader_id <> ''"
+    return f"""SELECT row_no, CASE WHEN NOT ok THEN 'rejected' WHEN r > 1 THEN 'duplicate' ELSE 'kept' END AS fate FROM (SELECT row_no, ok, row_number() OVER (PARTITION BY reader_id, chapter, ok ORDER BY row_no) AS r
+        FROM (SELECT row_no, reader_id, chapter, coalesce({good}, false) AS ok FROM {d.values(fx.EVIDENCE, 'row_no, reader_id, chapter, rating, comment, delayed')} e) v) w"""
+
+
+def evidence(d: Dialect) -> str:
+    return f"""(SELECT reader_id, chapter_no, rating_no, delayed IN ('1', 'true', 'yes') AS late FROM (SELECT *, {d.number('chapter', 'BIGINT')} AS chapter_no, {d.number('rating', 'BIGINT')} AS rating_no, row_number() OVER (PARTITION BY reader_id, chapter ORDER BY row_no) AS r
+        FROM {d.values(fx.EVIDENCE, 'row_no, reader_id, chapter, rating, comment, delayed')} e WHERE {d.number('chapter', 'BIGINT')} IS NOT NULL AND {d.number('rating', 'BIGINT')} BETWEEN 1 AND 5 AND reader_id <> '') v WHERE r = 1)"""
+
+
+@plan("A28 A29")
+def evidence_summary(d):
+    """Readers, ratings and confidence tier per chapter and overall."""
+    return f"""SELECT chapter_no, readers, rating, any_high, any_low, late, CASE WHEN n >= 6 AND spread >= 3 AND any_high AND any_low THEN 'strong' WHEN n >= 3 THEN 'moderate' ELSE 'weak' END AS tier FROM
+        (SELECT chapter_no, count(*) AS n, count(DISTINCT chapter_no) AS spread, count(DISTINCT reader_id) AS readers, round(avg(rating_no), 6) AS rating, bool_or(rating_no >= 4) AS any_high, bool_or(rating_no <= 2) AS any_low, count(CASE WHEN late THEN 1 END) AS late
+        FROM {evidence(d)} e GROUP BY GROUPING SETS ((), (chapter_no))) t"""
+
+
+@plan("A32 S15 FL8")
+def dynamic_range(d):
+    """Population CV of evaluation floors under 0.02 with six chapters or more."""
+    return f"SELECT book, count(*) AS n, round(stddev_pop(floor_score) / avg(floor_score), 6) AS cv, count(*) >= 6 AND stddev_pop(floor_score) / avg(floor_score) < 0.02 AS flat FROM {d.values(fx.FLOORS, 'book, chapter, floor_score')} f GROUP BY book"
+
+
+@plan("A34 P3")
+def protected_spans(d):
+    """Protected spans per manuscript against a quarter of its chapters, one at least."""
+    return f"SELECT manuscript_id, CAST(sum({d.count('raw', '(?s)<!-- hp:start -->.*?<!-- hp:end -->')}) AS BIGINT) AS n, CAST(greatest(1, ceil(count(*) / 4.0)) AS BIGINT) AS wanted FROM {chapters(d)} c GROUP BY manuscript_id"
+
+
+@plan("A37 J18 FL12 U6")
+def gate_verdict(d):
+    """Check tokens against the registry: an unknown one is a blocking error, advisory ones never block."""
+    tokens = [("g1", "lint", "pass"), ("g1", "macro", "fail"), ("g2", "lint", "fail"), ("g2", "proof", "pass"), ("g3", "bogus", "pass"), ("g4", "lint", "skip"), ("g4", "dynamic_range", "error")]
+    known = [(k, k in ("macro", "texture", "voice_lexicon", "dynamic_range")) for k in "timeline lint chapter_order wordcount proof macro texture human_pass voice_lexicon structure_variety book_meta dynamic_range epub".split()]
+    return f"""SELECT gate, NOT bool_or(blocks) AS ok, coalesce({d.join(d.sorted_set("CASE WHEN blocks THEN token END"), ',')}, '') AS blockers FROM (SELECT t.gate, t.token, CASE WHEN k.token IS NULL THEN true ELSE t.status IN ('fail', 'error') AND NOT k.advisory END AS blocks
+        FROM {d.values(tokens, 'gate, token, status')} t LEFT JOIN {d.values(known, 'token, advisory')} k ON k.token = t.token) x GROUP BY gate"""
+
+
+ALLOWED = [("chapter-drafted", "chapters", False), ("phase-advance", "pipeline", True), ("note-added", "notes", False), ("package-update", "package", True), ("human-pass", "human_pass", True)]
+
+
+@plan("FL13 FL14 K6 K14 S11 S12")
+def state_events(d):
+    """Result code of each event: note, type, block, approval and phase are checked in that order; the phase is
+    the one that the advances before it led to."""
+    return f"""SELECT project, seq, CASE WHEN note = '' THEN 'schema-validation' WHEN block_ok IS NULL THEN 'schema-validation' WHEN block <> block_ok THEN 'allowlist-violation' WHEN needs AND NOT approved THEN 'human-gate-required' WHEN expected_phase <> phase THEN 'stale-phase' ELSE 'ok' END AS code FROM
+        (SELECT s.*, a.block AS block_ok, a.needs, CASE WHEN coalesce(sum(CASE WHEN s.event_type = 'phase-advance' AND s.approved AND s.expected_phase = 'draft' THEN 1 ELSE 0 END) OVER (PARTITION BY s.project ORDER BY s.seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 THEN 'review' ELSE 'draft' END AS phase
+        FROM {d.values(fx.STATE, 'project, seq, event_type, note, expected_phase, block, approved')} s LEFT JOIN {d.values(ALLOWED, 'event_type, block, needs')} a ON a.event_type = s.event_type) t"""
+
+
+@plan("C1 C2 C3 FL15")
+def style_overrides(d):
+    """Defaults and overrides: typed values, warnings for unknown keys and bad values, tightening only when derived."""
+    defaults = [("em_dash_per_1k", 4.0), ("adverbs_per_1k", 10.5), ("filters_per_1k", 6.0), ("extension_per_1k", 0.6)]
+    given = [("em_dash_per_1k", "3.5"), ("adverbs_per_1k", "many"), ("colour", "red")]
+    measured = [("em_dash_per_1k", 2.0), ("adverbs_per_1k", 50.0), ("filters_per_1k", 4.0)]
+    return f"""SELECT coalesce(t.k, g.k) AS k, coalesce({d.number('g.v', 'DOUBLE')}, t.v) AS resolved, CASE WHEN t.k IS NULL THEN 'unknown key' WHEN g.v IS NOT NULL AND {d.number('g.v', 'DOUBLE')} IS NULL THEN 'bad value' END AS warning,
+        CASE WHEN 1.25 * m.v < t.v THEN round(1.25 * m.v, 6) END AS derived FROM {d.values(defaults, 'k, v')} t FULL OUTER JOIN {d.values(given, 'k, v')} g ON g.k = t.k LEFT JOIN {d.values(measured, 'k, v')} m ON m.k = t.k"""
+
+
+@plan("K8 C6")
+def manuscript_text(d):
+    """Chapters of a manuscript in order, joined."""
+    if d.spark:
+        return f"SELECT manuscript_id, length(array_join(transform(sort_array(collect_list(struct(ord, raw))), x -> x.raw), '\\n\\n')) AS n_chars, sha2(array_join(transform(sort_array(collect_list(struct(ord, raw))), x -> x.raw), '\\n\\n'), 256) AS digest FROM {chapters(d)} c GROUP BY manuscript_id"
+    return f"SELECT manuscript_id, CAST(length(string_agg(raw, chr(10) || chr(10) ORDER BY ord)) AS INTEGER) AS n_chars, sha256(string_agg(raw, chr(10) || chr(10) ORDER BY ord)) AS digest FROM {chapters(d)} c GROUP BY manuscript_id"
+
+
+@plan("C5 C8 FL10 J19")
+def pending_outputs(d):
+    """Expected files that are missing, empty or still a template."""
+    expected = [("BOOK.md",), ("OUTLINE.md",), ("chapter-01.md",), ("STYLE.md",)]
+    listed = [("BOOK.md", "title"), ("OUTLINE.md", "*(fill in the outline)*"), ("STYLE.md", "")]
+    return f"SELECT e.path, CASE WHEN l.path IS NULL THEN 'missing' WHEN l.body = '' THEN 'empty' ELSE 'template' END AS reason FROM {d.values(expected, 'path')} e LEFT JOIN {d.values(listed, 'path, body')} l ON l.path = e.path WHERE l.path IS NULL OR l.body = '' OR l.body LIKE '%*(fill in%' OR l.body LIKE '%TEMPLATE%'"
+
+
+@plan("C9 P18 J20")
+def phase_transition(d):
+    """Phase after a passed gate, completed at the end; a failed gate stays."""
+    phases = [("plan", "draft"), ("draft", "review"), ("review", "publish"), ("publish", None)]
+    projects = [("p1", "draft", True), ("p2", "draft", False), ("p3", "publish", True)]
+    return f"SELECT p.project, CASE WHEN NOT p.passed THEN p.phase ELSE coalesce(f.next_phase, 'completed') END AS phase_after FROM {d.values(projects, 'project, phase, passed')} p LEFT JOIN {d.values(phases, 'phase, next_phase')} f ON f.phase = p.phase"

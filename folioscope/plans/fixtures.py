@@ -1,0 +1,41 @@
+"""Inline relations for operators that the driver's prose leaves empty: dialogue, records, scores."""
+
+from __future__ import annotations
+
+_CALM = "She set the bread on the table. He counted the jars near the door. The lamp was low and the road lay dark."
+
+#: manuscript_id, chapter, ord, raw
+CHAPTERS = [
+    ("m1", "chapter-01.md", 1, "# Chapter 1: The Door\n\n<!-- words: 900 -->\n\n“Who is there?” Mary asked. “Only me,” said John. “Come in, then.”\n\nShe stood. She watched. She waited. She left.\n\n" + _CALM),
+    ("m1", "chapter-02.md", 2, "# Chapter 2: The Road\n\n\"I don't know,\" said Mary. \"Perhaps we shall see.\" John said, \"Very well.\"\n\nThe stone was cold — very cold -- and the the road went on. It was like a wolf in winter.\n\nNot a road, but a river. Love is always a silence."),
+    ("m1", "chapter-03.md", 3, "# Chapter 3: The Jar\n\nIt was late. It was like a wolf in winter. Mary walked quickly and quietly home.\n\n***\n\n“We can't stay,” said Mary. “Why not?” asked John.\n\nThe store-room was shut, the storeroom was cold. Nothing is ever lost."),
+    ("m1", "chapter-05.md", 4, "# Chapter 4: The Well\n\n> An old saying\n\nJohn looked down. The water was still...  Mary had gone (to the well.\n\n***\n\nThe family was okay; the Miryam of old, the Mariam of now. Time is everything."),
+    ("m2", "chapter-01.md", 1, "# Chapter 1: Start\n\nAnna saw the window. Anna heard the lamp. \"Fine.\" said Anna. \"Fine,\" said Paul.\n\nAnna had the knife. The hand was steady."),
+    ("m2", "chapter-02.md", 2, "# Chapter 2: End\n\nPaul had the lamp. Anna felt the stone… and left, which meant the end.\n\n---\n\nThe road was long. “Go,” said Anna."),
+]
+
+TIMELINE = [
+    (1, "# chronology"), (2, 'event id=birth day=-3287 label="birth"'), (3, "event id=feast day=0"), (4, "event id=trip day=14 label=trip"),
+    (5, "age person=Mary at=birth years=9 src=ch1"), (6, "age person=Mary at=feast years=19 src=ch2"), (7, "age person=John at=trip years=30 src=ch2"), (8, "age person=John at=nowhere years=31 src=ch3"),
+    (9, "span from=feast to=trip stated=2w src=ch1"), (10, "span from=feast to=trip stated=3d src=ch4"), (11, "span from=trip to=feast stated=14d src=ch4"), (12, "span from=feast to=lost stated=1d src=ch5"),
+    (13, "once id=wedding at=feast src=ch1"), (14, "once id=wedding at=trip src=ch3"), (15, "once id=burial at=trip src=ch3"), (16, "bogus line here"),
+]
+
+TEXTURE = [(1, 'texture id=t1 term="bread" kind=food src=book1'), (2, 'texture id=t2 term="lamp" kind=object'), (3, 'texture id=t3 term="harp" kind=music src=book2'), (4, 'texture id=t1 term="stone" kind=object src=book3'), (5, 'texture id=t4 term="road" kind=unheard src=book4')]
+MOTIFS = [(1, 'motif id=m1 term="wolf in winter"'), (2, 'motif id=m2 term="dark"')]
+REPORTS = [("m1", 1, "meta  chapter=1  structure=chronological  hook=image"), ("m1", 2, "meta  chapter=2  structure=chronological  hook=question"), ("m1", 4, "meta  chapter=4  structure=frame  hook=image"), ("m2", 1, "meta  chapter=1  structure=frame  hook=dialogue")]
+LEXICON = [("mary", "perhaps"), ("mary", "okay"), ("JOHN", "very"), ("paul", "fine"), ("ghost", "boo")]
+EVIDENCE = [
+    (1, "r1", "1", "5", "good", "yes"), (2, "r1", "1", "4", "again", "1"), (3, "r2", "1", "2", "slow", "no"), (4, "r3", "2", "9", "bad rating", "true"),
+    (5, "r3", "2", "3", "ok", "true"), (6, "r4", "x", "3", "bad chapter", ""), (7, "", "2", "3", "no reader", ""), (8, "r5", "3", "4", "fine", "TRUE"), (9, "r6", "3", "4", "", "1"),
+]
+#: book, iteration, dimension, weight, score
+SCORES = [(b, i, d, w, s) for b, i, scores in [("b1", 1, [8.5, 9.0, 9.0, 9.2, 8.9, 9.1, 8.8, 9.0, 9.3, 8.7]), ("b1", 2, [8.9, 9.1, 9.2, 9.0, 9.0, 9.1, 9.0, 9.2, 9.3, 9.1]), ("b2", 1, [7.9, 8.4, 9.0, 8.0, 8.8, 8.1, 8.2, 8.0, 9.0, 8.0]), ("b2", 2, [8.8, 8.3, 9.0, 8.0, 8.8, 8.1, 8.2, 8.0, 9.0, 8.0])] for d, w, s in zip(["originality", "theme", "characters", "prose", "pacing", "emotion", "cohesion", "market", "voice", "ending"], [1.1, 1.0, 1.2, 1.0, 1.0, 1.1, 0.9, 0.8, 1.1, 0.8], scores, strict=True)]
+#: chapter, floor
+FLOORS = [("b1", 1, 8.5), ("b1", 2, 8.5), ("b1", 3, 8.5), ("b1", 4, 8.5), ("b1", 5, 8.5), ("b1", 6, 8.5), ("b2", 1, 8.5), ("b2", 2, 9.2), ("b2", 3, 8.6), ("b2", 4, 9.4), ("b2", 5, 8.5), ("b2", 6, 9.0)]
+#: project, seq, event_type, note, expected_phase, block, approved
+STATE = [("p1", 1, "chapter-drafted", "one", "draft", "chapters", False), ("p1", 2, "phase-advance", "go", "draft", "pipeline", False), ("p1", 3, "phase-advance", "go", "draft", "pipeline", True), ("p1", 4, "chapter-drafted", "late", "draft", "chapters", False), ("p1", 5, "note-added", "", "review", "notes", False), ("p1", 6, "chapter-drafted", "x", "review", "secrets", False), ("p1", 7, "unknown", "x", "review", "notes", False)]
+#: character, fact, kind, ord
+FACTS = [("Mary", "letter", "learned", 2), ("Mary", "letter", "used", 3), ("John", "letter", "used", 1), ("John", "letter", "learned", 4), ("Anna", "key", "used", 2)]
+#: entity, field, ord, value
+ENTITIES = [("Mary", "place", 1, "town"), ("Mary", "place", 2, "town"), ("Mary", "place", 3, "sea"), ("John", "place", 1, "sea"), ("John", "age", 1, "30"), ("John", "age", 4, "31")]
