@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Text bytes handled at once by the array code; bounds a Python worker's memory.
 SLICE_BYTES = 4 << 20
@@ -40,6 +41,21 @@ def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Rows that go to Python at once in what is executed inside; long rows need smaller batches."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def written() -> list[tuple[SparkSession, str]]:
     """Intermediate tables of this process so far, oldest first."""
     return list(_WRITTEN)
@@ -62,7 +78,7 @@ def _forget() -> None:
 
 def rest_of(docs: DataFrame) -> Column:
     """All columns but the text, packed so that names cannot clash."""
-    return F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"), F.lit(1).alias("one_more")).alias("rest")
+    return F.struct(*(docs[f"`{c.replace('`', '``')}`"] for c in docs.columns if c != "text"), F.lit(1).alias("one_more")).alias("rest")
 
 
 def unpacked(rows: DataFrame, docs: DataFrame, **fresh: Column) -> DataFrame:
@@ -70,9 +86,9 @@ def unpacked(rows: DataFrame, docs: DataFrame, **fresh: Column) -> DataFrame:
     return rows.select(*(fresh[c].alias(c) if c in fresh else F.col("rest").getField(c).alias(c) for c in docs.columns))
 
 
-def kind_of(docs: DataFrame) -> str:
-    """``rest`` as a field of an output schema."""
-    return "rest " + docs.select(rest_of(docs)).schema["rest"].dataType.simpleString()
+def with_rest(columns: str, docs: DataFrame) -> StructType:
+    """An output schema of some columns and ``rest``."""
+    return StructType([*StructType.fromDDL(columns).fields, docs.select(rest_of(docs)).schema["rest"]])
 
 
 # ---------------------------------------------------------------- words

@@ -160,5 +160,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, g
     """Documents without any hit of :func:`find`, in the columns of ``docs``."""
     turns = _turns(benchmark, span, gram)
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), common.rest_of(docs))
-    rows = picked.mapInArrow(lambda it: _scan(it, turns, True), f"{COLUMNS}, text string, {common.kind_of(docs)}")
+    rows = picked.mapInArrow(lambda it: _scan(it, turns, True), common.with_rest(f"{COLUMNS}, text string", docs))
     return common.unpacked(rows.where("not contaminated"), docs, text=F.col("text"))

@@ -195,7 +195,7 @@ def dedup_lines(docs: DataFrame, most: int = THRESHOLD, least: int = LEAST_CHARS
     beside = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("right")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("left")), "a")
     links = common.stored(beside.select("a", "b", "left", "right").mapInArrow(lambda it: _linked(it, most), "a long, b long"))
     comps = cluster.components(links)
-    judge = lambda data, a, b: np.array([within(x, y, most) for x, y in zip(data.take(pa.array(a)).to_pylist(), data.take(pa.array(b)).to_pylist(), strict=True)], bool)
+    judge = lambda data, a, b, _=None: np.array([within(x, y, most) for x, y in zip(data.take(pa.array(a)).to_pylist(), data.take(pa.array(b)).to_pylist(), strict=True)], bool)
     across = common.stored(cluster.cross_pairs(cluster.placed_ids(live, comps), texts.select("id", F.col("text").alias("payload")), judge))
     if not across.isEmpty():
         comps = cluster.components(links.union(across))
@@ -203,7 +203,7 @@ def dedup_lines(docs: DataFrame, most: int = THRESHOLD, least: int = LEAST_CHARS
     spot = F.struct("doc_id", "block", "doc", "line")
     firsts = classed.groupBy("comp").agg(F.min(spot).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("comp", "first")
     gone = classed.join(firsts, "comp").where(~(spot.eqNullSafe(F.col("first")))).groupBy("block").agg(F.collect_list(F.struct("doc", "line")).alias("gone"))
-    return table.join(gone, "block", "left").mapInArrow(lambda it: _rewrite(it, least), f"{ROWS}, {common.kind_of(docs)}" if whole else ROWS)
+    return table.join(gone, "block", "left").mapInArrow(lambda it: _rewrite(it, least), common.with_rest(ROWS, docs) if whole else ROWS)
 
 
 def strip_lines(docs: DataFrame, most: int = THRESHOLD, least: int = LEAST_CHARS) -> DataFrame:

@@ -121,5 +121,5 @@ def clean(docs: DataFrame, most_lost: int = 50) -> DataFrame:
     ``n_chars`` follows the text where the table has it; all other columns pass unchanged.
     """
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), common.rest_of(docs))
-    rows = picked.mapInArrow(lambda it: _measure(it, most_lost), f"{COLUMNS}, {common.kind_of(docs)}")
+    rows = picked.mapInArrow(lambda it: _measure(it, most_lost), common.with_rest(COLUMNS, docs))
     return common.unpacked(rows.where("kept"), docs, text=F.col("clean_text"), n_chars=F.length("clean_text").cast("long"))
