@@ -17,6 +17,8 @@ from . import common
 
 #: Ids of a key compared at once; a key with more is dealt as pairs of blocks.
 BLOCK = 256
+#: Edges up to which components are found in one partition, without shuffles; more are dealt.
+FEW_EDGES = 200_000
 #: Ids from which a component is compared as a whole with the ids outside it that share a key.
 LARGE, GUESTS = 16, 512
 
@@ -61,8 +63,12 @@ def star_pairs(live: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(id, comp) for the ids of ``links`` (a, b): the least id that links lead to, stored."""
     edges = common.stored(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct())
+    small = edges.count() <= FEW_EDGES
+    if small:
+        edges = edges.coalesce(1)
     labels = common.stored(edges.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("id"), F.least("a", "low").alias("comp")))
     while True:
+        labels = labels.coalesce(1) if small else labels
         other = labels.select(F.col("id").alias("b"), F.col("comp").alias("seen"))
         near = edges.join(other, "b").groupBy("a").agg(F.min("seen").alias("seen")).withColumnRenamed("a", "id")
         hooked = labels.join(near, "id").select("id", F.col("comp").alias("was"), F.least("comp", "seen").alias("comp"))
@@ -74,7 +80,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _across(batches: Iterator[pa.RecordBatch], judge: Callable) -> Iterator[pa.RecordBatch]:
-    """Pairs of one group (key, i, j) in different components that ``judge`` (payloads, a, b) lets pass."""
+    """Pairs of one group (key, i, j) in different components that ``judge`` (payloads, a, b, keys) lets pass."""
 
     def pairs(table: pa.Table) -> pa.RecordBatch:
         group = [table.column(c).to_numpy() for c in ("key", "i", "j")]
@@ -85,11 +91,11 @@ def _across(batches: Iterator[pa.RecordBatch], judge: Callable) -> Iterator[pa.R
             same = np.logical_and.reduce([g[:-d] == g[d:] for g in group]) if len(ids) > d else np.empty(0, bool)
             if not same.any():
                 break
-            a = np.flatnonzero(same & (comp[:-d] != comp[d:]) & ((group[1][:-d] == group[2][:-d]) | (block[:-d] != block[d:])))
+            a = np.flatnonzero(same & (comp[:-d] != comp[d:]) & (ids[:-d] != ids[d:]) & ((group[1][:-d] == group[2][:-d]) | (block[:-d] != block[d:])))
             left.append(a)
             right.append(a + d)
         a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
-        ok = judge(data, a, b) if len(a) else np.empty(0, bool)
+        ok = judge(data, a, b, group[0][a]) if len(a) else np.empty(0, bool)
         a, b = ids[a[ok]], ids[b[ok]]
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 

@@ -83,6 +83,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Record
         keys = np.zeros((len(full), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
         for r in range(ROWS):
             keys = common.mixed(keys * np.uint64(0x9E3779B97F4A7C15) + banded[:, :, r])
+        keys = keys & ~np.uint64(BANDS - 1) | np.arange(BANDS, dtype=np.uint64)  # the low bits name the band
         short = (low & np.uint64(0xFFFF)).astype("<u2")
         where = {int(r): i for i, r in enumerate(full)}
         n = part.num_rows
@@ -151,6 +152,29 @@ def _linked(inside: pa.Array, outside: pa.Array, k: int, per_cent: int) -> np.nd
     return out
 
 
+def _judge(data: pa.Array, a: np.ndarray, b: np.ndarray, keys: np.ndarray, bounds: list, k: int, per_cent: int) -> np.ndarray:
+    """Which pairs of a band's groups are linked: each pair in the first band it shares, by signatures, then whole sets."""
+    sign = _matrix(data.field("signature"))
+    ok = np.zeros(len(a), bool)
+    sets: dict[int, np.ndarray] = {}
+    for low in range(0, len(a), 20_000):
+        part = slice(low, low + 20_000)
+        same = (sign[a[part]] == sign[b[part]]).reshape(-1, BANDS, ROWS).all(axis=2)
+        first = same.argmax(axis=1) == (keys[part] & (BANDS - 1))
+        ok[part] = first & alike(sign[a[part]], sign[b[part]], bounds)
+    live = np.flatnonzero(ok)
+    wanted = np.unique(np.concatenate([a[live], b[live]]))
+    sets.update(zip(wanted.tolist(), shingle_sets(data.field("text").take(pa.array(wanted)), k) if len(wanted) else [], strict=True))
+    for i in live.tolist():
+        x, y = sets[int(a[i])], sets[int(b[i])]
+        if 100 * min(len(x), len(y)) < per_cent * max(len(x), len(y)):
+            ok[i] = False
+            continue
+        shared = len(np.intersect1d(x, y, assume_unique=True))
+        ok[i] = 100 * shared >= per_cent * (len(x) + len(y) - shared)
+    return ok
+
+
 def _texts(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """Texts of the rows that are wanted: rows may share an id, so the set's fingerprint decides."""
     for part in common.slices(batches):
@@ -192,10 +216,11 @@ def near_groups(docs: DataFrame, k: int = SHINGLE, per_cent: int = PER_CENT, mis
     stars = beside(cluster.star_pairs(live), signed, "signature").mapInArrow(lambda it: _prune(it, bounds), "a long, b long")
     links = common.stored(confirmed(stars))
     comps = cluster.components(links)
-    judge = lambda data, a, b: alike((m := _matrix(data))[a], m[b], bounds)
+    judge = lambda data, a, b, keys: _judge(data, a, b, keys, bounds, k, per_cent)
     placed = common.stored(cluster.placed_ids(live, comps))
     few = placed.where(F.col("size") < cluster.LARGE)
-    across = confirmed(cluster.cross_pairs(few, signed.select("id", F.col("signature").alias("payload")), judge))
+    both = signed.join(texts, "id").select("id", F.struct("signature", "text").alias("payload"))
+    across = cluster.cross_pairs(few, both, judge)
     joined = cluster.large_links(placed, comps, texts.select("id", F.col("text").alias("payload")), lambda inside, outside: _linked(inside, outside, k, per_cent))
     links = common.stored(links.union(across).union(joined).distinct())
     comps = cluster.components(links)
