@@ -51,9 +51,16 @@ def _from_planes(body: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(_open(body), np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-def _packed(*parts: np.ndarray | bytes) -> bytes:
-    raw = b"".join(x if isinstance(x, bytes) else x.astype("<u4").tobytes() for x in parts)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+def _listed(words: list[bytes]) -> bytes:
+    """Lengths of words, then the words, packed apart."""
+    head, text = _planes(np.array([len(w) for w in words])), b"".join(words)
+    return len(head).to_bytes(8, "little") + head + len(text).to_bytes(8, "little") + pa.Codec("zstd", compression_level=9).compress(text, asbytes=True)
+
+
+def _unlisted(body: bytes) -> list[bytes]:
+    cut = 8 + int.from_bytes(body[:8], "little")
+    text, ends = _open(body[cut:]), np.cumsum(_from_planes(body[8:cut]), dtype=np.int64).tolist()
+    return [text[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
 def _open(body: bytes) -> bytes:
@@ -89,7 +96,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Reco
         for b in range(buckets):
             if edges[b] < edges[b + 1]:
                 own = [words[i] for i in order[edges[b] : edges[b + 1]].tolist()]
-                rows.append((block, b, _packed(np.array([len(own)]), np.array([len(w) for w in own]), b"".join(own)), None, None))
+                rows.append((block, b, _listed(own), None, None))
         if rows:
             yield _table(rows)
         del words, vocab, rows
@@ -133,15 +140,12 @@ def _encode(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.R
         for block, bucket, body in zip(*(batch.column(c).to_pylist() for c in ("block", "bucket", "body")), strict=True):
             if bucket != current:
                 current, known = bucket, {}
-            raw = _open(body)
-            n = int.from_bytes(raw[:4], "little")
-            ends = np.cumsum(np.frombuffer(raw, "<u4", n, 4)) + 4 + 4 * n
-            words = [raw[a:b] for a, b in zip([4 + 4 * n, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+            words = _unlisted(body)
             fresh = [w for w in words if w not in known]
             for w, e in zip(fresh, tokenizer.encode_batch([w.decode() for w in fresh], add_special_tokens=False), strict=True):
                 known[w] = np.array(e.ids, "<u4").tobytes()
             ids = [known[w] for w in words]
-            out.append((block, bucket, _packed(np.array([n]), np.array([len(x) // 4 for x in ids]), b"".join(ids)), None, None))
+            out.append((block, bucket, _planes(np.concatenate([[len(ids)], [len(x) // 4 for x in ids], np.frombuffer(b"".join(ids), "<u4")])), None, None))
         if out:
             yield _table(out).select(_NAMES[:3])
 
@@ -153,7 +157,7 @@ def _assemble(batches: Iterator[pa.RecordBatch], pieces: list[bytes], full: bool
             doc_ids, sizes = batch.column("doc_ids")[i].values, batch.column("sizes")[i].values.to_numpy()
             counts, flats = [np.empty(0, np.int64)], [np.empty(0, np.uint32)]
             for part in sorted(batch.column("coded")[i].as_py() or (), key=lambda p: p["bucket"]):
-                raw = np.frombuffer(_open(part["body"]), "<u4")
+                raw = _from_planes(part["body"])
                 counts.append(raw[1 : 1 + raw[0]].astype(np.int64))
                 flats.append(raw[1 + raw[0] :])
             whole = batch.column("body")[i].as_py()
