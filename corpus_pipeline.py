@@ -67,7 +67,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("bpe", bpe),
 ]
 
-#: Edit distances, signatures and BPE merges are beyond SQL; tests hold the pipeline against brute force.
+#: Edit distances, signatures and BPE merges are beyond SQL; tests hold each stage's operator against brute force.
 ORACLE_SQL = None
 
 
