@@ -148,5 +148,39 @@ class Dialect:
     def flatten(self, a: str) -> str:
         return f"flatten({a})"
 
+    def total(self, a: str) -> str:
+        """Sum of an array of doubles, 0 if it is empty."""
+        return f"aggregate({a}, CAST(0 AS DOUBLE), (acc, x) -> acc + x)" if self.spark else f"coalesce(list_sum({a}), 0)"
+
+    def struct(self, fields: dict[str, str]) -> str:
+        if self.spark:
+            return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
+        return "{" + ", ".join(f"'{k}': {v}" for k, v in fields.items()) + "}"
+
+    def array(self, items: list[str]) -> str:
+        return f"array({', '.join(items)})" if self.spark else f"[{', '.join(items)}]"
+
+    def text(self, x: str) -> str:
+        return f"CAST({x} AS {'STRING' if self.spark else 'VARCHAR'})"
+
+    def cut(self, a: str, first: str, last: str) -> str:
+        """Elements from place ``first`` to ``last``, places from 1, both inside."""
+        return f"slice({a}, CAST({first} AS INT), CAST(greatest({last} - ({first}) + 1, 0) AS INT))" if self.spark else f"list_slice({a}, {first}, {last})"
+
+    def reverse(self, a: str) -> str:
+        return f"reverse({a})" if self.spark else f"list_reverse({a})"
+
+    def numbers(self, first: str, last: str) -> str:
+        """Whole numbers from ``first`` to ``last``, none if ``last`` is less."""
+        if self.spark:
+            return f"CASE WHEN ({last}) >= ({first}) THEN sequence(CAST({first} AS INT), CAST({last} AS INT)) ELSE CAST(array() AS ARRAY<INT>) END"
+        return f"range(CAST({first} AS INT), CAST({last} AS INT) + 1)"
+
+    def shared(self, a: str, b: str) -> str:
+        """Length of the common beginning of two arrays."""
+        least = f"least({self.size(a)}, {self.size(b)})"
+        odd = self.keep(self.numbers("1", least), "i", f"{self.at(a, 'i')} <> {self.at(b, 'i')}")
+        return f"coalesce({self.at(odd, '1')} - 1, {least})"
+
 
 SPARK, DUCK = Dialect(True), Dialect(False)

@@ -1,24 +1,88 @@
-"""Word lists and patterns that results depend on."""
+"""Word lists, patterns and limits that results depend on."""
 
-#: Function words that repeat in any prose.
+# They must equal those of the engine whose results are matched.
+
+#: Words that make no phrase a tic.
 FUNCTION_WORDS = """
-a an and are as at be been but by for from had has have he her hers him his i if in into is it its me my no nor not
-of off on or our out she so than that the their them then there they this to too up us was we were what when where
-which who whom whose will with would you your
+a an and as at be been but by did do for from had has have he her him his i if in is it its me my not of on or our out she
+so than that the their them then there they this to up was we were what when which who will with would you your am are no
+nor into over under again more most such only own same too very can could should now here how all
+""".split()
+FILTER_VERBS = """
+saw see sees seeing heard hear hears hearing felt feel feels feeling noticed notice notices noticing realized realize
+realizes realizing realised realise realises realising watched watch watches watching wondered wonder wonders wondering
+thought think thinks thinking knew know knows knowing
 """.split()
-#: Verbs that filter perception.
-FILTER_VERBS = "saw heard felt noticed watched realized wondered seemed".split()
 #: Words in -ly that are no adverbs.
-NOT_ADVERBS = "family only early lonely friendly holy ugly belly reply supply likely lovely silly jelly bully rely fly ally daily".split()
-#: Phrases that drafts repeat.
-WATCH_PHRASES = ["for a moment", "did not", "in silence", "could feel", "the weight of"]
-#: Words out of place in a historical setting.
-MODERN_WORDS = "okay guys yeah stress process agenda feedback".split()
-#: Sentence openings that make paragraphs alike.
-OPENERS = ["It was", "There was", "He had", "She had"]
-TAG_VERBS = "said asked whispered replied answered murmured shouted cried muttered called".split()
-ABSTRACT = r"\b(?:truth|love|silence|memory|time|hope|fear|always|never|nothing|everything)\b"
-CONCRETE = r"\b(?:door|hand|table|bread|window|stone|road|lamp|jar|water|knife)\b"
+NOT_ADVERBS = """
+family only early holy ally supply apply rely imply reply comply multiply monopoly anomaly assembly fly butterfly likely
+unlikely friendly unfriendly lonely lovely lively homely orderly disorderly costly deadly ghostly kindly unkindly leisurely
+lowly manly womanly monthly weekly yearly daily hourly elderly stately timely untimely goodly gadfly dragonfly belly bully
+silly jolly folly rally chilly ugly
+""".split()
+WATCH_PHRASES = ["exactly", "particular", "my own", "I did not", "I do not know", "I have come to believe", "this account", "I have thought", "I understood", "I decided", "the truest thing"]
+MODERN_WORDS = """
+liability oversight governance apparatus configuration formalized formalised installments instalments protocol
+infrastructure logistics parameters framework leverage process boundaries closure trauma self-worth validate prioritize
+prioritise dynamic systemic optimize optimise
+""".split()
+OPENERS = ["I did not", "I do not", "I want to", "I have", "It was", "There was"]
+TAG_VERBS = """
+said asked replied answered told whispered shouted murmured muttered exclaimed cried retorted snapped hissed growled drawled
+sighed breathed admitted continued added interrupted insisted protested demanded offered suggested warned agreed countered
+argued laughed chuckled grumbled stammered sneered
+""".split()
+ABSTRACT = r"\b(truth|memory|faith|love|fear|grief|hope|time|history|meaning|forgiveness|silence|mercy|courage|loss)\b"
+CONCRETE = r"\b(hand|hands|door|gate|stair|step|bread|flour|water|floor|table|cloth|linen|jar|lamp|oil|dust|blood|wall|roof|knee|foot|feet|stood|sat|walked|opened|closed|carried|poured|washed|set|put)\b"
 SIMILE = r"\b(?:like (?:a|an|the) [a-z'-]+(?: [a-z'-]+){0,4}|as if [a-z'-]+(?: [a-z'-]+){0,4}|the way [a-z'-]+(?: [a-z'-]+){0,4})"
-NOT_BUT = r"(?i)\bnot (?:a |an |the )?\w+[,;]? but\b"
-EXTENSION = r"(?i), (?:which meant|which is to say|as though|a kind of)\b"
+NOT_BUT = r"(?i)\bnot\s+[^.,;]{1,40}?\s+but\s+"
+EXTENSION = r"(?i)\bnot because\b|\bnot\s+[^.,;]{1,40}?,\s*but\b|\bthe kind of\b[^.!?]{1,60}\bthat\b"
+FOUND_SELF = r"(?i)\bfound\s+(?:herself|himself|themselves|myself)\b"
+LINE_DEFECTS = [
+    (r",\s*[—–-]{1,2}\s", "comma immediately before a dash"),
+    (r"\s[—–]\s*,", "dash immediately before a comma"),
+    (r"[!?]{2,}", "repeated terminal punctuation"),
+    (r"[“”\"][^“”\"]{0,3}[“”\"]", "empty or near-empty quotation"),
+]
+#: Limits of the lint checks by name; profiles override some.
+THRESHOLDS = {
+    "em_dash_per_1k": 4.0,
+    "phrase_per_10k": 8.0,
+    "not_x_but_y_per_10k": 6.0,
+    "explanatory_extension_per_1k": 0.6,
+    "opener_share": 0.12,
+    "maxim_ending_share": 0.67,
+    "length_cv": 0.30,
+    "min_chapter_words": 200,
+    "ngram_min_count": 5,
+    "ngram_per_10k": 4.0,
+    "fk_grade_min": 4.0,
+    "fk_grade_max": 10.0,
+    "sentence_len_min": 11.0,
+    "sentence_len_max": 26.0,
+    "dialogue_ratio_min": 0.15,
+    "dialogue_ratio_max": 0.62,
+    "sentence_cv_min": 0.35,
+    "sentence_monotony_min_sentences": 8,
+    "escalation_min_last_per_1k": 0.4,
+    "escalation_ratio": 2.5,
+    "adverb_per_1k": 10.5,
+    "filter_word_per_1k": 6.0,
+    "min_tag_sample": 20,
+    "said_tag_share_min": 0.6,
+    "echo_window_words": 50,
+    "echo_min_word_len": 5,
+    "echo_per_10k": 3.0,
+    "opener_repeat_run_min": 3,
+    "local_density_multiplier": 1.5,
+    "local_density_min_words": 500,
+}
+_HISTORICAL = {"em_dash_per_1k": 3.5, "phrase_per_10k": 7.0, "fk_grade_min": 7.0, "fk_grade_max": 9.0, "sentence_len_min": 16.0, "sentence_len_max": 24.0, "dialogue_ratio_min": 0.25, "dialogue_ratio_max": 0.40, "explanatory_extension_per_1k": 0.5}
+_COMMERCIAL = {"em_dash_per_1k": 6.0, "phrase_per_10k": 12.0, "fk_grade_max": 8.0, "sentence_len_min": 12.0, "sentence_len_max": 22.0, "dialogue_ratio_min": 0.30, "explanatory_extension_per_1k": 0.8}
+PROFILES = {
+    "literary": {"em_dash_per_1k": 3.0, "phrase_per_10k": 6.0, "explanatory_extension_per_1k": 0.5},
+    "commercial": _COMMERCIAL,
+    "thriller": _COMMERCIAL | {"sentence_len_min": 10.0, "sentence_len_max": 20.0},
+    "historical": _HISTORICAL,
+    "biblical": _HISTORICAL,
+}

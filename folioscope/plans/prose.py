@@ -91,7 +91,7 @@ def maxim_endings(d):
 @plan("A5")
 def opener_share(d):
     """Share of paragraphs by their first opener that matches."""
-    case = " ".join(f"WHEN para LIKE {d.lit(o + '%')} THEN {d.lit(o)}" for o in lx.OPENERS)
+    case = " ".join(f"WHEN lower(para) LIKE {d.lit(o.lower() + '%')} THEN {d.lit(o)}" for o in lx.OPENERS)
     paras = d.spread(f"(SELECT manuscript_id, {d.paragraphs(d.strip_markdown('raw'))} AS ps FROM {chapters(d)} c) p", "manuscript_id", "ps", "pos", "para")
     return f"""SELECT manuscript_id, opener, n, round(n / total, 6) AS share FROM (SELECT manuscript_id, opener, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY manuscript_id) AS DOUBLE) AS total
         FROM (SELECT manuscript_id, CASE {case} END AS opener FROM {paras} q) r GROUP BY manuscript_id, opener) s WHERE opener IS NOT NULL"""
@@ -169,7 +169,7 @@ def adverb_density(d):
 def line_defects(d):
     """Counts of defect patterns per chapter, zero counts left out."""
     p = d.strip_markdown("raw")
-    rules = {"double_space": "[^ \\n]  +[^ ]", "not_but": lx.NOT_BUT, "extension": lx.EXTENSION, "simile": lx.SIMILE}
+    rules = {label: pattern for pattern, label in lx.LINE_DEFECTS} | {"not_but": lx.NOT_BUT, "extension": lx.EXTENSION, "simile": lx.SIMILE}
     arms = " UNION ALL ".join(f"SELECT manuscript_id, chapter, {d.lit(k)} AS label, {d.count(p, v)} AS n FROM {chapters(d)} c" for k, v in rules.items())
     return f"SELECT * FROM ({arms}) t WHERE n > 0"
 
