@@ -110,21 +110,24 @@ def _scalar_findings(d: Dialect, rel: str, th: dict[str, float]) -> str:
 
 
 def _item_findings(d: Dialect, rel: str, th: dict[str, float]) -> str:
-    """Watched phrases, openers, modern words and line defects: each chapter yields only the items that it has."""
-    opener = " ".join(f"WHEN lower(x) LIKE {d.lit(o.lower() + '%')} THEN {d.lit(o)}" for o in lx.OPENERS)
-    opens = d.map(d.map(d.paragraphs("p"), "x", d.sub("x", '^["“‘' + chr(39) + r"]+\s*", "")), "x", f"CASE {opener} ELSE '' END")
-    pair = lambda check, item, n: d.struct({"check_name": d.lit(check), "item": d.lit(item), "n": n})
-    items = [pair("opener_monotony", o, d.size(d.keep("opens", "o", f"o = {d.lit(o)}"))) for o in lx.OPENERS]
-    items += [pair("phrase_repetition", w, d.count("p", _phrase(w))) for w in lx.WATCH_PHRASES]
-    items += [pair("modern_register", w, d.count("p", _phrase(w))) for w in lx.MODERN_WORDS]
-    items += [pair("line_defect", label, d.count("p", pattern)) for pattern, label in lx.LINE_DEFECTS]
-    items += [pair("words", "", d.size(d.lint_tokens("p"))), pair("paragraphs", "", d.size("opens"))]
-    parts = f"(SELECT manuscript_id, p, {opens} AS opens FROM (SELECT manuscript_id, {d.strip_markdown('raw')} AS p FROM {rel} src) t)"
-    each = d.spread(f"(SELECT manuscript_id, {d.keep(d.array(items), 'z', 'z.n > 0')} AS fs FROM {parts} q)", "manuscript_id", "fs", "fpos", "f")
+    """Watched phrases, openers, modern words and line defects: each chapter yields only the items that it has.
+
+    One alternation finds all watched phrases and modern words: none of them ends as another begins, so none hides another.
+    """
+    listed = [("phrase_repetition", w.lower(), w) for w in lx.WATCH_PHRASES] + [("modern_register", w.lower(), w) for w in lx.MODERN_WORDS]
+    opener = " ".join(f"WHEN x LIKE {d.lit(o.lower() + '%')} THEN {d.lit(o)}" for o in lx.OPENERS)
+    opens = d.map(d.map(d.paragraphs("low"), "x", d.sub("x", '^["“‘' + chr(39) + r"]+\s*", "")), "x", f"CASE {opener} ELSE '' END")
+    item = lambda check, x, n: d.struct({"check_name": d.lit(check), "item": x, "n": f"CAST({n} AS BIGINT)"})
+    watched = d.all_of("low", r"\b(?:" + "|".join(key for _, key, _ in listed) + r")\b")
+    alone = [item("line_defect", d.lit(label), d.count("p", pattern)) for pattern, label in lx.LINE_DEFECTS] + [item("words", "''", d.size(d.lint_tokens("p")))]
+    arrays = d.flatten(d.array([d.map(watched, "x", item("watched", "x", "1")), d.map(opens, "x", item("opener_monotony", "x", "1")), d.array(alone)]))
+    parts = f"(SELECT manuscript_id, p, lower(p) AS low FROM (SELECT manuscript_id, {d.strip_markdown('raw')} AS p FROM {rel} src) t)"
+    each = d.spread(f"(SELECT manuscript_id, {arrays} AS fs FROM {parts} q)", "manuscript_id", "fs", "fpos", "f")
     summed = f"(SELECT manuscript_id, f.check_name AS check_name, f.item AS item, CAST(sum(f.n) AS BIGINT) AS n FROM {each} g GROUP BY manuscript_id, f.check_name, f.item)"
-    whole = f"(SELECT *, max(CASE WHEN check_name = 'words' THEN n END) OVER (PARTITION BY manuscript_id) AS words, max(CASE WHEN check_name = 'paragraphs' THEN n END) OVER (PARTITION BY manuscript_id) AS paras FROM {summed} w)"
-    rated = f"""(SELECT *, CASE check_name WHEN 'opener_monotony' THEN CAST(n AS DOUBLE) / paras WHEN 'phrase_repetition' THEN n * 10000.0 / words ELSE CAST(n AS DOUBLE) END AS measured,
-        CASE check_name WHEN 'opener_monotony' THEN {th['opener_share']} WHEN 'phrase_repetition' THEN {th['phrase_per_10k']} ELSE 0.0 END AS high FROM {whole} v WHERE check_name NOT IN ('words', 'paragraphs') AND words > 0)"""
+    named = f"(SELECT w.manuscript_id, coalesce(l.check_name, w.check_name) AS check_name, coalesce(l.item, w.item) AS item, w.n FROM {summed} w LEFT JOIN {d.values(listed, 'check_name, low_key, item')} l ON w.check_name = 'watched' AND l.low_key = w.item)"
+    whole = f"(SELECT *, sum(CASE WHEN check_name = 'words' THEN n END) OVER (PARTITION BY manuscript_id) AS words, CAST(sum(CASE WHEN check_name = 'opener_monotony' THEN n END) OVER (PARTITION BY manuscript_id) AS DOUBLE) AS paras FROM {named} w)"
+    rated = f"""(SELECT *, CASE check_name WHEN 'opener_monotony' THEN CAST(n AS DOUBLE) / paras WHEN 'phrase_repetition' THEN CAST(n AS DOUBLE) * 10000.0 / words ELSE CAST(n AS DOUBLE) END AS measured,
+        CASE check_name WHEN 'opener_monotony' THEN {th['opener_share']} WHEN 'phrase_repetition' THEN {th['phrase_per_10k']} ELSE 0.0 END AS high FROM {whole} v WHERE check_name <> 'words' AND item <> '' AND words > 0)"""
     return f"""SELECT manuscript_id, {d.text('NULL')} AS chapter, check_name, CASE WHEN check_name IN ('opener_monotony', 'phrase_repetition') THEN 'fail' ELSE 'warn' END AS severity, item, n, CAST(measured AS DOUBLE) AS measured,
         CAST(NULL AS DOUBLE) AS low, CAST(high AS DOUBLE) AS high FROM {rated} r WHERE measured > high"""
 
