@@ -34,7 +34,7 @@ argued laughed chuckled grumbled stammered sneered
 """.split()
 ABSTRACT = r"\b(truth|memory|faith|love|fear|grief|hope|time|history|meaning|forgiveness|silence|mercy|courage|loss)\b"
 CONCRETE = r"\b(hand|hands|door|gate|stair|step|bread|flour|water|floor|table|cloth|linen|jar|lamp|oil|dust|blood|wall|roof|knee|foot|feet|stood|sat|walked|opened|closed|carried|poured|washed|set|put)\b"
-SIMILE = r"\b(?:like (?:a|an|the) [a-z'-]+(?: [a-z'-]+){0,4}|as if [a-z'-]+(?: [a-z'-]+){0,4}|the way [a-z'-]+(?: [a-z'-]+){0,4})"
+SIMILE = r"(?i)\b(?:like (?:a|an|the)\s+[\w'-]+(?:\s+[\w'-]+){0,4}|as if\s+[\w'-]+(?:\s+[\w'-]+){0,4}|the way\s+[\w'-]+(?:\s+[\w'-]+){0,4})"
 NOT_BUT = r"(?i)\bnot\s+[^.,;]{1,40}?\s+but\s+"
 EXTENSION = r"(?i)\bnot because\b|\bnot\s+[^.,;]{1,40}?,\s*but\b|\bthe kind of\b[^.!?]{1,60}\bthat\b"
 FOUND_SELF = r"(?i)\bfound\s+(?:herself|himself|themselves|myself)\b"

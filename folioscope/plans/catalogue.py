@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioscope.plans import checks, lint, prose, scoring, voices  # noqa: F401  (each registers its plans)
+from folioscope.plans import checks, library, lint, prose, scoring, voices  # noqa: F401  (each registers its plans)
 from folioscope.plans.registry import COVERS, ORACLES, QUERIES  # noqa: F401
 
 FLAGSHIP = "fingerprint_delta"

@@ -12,6 +12,7 @@ from __future__ import annotations
 from folioscope.functions import lexicons as lx
 from folioscope.functions.dialect import Dialect
 from folioscope.plans.registry import chapters, plan
+from folioscope.plans.voices import collisions
 
 QUOTED = r"[\"“]([^\"“”]+)[\"”]"
 _TAGS = "|".join(lx.TAG_VERBS)
@@ -186,6 +187,11 @@ def _escalation_findings(d: Dialect, rel: str, th: dict[str, float]) -> str:
     return f"SELECT manuscript_id, {d.text('NULL')} AS chapter, {', '.join(f'f.{c} AS {c}' for c in FIELDS)} FROM {found} g WHERE f.hit"
 
 
+def _voice_findings(d: Dialect, rel: str) -> str:
+    """Pairs of speakers with five lines or more whose signatures cannot be told apart."""
+    return f"SELECT manuscript_id, {d.text('NULL')} AS chapter, 'voice_collision' AS check_name, 'warn' AS severity, pair AS item, CAST(1 AS BIGINT) AS n, CAST(1 AS DOUBLE) AS measured, CAST(NULL AS DOUBLE) AS low, CAST(0 AS DOUBLE) AS high FROM {collisions(d, 'true', 5, rel)} vc"
+
+
 def repeats(d: Dialect, rel: str, th: dict[str, float]) -> str:
     """Maximal repeats: phrases five times or more in two chapters or more, extended while every occurrence agrees.
 
@@ -214,7 +220,7 @@ def repeats(d: Dialect, rel: str, th: dict[str, float]) -> str:
 
 
 def findings(d: Dialect, rel: str, th: dict[str, float]) -> str:
-    arms = [_scalar_findings(d, rel, th), _item_findings(d, rel, th), _echo_findings(d, rel, th), _run_findings(d, rel, th), _escalation_findings(d, rel, th)]
+    arms = [_scalar_findings(d, rel, th), _item_findings(d, rel, th), _echo_findings(d, rel, th), _run_findings(d, rel, th), _escalation_findings(d, rel, th), _voice_findings(d, rel)]
     return f"SELECT manuscript_id, chapter, check_name, severity, item, n, round(measured, 6) AS measured, low, high FROM ({' UNION ALL '.join(arms)}) all_findings"
 
 

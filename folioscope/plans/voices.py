@@ -12,9 +12,9 @@ _VERB = "(?:" + "|".join(lx.TAG_VERBS) + ")"
 _NAME = "([A-Z][a-z]+)"
 
 
-def dialogue(d: Dialect) -> str:
+def dialogue(d: Dialect, rel: str = "") -> str:
     """Lines with their speaker: a tag behind the line, in front of it, or the last speaker of the paragraph."""
-    paras = d.spread(f"(SELECT manuscript_id, chapter, ord, {d.paragraphs(d.strip_comments('raw'))} AS ps FROM {chapters(d)} c) p", "manuscript_id, chapter, ord", "ps", "para", "ptext")
+    paras = d.spread(f"(SELECT manuscript_id, chapter, ord, {d.paragraphs(d.strip_comments('raw'))} AS ps FROM {rel or chapters(d)} c) p", "manuscript_id, chapter, ord", "ps", "para", "ptext")
     mark = "\x1f"
     gaps = f"split({d.sub('ptext', QUOTED, mark)}, {d.lit(mark)})" if d.spark else f"string_split({d.sub('ptext', QUOTED, mark)}, {d.lit(mark)})"
     lines = d.spread(f"(SELECT manuscript_id, chapter, ord, para, {d.all_of('ptext', QUOTED, 1)} AS said, {gaps} AS gaps FROM {paras} q) s", "manuscript_id, chapter, ord, para, gaps", "said", "i", "line")
@@ -30,15 +30,15 @@ def dialogue(d: Dialect) -> str:
     return f"(SELECT manuscript_id, chapter, ord, para, i, line, coalesce({last}, '?') AS speaker FROM (SELECT manuscript_id, chapter, ord, para, i, line, {tag} AS named FROM {lines} l) n)"
 
 
-def signatures(d: Dialect, where: str = "true") -> str:
+def signatures(d: Dialect, where: str = "true", rel: str = "") -> str:
     w = d.tokens("line")
     return f"""(SELECT manuscript_id, speaker, count(*) AS lines, CAST(sum({d.size(w)}) AS BIGINT) AS words, avg({d.size(w)}) AS per_line, avg(CASE WHEN line LIKE '%?%' THEN 1.0 ELSE 0.0 END) AS questions,
         CAST(sum({d.count('line', "[a-z]['’](?:t|s|re|ve|m|ll|d)")}) AS DOUBLE) / greatest(sum({d.size(w)}), 1) AS contractions, CAST(sum({d.count('lower(line)', 'perhaps|maybe|rather|quite')}) AS DOUBLE) / greatest(sum({d.size(w)}), 1) AS qualifiers
-        FROM {dialogue(d)} s WHERE {where} GROUP BY manuscript_id, speaker)"""
+        FROM {dialogue(d, rel)} s WHERE {where} GROUP BY manuscript_id, speaker)"""
 
 
-def collisions(d: Dialect, where: str, least: int) -> str:
-    s = signatures(d, where)
+def collisions(d: Dialect, where: str, least: int, rel: str = "") -> str:
+    s = signatures(d, where, rel)
     return f"""(SELECT a.manuscript_id, concat(a.speaker, ' / ', b.speaker) AS pair FROM {s} a JOIN {s} b ON a.manuscript_id = b.manuscript_id AND (a.lines > b.lines OR (a.lines = b.lines AND a.speaker < b.speaker))
         WHERE a.speaker <> '?' AND b.speaker <> '?' AND a.lines >= {least} AND b.lines >= {least} AND abs(a.per_line - b.per_line) < 1.5 AND abs(a.questions - b.questions) < 0.10 AND abs(a.contractions - b.contractions) < 0.02)"""
 
