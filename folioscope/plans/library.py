@@ -10,7 +10,7 @@ from folioscope.functions.dialect import SPARK
 from folioscope.operators import clusters, human_pass, markup
 from folioscope.operators.lint import lint
 from folioscope.plans import fixtures
-from folioscope.plans.registry import COVERS, QUERIES
+from folioscope.plans.registry import COVERS, QUERIES, table
 from folioscope.sinks import epub, reports
 
 NAMES: list[str] = []
@@ -26,7 +26,7 @@ def _query(covers: str) -> Callable:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("source AS manuscript_id", "CAST(doc_id AS STRING) AS chapter", "doc_id AS ord", "text AS raw")
+    return table(spark, sf_dir, "documents").selectExpr("source AS manuscript_id", "CAST(doc_id AS STRING) AS chapter", "doc_id AS ord", "text AS raw")
 
 
 def _chapters(spark: SparkSession) -> DataFrame:

@@ -18,11 +18,23 @@ ORACLES: dict[str, str] = {}
 COVERS: dict[str, str] = {}
 
 
+#: Bytes of files up to which texts are dealt to all cores first: so small a table may be one row group, which one task
+#: reads.  Larger tables split as they are read, and their texts are not shuffled.
+ONE_GROUP = 64 << 20
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table; the texts of a small one are spread."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(spark.sparkContext.defaultParallelism) if "text" in df.columns and size <= ONE_GROUP else df
+
+
 def views(spark: SparkSession, sf_dir: str, sql: str) -> None:
     """Registers the tables that a query names."""
     for name in TABLES:
         if f" {name} " in f" {sql} ".replace("\n", " ").replace("(", " ").replace(")", " ").replace(",", " "):
-            spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+            table(spark, sf_dir, name).createOrReplaceTempView(name)
 
 
 #: A decimal number outside quotes: both engines shall take it as a double.
