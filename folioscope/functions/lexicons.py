@@ -44,6 +44,13 @@ LINE_DEFECTS = [
     (r"[!?]{2,}", "repeated terminal punctuation"),
     (r"[“”\"][^“”\"]{0,3}[“”\"]", "empty or near-empty quotation"),
 ]
+#: Signs of a text decoded twice; one of them ends with a control character.
+MOJIBAKE = ["Ã¢â‚¬", "Ã©", "â€™", "â€œ", "â€" + chr(0x9D), "�"]
+SCENE_BREAK = r"^\s*([*#~\-]{3,}|[*#~\-]\s*[*#~\-]\s*[*#~\-])\s*$"
+CHAPTER_HEADING = r"^#{1,2}\s*Chapter\s+([0-9]+)\b"
+TEXTURE_KINDS = ["place", "object", "jargon", "price", "weather"]
+#: Chapters from which a shared shape says anything, and the share over which it is a template.
+MACRO_CHAPTERS, MACRO_SHARE, MACRO_TITLES = 6, 0.5, 3
 #: Limits of the lint checks by name; profiles override some.
 THRESHOLDS = {
     "em_dash_per_1k": 4.0,

@@ -11,8 +11,12 @@ from folioscope.plans import lint as plans
 from folioscope.plans.registry import doubles
 
 
-def _sql(chapters: DataFrame, sql: str) -> DataFrame:
-    return chapters.sparkSession.sql(doubles(sql).replace("{", "{{").replace("}", "}}").replace("chapters_to_check", "{chapters}"), chapters=chapters)
+def over_frames(sql: str, **frames: DataFrame) -> DataFrame:
+    """Runs a plan over DataFrames, each named NAME_to_check in it."""
+    sql = doubles(sql).replace("{", "{{").replace("}", "}}")
+    for name in frames:
+        sql = sql.replace(f"{name}_to_check", "{" + name + "}")
+    return next(iter(frames.values())).sparkSession.sql(sql, **frames)
 
 
 def lint(chapters: DataFrame, profile: str = "", overrides: dict[str, float] | None = None) -> DataFrame:
@@ -23,7 +27,7 @@ def lint(chapters: DataFrame, profile: str = "", overrides: dict[str, float] | N
     """
     th = plans.thresholds(profile, overrides)
     chapters = chapters.filter("raw IS NOT NULL").select("manuscript_id", "chapter", "ord", "raw")
-    found = _sql(chapters, plans.findings(SPARK, "chapters_to_check", th))
+    found = over_frames(plans.findings(SPARK, "chapters_to_check", th), chapters=chapters)
     spans = repeats(chapters, profile, overrides)
     known = found.filter("check_name = 'phrase_repetition'").groupBy("manuscript_id").agg(F.collect_set(F.lower("item")).alias("watched"))
     spans = spans.join(known, "manuscript_id", "left").filter(F.col("watched").isNull() | ~F.exists("watched", lambda w: F.contains(w, F.col("phrase"))))
@@ -36,4 +40,4 @@ def lint(chapters: DataFrame, profile: str = "", overrides: dict[str, float] | N
 
 def repeats(chapters: DataFrame, profile: str = "", overrides: dict[str, float] | None = None) -> DataFrame:
     """Maximal repeats: manuscript_id, phrase, len, n, chs."""
-    return _sql(chapters.filter("raw IS NOT NULL"), plans.repeats(SPARK, "chapters_to_check", plans.thresholds(profile, overrides)))
+    return over_frames(plans.repeats(SPARK, "chapters_to_check", plans.thresholds(profile, overrides)), chapters=chapters.filter("raw IS NOT NULL"))

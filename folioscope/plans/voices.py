@@ -125,7 +125,8 @@ def texture_coverage(d):
 
 @plan("J2 A21 S6")
 def texture_findings(d):
-    return f"""SELECT id, CASE WHEN src IS NULL THEN 'missing_src' WHEN kind NOT IN ('food', 'object', 'music') THEN 'unknown_kind' ELSE 'ok' END AS finding FROM {texture(d)} t"""
+    kinds = ", ".join(d.lit(k) for k in lx.TEXTURE_KINDS)
+    return f"""SELECT id, CASE WHEN src IS NULL THEN 'missing_src' WHEN kind NOT IN ({kinds}) THEN 'unknown_kind' ELSE 'ok' END AS finding FROM {texture(d)} t"""
 
 
 @plan("J1 S8 S3")
