@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from . import blocks, cluster, common
 
 THRESHOLD = 2
-#: Code points from which a line counts as repeatable; shorter ones are too common to tell anything.
-LEAST_CHARS = 30
+#: Code points from which edits count; shorter lines repeat by equality alone.  In sf0.1 the pairs of 10 to 14 code points
+#: within two edits are mostly other words ('Ingth the.', 'Ingon the.'), those from 16 mostly one line with another comma.
+EDIT_CHARS = 15
 
 
 def within(a: str, b: str, most: int) -> bool:
@@ -99,9 +100,9 @@ def probes(length: int, most: int) -> list[tuple[int, int, bytes]]:
     return _PLANS[length, most]
 
 
-def eligible(text: str, least: int) -> list[tuple[int, str]]:
-    """Number and text of the lines that may be repeats."""
-    return [(i, line) for i, line in enumerate(text.split("\n")) if len(line) >= least and not line.isspace()]
+def eligible(text: str) -> list[tuple[int, str]]:
+    """Number and text of the lines that may be repeats: all with a word."""
+    return [(i, line) for i, line in enumerate(text.split("\n")) if line and not line.isspace()]
 
 
 def line_id(line: str) -> int:
@@ -111,7 +112,7 @@ def line_id(line: str) -> int:
 def _keys(batches: Iterator[pa.RecordBatch], most: int, least: int) -> Iterator[pa.RecordBatch]:
     digest = xxhash.xxh3_64_intdigest
     for _, docs in blocks.bodies(batches):
-        distinct = {line for text in docs.column("text").to_pylist() if text for _, line in eligible(text, least)}
+        distinct = {line for text in docs.column("text").to_pylist() if text for _, line in eligible(text) if len(line) >= least}
         keys, ids, counts = [], [], []
         for line in distinct:
             plan = probes(len(line), most)
@@ -121,11 +122,11 @@ def _keys(batches: Iterator[pa.RecordBatch], most: int, least: int) -> Iterator[
         yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), counts))], names=["key", "id"])
 
 
-def _places(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Where each eligible line stands."""
     for block, docs in blocks.bodies(batches):
         names = docs.column("doc_id").to_pylist()
-        found = [(line_id(line), names[d], d, i) for d, text in enumerate(docs.column("text").to_pylist()) if text for i, line in eligible(text, least)]
+        found = [(line_id(line), names[d], d, i) for d, text in enumerate(docs.column("text").to_pylist()) if text for i, line in eligible(text)]
         cols = list(zip(*found, strict=True)) or [()] * 4
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array([block] * len(found), pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], names=["id", "doc_id", "block", "doc", "line"])
 
@@ -148,7 +149,7 @@ def _linked(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
         yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _rewrite(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, docs, gone in blocks.bodies(batches, "gone"):
         lost: dict[int, set] = {}
         for g in gone or ():
@@ -156,7 +157,7 @@ def _rewrite(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Recor
         out: dict[str, list] = {"doc_id": docs.column("doc_id").to_pylist(), "n_lines": [], "n_eligible": [], "n_removed": [], "kept_sha256": [], "emptied": [], "kept_text": []}
         for d, text in enumerate(docs.column("text").to_pylist()):
             mine = lost.get(d, set())
-            able = eligible(text or "", least)
+            able = eligible(text or "")
             lines = (text or "").split("\n")
             left = "\n".join(x for i, x in enumerate(lines) if i not in mine) if mine else text
             out["n_lines"].append(sum(bool(x.strip()) for x in lines))
@@ -172,11 +173,12 @@ def _rewrite(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Recor
 ROWS = "doc_id long, n_lines long, n_eligible long, n_removed long, kept_sha256 string, emptied boolean, kept_text string"
 
 
-def dedup_lines(docs: DataFrame, most: int = THRESHOLD, least: int = LEAST_CHARS, whole: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, most: int = THRESHOLD, least: int = EDIT_CHARS, whole: bool = False) -> DataFrame:
     r"""Removes lines that equal an earlier line or are linked with one by edit distances up to ``most``.
 
-    Lines are what ``\n`` separates.  Those of ``least`` code points or more, white space apart, take part;
-    others always stay.  Lines linked directly or through others are one class, and its first line in the
+    Lines are what ``\n`` separates; all but blank ones take part.  Lines of under ``least`` code points are
+    linked by equality only, as two edits make another line of them; two of ``least`` or more by edit
+    distance.  Lines linked directly or through others are one class, and its first line in the
     order of (doc_id, place) stays; a null doc_id comes first.  Links are found by segments: ``most + 1``
     parts of a line, met by the longer line's substrings of the same length near the same place, then
     verified by a bit-parallel banded edit distance.  Lines are told apart by a 64-bit hash.
@@ -186,7 +188,7 @@ def dedup_lines(docs: DataFrame, most: int = THRESHOLD, least: int = LEAST_CHARS
     lines went) and kept_text, and the other columns as ``rest`` if ``whole``.
     """
     table = blocks.build(docs, whole)
-    places = common.stored(table.mapInArrow(lambda it: _places(it, least), "id long, doc_id long, block long, doc int, line int"))
+    places = common.stored(table.mapInArrow(_places, "id long, doc_id long, block long, doc int, line int"))
     live = cluster.shared_keys(table.mapInArrow(lambda it: _keys(it, most, least), "key long, id long"))
     where = places.join(live.select("id").distinct(), "id").groupBy("id").agg(F.min(F.struct("block", "doc", "line")).alias("p"))
     picks = where.select("p.block", F.struct("id", "p.doc", "p.line").alias("p")).groupBy("block").agg(F.collect_list("p").alias("picks"))
@@ -203,10 +205,10 @@ def dedup_lines(docs: DataFrame, most: int = THRESHOLD, least: int = LEAST_CHARS
     spot = F.struct("doc_id", "block", "doc", "line")
     firsts = classed.groupBy("comp").agg(F.min(spot).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("comp", "first")
     gone = classed.join(firsts, "comp").where(~(spot.eqNullSafe(F.col("first")))).groupBy("block").agg(F.collect_list(F.struct("doc", "line")).alias("gone"))
-    return table.join(gone, "block", "left").mapInArrow(lambda it: _rewrite(it, least), common.with_rest(ROWS, docs) if whole else ROWS)
+    return table.join(gone, "block", "left").mapInArrow(_rewrite, common.with_rest(ROWS, docs) if whole else ROWS)
 
 
-def strip_lines(docs: DataFrame, most: int = THRESHOLD, least: int = LEAST_CHARS) -> DataFrame:
+def strip_lines(docs: DataFrame, most: int = THRESHOLD, least: int = EDIT_CHARS) -> DataFrame:
     """Documents without the lines that :func:`dedup_lines` removes, in the columns of ``docs``.
 
     A document that loses every eligible line goes as a whole.  ``n_chars`` follows the text where the table

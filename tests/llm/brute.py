@@ -158,3 +158,20 @@ def lines(docs, most=2, least=30):
             gone.add((r, i))
         seen.add(key)
     return [(d, lost[r], sha("\n".join(x for i, x in enumerate((t or "").split("\n")) if (r, i) not in gone))) for r, (d, t) in enumerate(docs)]
+
+
+def every_line(docs, most=2, edits_from=15):
+    """Line by line: a line goes if a chain of links leads to an earlier one, whatever its length."""
+    every = sorted(((d is not None, d or 0, r, i, x) for r, (d, t) in enumerate(docs) for i, x in enumerate((t or "").split("\n")) if x.strip()))
+    linked = lambda a, b: a == b or min(len(a), len(b)) >= edits_from and distance(a, b) <= most
+    gone = set()
+    for n, (*_, row, at, line) in enumerate(every):
+        reached, fresh = {line}, [line]
+        while fresh:
+            a = fresh.pop()
+            more = {e[-1] for e in every if e[-1] not in reached and linked(a, e[-1])}
+            reached |= more
+            fresh += more
+        if any(e[-1] in reached for e in every[:n]):
+            gone.add((row, at))
+    return [(d, sum(g[0] == r for g in gone), sha("\n".join(x for i, x in enumerate((t or "").split("\n")) if (r, i) not in gone))) for r, (d, t) in enumerate(docs)]

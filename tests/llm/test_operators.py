@@ -90,6 +90,18 @@ def test_lines(docs):
     same(found, brute.lines(ROWS))
 
 
+SHORT = [
+    (1, "Les.\nA longer line of its own\nLes.\n---\n春はあけぼの、やうやう白くなりゆく"), (2, "Les.\nLas.\n---\n \n\nLes. "), (3, "Les.\nLas."), (None, "Ingth the.\nLes."),
+    (4, "Ingon the.\nIngth the.\n春はあけぼの、やうやう白くなりゆき"), (5, "Are, is anwh reenen.\nA longer line of it own"), (6, "Are is anwh reenen.\n14 chars stand.\n14 chars stood"), (6, ""), (7, None),
+]
+
+
+def test_short_lines_repeat_too(spark):
+    found = lines.dedup_lines(spark.createDataFrame(SHORT, "doc_id long, text string"))
+    same(rows(found, "doc_id", "n_removed", "kept_sha256"), brute.every_line(SHORT))
+    assert {r.doc_id: r.n_removed for r in found.collect() if r.doc_id == 3} == {3: 2}
+
+
 def test_edit_distance():
     for _ in range(2000):
         a = "".join(random.choice("ab") for _ in range(random.randint(0, 9)))
