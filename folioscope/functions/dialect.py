@@ -76,6 +76,9 @@ class Dialect:
     def sorted_set(self, x: str) -> str:
         return f"sort_array(collect_set({x}))" if self.spark else f"list_sort(list(DISTINCT {x}) FILTER (WHERE {x} IS NOT NULL))"
 
+    def distinct(self, x: str) -> str:
+        return f"array_distinct({x})" if self.spark else f"list_distinct({x})"
+
     def spread(self, source: str, keep: str, array: str, pos: str = "pos", val: str = "val") -> str:
         """Rows of an array with their place from 0."""
         if self.spark:

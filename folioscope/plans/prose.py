@@ -213,9 +213,10 @@ def presence_matrix(d):
 
 @plan("W4")
 def absence_gaps(d):
-    """Words of a source that are away from three documents or more between two that hold them."""
+    """Words of a source, of any length, that are away from three documents or more between two that hold them."""
+    words = f"(SELECT w.source, c.ord, w.toks FROM (SELECT source, doc_id, {d.distinct(d.tokens('text'))} AS toks FROM documents WHERE text IS NOT NULL) w JOIN c ON c.doc_id = w.doc_id) toks_of"
     return f"""WITH c AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS ord FROM documents WHERE text IS NOT NULL),
-        seen AS (SELECT DISTINCT k.source, k.tok, c.ord FROM {_tokens(d)} k JOIN c ON c.doc_id = k.doc_id WHERE length(k.tok) = 8),
+        seen AS (SELECT source, tok, ord FROM {d.spread(words, 'source, ord', 'toks', 'pos', 'tok')} k),
         g AS (SELECT source, tok, ord, lag(ord) OVER (PARTITION BY source, tok ORDER BY ord) AS before FROM seen)
         SELECT source, tok, before AS last_seen, ord AS seen_again, ord - before - 1 AS away FROM g WHERE ord - before - 1 >= 3"""
 

@@ -65,3 +65,22 @@ def test_state_events(spark):
 def test_variants(spark):
     assert ("Mariam", "Miryam") in found(spark, "name_variants", "name_a", "name_b")
     assert found(spark, "compound_variants", "variants") == {("store-room,storeroom",)}
+
+
+def over(spark, folder, name, rows):
+    """A plan over a documents table of its own."""
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{folder}/documents.parquet")
+    return {tuple(r) for r in catalogue.QUERIES[name](spark, str(folder)).collect()}
+
+
+def test_absence_gaps_of_words_of_any_length(spark, tmp_path):
+    texts = ["Mary saw an extraordinary fox, a fox.", "fox", "fox hut", None, "hut", "fox lanterns", "Mary extraordinary hut lanterns"]
+    rows = [(i, t, "en", "a") for i, t in enumerate(texts)] + [(10 + i, t, "en", "b") for i, t in enumerate(["ox", "", "-", "x", "ox"])]
+    held = {}
+    for source in "ab":
+        for at, text in enumerate((t for _, t, _, s in rows if s == source and t is not None), 1):
+            for word in set((text or "").lower().replace(",", "").replace(".", "").replace("-", "").split()):
+                held.setdefault((source, word), []).append(at)
+    wanted = {(*k, a, b, b - a - 1) for k, at in held.items() for a, b in zip(at, at[1:]) if b - a > 3}
+    assert {w[1] for w in wanted} == {"mary", "extraordinary", "ox"}
+    assert over(spark, tmp_path, "absence_gaps", rows) == wanted
