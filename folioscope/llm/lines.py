@@ -164,7 +164,7 @@ def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out["n_eligible"].append(len(able))
             out["n_removed"].append(len(mine))
             out["kept_sha256"].append(hashlib.sha256((left or "").encode()).hexdigest())
-            out["emptied"].append(bool(mine) and len(mine) == len(able))
+            out["emptied"].append(bool(mine) and not (left and left.strip()))
             out["kept_text"].append(left)
         made = pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_eligible", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("emptied", pa.bool_()), ("kept_text", pa.string())]))
         yield made.append_column("rest", docs.column("rest")) if "rest" in docs.schema.names else made
@@ -184,8 +184,8 @@ def dedup_lines(docs: DataFrame, most: int = THRESHOLD, least: int = EDIT_CHARS,
     verified by a bit-parallel banded edit distance.  Lines are told apart by a 64-bit hash.
 
     A null text has no lines and stays null.  Repeated rows are documents of their own.  Returns a row for
-    each input row: doc_id, n_lines (with a word), n_eligible, n_removed, kept_sha256, emptied (all eligible
-    lines went) and kept_text, and the other columns as ``rest`` if ``whole``.
+    each input row: doc_id, n_lines (with a word), n_eligible, n_removed, kept_sha256, emptied (lines
+    went and none with a word is left) and kept_text, and the other columns as ``rest`` if ``whole``.
     """
     table = blocks.build(docs, whole)
     places = common.stored(table.mapInArrow(_places, "id long, doc_id long, block long, doc int, line int"))
@@ -211,7 +211,7 @@ def dedup_lines(docs: DataFrame, most: int = THRESHOLD, least: int = EDIT_CHARS,
 def strip_lines(docs: DataFrame, most: int = THRESHOLD, least: int = EDIT_CHARS) -> DataFrame:
     """Documents without the lines that :func:`dedup_lines` removes, in the columns of ``docs``.
 
-    A document that loses every eligible line goes as a whole.  ``n_chars`` follows the text where the table
+    A document that loses lines and has none with a word left goes as a whole.  ``n_chars`` follows the text where the table
     has it; all other columns pass unchanged.
     """
     rows = dedup_lines(docs, most, least, whole=True).where("not emptied")

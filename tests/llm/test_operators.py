@@ -102,6 +102,17 @@ def test_short_lines_repeat_too(spark):
     assert {r.doc_id: r.n_removed for r in found.collect() if r.doc_id == 3} == {3: 2}
 
 
+def test_strip_lines_keeps_documents_with_a_line_left(spark):
+    footer = "Printed and bound by the same old house as ever"
+    verse = [(1, footer + "\nRose"), (2, "Thorn\nPetal\n" + footer), (3, footer), (4, "\n" + footer + "\n "), (5, "Rose\n" + footer), (6, ""), (7, None), (8, "Dew\n" + footer[:-1])]
+    frame = spark.createDataFrame(verse, "doc_id long, text string").selectExpr("doc_id", "text", "0L AS n_chars", "'x' AS source")
+    left = {1: verse[0][1], 2: "Thorn\nPetal", 6: "", 7: None, 8: "Dew"}
+    kept = {r.doc_id: (r.text, r.n_chars, r.source) for r in lines.strip_lines(frame).collect()}
+    assert kept == {d: (t, None if t is None else len(t), "x") for d, t in left.items()}
+    digests = {d: (n, s) for d, n, s in brute.every_line(verse)}
+    assert all(brute.sha(t or "") == digests[d][1] for d, t in left.items()) and all(digests[d][0] for d in (3, 4, 5))
+
+
 def test_edit_distance():
     for _ in range(2000):
         a = "".join(random.choice("ab") for _ in range(random.randint(0, 9)))
