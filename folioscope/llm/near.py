@@ -153,14 +153,14 @@ def _linked(inside: pa.Array, outside: pa.Array, k: int, per_cent: int) -> np.nd
 
 
 def _judge(data: pa.Array, a: np.ndarray, b: np.ndarray, keys: np.ndarray, bounds: list, k: int, per_cent: int) -> np.ndarray:
-    """Which pairs of a band's groups are linked: each pair in the first band it shares, by signatures, then whole sets."""
+    """Which pairs of a band's groups are linked: each pair in the first band key it shares, by signatures, then whole sets."""
     sign = _matrix(data.field("signature"))
+    bands = data.field("bands").flatten().to_numpy().reshape(-1, BANDS)
     ok = np.zeros(len(a), bool)
     sets: dict[int, np.ndarray] = {}
     for low in range(0, len(a), 20_000):
         part = slice(low, low + 20_000)
-        same = (sign[a[part]] == sign[b[part]]).reshape(-1, BANDS, ROWS).all(axis=2)
-        first = same.argmax(axis=1) == (keys[part] & (BANDS - 1))
+        first = (bands[a[part]] == bands[b[part]]).argmax(axis=1) == (keys[part] & (BANDS - 1))
         ok[part] = first & alike(sign[a[part]], sign[b[part]], bounds)
     live = np.flatnonzero(ok)
     wanted = np.unique(np.concatenate([a[live], b[live]]))
@@ -202,7 +202,7 @@ def near_groups(docs: DataFrame, k: int = SHINGLE, per_cent: int = PER_CENT, mis
     firsts = table.join(classes.select(F.col("id").alias("rid")), "rid", "left_semi")
     live = cluster.shared_keys(firsts.select(F.explode("bands").alias("key"), F.col("rid").alias("id")))
     ids = live.select("id").distinct()
-    signed = common.stored(firsts.join(ids.withColumnRenamed("id", "rid"), "rid", "left_semi").select(F.col("rid").alias("id"), "doc_id", "print", "signature"))
+    signed = common.stored(firsts.join(ids.withColumnRenamed("id", "rid"), "rid", "left_semi").select(F.col("rid").alias("id"), "doc_id", "print", "signature", "bands"))
     wanted = signed.select("id", "doc_id", "print")
     texts = common.stored(picked.join(wanted, "doc_id").select("id", "print", "text").mapInArrow(lambda it: _texts(it, k), "id long, text string").dropDuplicates(["id"]))
 
@@ -219,7 +219,7 @@ def near_groups(docs: DataFrame, k: int = SHINGLE, per_cent: int = PER_CENT, mis
     judge = lambda data, a, b, keys: _judge(data, a, b, keys, bounds, k, per_cent)
     placed = common.stored(cluster.placed_ids(live, comps))
     few = placed.where(F.col("size") < cluster.LARGE)
-    both = signed.join(texts, "id").select("id", F.struct("signature", "text").alias("payload"))
+    both = signed.join(texts, "id").select("id", F.struct("signature", "bands", "text").alias("payload"))
     across = cluster.cross_pairs(few, both, judge)
     joined = cluster.large_links(placed, comps, texts.select("id", F.col("text").alias("payload")), lambda inside, outside: _linked(inside, outside, k, per_cent))
     links = common.stored(links.union(across).union(joined).distinct())

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from folioscope.llm import chat, decontaminate, licenses, lines, near, quality, queries, resample, secrets, substrings, tokens
@@ -78,6 +80,15 @@ def test_near(docs, k):
     same(rows(near.near_groups(docs, k=k), "doc_id", "n_shingles", "component_id", "kept"), brute.groups(ROWS, k))
 
 
+def test_near_judges_a_pair_whose_cut_values_meet_in_an_earlier_band():
+    sign = bytes(2 * near.BANDS * near.ROWS)  # cut values that are equal in all bands
+    keys = [[32 * (i + 1) * (100 * at + 1) + i for i in range(near.BANDS)] for at in (0, 1)]
+    keys[1][3] = keys[0][3]  # true keys meet in band 3 alone
+    data = pa.array([{"signature": sign, "bands": k, "text": SHARED} for k in keys], pa.struct([("signature", pa.binary()), ("bands", pa.list_(pa.int64())), ("text", pa.string())]))
+    bounds = near.least_matches(80, near.MISS, near.BANDS * near.ROWS, near.BATCH)
+    assert near._judge(data, np.array([0]), np.array([1]), np.array([keys[0][3]]), bounds, 2, 80).tolist() == [True]
+
+
 def test_decontaminate(docs, spark):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     same(rows(decontaminate.find(docs, items), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"), brute.leaks(ROWS, ITEMS))
