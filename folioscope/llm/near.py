@@ -9,7 +9,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import cluster, common
@@ -89,12 +89,12 @@ def _signatures(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Record
         n = part.num_rows
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array((task << 33) + at + np.arange(n)), part.column("doc_id"), pa.array(size),
+                pa.array((task << 33) + at + np.arange(n)), part.column("doc_id"), part.column("mark"), pa.array(size),
                 pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                 pa.array([short[where[i]].tobytes() if i in where else None for i in range(n)], pa.binary()),
                 pa.array([keys[where[i]].view(np.int64).tolist() if i in where else None for i in range(n)], pa.list_(pa.int64())),
             ],
-            names=["rid", "doc_id", "n", "print", "signature", "bands"],
+            names=["rid", "doc_id", "mark", "n", "print", "signature", "bands"],
         )
         at += n
 
@@ -182,6 +182,11 @@ def _texts(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
         yield part.select(["id", "text"]).filter(pa.array(ok, pa.bool_()))
 
 
+def _mark() -> Column:
+    """A text's hash, by which rows with one doc_id are told apart."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def near_groups(docs: DataFrame, k: int = SHINGLE, per_cent: int = PER_CENT, miss: float = MISS) -> DataFrame:
     """Groups of documents linked by a Jaccard similarity of ``per_cent`` or more on word shingles.
 
@@ -195,9 +200,16 @@ def near_groups(docs: DataFrame, k: int = SHINGLE, per_cent: int = PER_CENT, mis
     own.  A null doc_id is linked with nothing and kept, its component null.  Returns a row for each input
     row: doc_id, n_shingles, component_id, kept, and n_links of its class.
     """
+    return _grouped(docs, k, per_cent, miss).drop("mark", "comp")
+
+
+def _grouped(docs: DataFrame, k: int, per_cent: int, miss: float) -> DataFrame:
+    """The rows of :func:`near_groups` with their text's ``mark`` and ``comp``, which tells groups with one lowest doc_id
+    apart and is null without shingles."""
     bounds = least_matches(per_cent, miss, BANDS * ROWS, BATCH)
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    table = common.stored(picked.mapInArrow(lambda it: _signatures(it, k), "rid long, doc_id long, n long, print binary, signature binary, bands array<long>"))
+    marked = picked.withColumn("mark", _mark())
+    table = common.stored(marked.mapInArrow(lambda it: _signatures(it, k), "rid long, doc_id long, mark long, n long, print binary, signature binary, bands array<long>"))
     classes = common.stored(table.where("n > 0 and doc_id is not null").groupBy("print").agg(F.min("rid").alias("id"), F.min("doc_id").alias("low")))
     firsts = table.join(classes.select(F.col("id").alias("rid")), "rid", "left_semi")
     live = cluster.shared_keys(firsts.select(F.explode("bands").alias("key"), F.col("rid").alias("id")))
@@ -227,19 +239,22 @@ def near_groups(docs: DataFrame, k: int = SHINGLE, per_cent: int = PER_CENT, mis
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     grouped = classes.join(comps, "id", "left").join(degree, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     lowest = grouped.groupBy("comp").agg(F.min("low").alias("component"))
-    named = grouped.join(lowest, "comp").select("print", "component", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    rows = table.select("doc_id", "n", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("print")).alias("print"))
-    linked = rows.where("print is not null").join(named, "print").select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"), "n_links")
-    alone = rows.where("print is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(0).cast("long").alias("n_links"))
+    named = grouped.join(lowest, "comp").select("print", "comp", "component", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    rows = table.select("doc_id", "mark", "n", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("print")).alias("print"))
+    linked = rows.where("print is not null").join(named, "print").select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"), "n_links", "mark", "comp")
+    alone = rows.where("print is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(0).cast("long").alias("n_links"), "mark", F.lit(None).cast("long").alias("comp"))
     return linked.union(alone)
 
 
 def keep_one(docs: DataFrame, k: int = SHINGLE, per_cent: int = PER_CENT) -> DataFrame:
     """One document of each group of :func:`near_groups`, the one with the smallest doc_id, in the columns of ``docs``.
 
-    Rows that share the kept doc_id and group are all kept only if their doc_id is null; otherwise one stays.
+    Rows that share the kept doc_id and group are all kept only if their doc_id is null; otherwise one stays, of unlike
+    texts the one with the least hash.  Rows with one doc_id in several groups stay for each; those without a word count
+    as one group.
     """
-    groups = near_groups(docs, k, per_cent)
-    stay = groups.where("kept and doc_id is not null").select(F.col("doc_id").alias("stay_id")).distinct()
-    known = docs.where(F.col("doc_id").isNotNull())
-    return known.join(stay, known["doc_id"].cast("long") == stay["stay_id"], "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
+    groups = _grouped(docs, k, per_cent, MISS)
+    stay = groups.where("kept and doc_id is not null").groupBy("doc_id", "comp").agg(F.min("mark").alias("stay_mark")).select(F.col("doc_id").alias("stay_id"), "stay_mark")
+    known = docs.where(F.col("doc_id").isNotNull()).withColumn("text's mark", _mark())
+    mine = (known["doc_id"].cast("long") == stay["stay_id"]) & (known["text's mark"] == stay["stay_mark"])
+    return known.join(stay, mine, "left_semi").dropDuplicates(["doc_id", "text's mark"]).drop("text's mark").unionByName(docs.where(F.col("doc_id").isNull()))

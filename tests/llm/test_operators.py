@@ -89,6 +89,16 @@ def test_near_judges_a_pair_whose_cut_values_meet_in_an_earlier_band():
     assert near._judge(data, np.array([0]), np.array([1]), np.array([keys[0][3]]), bounds, 2, 80).tolist() == [True]
 
 
+def test_keep_one_of_rows_that_share_an_id(spark):
+    other = " ".join(f"v{i}" for i in range(60))
+    table = [(1, SHARED), (1, other), (1, SHARED), (1, SHARED + " tail"), (2, SHARED), (2, None), (2, "third text of its own"), (3, other + " x"), (None, SHARED), (None, SHARED), (4, None), (4, None)]
+    for part in (1, 3):
+        kept = [tuple(r) for r in near.keep_one(spark.createDataFrame(table, "doc_id long, text string").repartition(part)).collect()]
+        one = [r for r in kept if r[0] == 1 and r[1].startswith("w0 ")]
+        assert len(one) == 1
+        same(sorted((r for r in kept if r not in one or r[0] is None), key=repr), [(1, other), (2, None), (2, "third text of its own"), (4, None), (None, SHARED), (None, SHARED)])
+
+
 def test_decontaminate(docs, spark):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     same(rows(decontaminate.find(docs, items), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"), brute.leaks(ROWS, ITEMS))
