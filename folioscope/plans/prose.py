@@ -115,10 +115,11 @@ def ngram_seeds(d):
 
 @plan("J15 A8")
 def ngram_containment(d):
-    """Word pairs and triples that repeat, pairs standing in an equally frequent triple dropped."""
+    """Word pairs and triples five times or more in a source, pairs standing in such a triple dropped."""
+    least = lx.THRESHOLDS["ngram_min_count"]
     return f"""WITH t AS (SELECT source, tok, lead(tok, 1) OVER w AS t2, lead(tok, 2) OVER w AS t3 FROM {_tokens(d)} k WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
-        g AS (SELECT source, concat(tok, ' ', t2) AS phrase, 2 AS len, count(*) AS n FROM t WHERE t2 IS NOT NULL GROUP BY source, concat(tok, ' ', t2) HAVING count(*) >= 20
-        UNION ALL SELECT source, concat(tok, ' ', t2, ' ', t3), 3, count(*) FROM t WHERE t3 IS NOT NULL GROUP BY source, concat(tok, ' ', t2, ' ', t3) HAVING count(*) >= 20),
+        g AS (SELECT source, concat(tok, ' ', t2) AS phrase, 2 AS len, count(*) AS n FROM t WHERE t2 IS NOT NULL GROUP BY source, concat(tok, ' ', t2) HAVING count(*) >= {least}
+        UNION ALL SELECT source, concat(tok, ' ', t2, ' ', t3), 3, count(*) FROM t WHERE t3 IS NOT NULL GROUP BY source, concat(tok, ' ', t2, ' ', t3) HAVING count(*) >= {least}),
         longer AS (SELECT source, concat(' ', phrase, ' ') AS whole FROM g WHERE len = 3)
         SELECT source, phrase, CAST(len AS BIGINT) AS len, n FROM g WHERE len = 3 OR NOT EXISTS (SELECT 1 FROM longer l WHERE l.source = g.source AND {d.contains('l.whole', 'g.phrase')})"""
 

@@ -84,3 +84,8 @@ def test_absence_gaps_of_words_of_any_length(spark, tmp_path):
     wanted = {(*k, a, b, b - a - 1) for k, at in held.items() for a, b in zip(at, at[1:]) if b - a > 3}
     assert {w[1] for w in wanted} == {"mary", "extraordinary", "ox"}
     assert over(spark, tmp_path, "absence_gaps", rows) == wanted
+
+
+def test_ngrams_from_five_times_on(spark, tmp_path):
+    rows = [(i, "red fox" if i < 5 else "old owl", "en", "a") for i in range(9)]
+    assert over(spark, tmp_path, "ngram_containment", rows) == {("a", "red fox", 2, 5)}
