@@ -247,14 +247,14 @@ def word_profile(d):
 
 @plan("A23 A24 A25 A26 J12 O5 O6")
 def fingerprint_delta(d):
-    """Burrows' Delta of every source from source src0, by the 100 words with the largest summed rates."""
+    """Burrows' Delta of every source from every other, by the 100 words with the largest summed rates; deviations leave out the target."""
     return f"""WITH c AS (SELECT source, tok, count(*) AS n FROM {_tokens(d)} k GROUP BY source, tok),
         p AS (SELECT source, tok, 1000.0 * n / sum(n) OVER (PARTITION BY source) AS rate FROM c),
         f AS (SELECT tok FROM (SELECT tok, sum(rate) AS total FROM p GROUP BY tok) m ORDER BY round(total, 9) DESC, tok LIMIT 100),
         s AS (SELECT DISTINCT source FROM c),
         g AS (SELECT s.source, f.tok, coalesce(CAST(p.rate AS DOUBLE), 0.0) AS rate FROM s CROSS JOIN f LEFT JOIN p ON p.source = s.source AND p.tok = f.tok),
-        sd AS (SELECT tok, stddev_pop(rate) AS sd FROM g WHERE source <> 'src0' GROUP BY tok HAVING stddev_pop(rate) > 0)
-        SELECT r.source AS reference, round(avg(abs(t.rate - r.rate) / sd.sd), 6) AS delta FROM g r JOIN g t ON t.tok = r.tok AND t.source = 'src0' JOIN sd ON sd.tok = r.tok WHERE r.source <> 'src0' GROUP BY r.source"""
+        sd AS (SELECT s.source AS target, g.tok, stddev_pop(g.rate) AS sd FROM g JOIN s ON g.source <> s.source GROUP BY s.source, g.tok HAVING stddev_pop(g.rate) > 0)
+        SELECT t.source AS target, r.source AS reference, round(avg(abs(t.rate - r.rate) / sd.sd), 6) AS delta FROM g t JOIN g r ON r.tok = t.tok AND r.source <> t.source JOIN sd ON sd.tok = t.tok AND sd.target = t.source GROUP BY t.source, r.source"""
 
 
 @plan("A27 C4 S4")

@@ -89,3 +89,14 @@ def test_absence_gaps_of_words_of_any_length(spark, tmp_path):
 def test_ngrams_from_five_times_on(spark, tmp_path):
     rows = [(i, "red fox" if i < 5 else "old owl", "en", "a") for i in range(9)]
     assert over(spark, tmp_path, "ngram_containment", rows) == {("a", "red fox", 2, 5)}
+
+
+def test_fingerprints_of_every_source_from_every_other(spark, tmp_path):
+    rows = [(1, "sun sun moon", "en", "a"), (2, "sun moon moon", "en", "b"), (3, "sun sun sun moon", "en", "c")]
+    rates = {"a": (2000 / 3, 1000 / 3), "b": (1000 / 3, 2000 / 3), "c": (750.0, 250.0)}
+    wanted = {}
+    for t in rates:
+        others = [r for r in rates if r != t]
+        sd = [abs(rates[others[0]][i] - rates[others[1]][i]) / 2 for i in (0, 1)]
+        wanted |= {(t, r): sum(abs(rates[t][i] - rates[r][i]) / sd[i] for i in (0, 1)) / 2 for r in others}
+    assert {(t, r): d for t, r, d in over(spark, tmp_path, "fingerprint_delta", rows)} == pytest.approx(wanted, abs=1e-5)
