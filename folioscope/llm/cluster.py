@@ -21,6 +21,8 @@ BLOCK = 256
 FEW_EDGES = 200_000
 #: Ids from which a component is compared as a whole with the ids outside it that share a key.
 LARGE, GUESTS = 16, 512
+#: Parts into which the rows of each key are dealt where one key may hold a third of them.
+SALTS = 16
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,6 +81,12 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def spread_join(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """``rows`` (with ``id``) joined with the one fact of their key; the rows of a hot key are dealt by their id."""
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    return dealt.join(facts.withColumn("salt", F.explode(F.expr(f"sequence(0, {SALTS - 1})"))), [key, "salt"]).drop("salt")
+
+
 def _across(batches: Iterator[pa.RecordBatch], judge: Callable) -> Iterator[pa.RecordBatch]:
     """Pairs of one group (key, i, j) in different components that ``judge`` (payloads, a, b, keys) lets pass."""
 

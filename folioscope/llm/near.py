@@ -9,7 +9,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import cluster, common
@@ -89,12 +89,13 @@ def _signatures(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Record
         n = part.num_rows
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array((task << 33) + at + np.arange(n)), part.column("doc_id"), part.column("mark"), pa.array(size),
+                pa.array((task << 33) + at + np.arange(n)), part.column("doc_id"), pa.array(size),
                 pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                 pa.array([short[where[i]].tobytes() if i in where else None for i in range(n)], pa.binary()),
                 pa.array([keys[where[i]].view(np.int64).tolist() if i in where else None for i in range(n)], pa.list_(pa.int64())),
+                *(part.column(c) for c in part.schema.names[1:]),
             ],
-            names=["rid", "doc_id", "mark", "n", "print", "signature", "bands"],
+            names=["rid", "doc_id", "n", "print", "signature", "bands", *part.schema.names[1:]],
         )
         at += n
 
@@ -132,23 +133,22 @@ def _confirm(batches: Iterator[pa.RecordBatch], k: int, per_cent: int) -> Iterat
         yield batch.select(["a", "b"]).filter(pa.array(ok))
 
 
-def _linked(inside: pa.Array, outside: pa.Array, k: int, per_cent: int) -> np.ndarray:
-    """For each text outside the index of a text inside that it is linked with, or -1, by whole sets."""
-    sets = shingle_sets(inside, k)
-    size = np.array([len(x) for x in sets])
-    values = np.concatenate(sets)
-    order = np.argsort(values, kind="stable")
-    keys, first = np.unique(values[order], return_index=True)
-    owner, first = np.repeat(np.arange(len(sets)), size)[order], np.append(first, len(values))
-    out = np.full(len(outside), -1)
-    for i, other in enumerate(shingle_sets(outside, k)):
-        at = np.searchsorted(keys, other)
-        at = at[(at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == other)]
-        n = first[at + 1] - first[at]
-        both = np.bincount(owner[np.repeat(first[at] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))], minlength=len(sets))
-        good = 100 * both >= per_cent * (size + len(other) - both)
-        if good.any():
-            out[i] = int(np.argmax(good))
+def _linked(inside: pa.Array, outside: pa.Array, bounds: list, k: int, per_cent: int) -> np.ndarray:
+    """For each row outside the index of a row inside that it is linked with, or -1: signatures first, then whole sets."""
+    member, guest = _matrix(inside.field("signature")), _matrix(outside.field("signature"))
+    maybe = {i: hits for i in range(len(guest)) if len(hits := np.flatnonzero(alike(member, np.broadcast_to(guest[i], member.shape), bounds)))}
+    out = np.full(len(guest), -1)
+    if not maybe:
+        return out
+    rows = np.unique(np.concatenate(list(maybe.values())))
+    sets = dict(zip(rows.tolist(), shingle_sets(inside.field("text").take(pa.array(rows)), k), strict=True))
+    others = shingle_sets(outside.field("text").take(pa.array(list(maybe))), k)
+    for (i, hits), other in zip(maybe.items(), others, strict=True):
+        for j in hits.tolist():
+            both = len(np.intersect1d(sets[j], other, assume_unique=True))
+            if 100 * both >= per_cent * (len(sets[j]) + len(other) - both):
+                out[i] = j
+                break
     return out
 
 
@@ -175,16 +175,11 @@ def _judge(data: pa.Array, a: np.ndarray, b: np.ndarray, keys: np.ndarray, bound
     return ok
 
 
-def _texts(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Texts of the rows that are wanted: rows may share an id, so the set's fingerprint decides."""
-    for part in common.slices(batches):
-        ok = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == p for s, p in zip(shingle_sets(part.column("text"), k), part.column("print").to_pylist(), strict=True)]
-        yield part.select(["id", "text"]).filter(pa.array(ok, pa.bool_()))
-
-
-def _mark() -> Column:
-    """A text's hash, by which rows with one doc_id are told apart."""
-    return F.xxhash64(F.col("text").cast("string"))
+def _signed(docs: DataFrame, k: int, whole: bool) -> DataFrame:
+    """The stored table of all rows: a row number, the set's size and fingerprint, the signature and its bands, the text."""
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([common.rest_of(docs)] if whole else []))
+    columns = "rid long, doc_id long, n long, print binary, signature binary, bands array<long>, text string"
+    return common.stored(picked.mapInArrow(lambda it: _signatures(it, k), common.with_rest(columns, docs) if whole else columns))
 
 
 def near_groups(docs: DataFrame, k: int = SHINGLE, per_cent: int = PER_CENT, miss: float = MISS) -> DataFrame:
@@ -198,52 +193,41 @@ def near_groups(docs: DataFrame, k: int = SHINGLE, per_cent: int = PER_CENT, mis
 
     A null or blank text has no shingle and is linked with nothing.  Rows with one doc_id are rows of their
     own.  A null doc_id is linked with nothing and kept, its component null.  Returns a row for each input
-    row: doc_id, n_shingles, component_id, kept, and n_links of its class.
+    row: doc_id, n_shingles, component_id and kept.
     """
-    return _grouped(docs, k, per_cent, miss).drop("mark", "comp")
+    return _grouped(_signed(docs, k, False), k, per_cent, miss).drop("rid", "comp")
 
 
-def _grouped(docs: DataFrame, k: int, per_cent: int, miss: float) -> DataFrame:
-    """The rows of :func:`near_groups` with their text's ``mark`` and ``comp``, which tells groups with one lowest doc_id
-    apart and is null without shingles."""
+def _grouped(table: DataFrame, k: int, per_cent: int, miss: float) -> DataFrame:
+    """The rows of :func:`near_groups` with their ``rid`` and ``comp``, which tells groups with one lowest doc_id apart and
+    is null without shingles."""
     bounds = least_matches(per_cent, miss, BANDS * ROWS, BATCH)
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marked = picked.withColumn("mark", _mark())
-    table = common.stored(marked.mapInArrow(lambda it: _signatures(it, k), "rid long, doc_id long, mark long, n long, print binary, signature binary, bands array<long>"))
     classes = common.stored(table.where("n > 0 and doc_id is not null").groupBy("print").agg(F.min("rid").alias("id"), F.min("doc_id").alias("low")))
     firsts = table.join(classes.select(F.col("id").alias("rid")), "rid", "left_semi")
     live = cluster.shared_keys(firsts.select(F.explode("bands").alias("key"), F.col("rid").alias("id")))
-    ids = live.select("id").distinct()
-    signed = common.stored(firsts.join(ids.withColumnRenamed("id", "rid"), "rid", "left_semi").select(F.col("rid").alias("id"), "doc_id", "print", "signature", "bands"))
-    wanted = signed.select("id", "doc_id", "print")
-    texts = common.stored(picked.join(wanted, "doc_id").select("id", "print", "text").mapInArrow(lambda it: _texts(it, k), "id long, text string").dropDuplicates(["id"]))
+    ids = live.select(F.col("id").alias("rid")).distinct()
+    signed = common.stored(table.join(ids, "rid", "left_semi").select(F.col("rid").alias("id"), "signature", "bands", "text"))
 
-    def beside(pairs: DataFrame, what: DataFrame, column: str) -> DataFrame:
-        right = pairs.join(what.select(F.col("id").alias("b"), F.col(column).alias("right")), "b")
-        return right.join(what.select(F.col("id").alias("a"), F.col(column).alias("left")), "a").select("a", "b", "left", "right")
+    def beside(pairs: DataFrame, column: str) -> DataFrame:
+        right = pairs.join(signed.select(F.col("id").alias("b"), F.col(column).alias("right")), "b")
+        return right.join(signed.select(F.col("id").alias("a"), F.col(column).alias("left")), "a").select("a", "b", "left", "right")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        return beside(pairs, texts, "text").mapInArrow(lambda it: _confirm(it, k, per_cent), "a long, b long")
-
-    stars = beside(cluster.star_pairs(live), signed, "signature").mapInArrow(lambda it: _prune(it, bounds), "a long, b long")
-    links = common.stored(confirmed(stars))
+    stars = beside(cluster.star_pairs(live), "signature").mapInArrow(lambda it: _prune(it, bounds), "a long, b long")
+    links = common.stored(beside(stars, "text").mapInArrow(lambda it: _confirm(it, k, per_cent), "a long, b long"))
     comps = cluster.components(links)
-    judge = lambda data, a, b, keys: _judge(data, a, b, keys, bounds, k, per_cent)
     placed = common.stored(cluster.placed_ids(live, comps))
-    few = placed.where(F.col("size") < cluster.LARGE)
-    both = signed.join(texts, "id").select("id", F.struct("signature", "bands", "text").alias("payload"))
-    across = cluster.cross_pairs(few, both, judge)
-    joined = cluster.large_links(placed, comps, texts.select("id", F.col("text").alias("payload")), lambda inside, outside: _linked(inside, outside, k, per_cent))
-    links = common.stored(links.union(across).union(joined).distinct())
-    comps = cluster.components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
-    grouped = classes.join(comps, "id", "left").join(degree, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    lowest = grouped.groupBy("comp").agg(F.min("low").alias("component"))
-    named = grouped.join(lowest, "comp").select("print", "comp", "component", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    rows = table.select("doc_id", "mark", "n", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("print")).alias("print"))
-    linked = rows.where("print is not null").join(named, "print").select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"), "n_links", "mark", "comp")
-    alone = rows.where("print is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(0).cast("long").alias("n_links"), "mark", F.lit(None).cast("long").alias("comp"))
-    return linked.union(alone)
+    judge = lambda data, a, b, keys: _judge(data, a, b, keys, bounds, k, per_cent)
+    linked = lambda inside, outside: _linked(inside, outside, bounds, k, per_cent)
+    across = cluster.cross_pairs(placed.where(F.col("size") < cluster.LARGE), signed.select("id", F.struct("signature", "bands", "text").alias("payload")), judge)
+    joined = cluster.large_links(placed, comps, signed.select("id", F.struct("signature", "text").alias("payload")), linked)
+    comps = cluster.components(common.stored(links.union(across).union(joined).distinct()))
+    # the lowest doc_id of each component; classes without a link are their own
+    lowest = comps.join(classes, "id").groupBy("comp").agg(F.min("low").alias("component"))
+    named = classes.join(cluster.spread_join(comps, lowest, "comp"), "id", "left").select("print", F.coalesce("comp", "id").alias("comp"), F.coalesce("component", "low").alias("component"))
+    rows = table.select("rid", "doc_id", "n", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("print")).alias("print"))
+    out = rows.where("print is not null").join(named, "print").select("rid", "doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("doc_id") == F.col("component")).alias("kept"), "comp")
+    alone = rows.where("print is null").select("rid", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(None).cast("long").alias("comp"))
+    return out.union(alone)
 
 
 def keep_one(docs: DataFrame, k: int = SHINGLE, per_cent: int = PER_CENT) -> DataFrame:
@@ -253,8 +237,9 @@ def keep_one(docs: DataFrame, k: int = SHINGLE, per_cent: int = PER_CENT) -> Dat
     texts the one with the least hash.  Rows with one doc_id in several groups stay for each; those without a word count
     as one group.
     """
-    groups = _grouped(docs, k, per_cent, MISS)
-    stay = groups.where("kept and doc_id is not null").groupBy("doc_id", "comp").agg(F.min("mark").alias("stay_mark")).select(F.col("doc_id").alias("stay_id"), "stay_mark")
-    known = docs.where(F.col("doc_id").isNotNull()).withColumn("text's mark", _mark())
-    mine = (known["doc_id"].cast("long") == stay["stay_id"]) & (known["text's mark"] == stay["stay_mark"])
-    return known.join(stay, mine, "left_semi").dropDuplicates(["doc_id", "text's mark"]).drop("text's mark").unionByName(docs.where(F.col("doc_id").isNull()))
+    table = _signed(docs, k, True)
+    groups = _grouped(table, k, per_cent, MISS).where("kept and doc_id is not null")
+    marks = table.select("rid", F.xxhash64("text").alias("mark"))
+    stay = groups.select("rid", "doc_id", "comp").join(marks, "rid").groupBy("doc_id", "comp").agg(F.min(F.struct("mark", "rid")).alias("first"))
+    kept = table.join(stay.select(F.col("first.rid").alias("rid")), "rid", "left_semi").unionByName(table.where("doc_id is null"))
+    return common.unpacked(kept, docs, text=F.col("text"))
