@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, licenses, lines, near, quality, resample, secrets, substrings, tokens
+from . import chat, decontaminate, licenses, lines, near, oracles, quality, resample, secrets, substrings, tokens
 
 #: Tools that the conversations may call.
 TOOLS = {
@@ -65,4 +65,6 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op3_bpe_tokens, op4_quality_rules, op5_chat_format, op6_quality_resample, op7_line_dedup, op8_secret_scan, op9_near_dedup, op10_decontaminate)}
 
-ORACLES: dict[str, str] = {}
+#: Merges of a vocabulary, JSON of tool calls, hashed n-gram models and banded edit distances are beyond SQL: the tests hold
+#: those operators against brute force.
+ORACLES: dict[str, str] = {"op2_substring_dedup": oracles.OP2, "op9_near_dedup": oracles.OP9, "op10_decontaminate": oracles.OP10}
