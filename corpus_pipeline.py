@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Callable
 from functools import wraps
 
@@ -11,19 +12,24 @@ from folioscope.llm import common, decontaminate, lines, near, quality, queries,
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-_made: list = []
+#: What stages made on their way, beside the result that reads it.
+_made: list[tuple[weakref.ref, list]] = []
 
 
 def _stage(function: Stage) -> Stage:
-    """A stage's result is written before the next stage begins, so the tables behind it can go then."""
+    """A stage's result is written before the next stage begins: the tables behind it go then, once nobody holds the result.
+
+    The last stage is not one of these, so what :func:`run` returns stays readable whatever runs after it.
+    """
 
     @wraps(function)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        known = common.written()
-        common.release([x for x in _made if x in known])
+        for entry in [x for x in _made if x[0]() is None]:
+            _made.remove(entry)
+            common.release([x for x in entry[1] if x in common.written()])
         known = common.written()
         result = function(spark, docs, sf_dir)
-        _made[:] = [x for x in common.written() if x not in known]
+        _made.append((weakref.ref(result), [x for x in common.written() if x not in known]))
         return result
 
     return run_stage
@@ -53,7 +59,6 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-@_stage
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left, with the digest of the text that they decode to."""
     return tokens.encode_decode(docs, queries.vocabulary_file()).drop("decoded")
@@ -73,7 +78,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents, each reading what its predecessor wrote."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for _, stage in STAGES[:-1]:
         docs = common.stored(stage(spark, docs, sf_dir))
+        common.release(before)
+        before = common.written()[-1:]
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 _KINDS = {"string": str, "boolean": bool, "object": dict, "array": list}
 
 
@@ -76,29 +78,42 @@ def _parse(batches: Iterator[pa.RecordBatch], schemas: dict) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("turn"), batch.column("role"), pa.array([x for x, _, _ in done], pa.string()), pa.array(calls, pa.list_(pa.struct([("id", pa.string()), ("at", pa.int32()), ("valid", pa.bool_())]))), pa.array([x for _, _, x in done], pa.string())], names=["conv_id", "turn", "role", "shown", "calls", "answers"])
 
 
+_CALLS = "array<struct<id:string,at:int,valid:boolean>>"
+
+
 def format_chats(messages: DataFrame, schemas: dict | None = None) -> DataFrame:
     """One canonical JSON array of messages for each conversation.
 
     An assistant's text ``{"tool_calls": [{"id", "name", "arguments"}], "content"}`` makes calls, a tool's
     ``{"tool_call_id", "content"}`` answers one; any other text is plain content.  Calls and answers are
-    hash-joined by (conv_id, id).  Messages follow their turns, but an answer stands right behind the
-    message of its call, by the call's place (the topological order, as answers make no calls).  Arguments
-    are checked against ``schemas`` (tool name to schema); unknown tools are invalid.
+    hash-joined by (conv_id, id): an answer belongs to the nearest call of its id in an earlier turn, or, if there
+    is none, to the first one of its turn or later.  Messages follow their turns, but an answer stands right
+    behind the message of its call, by the call's place (the topological order, as answers make no calls), and
+    answers of one call by their own turns.  Arguments are checked against ``schemas`` (tool name to schema);
+    unknown tools are invalid.
 
     Null roles and texts are empty; null turns come first; messages with one turn are ordered by their JSON;
-    repeated rows stay.  Of calls with one id the first counts.  A null conv_id is a conversation of its own.
-    Returns conv_id, n_messages, n_calls, n_invalid, n_linked (answers with a call), n_orphans (without),
-    n_open (calls without an answer) and chat.
+    repeated rows stay.  Calls without an id are counted, but answered by nothing, and are open.  The rows with a null conv_id
+    are one conversation.  Returns conv_id, n_messages, n_calls, n_invalid, n_linked (answers with a call),
+    n_orphans (without), n_open (calls without an answer) and chat.
     """
     rules = schemas or {}
     picked = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    parsed = picked.mapInArrow(lambda it: _parse(it, rules), "conv_id long, turn long, role string, shown string, calls array<struct<id:string,at:int,valid:boolean>>, answers string")
-    made = parsed.select("conv_id", "turn", F.explode("calls").alias("c")).where("c.id is not null")
-    first = made.groupBy(F.col("conv_id").alias("call_conv"), F.col("c.id").alias("call_id")).agg(F.min(F.struct("turn", "c.at")).alias("called"))
-    asked = parsed.where("answers is not null").select(F.col("conv_id").alias("call_conv"), F.col("answers").alias("call_id")).distinct().withColumn("answered", F.lit(True))
-    calls = first.join(asked, ["call_conv", "call_id"], "left")
-    placed = parsed.join(calls.select("call_conv", "call_id", "called"), parsed["conv_id"].eqNullSafe(F.col("call_conv")) & (F.col("answers") == F.col("call_id")), "left")
-    order = F.struct(F.coalesce("called.turn", "turn").alias("turn"), F.col("called").isNotNull().alias("after"), F.coalesce("called.at", F.lit(0)).alias("at"), F.col("turn").alias("own"), F.col("shown"))
+    parsed = common.stored(picked.mapInArrow(lambda it: _parse(it, rules), f"conv_id long, turn long, role string, shown string, calls {_CALLS}, answers string"))
+    # a null turn comes first; spots are (turn known, turn, message, place of the call in it)
+    spot = lambda *more: F.struct(F.col("turn").isNotNull().alias("known"), F.coalesce("turn", F.lit(0)).alias("turn"), F.col("shown"), *more)
+    made = parsed.select("conv_id", F.explode("calls").alias("c"), "turn", "shown").where("c.id is not null").select("conv_id", F.col("c.id").alias("id"), spot(F.col("c.at").alias("at")).alias("spot"))
+    asked = parsed.where("answers is not null").select("conv_id", F.col("answers").alias("id"), F.col("turn").isNotNull().alias("known"), F.coalesce("turn", F.lit(0)).alias("turn")).distinct()
+    calls = made.groupBy("conv_id", "id").agg(F.array_sort(F.collect_list("spot")).alias("spots"))
+    earlier = F.filter("spots", lambda s: (~s["known"] & F.col("known")) | ((s["known"] == F.col("known")) & (s["turn"] < F.col("turn"))))
+    linked = asked.join(calls, asked["conv_id"].eqNullSafe(calls["conv_id"]) & (asked["id"] == calls["id"])).select(asked["conv_id"], asked["id"], "known", "turn", "spots", F.coalesce(F.try_element_at(earlier, F.lit(-1)), F.get("spots", 0)).alias("called"))
+    # a repeated call message is answered with its twins
+    answered = common.stored(linked.select("*", F.size(F.filter("spots", lambda s: s == F.col("called"))).alias("twins")).drop("spots"))
+    own = parsed.select("*", F.col("turn").isNotNull().alias("known"), F.coalesce("turn", F.lit(0)).alias("number"))
+    a = answered.select(F.col("conv_id").alias("call_conv"), F.col("id").alias("call_id"), F.col("known").alias("call_known"), F.col("turn").alias("call_number"), "called")
+    here = own["conv_id"].eqNullSafe(a["call_conv"]) & (own["answers"] == a["call_id"]) & (own["known"] == a["call_known"]) & (own["number"] == a["call_number"])
+    placed = own.join(a, here, "left")
+    order = F.struct(F.coalesce("called.known", "known").alias("known"), F.coalesce("called.turn", "number").alias("turn"), F.coalesce("called.shown", "shown").alias("message"), F.col("called").isNotNull().alias("after"), F.coalesce("called.at", F.lit(0)).alias("at"), F.col("number").alias("own"), F.col("shown"))
     whole = placed.groupBy("conv_id").agg(
         F.count(F.lit(1)).alias("n_messages"),
         F.sum(F.size("calls")).cast("long").alias("n_calls"),
@@ -107,6 +122,6 @@ def format_chats(messages: DataFrame, schemas: dict | None = None) -> DataFrame:
         F.count(F.when(F.col("answers").isNotNull() & F.col("called").isNull(), 1)).alias("n_orphans"),
         F.concat(F.lit("["), F.array_join(F.transform(F.sort_array(F.collect_list(order)), lambda m: m["shown"]), ","), F.lit("]")).alias("chat"),
     )
-    unanswered = calls.where("answered is null").groupBy("call_conv").agg(F.count(F.lit(1)).alias("n_open"))
-    joined = whole.join(unanswered, whole["conv_id"].eqNullSafe(F.col("call_conv")), "left")
-    return joined.select("conv_id", "n_messages", "n_calls", "n_invalid", "n_linked", "n_orphans", F.coalesce("n_open", F.lit(0)).cast("long").alias("n_open"), "chat")
+    closed = answered.groupBy("conv_id", "id", "called").agg(F.max("twins").alias("twins")).groupBy("conv_id").agg(F.sum("twins").alias("n_closed"))
+    joined = whole.join(closed.withColumnRenamed("conv_id", "call_conv"), whole["conv_id"].eqNullSafe(F.col("call_conv")), "left")
+    return joined.select("conv_id", "n_messages", "n_calls", "n_invalid", "n_linked", "n_orphans", (F.col("n_calls") - F.coalesce("n_closed", F.lit(0))).alias("n_open"), "chat")

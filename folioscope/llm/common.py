@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 #: Text bytes handled at once by the array code; bounds a Python worker's memory.
 SLICE_BYTES = 4 << 20
@@ -25,10 +25,12 @@ _LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; a local one only where it names none."""
+    """The folder that the cluster names for checkpoints; where none is named, a local one, but only without a cluster."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return _LOCAL.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="folioscope-"))
 
 
@@ -88,7 +90,8 @@ def unpacked(rows: DataFrame, docs: DataFrame, **fresh: Column) -> DataFrame:
 
 def with_rest(columns: str, docs: DataFrame) -> StructType:
     """An output schema of some columns and ``rest``."""
-    return StructType([*StructType.fromDDL(columns).fields, docs.select(rest_of(docs)).schema["rest"]])
+    rest = docs.select(rest_of(docs)).schema["rest"].dataType
+    return StructType([*StructType.fromDDL(columns).fields, StructField("rest", rest, True)])
 
 
 # ---------------------------------------------------------------- words

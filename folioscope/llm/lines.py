@@ -17,6 +17,8 @@ THRESHOLD = 2
 #: Code points from which edits count; shorter lines repeat by equality alone.  In sf0.1 the pairs of 10 to 14 code points
 #: within two edits are mostly other words ('Ingth the.', 'Ingon the.'), those from 16 mostly one line with another comma.
 EDIT_CHARS = 15
+#: What parts words; a line of nothing else is blank.
+BLANKS = " \t\n\v\f\r"
 
 
 def within(a: str, b: str, most: int) -> bool:
@@ -42,27 +44,24 @@ def within(a: str, b: str, most: int) -> bool:
         return len(a) + len(b) <= most
     width = 2 * most + 1
     mask = (1 << width) - 1
-    # states[e]: diagonals (pattern row minus text column, shifted by most) reachable with e edits
+    # where each character stands in a, and which rows there are, both shifted so that bit 0 is the band's lowest row at j = 0
+    stands: dict[str, int] = {}
+    for i, c in enumerate(a):
+        stands[c] = stands.get(c, 0) | 1 << i + most
+    rows = ((1 << len(a) + 1) - 1) << most >> 1
+    # states[e]: diagonals (row of a minus place in b, shifted by most) reachable with e edits
     states = [((1 << (e + 1)) - 1) << most & mask for e in range(most + 1)]
     for j, c in enumerate(b):
-        equal = 0
-        for d in range(width):
-            row = j + d - most
-            if 0 <= row < len(a) and a[row] == c:
-                equal |= 1 << d
-        real = 0
-        for d in range(width):
-            if -1 <= j + d - most < len(a):
-                real |= 1 << d
-        fresh = []
+        equal, real = stands.get(c, 0) >> j & mask, rows >> j & mask
+        fresh: list[int] = []
         for e, now in enumerate(states):
             here = now & equal
             if e:
                 here |= states[e - 1]  # replaced
-                here |= states[e - 1] >> 1 & mask  # the text's character is extra: one row less ahead
-                here |= fresh[e - 1] << 1 & mask  # the pattern's character is extra
+                here |= states[e - 1] >> 1  # the character of b is extra: one row less ahead
+                here |= fresh[e - 1] << 1  # the character of a is extra
             fresh.append(here & real)
-        # rows move on with the column, so a diagonal keeps its bit
+        # rows move on with the place in b, so a diagonal keeps its bit
         states = fresh
         if not states[-1]:
             return False
@@ -102,7 +101,7 @@ def probes(length: int, most: int) -> list[tuple[int, int, bytes]]:
 
 def eligible(text: str) -> list[tuple[int, str]]:
     """Number and text of the lines that may be repeats: all with a word."""
-    return [(i, line) for i, line in enumerate(text.split("\n")) if line and not line.isspace()]
+    return [(i, line) for i, line in enumerate(text.split("\n")) if line.strip(BLANKS)]
 
 
 def line_id(line: str) -> int:
@@ -122,13 +121,24 @@ def _keys(batches: Iterator[pa.RecordBatch], most: int, least: int) -> Iterator[
         yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), counts))], names=["key", "id"])
 
 
+_PLACES = "id long, block long, doc_id long, doc int, line int, spots array<struct<doc:int,line:int>>"
+
+
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Where each eligible line stands."""
+    """Where each line with a word stands: one row for a block and line, with the first place and all places."""
+    spot = pa.struct([("doc", pa.int32()), ("line", pa.int32())])
+    schema = pa.schema([("id", pa.int64()), ("block", pa.int64()), ("doc_id", pa.int64()), ("doc", pa.int32()), ("line", pa.int32()), ("spots", pa.list_(spot))])
     for block, docs in blocks.bodies(batches):
         names = docs.column("doc_id").to_pylist()
-        found = [(line_id(line), names[d], d, i) for d, text in enumerate(docs.column("text").to_pylist()) if text for i, line in eligible(text)]
-        cols = list(zip(*found, strict=True)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array([block] * len(found), pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], names=["id", "doc_id", "block", "doc", "line"])
+        found: dict[int, list[tuple[int, int]]] = {}
+        for d, text in enumerate(docs.column("text").to_pylist()):
+            for i, line in eligible(text or ""):
+                found.setdefault(line_id(line), []).append((d, i))
+        first = [min(x, key=lambda p: (names[p[0]] is not None, names[p[0]] or 0, p)) for x in found.values()]
+        counts = np.array([len(x) for x in found.values()], np.int64)
+        flat = np.array([p for x in found.values() for p in x], np.int32).reshape(-1, 2)
+        spots = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], fields=list(spot)))
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([block] * len(found), pa.int64()), pa.array([names[d] for d, _ in first], pa.int64()), pa.array([d for d, _ in first], pa.int32()), pa.array([i for _, i in first], pa.int32()), spots], schema=schema)
 
 
 def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,11 +170,11 @@ def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             able = eligible(text or "")
             lines = (text or "").split("\n")
             left = "\n".join(x for i, x in enumerate(lines) if i not in mine) if mine else text
-            out["n_lines"].append(sum(bool(x.strip()) for x in lines))
+            out["n_lines"].append(sum(bool(x.strip(BLANKS)) for x in lines))
             out["n_eligible"].append(len(able))
             out["n_removed"].append(len(mine))
             out["kept_sha256"].append(hashlib.sha256((left or "").encode()).hexdigest())
-            out["emptied"].append(bool(mine) and not (left and left.strip()))
+            out["emptied"].append(bool(mine) and not left.strip(BLANKS))
             out["kept_text"].append(left)
         made = pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_eligible", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("emptied", pa.bool_()), ("kept_text", pa.string())]))
         yield made.append_column("rest", docs.column("rest")) if "rest" in docs.schema.names else made
@@ -176,7 +186,7 @@ ROWS = "doc_id long, n_lines long, n_eligible long, n_removed long, kept_sha256
 def dedup_lines(docs: DataFrame, most: int = THRESHOLD, least: int = EDIT_CHARS, whole: bool = False) -> DataFrame:
     r"""Removes lines that equal an earlier line or are linked with one by edit distances up to ``most``.
 
-    Lines are what ``\n`` separates; all but blank ones take part.  Lines of under ``least`` code points are
+    Lines are what ``\n`` separates; all with a word (anything but space and U+0009-U+000D) take part.  Lines of under ``least`` code points are
     linked by equality only, as two edits make another line of them; two of ``least`` or more by edit
     distance.  Lines linked directly or through others are one class, and its first line in the
     order of (doc_id, place) stays; a null doc_id comes first.  Links are found by segments: ``most + 1``
@@ -188,7 +198,7 @@ def dedup_lines(docs: DataFrame, most: int = THRESHOLD, least: int = EDIT_CHARS,
     went and none with a word is left) and kept_text, and the other columns as ``rest`` if ``whole``.
     """
     table = blocks.build(docs, whole)
-    places = common.stored(table.mapInArrow(_places, "id long, doc_id long, block long, doc int, line int"))
+    places = common.stored(table.mapInArrow(_places, _PLACES))
     live = cluster.shared_keys(table.mapInArrow(lambda it: _keys(it, most, least), "key long, id long"))
     where = places.join(live.select("id").distinct(), "id").groupBy("id").agg(F.min(F.struct("block", "doc", "line")).alias("p"))
     picks = where.select("p.block", F.struct("id", "p.doc", "p.line").alias("p")).groupBy("block").agg(F.collect_list("p").alias("picks"))
@@ -201,10 +211,15 @@ def dedup_lines(docs: DataFrame, most: int = THRESHOLD, least: int = EDIT_CHARS,
     across = common.stored(cluster.cross_pairs(cluster.placed_ids(live, comps), texts.select("id", F.col("text").alias("payload")), judge))
     if not across.isEmpty():
         comps = cluster.components(links.union(across))
-    classed = places.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     spot = F.struct("doc_id", "block", "doc", "line")
-    firsts = classed.groupBy("comp").agg(F.min(spot).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("comp", "first")
-    gone = classed.join(firsts, "comp").where(~(spot.eqNullSafe(F.col("first")))).groupBy("block").agg(F.collect_list(F.struct("doc", "line")).alias("gone"))
+    lines = common.stored(places.groupBy("id").agg(F.min(spot).alias("first"), F.sum(F.size("spots")).alias("n")))
+    linked = lines.join(comps, "id")
+    facts = linked.groupBy("comp").agg(F.min("first").alias("first"))
+    repeated = cluster.spread_join(linked.select("id", "comp"), facts, "comp").select("id", "first")
+    repeated = repeated.union(lines.where("n > 1").join(comps, "id", "left_anti").select("id", "first"))
+    here = F.col("first.block") == F.col("block")
+    others = F.filter("spots", lambda s: ~(here & (s["doc"] == F.col("first.doc")) & (s["line"] == F.col("first.line"))))
+    gone = places.join(repeated, "id").select("block", others.alias("gone")).where(F.size("gone") > 0).groupBy("block").agg(F.flatten(F.collect_list("gone")).alias("gone"))
     return table.join(gone, "block", "left").mapInArrow(_rewrite, common.with_rest(ROWS, docs) if whole else ROWS)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import licenses
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _TEXT = "coalesce(text, '')"
 _LOWERED = f"translate({_TEXT}, '{_UPPER}', '{_LOWER}')"
@@ -65,3 +67,58 @@ named AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) A
 SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n IS NOT NULL AS contaminated
 FROM d LEFT JOIN n_hit USING (rid) LEFT JOIN named USING (rid)
 """
+
+
+def _listed(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+_TEMPLATES = ",\n".join(f"({t}, '{label}', {str(base).lower()}, {k}, {_listed(w)})" for t, label, base, k, w in licenses.template_words())
+
+OP1 = f"""
+WITH d AS MATERIALIZED ({numbered(f"regexp_extract_all({_LOWERED}, {ALNUM})")}),
+t(template, label, base, k, tw) AS (VALUES {_TEMPLATES}),
+cut AS (SELECT template, label, base, k, tw, unnest(generate_series(1, len(tw) - k + 1)) AS p FROM t),
+grams AS MATERIALIZED (SELECT template, label, base, k, len(tw) AS length, p - 1 AS place, array_to_string(list_slice(tw, p, p + k - 1), ' ') AS gram FROM cut),
+kinds AS (SELECT DISTINCT k FROM t),
+places AS (SELECT rid, w, k, unnest(generate_series(1, len(w) - k + 1)) AS p FROM d, kinds WHERE len(w) >= k),
+said AS (SELECT rid, k, p - 1 AS pos, array_to_string(list_slice(w, p, p + k - 1), ' ') AS gram FROM places),
+votes AS MATERIALIZED (SELECT rid, template, label, base, length, k, place, pos - place AS diagonal FROM said JOIN grams USING (k, gram)),
+diagonals AS (SELECT rid, template, base, diagonal FROM votes GROUP BY ALL),
+opened AS (SELECT *, CASE WHEN base OR coalesce(diagonal - lag(diagonal) OVER (PARTITION BY rid, template ORDER BY diagonal), 99) > 3 THEN 1 ELSE 0 END AS o FROM diagonals),
+runs AS (SELECT rid, template, diagonal, sum(o) OVER (PARTITION BY rid, template ORDER BY diagonal) AS run FROM opened),
+voted AS MATERIALIZED (SELECT * FROM votes JOIN runs USING (rid, template, diagonal)),
+words AS (SELECT DISTINCT rid, template, run, unnest(generate_series(place, place + k - 1)) AS tword FROM voted),
+covered AS (SELECT rid, template, run, count(*) AS n FROM words GROUP BY ALL),
+spans AS (
+  SELECT rid, template, run, label, base, length, min(diagonal) AS diagonal, max(diagonal + place + k) - min(diagonal + place) AS size
+  FROM voted GROUP BY ALL
+),
+good AS (SELECT *, CAST(n AS DOUBLE) / length AS held FROM spans JOIN covered USING (rid, template, run) WHERE CASE WHEN base THEN n = length ELSE CAST(n AS DOUBLE) / length >= 0.8 AND size <= 1.5 * length END),
+told AS (
+  SELECT rid, count(*) FILTER (base) AS n_base, min(diagonal) FILTER (base) AS first_word, max(diagonal) FILTER (base) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(held) AS score, count(*) AS n_spans
+  FROM good GROUP BY rid
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+  coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score, coalesce(n_spans, 0) AS n_spans
+FROM d LEFT JOIN told USING (rid)
+"""
+
+_PLAIN = """'{"content":' || to_json(coalesce(text, '')) || ',"role":' || to_json(coalesce(role, '')) || '}'"""
+_ARGUMENTS = """CASE WHEN text IS NULL THEN '{}' ELSE '{"query":' || to_json(text) || '}' END"""
+_CALL = f"""'{{"content":"","role":"assistant","tool_calls":[{{"arguments":' || {_ARGUMENTS} || ',"id":"turn-' || turn || '","name":"search"}}]}}'"""
+_ANSWER = """'{"content":' || coalesce(to_json(text), 'null') || ',"role":"tool","tool_call_id":"turn-' || (turn - 1) || '"}'"""
+
+OP5 = f"""
+WITH calls AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'),
+answers AS (SELECT a.conv_id, a.turn, a.text, c.turn IS NOT NULL AS linked FROM conversations AS a LEFT JOIN calls AS c ON a.conv_id = c.conv_id AND a.turn - 1 = c.turn WHERE role = 'assistant'),
+shown AS (
+  SELECT conv_id, 2 * turn AS place, 0 AS after, {_PLAIN} AS m, 'plain' AS kind, false AS wrong FROM conversations
+  UNION ALL SELECT conv_id, 2 * turn + 1, 0, {_CALL}, 'call', text IS NULL FROM calls
+  UNION ALL SELECT conv_id, CASE WHEN linked THEN 2 * turn - 1 ELSE 1000000000 - turn END, CASE WHEN linked THEN 1 ELSE 0 END, {_ANSWER}, CASE WHEN linked THEN 'linked' ELSE 'orphan' END, false FROM answers
+)
+SELECT conv_id, count(*) AS n_messages, count(*) FILTER (kind = 'call') AS n_calls, count(*) FILTER (wrong) AS n_invalid, count(*) FILTER (kind = 'linked') AS n_linked,
+  count(*) FILTER (kind = 'orphan') AS n_orphans, count(*) FILTER (kind = 'call') - count(*) FILTER (kind = 'linked') AS n_open, '[' || string_agg(m, ',' ORDER BY place, after, m) || ']' AS chat
+FROM shown GROUP BY conv_id
+"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import chat, decontaminate, licenses, lines, near, oracles, quality, resample, secrets, substrings, tokens
 
@@ -39,8 +40,24 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents")).drop("clean_text")
 
 
+def tool_turns(conversations: DataFrame) -> DataFrame:
+    """Conversations with tool calls made of their own turns, as the table holds none.
+
+    Each user turn is also a search call of the assistant for its text; each assistant turn also comes as the answer
+    to the turn before it, last ones first and after all other turns, as results of parallel calls do.
+    """
+    turn, text = F.col("turn").cast("long"), F.col("text").cast("string")
+    name = lambda t: F.concat(F.lit("turn-"), t)
+    row = lambda t, role, shown: ("conv_id", t.alias("turn"), role.alias("role"), shown.alias("text"))
+    call = F.struct(name(turn).alias("id"), F.lit("search").alias("name"), F.struct(text.alias("query")).alias("arguments"))
+    plain = conversations.select(*row(2 * turn, F.col("role"), text))
+    calls = conversations.where("role = 'user'").select(*row(2 * turn + 1, F.lit("assistant"), F.to_json(F.struct(F.array(call).alias("tool_calls")))))
+    answers = conversations.where("role = 'assistant'").select(*row(1_000_000_000 - turn, F.lit("tool"), F.to_json(F.struct(name(turn - 1).alias("tool_call_id"), text.alias("content")))))
+    return plain.union(calls).union(answers)
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.format_chats(_table(spark, sf_dir, "conversations"), TOOLS)
+    return chat.format_chats(tool_turns(_table(spark, sf_dir, "conversations")), TOOLS)
 
 
 def op6_quality_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +82,6 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op3_bpe_tokens, op4_quality_rules, op5_chat_format, op6_quality_resample, op7_line_dedup, op8_secret_scan, op9_near_dedup, op10_decontaminate)}
 
-#: Merges of a vocabulary, JSON of tool calls, hashed n-gram models and banded edit distances are beyond SQL: the tests hold
+#: Merges of a vocabulary, hashed n-gram models and banded edit distances are beyond SQL: the tests hold
 #: those operators against brute force.
-ORACLES: dict[str, str] = {"op2_substring_dedup": oracles.OP2, "op9_near_dedup": oracles.OP9, "op10_decontaminate": oracles.OP10}
+ORACLES: dict[str, str] = {"op1_license_scan": oracles.OP1, "op2_substring_dedup": oracles.OP2, "op5_chat_format": oracles.OP5, "op9_near_dedup": oracles.OP9, "op10_decontaminate": oracles.OP10}

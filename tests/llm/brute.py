@@ -134,7 +134,7 @@ def distance(a, b):
 
 
 def lines(docs, most=2, least=30):
-    every = [(d, r, i, x) for r, (d, t) in enumerate(docs) for i, x in enumerate((t or "").split("\n")) if len(x) >= least and x.strip()]
+    every = [(d, r, i, x) for r, (d, t) in enumerate(docs) for i, x in enumerate((t or "").split("\n")) if len(x) >= least and BLANK.search(x)]
     texts = sorted({x for *_, x in every})
     root = {x: x for x in texts}
 
@@ -162,7 +162,7 @@ def lines(docs, most=2, least=30):
 
 def every_line(docs, most=2, edits_from=15):
     """Line by line: a line goes if a chain of links leads to an earlier one, whatever its length."""
-    every = sorted(((d is not None, d or 0, r, i, x) for r, (d, t) in enumerate(docs) for i, x in enumerate((t or "").split("\n")) if x.strip()))
+    every = sorted(((d is not None, d or 0, r, i, x) for r, (d, t) in enumerate(docs) for i, x in enumerate((t or "").split("\n")) if BLANK.search(x)))
     linked = lambda a, b: a == b or min(len(a), len(b)) >= edits_from and distance(a, b) <= most
     gone = set()
     for n, (*_, row, at, line) in enumerate(every):
