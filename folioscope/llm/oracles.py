@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses
+from . import licenses, quality, secrets
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _TEXT = "coalesce(text, '')"
@@ -122,3 +122,71 @@ SELECT conv_id, count(*) AS n_messages, count(*) FILTER (kind = 'call') AS n_cal
   count(*) FILTER (kind = 'orphan') AS n_orphans, count(*) FILTER (kind = 'call') - count(*) FILTER (kind = 'linked') AS n_open, '[' || string_agg(m, ',' ORDER BY place, after, m) || ']' AS chat
 FROM shown GROUP BY conv_id
 """
+
+_QUOTED = lambda pattern: "'" + pattern.replace("'", "''") + "'"
+
+OP4 = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, {_TEXT} AS t, regexp_extract_all({_TEXT}, {BLANK}) AS w FROM documents),
+cut AS (SELECT rid, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d),
+lines AS MATERIALIZED (SELECT rid, i, line, regexp_extract_all(line, {BLANK}) AS lw FROM cut),
+counted AS (
+  SELECT rid, i, line, len(lw) AS n, len(list_distinct(lw)) AS n_distinct, len(regexp_extract_all(line, {_QUOTED(quality.SEPARATOR)})) AS apart,
+    len(regexp_extract_all(line, {_QUOTED(quality.SYMBOLS)})) AS marks, len(regexp_extract_all(line, '[!?]')) AS shouts
+  FROM lines WHERE len(lw) > 0
+),
+judged AS MATERIALIZED (
+  SELECT rid, i, line, n, (apart >= 3 AND 6 * apart >= n) OR (marks >= 3 AND 4 * marks > n) OR (n >= 4 AND 3 * shouts > n)
+    OR (n >= 20 AND NOT regexp_matches(line, {_QUOTED(quality.SENTENCE_MARK)})) OR (n >= 4 AND regexp_matches(line, '\\p{{Lu}}') AND NOT regexp_matches(line, '\\p{{Ll}}'))
+    OR (n >= 20 AND 3 * n_distinct < n) OR (n <= 20 AND regexp_matches(line, {_QUOTED(quality.BOILERPLATE)})) AS bad
+  FROM counted
+),
+by_line AS (SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines, count(*) FILTER (bad) AS n_bad_lines, coalesce(sum(n) FILTER (bad), 0) AS n_lost_words FROM judged GROUP BY rid),
+places AS (SELECT rid, w, unnest(generate_series(1, len(w) - 2)) AS p FROM d),
+three AS MATERIALIZED (SELECT rid, p, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] AS s FROM places),
+again AS (SELECT rid, p, count(*) OVER (PARTITION BY rid, s) AS times FROM three),
+hit AS (SELECT DISTINCT rid, unnest([p, p + 1, p + 2]) AS q FROM again WHERE times > 1),
+repeated AS (SELECT rid, count(*) AS n_repeat_words FROM hit GROUP BY rid),
+told AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, {_QUOTED(quality.SYMBOLS)})) AS BIGINT) AS n_symbols,
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, coalesce(n_bad_lines, 0) AS n_bad_lines, CAST(coalesce(n_lost_words, 0) AS BIGINT) AS n_lost_words
+  FROM d LEFT JOIN by_line USING (rid) LEFT JOIN repeated USING (rid)
+)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * n_lost_words <= 50 * n_words AS kept
+FROM told
+"""
+
+
+def _found(kind: str, rank: int, pattern: str, group: int, fits: str, weak: bool) -> str:
+    """Spans of one kind; the place of a match is the length of what stands before it."""
+    p = _QUOTED(pattern)
+    start = "past - length(v)" if weak else "past - length(hit)"
+    return f"""SELECT rid, '{kind}' AS kind, {rank} AS rank, {start} AS first, past, {str(weak).lower()} AS weak FROM (
+      SELECT rid, hit, v, CAST(sum(length(gap) + length(hit)) OVER (PARTITION BY rid ORDER BY i) AS BIGINT) AS past
+      FROM (SELECT rid, unnest(hits) AS hit, unnest(vs) AS v, unnest(list_slice(gaps, 1, len(hits))) AS gap, generate_subscripts(hits, 1) AS i
+            FROM (SELECT rid, regexp_extract_all(t, {p}) AS hits, regexp_extract_all(t, {p}, {group}) AS vs, string_split_regex(t, {p}) AS gaps FROM d WHERE regexp_matches(t, {p})))
+    ) WHERE {fits}"""
+
+
+_KINDS = [_found(k, i, p, g, f"length(v) >= {n}", False) for i, (k, (p, g, n)) in enumerate(secrets.BASE.items())]
+_KINDS += [
+    _found(k, 3 + i, p, g, " AND ".join([f"length(v) BETWEEN {low} AND {high}", *(f"regexp_matches(v, '{x}')" for x in holds)]), True)
+    for i, (k, (p, g, low, high, holds)) in enumerate(secrets.WEAK.items())
+]
+_ROLES = "CASE WHEN kind IN ('access', 'weak_id') THEN 'id' WHEN kind = 'endpoint' THEN 'endpoint' ELSE 'secret' END"
+
+OP8 = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, {_TEXT} AS t FROM documents),
+parts AS MATERIALIZED (SELECT *, {_ROLES} AS role FROM ({" UNION ALL ".join(_KINDS)})),
+linked AS (
+  SELECT a.rid, a.first, a.rank FROM parts AS a JOIN parts AS b ON a.rid = b.rid AND a.role <> b.role AND abs(a.first - b.first) <= {secrets.SCOPE}
+  WHERE a.weak GROUP BY a.rid, a.first, a.rank HAVING count(DISTINCT b.role) >= 2 OR bool_or(NOT b.weak)
+),
+told AS (SELECT *, kind || ':' || first || ':' || past AS shown FROM parts WHERE NOT weak OR (rid, first, rank) IN (SELECT rid, first, rank FROM linked)),
+summed AS (
+  SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, count(*) FILTER (weak) AS n_linked,
+    string_agg(shown, ',' ORDER BY first, rank) FILTER (NOT weak) AS base, string_agg(shown, ',' ORDER BY first, rank) AS spans
+  FROM told GROUP BY rid
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_linked, 0) AS n_linked
+FROM d LEFT JOIN summed USING (rid)
+"""

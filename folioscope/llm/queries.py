@@ -84,4 +84,4 @@ QUERIES = {f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op3_bp
 
 #: Merges of a vocabulary, hashed n-gram models and banded edit distances are beyond SQL: the tests hold
 #: those operators against brute force.
-ORACLES: dict[str, str] = {"op1_license_scan": oracles.OP1, "op2_substring_dedup": oracles.OP2, "op5_chat_format": oracles.OP5, "op9_near_dedup": oracles.OP9, "op10_decontaminate": oracles.OP10}
+ORACLES: dict[str, str] = {"op1_license_scan": oracles.OP1, "op2_substring_dedup": oracles.OP2, "op4_quality_rules": oracles.OP4, "op5_chat_format": oracles.OP5, "op8_secret_scan": oracles.OP8, "op9_near_dedup": oracles.OP9, "op10_decontaminate": oracles.OP10}

@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -37,13 +38,16 @@ def _count(batches: Iterator[pa.RecordBatch], targets: np.ndarray, buckets: int)
 
 
 def _weigh(batches: Iterator[pa.RecordBatch], gain: np.ndarray, seed: int) -> Iterator[pa.RecordBatch]:
+    task, at = TaskContext.get().partitionId(), 0
     for part in common.slices(batches):
         which, rows = features(part.column("text"), len(gain))
         n = np.bincount(rows, minlength=part.num_rows)
         weight = np.bincount(rows, weights=gain[which], minlength=part.num_rows)
         ids = part.column("doc_id").fill_null(-(1 << 62)).to_numpy().astype(np.uint64)
         uniform = ((common.mixed(ids + common.mixed(np.full(len(ids), seed + 1, np.uint64))) >> np.uint64(11)).astype(float) + 0.5) / 2.0**53
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(weight), pa.array(weight - np.log(-np.log(uniform)))], names=["doc_id", "n_grams", "log_ratio", "score"])
+        rid = (task << 33) + at + np.arange(part.num_rows)
+        at += part.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array(rid), part.column("doc_id"), pa.array(n), pa.array(weight), pa.array(weight - np.log(-np.log(uniform)))], names=["rid", "doc_id", "n_grams", "log_ratio", "score"])
 
 
 def _edge(scored: DataFrame, k: int) -> tuple[float, int]:
@@ -75,7 +79,8 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, buc
     fewer), the raw model those of all documents; both are smoothed by one count a bucket.  A document's
     log_ratio sums the models' log ratio over its n-grams; adding Gumbel noise (from its doc_id and ``seed``)
     and keeping the ``share`` of documents with the largest score draws without replacement.  ``share``
-    defaults to the share of good documents among the labels.  Equal scores at the edge go by doc_id.
+    defaults to the share of good documents among the labels.  Of equal scores at the edge
+    (equal rows, but for chance) as many stay as there is room for.
 
     Null and blank texts have no n-grams and weigh 0; a null doc_id draws one common noise value; repeated
     rows are rows of their own; without a good label nothing sets documents apart and ``share`` is 1.
@@ -94,14 +99,12 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, buc
         raw[r.bucket] += r.raw
         aim[r.bucket] += r.good
     gain = spark.sparkContext.broadcast(np.log(aim / aim.sum()) - np.log(raw / raw.sum()) if len(ids) else np.zeros(buckets))
-    scored = common.stored(picked.mapInArrow(lambda it: _weigh(it, gain.value, seed), "doc_id long, n_grams long, log_ratio double, score double"))
+    scored = common.stored(picked.mapInArrow(lambda it: _weigh(it, gain.value, seed), "rid long, doc_id long, n_grams long, log_ratio double, score double"))
     k = round(share * scored.count())
     if k <= 0:
-        return scored.withColumn("kept", F.lit(False))
+        return scored.withColumn("kept", F.lit(False)).drop("rid")
     score, room = _edge(scored, k)
-    tied = scored.where(F.col("score") == score)
-    if tied.count() <= room:
-        return scored.withColumn("kept", F.col("score") >= score)
-    # equal scores come from one doc_id's repeats, or from rows without an id: the first by id stay
-    turn = F.row_number().over(Window.partitionBy("score").orderBy(F.col("doc_id").asc_nulls_first()))
-    return scored.where(F.col("score") != score).withColumn("kept", F.col("score") > score).union(tied.withColumn("kept", turn <= room))
+    # equal scores come from one doc_id's repeats or from rows without an id: the first in the stored table stay
+    place, _ = _edge(scored.where(F.col("score") == score).select((-F.col("rid")).cast("double").alias("score")), room)
+    kept = (F.col("score") > score) | ((F.col("score") == score) & (-F.col("rid") >= F.lit(place)))
+    return scored.withColumn("kept", kept).drop("rid")

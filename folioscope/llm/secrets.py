@@ -13,11 +13,12 @@ BASE = {
     "access": (r"AKIA[A-Z0-9]+", 0, 20),
     "hex": (r"[0-9a-f]+", 0, 24),
 }
-#: Weak parts: reported only with complementary parts nearby.
+#: Weak parts, reported only with complementary parts nearby: pattern, judged group, least and greatest length, and what the
+#: judged text must hold.  The part is the judged text, which ends with the match.
 WEAK = {
-    "endpoint": r"https?://[A-Za-z0-9.-]+(?::[0-9]+)?[A-Za-z0-9/_.%-]*",
-    "weak_id": r"(?<![A-Za-z0-9])(?:user(?:name)?|login|client_?id|account)\x20*[:=]\x20*[A-Za-z0-9._@-]{3,64}",
-    "weak_secret": r"(?<![A-Za-z0-9+/])(?=[A-Za-z0-9+/]{0,39}[0-9])(?=[A-Za-z0-9+/]{0,39}[A-Z])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/])",
+    "endpoint": (r"https?://[A-Za-z0-9.-]+(?::[0-9]+)?[A-Za-z0-9/_.%-]*", 0, 1, 1 << 30, ()),
+    "weak_id": (r"(^|[^A-Za-z0-9])((?:user(?:name)?|login|client_?id|account)\x20*[:=]\x20*[A-Za-z0-9._@-]{3,64})", 2, 1, 1 << 30, ()),
+    "weak_secret": (r"[A-Za-z0-9+/]{40,}", 0, 40, 40, ("[0-9]", "[A-Z]")),
 }
 #: Code points within which parts of one credential stand.
 SCOPE = 400
@@ -27,22 +28,28 @@ SCOPE = 400
 _LISTED = {"hex": r"[0-9a-f]{24,}"}
 
 
-def _spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
+def _spans(text: Column, kind: str, pattern: str, group: int, least: int, most: int = 1 << 30, holds: tuple = ()) -> Column:
     """Matches as (kind, start, end), from the texts between them; failing ones dropped."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     judged = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     between = F.split(text, pattern, -1)
-    blank = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,size:int>>").alias("out"))
+    blank = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["hit"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), F.length(x["value"]).alias("size")))).alias("out"))
+        first = end - F.length(x["value"]) if kind in WEAK else start
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(first.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("out"))
+
+    def fits(x: Column) -> Column:
+        good = F.length(x["value"]).between(least, most)
+        for one in holds:
+            good = good & F.rlike(x["value"], F.lit(one))
+        return good
 
     zipped = F.transform(found, lambda hit, i: F.struct(F.get(between, i).alias("gap"), hit.alias("hit"), F.get(judged, i).alias("value")))
-    placed = F.aggregate(zipped, blank, step)["out"]
-    fit = F.filter(placed, lambda x: x["size"] >= least)
-    shown = F.transform(fit, lambda x: F.struct(x["start"].alias("start"), F.lit(ORDER.index(kind)).alias("rank"), x["end"].alias("end"), F.lit(kind).alias("kind")))
+    placed = F.filter(F.aggregate(zipped, blank, step)["out"], fits)
+    shown = F.transform(placed, lambda x: F.struct(x["start"].alias("start"), F.lit(ORDER.index(kind)).alias("rank"), x["end"].alias("end"), F.lit(kind).alias("kind")))
     return F.when(F.rlike(text, F.lit(pattern)), shown).otherwise(F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>"))
 
 
@@ -63,7 +70,7 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     (null stays null), n_assign, n_access, n_hex, base_sha256, spans and n_linked (weak parts reported).
     """
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    lists = [_spans(F.col("text"), k, _LISTED.get(k, p), g, n) for k, (p, g, n) in BASE.items()] + [_spans(F.col("text"), k, p, 0, 1) for k, p in WEAK.items()]
+    lists = [_spans(F.col("text"), k, _LISTED.get(k, p), g, n) for k, (p, g, n) in BASE.items()] + [_spans(F.col("text"), k, *rule) for k, rule in WEAK.items()]
     parts = common.stored(rows.select("rid", "doc_id", F.concat(*lists).alias("parts")))
     # the document itself is a part of rank -1, so that one without secrets stays
     mark = F.array(F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("rank"), F.lit(-1).alias("end"), F.lit("").alias("kind")))

@@ -175,3 +175,126 @@ def every_line(docs, most=2, edits_from=15):
         if any(e[-1] in reached for e in every[:n]):
             gone.add((row, at))
     return [(d, sum(g[0] == r for g in gone), sha("\n".join(x for i, x in enumerate((t or "").split("\n")) if (r, i) not in gone))) for r, (d, t) in enumerate(docs)]
+
+
+def license_labels(docs, templates, share=0.8, apart=3, stretch=1.5):
+    """Labels, best share and number of spans, diagonal by diagonal."""
+    out = []
+    for doc_id, text in docs:
+        words = ALNUM.findall((text or "").translate(LOWER))
+        found = []
+        for _, label, base, k, t in templates:
+            votes = {}
+            for p in range(len(t) - k + 1):
+                for i in range(len(words) - k + 1):
+                    if words[i : i + k] == t[p : p + k]:
+                        votes.setdefault(i - p, set()).add(p)
+            runs = []
+            for d in sorted(votes):
+                if runs and not base and d - runs[-1][-1] <= apart:
+                    runs[-1].append(d)
+                else:
+                    runs.append([d])
+            for run in runs:
+                held = len({p + j for d in run for p in votes[d] for j in range(k)}) / len(t)
+                first, past = min(d + min(votes[d]) for d in run), max(d + max(votes[d]) + k for d in run)
+                if held == 1 if base else held >= share and past - first <= stretch * len(t):
+                    found.append((label, held))
+        out.append((doc_id, ",".join(sorted({x for x, _ in found})), max((h for _, h in found), default=0.0), len(found)))
+    return out
+
+
+def line_breaks_a_rule(line):
+    import regex
+
+    from folioscope.llm import quality
+
+    words = BLANK.findall(line)
+    n = len(words)
+    if not n:
+        return False
+    marks, apart = len(re.findall(r"[#*$%&|<>]", line)), len(re.findall(r"[\x20\x09-\x0D][|>»·•/][\x20\x09-\x0D]", line))
+    return (
+        (apart >= 3 and 6 * apart >= n)
+        or (marks >= 3 and 4 * marks > n)
+        or (n >= 4 and 3 * (line.count("!") + line.count("?")) > n)
+        or (n >= 20 and not set(line) & set(".!?:;…。！？"))
+        or (n >= 4 and bool(regex.search(r"\p{Lu}", line)) and not regex.search(r"\p{Ll}", line))
+        or (n >= 20 and 3 * len(set(words)) < n)
+        or (n <= 20 and bool(re.search(quality.BOILERPLATE, line)))
+    )
+
+
+def cleaned(docs):
+    """(doc_id, kept, lines with a word, failing lines, lost words, clean text)."""
+    out = []
+    for (doc_id, text), base in zip(docs, quality(docs), strict=True):
+        lines = (text or "").split("\n")
+        bad = [line_breaks_a_rule(x) for x in lines]
+        lost = sum(len(BLANK.findall(x)) for x, b in zip(lines, bad, strict=True) if b)
+        left = "\n".join(x for x, b in zip(lines, bad, strict=True) if not b)
+        out.append((doc_id, not base[-1] and 100 * lost <= 50 * base[1], sum(bool(BLANK.search(x)) for x in lines), sum(bad), lost, left))
+    return out
+
+
+def chats(messages, schemas):
+    """Conversation by conversation: counts and the order of the messages by (turn, role)."""
+    import json
+
+    from folioscope.llm import chat
+
+    out = []
+    for conv in {m[0] for m in messages}:
+        mine = sorted((m for m in messages if m[0] == conv), key=lambda m: (m[1] is not None, m[1] or 0))
+        shown = [(m, *chat._message(m[2] or "", m[3] or "", schemas)) for m in mine]
+        shown.sort(key=lambda x: (x[0][1] is not None, x[0][1] or 0, x[1]))
+        calls = [(n, x[0], c) for n, x in enumerate(shown) for c in x[2]]
+        behind, linked, orphans, closed = {}, 0, 0, set()
+        for n, (m, _, _, answers) in enumerate(shown):
+            if answers is None:
+                continue
+            when = lambda t: (t is not None, t or 0)
+            mates = [(k, c) for k, (at, cm, c) in enumerate(calls) if c["id"] == answers]
+            before = [(k, c) for k, c in mates if when(calls[k][1][1]) < when(m[1])]
+            if not mates:
+                orphans += 1
+                continue
+            k = before[-1][0] if before else mates[0][0]
+            same = [i for i, (at, cm, c) in enumerate(calls) if c["id"] == answers and shown[at][1] == shown[calls[k][0]][1] and cm[1] == calls[k][1][1] and c["at"] == calls[k][2]["at"]]
+            closed |= set(same)
+            linked += 1
+            behind[n] = (calls[k][0], calls[k][2]["at"])
+        order = sorted(range(len(shown)), key=lambda n: ((shown[(o := behind[n][0] if n in behind else n)][0][1] is not None, shown[o][0][1] or 0), shown[o][1], n in behind, behind[n][1] if n in behind else 0, shown[n][0][1] or 0, shown[n][1]))
+        out.append((conv, len(shown), len(calls), sum(not c["valid"] for *_, c in calls), linked, orphans, len(calls) - len(closed), "[" + ",".join(shown[n][1] for n in order) + "]"))
+        json.loads(out[-1][-1])
+    return out
+
+
+def resampled(docs, good_ids, share, buckets, seed):
+    """Log ratios by counting each n-gram's bucket one by one, and the ids of the largest scores."""
+    import math
+
+    import numpy as np
+    import xxhash
+
+    from folioscope.llm import common
+
+    def bucket(gram):
+        one = np.array([xxhash.xxh3_64_intdigest(w.encode()) for w in gram], np.uint64)
+        return int((common.mixed(one) if len(gram) == 1 else common.grams(one, len(gram)))[0] % np.uint64(buckets))
+
+    bags = []
+    for _, text in docs:
+        w = BLANK.findall((text or "").translate(LOWER))
+        bags.append([bucket((x,)) for x in w] + [bucket(p) for p in zip(w, w[1:], strict=False)])
+    raw, aim = Counter(b for bag in bags for b in bag), Counter(b for (d, _), bag in zip(docs, bags, strict=True) if d in good_ids for b in bag)
+    n_raw, n_aim = sum(raw.values()) + buckets, sum(aim.values()) + buckets
+    out = []
+    for (doc_id, _), bag in zip(docs, bags, strict=True):
+        ratio = sum(math.log((aim[b] + 1) / n_aim) - math.log((raw[b] + 1) / n_raw) for b in bag)
+        seeded = common.mixed(np.array([seed + 1], np.uint64))
+        noise = common.mixed(np.array([-(1 << 62) if doc_id is None else doc_id], np.int64).astype(np.uint64) + seeded)
+        uniform = (float(noise[0] >> np.uint64(11)) + 0.5) / 2.0**53
+        out.append((doc_id, len(bag), ratio, ratio - math.log(-math.log(uniform))))
+    edge = sorted((x[3] for x in out), reverse=True)[: round(share * len(out))]
+    return out, edge
