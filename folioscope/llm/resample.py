@@ -42,7 +42,7 @@ def _weigh(batches: Iterator[pa.RecordBatch], gain: np.ndarray, seed: int) -> It
     for part in common.slices(batches):
         which, rows = features(part.column("text"), len(gain))
         n = np.bincount(rows, minlength=part.num_rows)
-        weight = np.bincount(rows, weights=gain[which], minlength=part.num_rows)
+        weight = np.bincount(rows, weights=gain[which], minlength=part.num_rows).astype(float)  # of no n-grams it makes integers
         ids = part.column("doc_id").fill_null(-(1 << 62)).to_numpy().astype(np.uint64)
         uniform = ((common.mixed(ids + common.mixed(np.full(len(ids), seed + 1, np.uint64))) >> np.uint64(11)).astype(float) + 0.5) / 2.0**53
         rid = (task << 33) + at + np.arange(part.num_rows)
