@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Iterator
 from pathlib import Path
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,9 @@ from . import common
 
 #: Words of a block with one list of distinct words.
 BLOCK_WORDS = 8_000_000
+#: The words that stand in most blocks are looked up in a broadcast table of this many words of at most so many bytes:
+#: under 16 MB, whatever the corpus.  All other words are joined by Spark.
+FREQUENT, FREQUENT_BYTES = 1 << 16, 32
 
 
 def split_words(text: Column, pattern: str, special: str) -> Column:
@@ -37,70 +41,16 @@ def split_words(text: Column, pattern: str, special: str) -> Column:
 GPT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{IsWhite_Space}\p{L}\p{N}]+|\p{IsWhite_Space}+(?![^\p{IsWhite_Space}])|\p{IsWhite_Space}+"
 GPT_SPECIAL = "<|endoftext|>"
 
-_NAMES = ["block", "bucket", "body", "doc_ids", "sizes"]
-_TABLE = "block long, bucket int, body binary, doc_ids array<long>, sizes array<int>"
-
-
-def _planes(x: np.ndarray) -> bytes:
-    """32-bit numbers by their bytes' places and at a high level: small numbers leave planes of zeros."""
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers under 2**32 by their bytes' places, compressed: small numbers leave whole places of zeros."""
     raw = np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
-    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=9).compress(raw, asbytes=True)
-
-
-def _from_planes(body: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(_open(body), np.uint8).reshape(4, -1).T).view("<u4").ravel()
-
-
-def _listed(words: list[bytes]) -> bytes:
-    """Lengths of words, then the words, packed apart."""
-    head, text = _planes(np.array([len(w) for w in words])), b"".join(words)
-    return len(head).to_bytes(8, "little") + head + len(text).to_bytes(8, "little") + pa.Codec("zstd", compression_level=9).compress(text, asbytes=True)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def _unlisted(body: bytes) -> list[bytes]:
-    cut = 8 + int.from_bytes(body[:8], "little")
-    text, ends = _open(body[cut:]), np.cumsum(_from_planes(body[8:cut]), dtype=np.int64).tolist()
-    return [text[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-
-
-def _open(body: bytes) -> bytes:
+def _unpacked(body: bytes) -> np.ndarray:
     size = int.from_bytes(body[:8], "little")
-    return pa.decompress(body[8:], size, codec="zstd", asbytes=True) if size else b""
-
-
-def _table(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())]
-    return pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=_NAMES)
-
-
-def _blocks(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Words of some documents as places in the block's own list of distinct words; the list itself goes out
-    by buckets of its words' hash, in the order of the places."""
-    task = TaskContext.get().partitionId()
-    for n, (doc_ids, sizes, coded) in enumerate(_gathered(batches)):
-        block = (task << 32) + n
-        vocab = coded.chunk(0).dictionary.cast(pa.binary())
-        codes = np.concatenate([c.indices.to_numpy() for c in coded.chunks])
-        del coded
-        words = vocab.to_pylist()
-        # frequent words get small numbers, which pack well
-        slot = np.empty(len(words), np.uint32)
-        slot[np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")] = np.arange(len(words), dtype=np.uint32)
-        bucket = np.fromiter((xxhash.xxh32_intdigest(w) % buckets for w in words), np.int64, len(words))
-        order = pc.sort_indices(pa.table({"bucket": bucket, "word": vocab}), sort_keys=[("bucket", "ascending"), ("word", "ascending")]).to_numpy().astype(np.int64)
-        body, slots = _planes(slot[codes]), _planes(slot[order])
-        del codes
-        yield _table([(block, -1, len(body).to_bytes(8, "little") + body + slots, doc_ids, sizes)])
-        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        rows = []
-        for b in range(buckets):
-            if edges[b] < edges[b + 1]:
-                own = [words[i] for i in order[edges[b] : edges[b + 1]].tolist()]
-                rows.append((block, b, _listed(own), None, None))
-        if rows:
-            yield _table(rows)
-        del words, vocab, rows
-        pa.default_memory_pool().release_unused()
+    raw = pa.decompress(body[8:], size, codec="zstd", asbytes=True) if size else b""
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, pa.ChunkedArray]]:
@@ -126,57 +76,108 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, p
         yield block()
 
 
+class Block(NamedTuple):
+    """Documents whose text is places (``slots``) in one list of distinct words, the most frequent first."""
+
+    key: int
+    doc_ids: list
+    sizes: list
+    words: list[str]
+    slots: np.ndarray
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+    """Blocks with a key from their contents, the same each time that Spark makes them."""
+    for doc_ids, sizes, coded in _gathered(batches):
+        listed = coded.chunk(0).dictionary
+        codes = np.concatenate([c.indices.to_numpy() for c in coded.chunks])
+        order = np.argsort(-np.bincount(codes, minlength=len(listed)), kind="stable")
+        slot = np.empty(len(listed), np.uint32)
+        slot[order] = np.arange(len(listed), dtype=np.uint32)
+        words, slots = listed.take(pa.array(order)).to_pylist(), slot[codes]
+        seen = xxhash.xxh3_64(f"{doc_ids} {sizes}".encode())
+        seen.update(slots.tobytes())
+        seen.update("\0".join(words).encode())
+        yield Block(seen.intdigest() - (1 << 63), doc_ids, sizes, words, slots)
+
+
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, _, coded in _gathered(batches):
+        yield pa.RecordBatch.from_arrays([coded.chunk(0).dictionary], names=["word"])
+
+
+def _rare(batches: Iterator[pa.RecordBatch], frequent: dict[str, int]) -> Iterator[pa.RecordBatch]:
+    """Each block's words beyond the frequent ones, with their places."""
+    for block in _blocks(batches):
+        slots = [i for i, w in enumerate(block.words) if w not in frequent]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slots), block.key)), pa.array(slots, pa.int32()), pa.array([block.words[i] for i in slots], pa.string())], names=["block", "slot", "word"])
+
+
+_BODY = "block long, doc_ids array<long>, sizes array<int>, texts binary, known binary"
+
+
+def _bodies(batches: Iterator[pa.RecordBatch], frequent: dict[str, int]) -> Iterator[pa.RecordBatch]:
+    """Each block's texts as slots, and for each slot the number of its frequent word plus one, or 0."""
+    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
+    for block in _blocks(batches):
+        known = np.array([frequent.get(w, -1) + 1 for w in block.words], np.uint32)
+        row = (block.key, block.doc_ids, block.sizes, _packed(block.slots), _packed(known))
+        yield pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(row, kinds, strict=True)], names=[c.split()[0] for c in _BODY.split(", ")])
+
+
 def _encode(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.RecordBatch]:
-    """The ids of each block's words.  Buckets arrive one after another; a distinct word is encoded once."""
+    """The ids of distinct words."""
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     tokenizer = Tokenizer.from_str(vocabulary)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    current, known = None, {}
     for batch in batches:
-        out = []
-        for block, bucket, body in zip(*(batch.column(c).to_pylist() for c in ("block", "bucket", "body")), strict=True):
-            if bucket != current:
-                current, known = bucket, {}
-            words = _unlisted(body)
-            fresh = [w for w in words if w not in known]
-            for w, e in zip(fresh, tokenizer.encode_batch([w.decode() for w in fresh], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-            ids = [known[w] for w in words]
-            out.append((block, bucket, _planes(np.concatenate([[len(ids)], [len(x) // 4 for x in ids], np.frombuffer(b"".join(ids), "<u4")])), None, None))
-        if out:
-            yield _table(out).select(_NAMES[:3])
-
-
-def _assemble(batches: Iterator[pa.RecordBatch], pieces: list[bytes], full: bool) -> Iterator[pa.RecordBatch]:
-    """Each document's ids by the places of its words, and their pieces joined again."""
+        found = tokenizer.encode_batch(batch.column("word").to_pylist(), add_special_tokens=False)
+        yield batch.append_column("ids", pa.array([e.ids for e in found], pa.list_(pa.int32())))
+
+
+def _assemble(batches: Iterator[pa.RecordBatch], frequent: list[tuple[bytes, bytes]], full: bool) -> Iterator[pa.RecordBatch]:
+    """Each document's ids by the places of its words, and their pieces joined again.
+
+    A block's row comes first, then those of its rare words in the order of their slots.  Blocks with the same documents
+    have one key: their rows come together, and each of their rare words as often as there are blocks.
+    """
+    key, bodies, ids, shown, last = None, [], [], [], -1
+
+    def done() -> Iterator[pa.RecordBatch]:
+        for doc_ids, sizes, texts, packed in bodies:
+            codes, known = _unpacked(texts), _unpacked(packed).tolist()
+            if len(ids) != known.count(0):
+                raise RuntimeError("the documents came in another order when read again; write them to a table first")
+            rare = zip(ids, shown, strict=True)
+            each = [frequent[k - 1] if k else next(rare) for k in known]
+            yield from _placed(pa.array(doc_ids, pa.int64()), np.array(sizes, np.int64), codes, [np.frombuffer(x, "<i4") for x, _ in each], [x for _, x in each], full)
+
     for batch in batches:
-        for i in range(batch.num_rows):
-            doc_ids, sizes = batch.column("doc_ids")[i].values, batch.column("sizes")[i].values.to_numpy()
-            counts, flats = [np.empty(0, np.int64)], [np.empty(0, np.uint32)]
-            for part in sorted(batch.column("coded")[i].as_py() or (), key=lambda p: p["bucket"]):
-                raw = _from_planes(part["body"])
-                counts.append(raw[1 : 1 + raw[0]].astype(np.int64))
-                flats.append(raw[1 + raw[0] :])
-            whole = batch.column("body")[i].as_py()
-            cut = 8 + int.from_bytes(whole[:8], "little")
-            codes, slots = _from_planes(whole[8:cut]), _from_planes(whole[cut:])
-            flat, listed = np.concatenate(flats), np.concatenate(counts)
-            count, first = np.empty_like(listed), np.empty_like(listed)
-            count[slots], first[slots] = listed, np.cumsum(listed) - listed
-            names, lookup = flat.tolist(), list(map(str, range(len(pieces))))
-            spelled, shown = [], []
-            for a, n in zip(first.tolist(), count.tolist(), strict=True):
-                own = names[a : a + n]
-                spelled.append(",".join([lookup[x] for x in own]))
-                shown.append(b"".join([pieces[x] for x in own]))
-            ends = np.cumsum(sizes, dtype=np.int64)
-            n_ids = count[codes]
-            before = np.concatenate([[0], np.cumsum(n_ids)])
-            for low in range(0, len(sizes), 2000):  # documents of the block some at a time
-                yield _documents(doc_ids, sizes, ends, before, codes, spelled, shown, flat if full else None, first, n_ids, low, min(low + 2000, len(sizes)))
+        rows = batch.to_pydict()
+        for block, slot, own_ids, text, *body in zip(*(rows[c] for c in ("block", "slot", "ids", "text", "doc_ids", "sizes", "texts", "known")), strict=True):
+            if block != key:
+                yield from done()
+                key, bodies, ids, shown, last = block, [], [], [], -1
+            if slot < 0:
+                bodies.append(body)
+            elif slot != last:
+                ids.append(np.array(own_ids, "<i4").tobytes())
+                shown.append(text)
+                last = slot
+    yield from done()
+
+
+def _placed(doc_ids, sizes: np.ndarray, codes: np.ndarray, ids: list[np.ndarray], shown: list[bytes], full: bool) -> Iterator[pa.RecordBatch]:
+    count = np.array([len(x) for x in ids], np.int64)
+    flat, first = np.concatenate(ids) if ids else np.empty(0, np.int32), np.cumsum(count) - count
+    spelled = [",".join(map(str, x.tolist())) for x in ids]
+    ends, n_ids = np.cumsum(sizes, dtype=np.int64), count[codes]
+    before = np.concatenate([[0], np.cumsum(n_ids)])
+    for low in range(0, len(sizes), 2000):  # documents of the block some at a time
+        yield _documents(doc_ids, sizes, ends, before, codes, spelled, shown, flat if full else None, first, n_ids, low, min(low + 2000, len(sizes)))
 
 
 def _documents(doc_ids, sizes, ends, before, codes, spelled, shown, flat, first, n_ids, low: int, high: int) -> pa.RecordBatch:
@@ -213,29 +214,52 @@ def _piece_bytes(vocabulary: str) -> list[bytes]:
     return joined
 
 
+def _pieces(vocabulary: str) -> list[tuple[int, bytes]]:
+    """Bytes of each id of a byte-level vocabulary; a piece spells bytes by printable characters."""
+    table = json.loads(vocabulary)
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(shown)]
+    spelled = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
+    named = {i: piece for piece, i in table["model"]["vocab"].items()} | {t["id"]: t["content"] for t in table["added_tokens"]}
+    return [(i, bytes(spelled[c] for c in piece) if all(c in spelled for c in piece) else piece.encode()) for i, piece in named.items()]
+
+
+def word_table(words: DataFrame, vocabulary: str) -> DataFrame:
+    """(word, n, ids, text) of the distinct words of ``words`` (word), stored: each is encoded once, and ``text`` is what the
+    id-to-piece join gives back for its ids.  The pieces are as many as the vocabulary file has, and no more."""
+    spark = words.sparkSession
+    shared = spark.sparkContext.broadcast(vocabulary)
+    counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    coded = counted.mapInArrow(lambda it: _encode(it, shared.value), "word string, n long, ids array<int>")
+    pieces = spark.createDataFrame(_pieces(vocabulary), "id int, piece binary")
+    spread = coded.select("word", "n", "ids", F.posexplode("ids").alias("place", "id")).join(F.broadcast(pieces), "id")
+    joined = F.aggregate(F.array_sort(F.collect_list(F.struct("place", "piece"))), F.lit(b""), lambda acc, x: F.concat(acc, x["piece"]))
+    return common.stored(spread.groupBy("word").agg(F.any_value("n").alias("n"), F.any_value("ids").alias("ids"), joined.alias("text")))
+
+
 def encode_decode(docs: DataFrame, vocabulary_file: str, pattern: str = GPT_PATTERN, special: str = GPT_SPECIAL, full: bool = True) -> DataFrame:
     """Encodes whole texts by a byte-level BPE vocabulary and decodes the ids again.
 
-    Spark splits the words.  A block of documents keeps its distinct words once and its texts as places in
-    that list.  The lists go to buckets by their words' hash, where every distinct word of the corpus is
-    encoded once and its ids are joined back to the blocks' lists, and from there to the positions.  Ids become text through the vocabulary's id-to-piece table, which
-    is as large as the vocabulary file and no larger.
+    Spark splits the words.  Each distinct word of the corpus stands once in a table, where it is encoded once and
+    decoded through a join of its ids with the vocabulary's pieces.  A block of documents keeps its texts as places in
+    the block's own list of words; the ids of that list come back to it by a join on the word and go to the
+    positions by place.  The words of most blocks are looked up in a broadcast part of the table that is bounded, so
+    that only the others travel.  Blocks are made anew for each of the three readings and checked to be the same.
 
-    A null text counts as empty: no ids.  Returns a row for each input row: doc_id (null stays null),
-    n_tokens, ids_sha256, decoded_sha256, ids and decoded (both null unless ``full``).
+    A null text counts as empty: no ids.  Repeated rows are documents of their own.  Returns a row for each input row:
+    doc_id (null stays null), n_tokens, ids_sha256, decoded_sha256, ids and decoded (both null unless ``full``).
     """
     vocabulary = Path(vocabulary_file).read_text(encoding="utf-8")
     spark = docs.sparkSession
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), split_words(text, pattern, special).alias("words"))
     with common.batches_of(spark, 1000):
-        table = common.stored(words.mapInArrow(lambda it: _blocks(it, buckets), _TABLE), "none")
-    shared, pieces = spark.sparkContext.broadcast(vocabulary), spark.sparkContext.broadcast(_piece_bytes(vocabulary))
-    listed = table.where("bucket >= 0").select("block", "bucket", "body").repartition("bucket").sortWithinPartitions("bucket")
-    encoded = listed.mapInArrow(lambda it: _encode(it, shared.value), "block long, bucket int, body binary")
-    coded = encoded.groupBy("block").agg(F.collect_list(F.struct("bucket", "body")).alias("coded"))
-    return (
-        table.where("bucket < 0").join(coded, "block", "left")
-        .mapInArrow(lambda it: _assemble(it, pieces.value, full), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>, decoded string")
-    )
+        table = word_table(words.mapInArrow(_distinct, "word string"), vocabulary)
+    most = table.where(F.octet_length("word") <= FREQUENT_BYTES).orderBy(F.desc("n"), "word").limit(FREQUENT).select("word", "ids", "text").collect()
+    number = spark.sparkContext.broadcast({r.word: i for i, r in enumerate(most)})
+    known = spark.sparkContext.broadcast([(np.array(r.ids, "<i4").tobytes(), bytes(r.text)) for r in most])
+    rare = words.mapInArrow(lambda it: _rare(it, number.value), "block long, slot int, word string")
+    found = rare.join(table.select("word", "ids", "text"), "word").select("block", "slot", "ids", "text")
+    bodies = words.mapInArrow(lambda it: _bodies(it, number.value), _BODY).withColumn("slot", F.lit(-1))
+    together = bodies.unionByName(found, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "slot")
+    return together.mapInArrow(lambda it: _assemble(it, known.value, full), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>, decoded string")
