@@ -12,8 +12,12 @@ WORD = r"[\p{L}\p{N}_]"
 class Dialect:
     """Renderer of one engine."""
 
-    def __init__(self, spark: bool) -> None:
+    def __init__(self, spark: bool, given: dict[str, str] | None = None) -> None:
         self.spark = spark
+        #: Relations that a caller gives, by the name that plans know them by.
+        self.given = given or {}
+        #: Relations that a plan asked for, with their columns.
+        self.asked: dict[str, str] = {}
 
     # literals
     def lit(self, text: str) -> str:
@@ -37,6 +41,11 @@ class Dialect:
 
         return "(SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(cell(v) for v in r) + ")" for r in rows) + f") AS fixture({names}))"
 
+    def table(self, name: str, rows: list[tuple], names: str) -> str:
+        """The relation that the caller gives under ``name``; without one, the inline rows."""
+        self.asked[name] = names
+        return f"(SELECT {names} FROM {self.given[name]})" if name in self.given else self.values(rows, names)
+
     # regular expressions
     def all_of(self, x: str, pattern: str, group: int = 0) -> str:
         return f"regexp_extract_all({x}, {self.lit(pattern)}, {group})"
@@ -166,6 +175,24 @@ class Dialect:
     def text(self, x: str) -> str:
         return f"CAST({x} AS {'STRING' if self.spark else 'VARCHAR'})"
 
+    def ngrams(self, a: str, n: int, marks: str = "", least: int = 0) -> str:
+        """Runs of ``n`` neighbouring elements joined by blanks; ``a`` names a column of words.
+
+        Where ``marks`` names a column of numbers beside them, a run with a sum under ``least`` is null.
+        """
+        if self.spark:
+            # neighbours stand in one struct: an array indexed inside the lambda could be made anew for every element
+            aside = lambda c: [c, *(f"slice({c}, {j + 1}, size({c}))" for j in range(1, n))]
+            zipped = f"slice(arrays_zip({', '.join(aside(a) + (aside(marks) if marks else []))}), 1, greatest(size({a}) - {n - 1}, 0))"
+            words, numbers = [f"x.`{k}`" for k in (a, *range(1, n))], [f"x.`{k}`" for k in (marks, *range(n + 1, 2 * n))]
+        else:
+            zipped = f"list_slice({a}, 1, len({a}) - {n - 1})"
+            words, numbers = ["x", *(f"{a}[i + {j}]" for j in range(1, n))], [f"{marks}[i + {j}]" for j in range(n)]
+        run = "concat(" + ", ' ', ".join(words) + ")"
+        if marks:
+            run = f"CASE WHEN {' + '.join(numbers)} >= {least} THEN {run} END"
+        return f"transform({zipped}, x -> {run})" if self.spark else f"list_transform({zipped}, lambda x, i: {run})"
+
     def cut(self, a: str, first: str, last: str) -> str:
         """Elements from place ``first`` to ``last``, places from 1, both inside."""
         return f"slice({a}, CAST({first} AS INT), CAST(greatest({last} - ({first}) + 1, 0) AS INT))" if self.spark else f"list_slice({a}, {first}, {last})"

@@ -32,6 +32,7 @@ said asked replied answered told whispered shouted murmured muttered exclaimed c
 sighed breathed admitted continued added interrupted insisted protested demanded offered suggested warned agreed countered
 argued laughed chuckled grumbled stammered sneered
 """.split()
+QUALIFIERS = "perhaps maybe possibly somewhat rather quite seems seemed suppose believe think might".split()
 ABSTRACT = r"\b(truth|memory|faith|love|fear|grief|hope|time|history|meaning|forgiveness|silence|mercy|courage|loss)\b"
 CONCRETE = r"\b(hand|hands|door|gate|stair|step|bread|flour|water|floor|table|cloth|linen|jar|lamp|oil|dust|blood|wall|roof|knee|foot|feet|stood|sat|walked|opened|closed|carried|poured|washed|set|put)\b"
 SIMILE = r"(?i)\b(?:like (?:a|an|the)\s+[\w'-]+(?:\s+[\w'-]+){0,4}|as if\s+[\w'-]+(?:\s+[\w'-]+){0,4}|the way\s+[\w'-]+(?:\s+[\w'-]+){0,4})"
@@ -93,3 +94,90 @@ PROFILES = {
     "historical": _HISTORICAL,
     "biblical": _HISTORICAL,
 }
+
+# Fixed values of the score rules, by genre where they differ.
+
+#: Weights of the ten gated dimensions.
+DIMENSION_WEIGHTS = {"originality": 1.1, "theme": 1.0, "characters": 1.2, "prose": 1.0, "pacing": 1.0, "emotion": 1.1, "cohesion": 0.9, "market": 0.8, "voice": 1.1, "ending": 0.8}
+#: Floor, average and least score of an approved board; distance of commercial index and floor, and of average and floor.
+BOARD_FLOOR, BOARD_AVERAGE, BOARD_LEAST, DIVERGENCE, BOTTLENECK = 8.5, 9.0, 8.0, 2.0, 1.0
+#: Floors under which a chapter is broken, and the floor and casual score of a pass.
+HARD_FLOORS = {"literary": 7.5, "commercial": 7.0, "thriller": 7.0, "memoir": 7.5, "prescriptive": 7.0}
+PASS_FLOOR = PASS_CASUAL = 8.5
+#: genre: floor, patterns, explanatory extensions and em dashes of a chapter that passes its gate.
+GATE_LIMITS = {"literary": (7.5, 3, 3, 3), "memoir": (7.5, 4, 3, 5), "commercial": (7.0, 8, 6, 8), "thriller": (7.0, 8, 6, 8), "prescriptive": (6.5, 12, 8, 15), "first_draft": (6.5, 15, 10, 20)}
+#: genre: most patterns of a clean and of a watched chapter.
+PATTERN_BANDS = {"literary": (3, 6), "memoir": (4, 7), "commercial": (8, 11), "prescriptive": (12, 15)}
+#: Patterns that are at home in prescriptive books and weigh half there.
+ENDEMIC_PATTERNS = [7, 11, 15, 16, 18, 19]
+#: genre: explanatory extensions, and extensions per 1,000 words, over which prose is capped.
+EXTENSION_CAPS = {"literary": (3, 0.5), "memoir": (4, 0.6), "commercial": (6, 0.8), "prescriptive": (8, 1.0)}
+PROSE_CAP = 7.5
+#: engagement: originality, theme, vocabulary, re-reading, identity, framework.
+LEGACY_WEIGHTS = {"default": (0.30, 0.25, 0.20, 0.15, 0.10, 0.0), "aspiration": (0.20, 0.20, 0.20, 0.15, 0.25, 0.0), "prescriptive": (0.15, 0.15, 0.20, 0.15, 0.10, 0.25)}
+#: genre: least hook and pull of a chapter; the first chapter's hook needs one more.
+HOOK_PULL = {"thriller": (8, 8), "literary": (6, 6), "commercial": (7, 7), "memoir": (6, 7), "romance": (7, 7), "prescriptive": (6, 6)}
+#: genre: accepted words of a book.
+BOOK_WORDS = {"memoir": (60000, 90000), "literary": (80000, 95000), "thriller": (70000, 100000), "romance": (75000, 100000), "nonfiction": (50000, 80000)}
+#: kind of sample: how many a voice bank needs at least.
+VOICE_SAMPLES = {"any": 10, "voice-breaking": 3, "irrelevant-thought": 2}
+FORMULAS = {
+    "not because": r"not because.*but because",
+    "the kind of": r"the kind of \w+ that",
+    "not as": r"not as \w+ but as",
+    "there was something": r"there was something \w+ about",
+    "it was the sort": r"it was the (sort|kind|type) of",
+    "as if were": r"as if .{5,40} were",
+    "doubled abstracts": r"(grief|loss|pain|joy|love|fear|hope|shame|guilt|rage) and (grief|loss|pain|joy|love|fear|hope|shame|guilt|rage)",
+}
+FORBIDDEN_WORDS = "palpable tangible visceral whilst gaze orbs ministrations utilize plethora myriad ubiquitous dichotomy juxtaposition paradigm trajectory".split()
+SAFE_WORDS = {"utilize": "use", "whilst": "while", "upon": "on", "commence": "begin", "endeavor": "try"}
+MARKERS = {
+    "weekday": r"(?i)\b(monday|tuesday|wednesday|thursday|friday|saturday|sunday)\b",
+    "relative": r"(?i)\b(yesterday|tomorrow|last week|next week|three days|two weeks|a month|next morning)\b",
+    "later": r"(?i)\b(hours? later|days? later|weeks? later|months? later|years? later)\b",
+    "that time": r"(?i)\b(that (morning|afternoon|evening|night))\b",
+    "date": r"\b(january|february|march|april|may|june|july|august|september|october|november|december)\s+\d",
+    "day and month": r"\b\d{1,2}/\d{1,2}\b",
+    "year": r"\b(19|20)\d{2}\b",
+    "season": r"(?i)\b(spring|summer|autumn|fall|winter)\b",
+    "time of day": r"(?i)\b(dawn|sunrise|morning|noon|midday|afternoon|dusk|sunset|evening|night|midnight)\b",
+    "device": r"(?i)\b(phone|cell|mobile|smartphone|iphone|android|app|wifi|internet|email|text|GPS)\b",
+    "machine": r"(?i)\b(computer|laptop|tablet|printer|fax|typewriter)\b",
+    "service": r"(?i)\b(google|uber|instagram|facebook|twitter|whatsapp|zoom|facetime)\b",
+    "broadcast": r"(?i)\b(TV|television|radio|streaming|netflix|youtube)\b",
+    "street": r"(?i)\b(street|avenue|road|highway|boulevard|plaza|square)\b",
+    "direction": r"(?i)\b(north|south|east|west|left|right|across|behind|above|below)\b",
+    "distance": r"(?i)\b(miles?|kilometers?|blocks?|minutes? (away|drive|walk))\b",
+    "money": r"(?i)\b(dollar|euro|real|reais|pound|cent|money|cash|salary|rent|price|cost|paid|owe)\b",
+    "amount": r"\$\d|R\$\d|\d+\s*(dollars?|euros?|reais)",
+}
+
+# Fixed values of gates and state events.
+
+GATE_CHECKS = "timeline lint chapter_order wordcount proof book_meta epub macro texture human_pass voice_lexicon structure_variety dynamic_range".split()
+ADVISORY_CHECKS = ["macro", "texture", "voice_lexicon", "dynamic_range"]
+#: Checks with word lists of English, skipped for other languages.
+ENGLISH_CHECKS = ["lint", "macro"]
+#: Event type and the blocks of the state that it may write; the block of scores goes by a name of our own.
+EVENT_BLOCKS = {
+    "phase-advance": ["phase"],
+    "chapter-draft": ["chapters"],
+    "chapter-revision": ["chapters", "revision_cycles"],
+    "evaluation-update": ["score", "commercial_viability", "evaluation_tracking", "quality_gate", "systemic_patterns"],
+    "entity-update": ["continuity"],
+    "continuity-update": ["continuity"],
+    "research-update": ["project"],
+    "human-feedback": ["human_feedback"],
+    "voice-baseline": ["voice_bank", "voice_dna"],
+    "reader-persona-update": ["reader_personas"],
+    "reader-evidence": ["evaluation_tracking"],
+    "mechanical-preprocess": ["mechanical_preprocess"],
+    "package-update": ["decisions"],
+    "decision": ["decisions"],
+    "adoption": ["project", "chapters"],
+    "human-pass": ["human_pass"],
+    "config-update": ["runtime"],
+}
+#: Event types that apply only with a human's approval.
+APPROVED_EVENTS = ["phase-advance", "package-update", "human-pass"]

@@ -14,6 +14,11 @@ def proof(chapters: DataFrame) -> DataFrame:
     return over_frames(plans.proof(SPARK, "chapters_to_check"), chapters=chapters)
 
 
+def places(chapters: DataFrame) -> DataFrame:
+    """Places of doubled words, doubled blanks, control characters and broken encodings, with line number and excerpt."""
+    return over_frames(plans.proof_places(SPARK, "chapters_to_check"), chapters=chapters)
+
+
 def macro(chapters: DataFrame) -> DataFrame:
     """Shapes that too many chapters share; manuscripts under six chapters have none."""
     return over_frames(plans.macro(SPARK, "chapters_to_check"), chapters=chapters)

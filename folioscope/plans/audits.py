@@ -198,8 +198,8 @@ def _shown(sql: str) -> str:
     return f"SELECT manuscript_id, chapter, check_name, severity, item, n, round(measured, 6) AS measured, low, high FROM ({sql}) shown"
 
 
-def _bank(d: Dialect, rows: list) -> str:
-    return f"(SELECT 'm1' AS manuscript_id, lineno, line FROM {d.values(rows, 'lineno, line')} v)"
+def _bank(d: Dialect, name: str, rows: list) -> str:
+    return d.table(name, [("m1", *r) for r in rows], "manuscript_id, lineno, line")
 
 
 @plan("A35 A36 W5 W6 W9 W15 W16 W17 P10 C18")
@@ -221,9 +221,46 @@ def macro_findings(d):
 
 @plan("J5 J6 J7 W8 A30 S5 C17 C18")
 def timeline_issues(d):
-    return _shown(timeline(d, _bank(d, fx.TIMELINE)))
+    return _shown(timeline(d, _bank(d, "records", fx.TIMELINE)))
 
 
 @plan("S6 J2 A21 W12 C18")
 def texture_issues(d):
-    return _shown(texture(d, _bank(d, fx.TEXTURE), chapters(d)))
+    return _shown(texture(d, _bank(d, "bank", fx.TEXTURE), chapters(d)))
+
+
+def occurrences(d: Dialect, rel: str, text: str, pattern: str) -> str:
+    """Matches of a pattern in chapters: number, start (from 0), matched text and the text between it and the one before.
+
+    A start is the length of all that stands before, so only lengths meet in the window, not texts.
+    """
+    mark = "\x1f"
+    split = f"{'split' if d.spark else 'string_split'}({d.sub('p', pattern, mark)}, {d.lit(mark)})"
+    cut = f"(SELECT manuscript_id, chapter, {d.all_of('p', pattern)} AS hits, {split} AS gaps FROM (SELECT manuscript_id, chapter, {d.sub(text, mark, ' ')} AS p FROM {rel} src WHERE raw IS NOT NULL) t)"
+    each = d.spread(f"{cut} u", "manuscript_id, chapter, gaps", "hits", "i", "hit")
+    w = "OVER (PARTITION BY manuscript_id, chapter ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    return f"(SELECT manuscript_id, chapter, i, hit, gap, CAST(sum(length(gap) + length(hit)) {w} - length(hit) AS BIGINT) AS start FROM (SELECT manuscript_id, chapter, i, hit, {d.at('gaps', 'i + 1')} AS gap FROM {each} e) f)"
+
+
+def proof_places(d: Dialect, rel: str) -> str:
+    """Places of doubled words, doubled blanks, control characters and broken encodings, with line number and excerpt."""
+    text = "raw"
+    words = occurrences(d, rel, text, WORD + "+")
+    doubled = f"SELECT manuscript_id, chapter, 'doubled_words' AS check_name, start, size FROM (SELECT manuscript_id, chapter, lag(start) OVER w AS start, CAST(start + length(hit) - lag(start) OVER w AS BIGINT) AS size, lower(hit) = lower(lag(hit) OVER w) AND {d.has('gap', r'^\s+$')} AS again FROM {words} x WINDOW w AS (PARTITION BY manuscript_id, chapter ORDER BY i)) y WHERE again"
+    simple = {"doubled_spaces": r"[^\s.]  +", "mojibake": "|".join(m.replace("|", "[|]") for m in lx.MOJIBAKE), "control_character": "[\x01-\x08\x0b\x0c\x0e-\x1e\x7f]"}
+    arms = [doubled, *(f"SELECT manuscript_id, chapter, '{name}', start, CAST(length(hit) AS BIGINT) FROM {occurrences(d, rel, text, p)} o" for name, p in simple.items())]
+    lines = f"length(left(c.raw, CAST(f.start AS INT))) - length(replace(left(c.raw, CAST(f.start AS INT)), {d.lit(chr(10))}, '')) + 1"
+    excerpt = f"replace(substring(c.raw, CAST(greatest(f.start - 29, 1) AS INT), CAST(f.size + 30 + least(f.start, 30) AS INT)), {d.lit(chr(10))}, ' ')"
+    return f"SELECT f.manuscript_id, f.chapter, f.check_name, f.start, CAST({lines} AS BIGINT) AS line, {excerpt} AS excerpt FROM ({' UNION ALL '.join(arms)}) f JOIN {rel} c ON c.manuscript_id = f.manuscript_id AND c.chapter = f.chapter"
+
+
+@plan("P10")
+def proof_excerpts(d):
+    """Places in the chapters with their line and thirty characters on either side."""
+    return proof_places(d, d.table("chapters", fx.FLAWED, "manuscript_id, chapter, ord, raw"))
+
+
+@plan("P10")
+def proof_document_places(d):
+    """The same over all documents."""
+    return proof_places(d, _documents(d))

@@ -3,6 +3,6 @@
 from __future__ import annotations
 
 from folioscope.plans import audits, checks, library, lint, prose, scoring, voices  # noqa: F401  (each registers its plans)
-from folioscope.plans.registry import COVERS, ORACLES, QUERIES  # noqa: F401
+from folioscope.plans.registry import BUILDERS, COVERS, ORACLES, QUERIES  # noqa: F401
 
 FLAGSHIP = "fingerprint_delta"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from folioscope.functions import lexicons as lx
 from folioscope.functions.dialect import Dialect
 from folioscope.plans import fixtures as fx
 from folioscope.plans.registry import chapters, plan
@@ -9,7 +10,7 @@ from folioscope.plans.registry import chapters, plan
 
 def _timeline(d: Dialect, kind: str, fields: dict[str, str]) -> str:
     cols = ", ".join(f"{d.field('line', k)} AS {v}" for k, v in fields.items())
-    return f"(SELECT lineno, {cols} FROM {d.values(fx.TIMELINE, 'lineno, line')} r WHERE lower(line) LIKE '{kind} %')"
+    return f"(SELECT lineno, {cols} FROM {d.table('timeline', fx.TIMELINE, 'lineno, line')} r WHERE lower(line) LIKE '{kind} %')"
 
 
 def events(d: Dialect) -> str:
@@ -32,7 +33,7 @@ def onces(d: Dialect) -> str:
 def timeline_records(d):
     """Kinds of record lines; comments and blanks left out, unknown kinds are errors, not exceptions."""
     kind = f"lower({d.first('line', '^([A-Za-z]+)', 1)})"
-    return f"SELECT lineno, CASE WHEN {kind} IN ('event', 'age', 'span', 'once') THEN {kind} ELSE 'error' END AS kind FROM {d.values(fx.TIMELINE, 'lineno, line')} r WHERE line NOT LIKE '#%' AND {d.trim('line')} <> ''"
+    return f"SELECT lineno, CASE WHEN {kind} IN ('event', 'age', 'span', 'once') THEN {kind} ELSE 'error' END AS kind FROM {d.table('timeline', fx.TIMELINE, 'lineno, line')} r WHERE line NOT LIKE '#%' AND {d.trim('line')} <> ''"
 
 
 @plan("J5")
@@ -124,26 +125,48 @@ def evidence_rows(d):
     """Reader rows: rejected with a reason, doubled, or kept; invalid rows do not block later ones."""
     good = f"{d.number('chapter', 'BIGINT')} IS NOT NULL AND {d.number('rating', 'BIGINT')} BETWEEN 1 AND 5 AND reader_id <> ''"
     return f"""SELECT row_no, CASE WHEN NOT ok THEN 'rejected' WHEN r > 1 THEN 'duplicate' ELSE 'kept' END AS fate FROM (SELECT row_no, ok, row_number() OVER (PARTITION BY reader_id, chapter, ok ORDER BY row_no) AS r
-        FROM (SELECT row_no, reader_id, chapter, coalesce({good}, false) AS ok FROM {d.values(fx.EVIDENCE, 'row_no, reader_id, chapter, rating, comment, delayed')} e) v) w"""
+        FROM (SELECT row_no, reader_id, chapter, coalesce({good}, false) AS ok FROM {d.table('evidence', fx.EVIDENCE, 'row_no, reader_id, chapter, rating, comment, delayed')} e) v) w"""
 
 
 def evidence(d: Dialect) -> str:
     return f"""(SELECT reader_id, chapter_no, rating_no, delayed IN ('1', 'true', 'yes') AS late FROM (SELECT *, {d.number('chapter', 'BIGINT')} AS chapter_no, {d.number('rating', 'BIGINT')} AS rating_no, row_number() OVER (PARTITION BY reader_id, chapter ORDER BY row_no) AS r
-        FROM {d.values(fx.EVIDENCE, 'row_no, reader_id, chapter, rating, comment, delayed')} e WHERE {d.number('chapter', 'BIGINT')} IS NOT NULL AND {d.number('rating', 'BIGINT')} BETWEEN 1 AND 5 AND reader_id <> '') v WHERE r = 1)"""
+        FROM {d.table('evidence', fx.EVIDENCE, 'row_no, reader_id, chapter, rating, comment, delayed')} e WHERE {d.number('chapter', 'BIGINT')} IS NOT NULL AND {d.number('rating', 'BIGINT')} BETWEEN 1 AND 5 AND reader_id <> '') v WHERE r = 1)"""
 
 
 @plan("A28 A29")
 def evidence_summary(d):
     """Readers, ratings and confidence tier per chapter and overall."""
-    return f"""SELECT chapter_no, readers, rating, any_high, any_low, late, CASE WHEN n >= 6 AND spread >= 3 AND any_high AND any_low THEN 'strong' WHEN n >= 3 THEN 'moderate' ELSE 'weak' END AS tier FROM
+    return f"""SELECT chapter_no, readers, rating, any_high, any_low, late, CASE WHEN n >= 6 AND spread >= 3 AND any_high AND any_low THEN 'strong' WHEN n >= 3 AND spread >= 2 THEN 'moderate' ELSE 'weak' END AS tier FROM
         (SELECT chapter_no, count(*) AS n, count(DISTINCT chapter_no) AS spread, count(DISTINCT reader_id) AS readers, round(avg(rating_no), 6) AS rating, bool_or(rating_no >= 4) AS any_high, bool_or(rating_no <= 2) AS any_low, count(CASE WHEN late THEN 1 END) AS late
         FROM {evidence(d)} e GROUP BY GROUPING SETS ((), (chapter_no))) t"""
 
 
+#: A floor in bold at the head of a report, whatever the score's own name before it.
+FLOOR_HEADLINE = r"[*][*][A-Za-z ]*Floor:[*][*]\s*([0-9]+(?:[.][0-9]+)?)"
+
+
+def headlines(d: Dialect) -> str:
+    """Floors as the headlines of evaluation reports state them; reports without one have none."""
+    reports = d.table("evaluation_reports", fx.EVALUATION_REPORTS, "book, name, raw")
+    return f"""(SELECT book, name, {d.number(d.first('raw', FLOOR_HEADLINE, 1), 'DOUBLE')} AS floor_score FROM {reports} r WHERE {d.has('name', '^eval-chapter-[^/]*[.]md$')})"""
+
+
+@plan("S15")
+def evaluation_floors(d):
+    """Floors of the evaluation reports by chapter, from their headlines."""
+    return f"SELECT book, name, floor_score FROM {headlines(d)} h WHERE floor_score IS NOT NULL"
+
+
 @plan("A32 S15 FL8")
+def headline_range(d):
+    """Flat headlines: population CV under 0.02 with six chapters or more; fewer are skipped."""
+    return f"""SELECT book, n, CASE WHEN n < 6 THEN 'skip' WHEN cv < 0.02 THEN 'fail' ELSE 'pass' END AS status FROM (SELECT book, count(floor_score) AS n, coalesce(stddev_pop(floor_score) / avg(floor_score), 0) AS cv FROM {headlines(d)} h GROUP BY book) t"""
+
+
+@plan("A32 FL8")
 def dynamic_range(d):
     """Population CV of evaluation floors under 0.02 with six chapters or more."""
-    return f"SELECT book, count(*) AS n, round(stddev_pop(floor_score) / avg(floor_score), 6) AS cv, count(*) >= 6 AND stddev_pop(floor_score) / avg(floor_score) < 0.02 AS flat FROM {d.values(fx.FLOORS, 'book, chapter, floor_score')} f GROUP BY book"
+    return f"SELECT book, count(*) AS n, round(stddev_pop(floor_score) / avg(floor_score), 6) AS cv, count(*) >= 6 AND stddev_pop(floor_score) / avg(floor_score) < 0.02 AS flat FROM {d.table('floors', fx.FLOORS, 'book, chapter, floor_score')} f GROUP BY book"
 
 
 @plan("A34 P3")
@@ -152,35 +175,130 @@ def protected_spans(d):
     return f"SELECT manuscript_id, CAST(sum({d.count('raw', '(?s)<!-- hp:start -->.*?<!-- hp:end -->')}) AS BIGINT) AS n, CAST(greatest(1, ceil(count(*) / 4.0)) AS BIGINT) AS wanted FROM {chapters(d)} c GROUP BY manuscript_id"
 
 
+def registry(d: Dialect) -> str:
+    return d.values([(k, k in lx.ADVISORY_CHECKS) for k in lx.GATE_CHECKS], "name, advisory")
+
+
 @plan("A37 J18 FL12 U6")
 def gate_verdict(d):
-    """Check tokens against the registry: an unknown one is a blocking error, advisory ones never block."""
-    tokens = [("g1", "lint", "pass"), ("g1", "macro", "fail"), ("g2", "lint", "fail"), ("g2", "proof", "pass"), ("g3", "bogus", "pass"), ("g4", "lint", "skip"), ("g4", "dynamic_range", "error")]
-    known = [(k, k in ("macro", "texture", "voice_lexicon", "dynamic_range")) for k in "timeline lint chapter_order wordcount proof macro texture human_pass voice_lexicon structure_variety book_meta dynamic_range epub".split()]
-    return f"""SELECT gate, NOT bool_or(blocks) AS ok, coalesce({d.join(d.sorted_set("CASE WHEN blocks THEN token END"), ',')}, '') AS blockers FROM (SELECT t.gate, t.token, CASE WHEN k.token IS NULL THEN true ELSE t.status IN ('fail', 'error') AND NOT k.advisory END AS blocks
-        FROM {d.values(tokens, 'gate, token, status')} t LEFT JOIN {d.values(known, 'token, advisory')} k ON k.token = t.token) x GROUP BY gate"""
+    """Gates of phases: each check token (name and arguments, parted by colons) against the registry and the checks' outcomes.
+
+    An unknown name is an error that blocks, whatever the outcome; a check without an outcome is an error, too; a check of
+    English prose over another language is skipped; advisory ones never block.  With outputs pending no check counts and the
+    gate is shut.
+    """
+    tokens, outcomes = d.table("gate_tokens", fx.GATE_TOKENS, "gate, token"), d.table("outcomes", fx.OUTCOMES, "gate, name, status")
+    pending, langs = d.table("pending", fx.PENDING, "gate, path"), d.table("languages", fx.LANGUAGES, "gate, lang")
+    english = ", ".join(d.lit(k) for k in lx.ENGLISH_CHECKS)
+    each = f"""(SELECT t.gate, t.name, coalesce(k.advisory, false) AS advisory, CASE WHEN k.name IS NULL THEN 'error' WHEN t.name IN ({english}) AND lower(coalesce(l.lang, 'en')) NOT LIKE 'en%' THEN 'skip' ELSE coalesce(o.status, 'error') END AS status
+        FROM (SELECT gate, {d.first('token', '^([^:]*)', 1)} AS name FROM {tokens} x) t LEFT JOIN {registry(d)} k ON k.name = t.name LEFT JOIN {outcomes} o ON o.gate = t.gate AND o.name = t.name LEFT JOIN {langs} l ON l.gate = t.gate)"""
+    names = lambda test: f"coalesce({d.join(d.sorted_set(f'CASE WHEN {test} THEN name END'), ',')}, '')"
+    bad = "status IN ('fail', 'error')"
+    return f"""SELECT e.gate, coalesce(max(p.n), 0) = 0 AND NOT bool_or({bad} AND NOT advisory) AS ok, coalesce(max(p.n), 0) AS pending, CASE WHEN max(p.n) > 0 THEN '' ELSE {names(bad + ' AND NOT advisory')} END AS blocking,
+        CASE WHEN max(p.n) > 0 THEN '' ELSE {names(bad + ' AND advisory')} END AS advised FROM {each} e LEFT JOIN (SELECT gate, count(*) AS n FROM {pending} q GROUP BY gate) p ON p.gate = e.gate GROUP BY e.gate"""
+
+
+def state(d: Dialect) -> str:
+    """Events in order with their result code, and the phase that the ones before them led to."""
+    allowed = d.table("allowed_blocks", [(t, b, t in lx.APPROVED_EVENTS) for t, blocks in lx.EVENT_BLOCKS.items() for b in blocks], "event_type, block, needs")
+    types = f"(SELECT event_type, bool_or(needs) AS needs FROM {allowed} a GROUP BY event_type)"
+    events, sets = d.table("state_events", fx.EVENTS, "project, seq, event_type, note, expected_phase, approved"), d.table("state_sets", fx.SETS, "project, seq, path, val")
+    wrong = f"(SELECT s.project, s.seq, min(s.path) AS path FROM {sets} s JOIN {events} v ON v.project = s.project AND v.seq = s.seq WHERE NOT EXISTS (SELECT 1 FROM {allowed} a WHERE a.event_type = v.event_type AND a.block = {d.first('s.path', '^([^.]*)', 1)}) GROUP BY s.project, s.seq)"
+    checked = f"""(SELECT e.project, e.seq, e.event_type, e.note, e.expected_phase, CASE WHEN {d.trim("coalesce(e.note, '')")} = '' THEN 'schema-validation' WHEN t.event_type IS NULL THEN 'schema-validation' WHEN w.path IS NOT NULL THEN 'allowlist-violation'
+        WHEN t.needs AND NOT coalesce(e.approved, false) THEN 'human-gate-required' ELSE 'ok' END AS code, p.val AS next_phase FROM {events} e LEFT JOIN {types} t ON t.event_type = e.event_type LEFT JOIN {wrong} w ON w.project = e.project AND w.seq = e.seq
+        LEFT JOIN {sets} p ON p.project = e.project AND p.seq = e.seq AND p.path = 'phase.current')"""
+    return checked
+
+
+@plan("FL13 FL14")
+def state_codes(d):
+    """Code of each event by its own contents: note, type, blocks that it writes, approval; and whether it may be sent again."""
+    return f"SELECT project, seq, code, code IN ('schema-validation', 'reference-validation', 'stale-phase') AS retryable FROM {state(d)} s"
+
+
+@plan("FL13 FL14 K6 K14")
+def state_events(d):
+    """Code of each event of a project: as :func:`state_codes`, then the phase that it expects against the one it meets.
 
+    An event that meets another phase than it expects is stale and changes nothing, so phases are folded in order: a
+    recursive walk over a project's events.
+    """
+    start = d.table("projects", fx.PROJECTS, "project, phase")
+    numbered = f"(SELECT project, seq, code, expected_phase, next_phase, CAST(row_number() OVER (PARTITION BY project ORDER BY seq) AS BIGINT) AS r FROM {state(d)} s)"
+    stale = "n.code = 'ok' AND coalesce(n.expected_phase, '') <> '' AND f.phase <> '' AND n.expected_phase <> f.phase"
+    return f"""WITH RECURSIVE n AS (SELECT * FROM {numbered} m), f(project, r, seq, code, phase) AS (SELECT project, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST('' AS {'STRING' if d.spark else 'VARCHAR'}), phase FROM {start} p
+        UNION ALL SELECT n.project, n.r, n.seq, CASE WHEN {stale} THEN 'stale-phase' ELSE n.code END, CASE WHEN n.code = 'ok' AND NOT ({stale}) AND n.next_phase IS NOT NULL THEN n.next_phase ELSE f.phase END FROM f JOIN n ON n.project = f.project AND n.r = f.r + 1)
+        SELECT project, seq, code, phase AS phase_after FROM f WHERE r > 0"""
 
-ALLOWED = [("chapter-drafted", "chapters", False), ("phase-advance", "pipeline", True), ("note-added", "notes", False), ("package-update", "package", True), ("human-pass", "human_pass", True)]
 
+@plan("S11 S12 K14 K6")
+def state_fold(d):
+    """State after all events that their contents let pass: the last value of each dotted path, and its block."""
+    sets = d.table("state_sets", fx.SETS, "project, seq, path, val")
+    return f"""SELECT project, path, {d.first('path', '^([^.]*)', 1)} AS block, {d.best('val', 'seq')} AS val FROM (SELECT s.project, s.seq, s.path, s.val FROM {sets} s JOIN {state(d)} e ON e.project = s.project AND e.seq = s.seq WHERE e.code = 'ok') t GROUP BY project, path"""
+
+
+@plan("S11 S12")
+def state_lookup(d):
+    """Values of a state document by key: a dotted path as it is, a bare key by its first line anywhere."""
+    lines, keys = d.table("state_lines", fx.STATE_LINES, "project, path, val, lineno"), d.table("wanted_keys", fx.WANTED_KEYS, "project, key")
+    leaf = d.first("l.path", "([^.]*)$", 1)
+    return f"""SELECT w.project, w.key, {d.best('l.val', 'l.lineno', most=False)} AS val FROM {keys} w LEFT JOIN {lines} l ON l.project = w.project AND CASE WHEN w.key LIKE '%.%' THEN l.path = w.key ELSE {leaf} = w.key END GROUP BY w.project, w.key"""
 
-@plan("FL13 FL14 K6 K14 S11 S12")
-def state_events(d):
-    """Result code of each event: note, type, block, approval and phase are checked in that order; the phase is
-    the one that the advances before it led to."""
-    return f"""SELECT project, seq, CASE WHEN note = '' THEN 'schema-validation' WHEN block_ok IS NULL THEN 'schema-validation' WHEN block <> block_ok THEN 'allowlist-violation' WHEN needs AND NOT approved THEN 'human-gate-required' WHEN expected_phase <> phase THEN 'stale-phase' ELSE 'ok' END AS code FROM
-        (SELECT s.*, a.block AS block_ok, a.needs, CASE WHEN coalesce(sum(CASE WHEN s.event_type = 'phase-advance' AND s.approved AND s.expected_phase = 'draft' THEN 1 ELSE 0 END) OVER (PARTITION BY s.project ORDER BY s.seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 THEN 'review' ELSE 'draft' END AS phase
-        FROM {d.values(fx.STATE, 'project, seq, event_type, note, expected_phase, block, approved')} s LEFT JOIN {d.values(ALLOWED, 'event_type, block, needs')} a ON a.event_type = s.event_type) t"""
 
+def _coerced(d: Dialect) -> str:
+    """Overrides with their typed value, null where it does not fit."""
+    known = d.values([(k, float(v), isinstance(v, int)) for k, v in lx.THRESHOLDS.items()], "k, v, whole")
+    given = d.table("overrides", fx.OVERRIDES, "k, v")
+    fits = f"CASE WHEN t.whole THEN CAST({d.number('CASE WHEN ' + d.has('g.v', '^ *[-+]?[0-9]+ *$') + ' THEN g.v END', 'BIGINT')} AS DOUBLE) ELSE {d.number('g.v', 'DOUBLE')} END"
+    return f"(SELECT coalesce(t.k, g.k) AS k, t.v AS standard, g.v AS given, CASE WHEN t.k IS NULL THEN 'unknown key' WHEN g.v IS NOT NULL AND {fits} IS NULL THEN 'bad value' END AS warning, {fits} AS fitted FROM {known} t FULL OUTER JOIN {given} g ON g.k = t.k)"
 
-@plan("C1 C2 C3 FL15")
+
+@plan("C1 C2")
 def style_overrides(d):
-    """Defaults and overrides: typed values, warnings for unknown keys and bad values, tightening only when derived."""
-    defaults = [("em_dash_per_1k", 4.0), ("adverbs_per_1k", 10.5), ("filters_per_1k", 6.0), ("extension_per_1k", 0.6)]
-    given = [("em_dash_per_1k", "3.5"), ("adverbs_per_1k", "many"), ("colour", "red")]
-    measured = [("em_dash_per_1k", 2.0), ("adverbs_per_1k", 50.0), ("filters_per_1k", 4.0)]
-    return f"""SELECT coalesce(t.k, g.k) AS k, coalesce({d.number('g.v', 'DOUBLE')}, t.v) AS resolved, CASE WHEN t.k IS NULL THEN 'unknown key' WHEN g.v IS NOT NULL AND {d.number('g.v', 'DOUBLE')} IS NULL THEN 'bad value' END AS warning,
-        CASE WHEN 1.25 * m.v < t.v THEN round(1.25 * m.v, 6) END AS derived FROM {d.values(defaults, 'k, v')} t FULL OUTER JOIN {d.values(given, 'k, v')} g ON g.k = t.k LEFT JOIN {d.values(measured, 'k, v')} m ON m.k = t.k"""
+    """All limits with overrides on top, typed; unknown keys and bad values are warnings and change nothing."""
+    return f"SELECT k, CASE WHEN warning IS NULL THEN coalesce(fitted, standard) ELSE standard END AS resolved, warning FROM {_coerced(d)} c"
+
+
+DERIVED = ["em_dash_per_1k", "adverb_per_1k", "filter_word_per_1k", "not_x_but_y_per_10k"]
+
+
+@plan("C3 FL15")
+def derived_overrides(d):
+    """Limits from a corpus's own rates, a quarter on top, taken only where they are tighter; looser ones are told."""
+    measured = d.table("measured", fx.MEASURED, "profile, k, rate")
+    rows = [(name, k, float((lx.THRESHOLDS | lx.PROFILES.get(name, {}))[k])) for name in ("", *lx.PROFILES) for k in DERIVED]
+    return f"""SELECT profile, k, round(candidate, 2) AS candidate, round(candidate, 2) < standard AS applies FROM (SELECT m.profile, m.k, 1.25 * m.rate AS candidate, t.v AS standard FROM {measured} m JOIN {d.values(rows, 'profile, k, v')} t ON t.profile = m.profile AND t.k = m.k) x"""
+
+
+def corpus_vector(d: Dialect, rel: str, by: str) -> str:
+    """Words, densities, dialogue, grade and plain tags of the texts (raw) of each ``by``."""
+    t = "(" + d.strip_comments("raw") + ")"
+    tags = "|".join(lx.TAG_VERBS)
+    behind, ahead = r"(?i)[\"”]\s*,?\s*(?:{})\b", r"(?i)\b[\p{{L}}\p{{N}}_]+\s+(?:{})[,:]?\s*[\"“]"
+    counted = lambda verbs: f"{d.count('p', behind.format(verbs))} + {d.count('p', ahead.format(verbs))}"
+    not_adverb = "(" + ", ".join(d.lit(w) for w in lx.NOT_ADVERBS) + ")"
+    filters = r"\b(?:I|[Hh]e|[Ss]he|[Tt]hey|[Ww]e|[A-Z][\p{L}\p{N}_'’-]+)\s+(?:" + "|".join(lx.FILTER_VERBS) + r")\b"
+    spoken = d.join(d.all_of("p", r"[“\"]([^”\"]{2,})[”\"]", 1), " ")
+    cols = {
+        "words": d.size("ws"), "dashes": d.count("p", "—|--"), "adverbs": d.size(d.keep("ws", "w", f"length(w) > 3 AND w LIKE '%ly' AND w NOT IN {not_adverb}")), "filters": f"{d.count('p', filters)} + {d.count('p', lx.FOUND_SELF)}",
+        "nxby": d.count("p", lx.NOT_BUT), "spoken": f"coalesce({d.size(d.tokens(spoken))}, 0)", "sents": f"greatest({d.size(d.sentences('p'))}, 1)",
+        "syllables": f"CAST({d.total(d.map('ws', 'w', 'CAST(' + d.syllables('w') + ' AS DOUBLE)'))} AS BIGINT)", "tags": counted(tags), "plain": counted("said|asked"),
+    }
+    per = f"(SELECT {by}, {', '.join(f'{v} AS {k}' for k, v in cols.items())} FROM (SELECT {by}, p, {d.tokens('p')} AS ws FROM (SELECT {by}, {t} AS p FROM {rel} src WHERE raw IS NOT NULL) a) b)"
+    rate = lambda k, n: f"{n} * sum({k}) / sum(words)"
+    return f"""(SELECT {by}, CAST(sum(words) AS BIGINT) AS words, {rate('dashes', '1000.0')} AS em_dash_per_1k, {rate('adverbs', '1000.0')} AS adverb_per_1k, {rate('filters', '1000.0')} AS filter_word_per_1k, {rate('nxby', '10000.0')} AS not_x_but_y_per_10k,
+        {rate('spoken', '1.0')} AS dialogue_ratio, 0.39 * sum(words) / sum(sents) + 11.8 * sum(syllables) / sum(words) - 15.59 AS fk_grade, 1.0 * sum(plain) / nullif(sum(tags), 0) AS said_tag_share FROM {per} e GROUP BY {by} HAVING sum(words) > 0)"""
+
+
+@plan("A27 C4 S4")
+def corpus_baseline(d):
+    """Corpus vector of a language's documents, with its warnings: small samples, dialogue and grade far from the profile's band."""
+    v = corpus_vector(d, "(SELECT lang, text AS raw FROM documents WHERE text IS NOT NULL)", "lang")
+    th = lx.THRESHOLDS
+    rounded = ", ".join(f"round({c}, 6) AS {c}" for c in ("em_dash_per_1k", "adverb_per_1k", "filter_word_per_1k", "not_x_but_y_per_10k", "dialogue_ratio", "fk_grade", "said_tag_share"))
+    return f"""SELECT lang, words, {rounded}, words < 1000 AS skipped, words < 5000 AS small, NOT dialogue_ratio BETWEEN {th['dialogue_ratio_min'] - 0.2} AND {th['dialogue_ratio_max'] + 0.2} AS dialogue_off,
+        NOT fk_grade BETWEEN {th['fk_grade_min'] - 3.0} AND {th['fk_grade_max'] + 3.0} AS grade_off FROM {v} x"""
 
 
 @plan("K8 C6")
@@ -191,17 +309,39 @@ def manuscript_text(d):
     return f"SELECT manuscript_id, CAST(length(string_agg(raw, chr(10) || chr(10) ORDER BY ord)) AS INTEGER) AS n_chars, sha256(string_agg(raw, chr(10) || chr(10) ORDER BY ord)) AS digest FROM {chapters(d)} c GROUP BY manuscript_id"
 
 
-@plan("C5 C8 FL10 J19")
+@plan("C8 FL10 C5")
 def pending_outputs(d):
-    """Expected files that are missing, empty or still a template."""
-    expected = [("BOOK.md",), ("OUTLINE.md",), ("chapter-01.md",), ("STYLE.md",)]
-    listed = [("BOOK.md", "title"), ("OUTLINE.md", "*(fill in the outline)*"), ("STYLE.md", "")]
-    return f"SELECT e.path, CASE WHEN l.path IS NULL THEN 'missing' WHEN l.body = '' THEN 'empty' ELSE 'template' END AS reason FROM {d.values(expected, 'path')} e LEFT JOIN {d.values(listed, 'path, body')} l ON l.path = e.path WHERE l.path IS NULL OR l.body = '' OR l.body LIKE '%*(fill in%' OR l.body LIKE '%TEMPLATE%'"
+    """Expected files that are missing, empty or still a template, and fields that a book's metadata must have."""
+    expected, listed = d.table("expected_files", fx.EXPECTED, "path"), d.table("listed_files", fx.LISTED, "path, body")
+    return f"""SELECT e.path, CASE WHEN l.path IS NULL THEN 'missing' WHEN {d.trim('l.body')} = '' THEN 'empty' ELSE 'template' END AS reason FROM {expected} e LEFT JOIN {listed} l ON l.path = e.path
+        WHERE l.path IS NULL OR {d.trim('l.body')} = '' OR l.body LIKE '%*(fill in%' OR l.body LIKE '%TEMPLATE%'"""
+
 
+@plan("J19 U5")
+def archive_links(d):
+    """Links of an archive's manifest and spine that lead nowhere: hrefs without a file, idrefs without an item."""
+    items, spine, files = d.table("manifest_items", fx.MANIFEST, "book, id, href"), d.table("spine", fx.SPINE, "book, idref"), d.table("archive_files", fx.ARCHIVE, "book, name")
+    return f"""SELECT m.book, 'missing file' AS problem, m.href AS name FROM {items} m WHERE NOT EXISTS (SELECT 1 FROM {files} f WHERE f.book = m.book AND f.name = m.href)
+        UNION ALL SELECT s.book, 'unknown item', s.idref FROM {spine} s WHERE NOT EXISTS (SELECT 1 FROM {items} m WHERE m.book = s.book AND m.id = s.idref)"""
 
-@plan("C9 P18 J20")
+
+@plan("C9")
 def phase_transition(d):
-    """Phase after a passed gate, completed at the end; a failed gate stays."""
-    phases = [("plan", "draft"), ("draft", "review"), ("review", "publish"), ("publish", None)]
-    projects = [("p1", "draft", True), ("p2", "draft", False), ("p3", "publish", True)]
-    return f"SELECT p.project, CASE WHEN NOT p.passed THEN p.phase ELSE coalesce(f.next_phase, 'completed') END AS phase_after FROM {d.values(projects, 'project, phase, passed')} p LEFT JOIN {d.values(phases, 'phase, next_phase')} f ON f.phase = p.phase"
+    """Phase after a passed gate, completed at the end; a failed gate stays, a bypassed one goes on and is told."""
+    phases, projects = d.table("phases", fx.PHASES, "phase, next_phase"), d.table("gated_projects", fx.GATED, "project, phase, passed, bypass")
+    return f"SELECT p.project, CASE WHEN p.passed OR p.bypass THEN coalesce(f.next_phase, 'completed') ELSE p.phase END AS phase_after, p.bypass AND NOT p.passed AS bypassed FROM {projects} p LEFT JOIN {phases} f ON f.phase = p.phase"
+
+
+def _slug(d: Dialect, x: str) -> str:
+    return d.sub(d.sub(f"lower({x})", "[^a-z0-9]+", "-"), "^-+|-+$", "")
+
+
+@plan("J20 P18")
+def agent_lookup(d):
+    """Agents by key, slug or label, the first listed where several fit, and the family of the model they run on."""
+    wanted, agents = d.table("wanted_agents", fx.WANTED_AGENTS, "name"), d.table("agents", fx.AGENTS, "lineno, key, label, model")
+    names = lambda *parts: " OR ".join(f"contains(lower(m.model), '{x}')" for x in parts)
+    slug = _slug(d, "w.name")
+    family = f"CASE WHEN m.model IS NULL THEN NULL WHEN {names('claude', 'opus', 'sonnet')} THEN 'claude' WHEN {names('gpt', 'codex')} THEN 'openai' WHEN {names('gemini')} THEN 'google' WHEN {names('kimi')} THEN 'kimi' ELSE 'unknown' END"
+    return f"""SELECT m.name, m.key, {family} AS family FROM (SELECT w.name, {d.best('a.key', 'a.lineno', most=False)} AS key, {d.best('a.model', 'a.lineno', most=False)} AS model FROM {wanted} w
+        LEFT JOIN {agents} a ON a.key = w.name OR a.key = replace({slug}, '-', '_') OR {_slug(d, 'a.label')} = {slug} GROUP BY w.name) m"""

@@ -12,7 +12,7 @@ from __future__ import annotations
 from folioscope.functions import lexicons as lx
 from folioscope.functions.dialect import Dialect
 from folioscope.plans.registry import chapters, plan
-from folioscope.plans.voices import collisions
+from folioscope.plans.voices import collisions, drift
 
 QUOTED = r"[\"“]([^\"“”]+)[\"”]"
 _TAGS = "|".join(lx.TAG_VERBS)
@@ -51,7 +51,7 @@ def _counts(d: Dialect, rel: str) -> tuple[str, list[str]]:
         "filters": f"{d.count('p', filters)} + {d.count('p', lx.FOUND_SELF)}",
         "toks_n": d.size("toks"),
         "adverbs": d.size(d.keep("toks", "w", f"length(w) > 3 AND w LIKE '%ly' AND w NOT IN {not_adverb}")),
-        "syllables": f"CAST({d.total(d.map('toks', 'w', f'CAST({d.syllables(chr(119))} AS DOUBLE)'))} AS BIGINT)",
+        "syllables": f"CAST({d.total(d.map('toks', 'w', 'CAST(' + d.syllables('w') + ' AS DOUBLE)'))} AS BIGINT)",
         "sents": "n_sents",
         "spoken_n": f"coalesce({d.size(d.tokens('spoken'))}, 0)",
         "paras": d.size("opens"),
@@ -188,8 +188,11 @@ def _escalation_findings(d: Dialect, rel: str, th: dict[str, float]) -> str:
 
 
 def _voice_findings(d: Dialect, rel: str) -> str:
-    """Pairs of speakers with five lines or more whose signatures cannot be told apart."""
-    return f"SELECT manuscript_id, {d.text('NULL')} AS chapter, 'voice_collision' AS check_name, 'warn' AS severity, pair AS item, CAST(1 AS BIGINT) AS n, CAST(1 AS DOUBLE) AS measured, CAST(NULL AS DOUBLE) AS low, CAST(0 AS DOUBLE) AS high FROM {collisions(d, 'true', 5, rel)} vc"
+    """Pairs of speakers whose signatures cannot be told apart, pairs that came to that, and speakers too thin to tell."""
+    row = lambda name, severity, item, high: f"manuscript_id, {d.text('NULL')} AS chapter, {name} AS check_name, {severity} AS severity, {item} AS item, CAST(1 AS BIGINT) AS n, CAST(1 AS DOUBLE) AS measured, CAST(NULL AS DOUBLE) AS low, CAST({high} AS DOUBLE) AS high"
+    thin = "kind = 'insufficient'"
+    return f"""SELECT {row("'voice_collision'", "'warn'", "pair", "0")} FROM {collisions(d, rel)} vc
+        UNION ALL SELECT {row(f"CASE WHEN {thin} THEN 'voice_drift_insufficient_data' ELSE 'voice_drift' END", f"CASE WHEN {thin} THEN 'info' ELSE 'warn' END", "who", "0")} FROM {drift(d, rel)} vd"""
 
 
 def repeats(d: Dialect, rel: str, th: dict[str, float]) -> str:
@@ -200,10 +203,10 @@ def repeats(d: Dialect, rel: str, th: dict[str, float]) -> str:
     end at 40 words; a longer repeat shows as spans that overlap. A phrase inside a longer one is dropped.
     """
     stop = ", ".join(d.lit(w) for w in lx.FUNCTION_WORDS)
-    content = lambda x: f"CASE WHEN {x} IN ({stop}) THEN 0 ELSE 1 END"
-    toks = d.spread(_toks(d, rel), "manuscript_id, chapter", "toks", "pos", "tok")
-    next_two = f"(SELECT manuscript_id, chapter, pos + 1 AS place, tok, lead(tok, 1) OVER w AS tok2, lead(tok, 2) OVER w AS tok3 FROM {toks} k WINDOW w AS (PARTITION BY manuscript_id, chapter ORDER BY pos))"
-    occ = f"(SELECT manuscript_id, chapter, place, concat(tok, ' ', tok2, ' ', tok3) AS gram FROM {next_two} o WHERE tok3 IS NOT NULL AND {' + '.join(content(t) for t in ('tok', 'tok2', 'tok3'))} >= 2)"
+    # grams are made in each chapter's own array, so no token meets its neighbour in a window
+    marked = f"(SELECT manuscript_id, chapter, toks, {d.map('toks', 'w', f'CASE WHEN w IN ({stop}) THEN 0 ELSE 1 END')} AS marks FROM {_toks(d, rel)} m)"
+    grams = d.spread(f"(SELECT manuscript_id, chapter, {d.ngrams('toks', 3, 'marks', 2)} AS gs FROM {marked} g)", "manuscript_id, chapter", "gs", "pos", "gram")
+    occ = f"(SELECT manuscript_id, chapter, pos + 1 AS place, gram FROM {grams} o WHERE gram IS NOT NULL)"
     seeds = f"(SELECT s.manuscript_id, s.gram FROM (SELECT manuscript_id, gram, count(*) AS n FROM {occ} o GROUP BY manuscript_id, gram HAVING count(*) >= {th['ngram_min_count']} AND count(DISTINCT chapter) >= 2) s JOIN {_totals(d, rel)} t ON t.manuscript_id = s.manuscript_id WHERE s.n * 10000.0 / t.total >= {th['ngram_per_10k']})"
     ctx = f"""(SELECT o.manuscript_id, o.chapter, o.gram, {d.cut('c.toks', 'o.place', f'least(o.place + {SPAN - 1}, {d.size("c.toks")})')} AS ahead, {d.reverse(d.cut('c.toks', f'greatest(o.place - {SPAN - 3}, 1)', 'o.place'))} AS behind
         FROM {occ} o JOIN {seeds} s ON s.manuscript_id = o.manuscript_id AND s.gram = o.gram JOIN {_toks(d, rel)} c ON c.manuscript_id = o.manuscript_id AND c.chapter = o.chapter)"""
@@ -248,4 +251,4 @@ def maximal_repeats(d):
 @plan("O3 W10")
 def worst_repeats(d):
     """The 25 repeats with the largest count times squared length."""
-    return f"SELECT manuscript_id, phrase, n, damage FROM (SELECT manuscript_id, phrase, n, n * len * len AS damage, row_number() OVER (ORDER BY n * len * len DESC, manuscript_id, phrase) AS r FROM ({repeats(d, _documents(d, 'lang'), thresholds() | {'ngram_per_10k': 1.0})}) x) y WHERE r <= 25"
+    return f"SELECT manuscript_id, phrase, n, n * len * len AS damage FROM ({repeats(d, _documents(d, 'lang'), thresholds() | {'ngram_per_10k': 1.0})}) x ORDER BY n * len * len DESC, manuscript_id, phrase LIMIT 25"

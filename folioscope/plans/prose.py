@@ -62,23 +62,27 @@ def em_dash_density(d):
         (SELECT manuscript_id, chapter, {d.count(p, '—|--')} AS n, {d.size(d.lint_tokens(p))} AS w FROM {chapters(d)} c) t GROUP BY GROUPING SETS ((manuscript_id), (manuscript_id, chapter))"""
 
 
+def _grams(d: Dialect, n: int, keep: str = "source, doc_id", rel: str = "documents") -> str:
+    """Runs of ``n`` words inside each document, made in its own array: no row meets its neighbour in a window."""
+    return d.spread(f"(SELECT {keep}, {d.ngrams('ws', n)} AS gs FROM (SELECT {keep}, {d.tokens('text')} AS ws FROM {rel} WHERE text IS NOT NULL) t) g", keep, "gs", "pos", "gram")
+
+
 @plan("A4 FL5 J13")
 def phrase_watch(d):
     """Watched word pairs per 10,000 words of each source."""
-    phrases = [("on the",), ("of the",), ("in the",), ("and the",)]
-    return f"""WITH t AS (SELECT source, doc_id, pos, tok, lead(tok) OVER (PARTITION BY doc_id ORDER BY pos) AS after FROM {_tokens(d)} k),
-        n AS (SELECT source, count(*) AS words FROM t GROUP BY source)
-        SELECT h.source, h.phrase, h.hits, round(10000.0 * h.hits / n.words, 6) AS per_10k FROM (SELECT source, concat(tok, ' ', after) AS phrase, count(*) AS hits FROM t GROUP BY source, concat(tok, ' ', after)) h
-        JOIN n ON n.source = h.source WHERE h.phrase IN (SELECT phrase FROM {d.values(phrases, 'phrase')} f)"""
+    phrases = d.table("watched_pairs", [("on the",), ("of the",), ("in the",), ("and the",)], "phrase")
+    return f"""SELECT h.source, h.phrase, h.hits, round(10000.0 * h.hits / n.words, 6) AS per_10k FROM (SELECT g.source, g.gram AS phrase, count(*) AS hits FROM {_grams(d, 2)} g JOIN {phrases} f ON f.phrase = g.gram GROUP BY g.source, g.gram) h
+        JOIN (SELECT source, sum({d.size(d.tokens('text'))}) AS words FROM documents WHERE text IS NOT NULL GROUP BY source) n ON n.source = h.source"""
 
 
 @plan("J13 W13 A4")
 def phrase_escalation(d):
-    """Watched words in the first and last third of each source: k = max(1, n div 3)."""
-    return f"""WITH c AS (SELECT source, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r, count(*) OVER (PARTITION BY source) AS n FROM documents WHERE text IS NOT NULL),
-        k AS (SELECT source, doc_id, CASE WHEN r <= greatest(1, CAST(floor(n / 3.0) AS BIGINT)) THEN 'early' WHEN r > n - greatest(1, CAST(floor(n / 3.0) AS BIGINT)) THEN 'late' END AS third, {d.tokens('text')} AS toks FROM c),
-        t AS (SELECT source, third, tok FROM {d.spread('k', 'source, third', 'toks', 'pos', 'tok')} x WHERE third IS NOT NULL)
-        SELECT source, tok, count(CASE WHEN third = 'early' THEN 1 END) AS early_n, count(CASE WHEN third = 'late' THEN 1 END) AS late_n FROM t WHERE tok IN ('the', 'and', 'de', 'der', 'que') GROUP BY source, tok"""
+    """Watched words in the first and last third of each source: k = max(1, n div 3).  Places are given to ids only; texts join them."""
+    words, k = d.table("watched_words", [("the",), ("and",), ("de",), ("der",), ("que",)], "word"), "greatest(1, CAST(floor(n / 3.0) AS BIGINT))"
+    return f"""WITH c AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r, count(*) OVER (PARTITION BY source) AS n FROM documents WHERE text IS NOT NULL),
+        k AS (SELECT doc_id, CASE WHEN r <= {k} THEN 'early' WHEN r > n - {k} THEN 'late' END AS third FROM c),
+        t AS (SELECT x.source, x.doc_id, x.tok, count(*) AS n FROM {_tokens(d)} x JOIN {words} w ON w.word = x.tok GROUP BY x.source, x.doc_id, x.tok)
+        SELECT t.source, t.tok, CAST(sum(CASE WHEN third = 'early' THEN t.n ELSE 0 END) AS BIGINT) AS early_n, CAST(sum(CASE WHEN third = 'late' THEN t.n ELSE 0 END) AS BIGINT) AS late_n FROM t JOIN k ON k.doc_id = t.doc_id WHERE third IS NOT NULL GROUP BY t.source, t.tok"""
 
 
 @plan("A5 A6 P14")
@@ -106,22 +110,26 @@ def length_uniformity(d):
 @plan("A8 FL2 FL5 O3")
 def ngram_seeds(d):
     """Three-word phrases five times or more in two documents or more of a source, a third of their words contentful."""
-    stop = _in(d, lx.FUNCTION_WORDS)
-    return f"""WITH t AS (SELECT source, doc_id, pos, tok, lead(tok, 1) OVER w AS t2, lead(tok, 2) OVER w AS t3 FROM {_tokens(d)} k WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
-        SELECT source, concat(tok, ' ', t2, ' ', t3) AS phrase, count(*) AS n, count(DISTINCT doc_id) AS chapters FROM t
-        WHERE t3 IS NOT NULL AND (CASE WHEN tok IN {stop} THEN 0 ELSE 1 END + CASE WHEN t2 IN {stop} THEN 0 ELSE 1 END + CASE WHEN t3 IN {stop} THEN 0 ELSE 1 END) >= 2
-        GROUP BY source, concat(tok, ' ', t2, ' ', t3) HAVING count(*) >= 5 AND count(DISTINCT doc_id) >= 2"""
+    marked = f"(SELECT source, doc_id, ws, {d.map('ws', 'w', f'CASE WHEN w IN {_in(d, lx.FUNCTION_WORDS)} THEN 0 ELSE 1 END')} AS marks FROM (SELECT source, doc_id, {d.tokens('text')} AS ws FROM documents WHERE text IS NOT NULL) t)"
+    grams = d.spread(f"(SELECT source, doc_id, {d.ngrams('ws', 3, 'marks', 2)} AS gs FROM {marked} m) g", "source, doc_id", "gs", "pos", "gram")
+    return f"SELECT source, gram AS phrase, count(*) AS n, count(DISTINCT doc_id) AS chapters FROM {grams} g WHERE gram IS NOT NULL GROUP BY source, gram HAVING count(*) >= 5 AND count(DISTINCT doc_id) >= 2"
 
 
 @plan("J15 A8")
 def ngram_containment(d):
-    """Word pairs and triples five times or more in a source, pairs standing in such a triple dropped."""
+    """Word pairs and triples five times or more in a source, pairs standing in such a triple, by their characters, dropped.
+
+    A pair stands in a triple if its first word ends one of the triple's words and its second begins the next: those few
+    beginnings and ends of each triple are listed and meet the pairs by equality.
+    """
     least = lx.THRESHOLDS["ngram_min_count"]
-    return f"""WITH t AS (SELECT source, tok, lead(tok, 1) OVER w AS t2, lead(tok, 2) OVER w AS t3 FROM {_tokens(d)} k WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
-        g AS (SELECT source, concat(tok, ' ', t2) AS phrase, 2 AS len, count(*) AS n FROM t WHERE t2 IS NOT NULL GROUP BY source, concat(tok, ' ', t2) HAVING count(*) >= {least}
-        UNION ALL SELECT source, concat(tok, ' ', t2, ' ', t3), 3, count(*) FROM t WHERE t3 IS NOT NULL GROUP BY source, concat(tok, ' ', t2, ' ', t3) HAVING count(*) >= {least}),
-        longer AS (SELECT source, concat(' ', phrase, ' ') AS whole FROM g WHERE len = 3)
-        SELECT source, phrase, CAST(len AS BIGINT) AS len, n FROM g WHERE len = 3 OR NOT EXISTS (SELECT 1 FROM longer l WHERE l.source = g.source AND {d.contains('l.whole', 'g.phrase')})"""
+    counted = lambda n: f"(SELECT source, gram AS phrase, CAST({n} AS BIGINT) AS len, count(*) AS n FROM {_grams(d, n, 'source')} g{n} GROUP BY source, gram HAVING count(*) >= {least})"
+    word = lambda i: f"{'split' if d.spark else 'string_split'}(phrase, ' ')[{i if d.spark else i + 1}]"
+    beside = f"(SELECT source, {word(0)} AS a, {word(1)} AS b FROM t UNION SELECT source, {word(1)}, {word(2)} FROM t)"
+    tails = d.spread(f"(SELECT source, a, b, {d.numbers('1', 'length(a)')} AS cs FROM {beside} p) q", "source, a, b", "cs", "p1", "i")
+    heads = d.spread(f"(SELECT source, a, b, i, {d.numbers('1', 'length(b)')} AS cs FROM {tails} r) s", "source, a, b, i", "cs", "p2", "j")
+    return f"""WITH t AS (SELECT * FROM {counted(3)} c3), inside AS (SELECT DISTINCT source, concat(right(a, i), ' ', left(b, j)) AS phrase FROM {heads} h)
+        SELECT source, phrase, len, n FROM t UNION ALL SELECT g.source, g.phrase, g.len, g.n FROM {counted(2)} g WHERE NOT EXISTS (SELECT 1 FROM inside x WHERE x.source = g.source AND x.phrase = g.phrase)"""
 
 
 @plan("W1 A9 FL1 FL3")
@@ -206,7 +214,7 @@ def name_counts(d):
 @plan("J3 P1")
 def presence_matrix(d):
     """Dense names by chapters, zeros kept."""
-    names = d.values([("Mary",), ("John",), ("Anna",), ("Paul",)], "name")
+    names = d.table("cast_names", [("Mary",), ("John",), ("Anna",), ("Paul",)], "name")
     toks = d.spread(f"(SELECT manuscript_id, chapter, ord, {d.lint_tokens(d.strip_comments('raw'))} AS ws FROM {chapters(d)} c) t", "manuscript_id, chapter, ord", "ws", "pos", "w")
     return f"""SELECT c.manuscript_id, c.chapter, n.name, coalesce(k.hits, 0) AS hits FROM {chapters(d)} c CROSS JOIN {names} n
         LEFT JOIN (SELECT manuscript_id, chapter, w, count(*) AS hits FROM {toks} x GROUP BY manuscript_id, chapter, w) k ON k.manuscript_id = c.manuscript_id AND k.chapter = c.chapter AND k.w = n.name"""
@@ -249,7 +257,8 @@ def word_profile(d):
 def fingerprint_delta(d):
     """Burrows' Delta of every source from every other, by the 100 words with the largest summed rates; deviations leave out the target."""
     return f"""WITH c AS (SELECT source, tok, count(*) AS n FROM {_tokens(d)} k GROUP BY source, tok),
-        p AS (SELECT source, tok, 1000.0 * n / sum(n) OVER (PARTITION BY source) AS rate FROM c),
+        a AS (SELECT source, sum(n) AS total FROM c GROUP BY source),
+        p AS (SELECT c.source, c.tok, 1000.0 * c.n / a.total AS rate FROM c JOIN a ON a.source = c.source),
         f AS (SELECT tok FROM (SELECT tok, sum(rate) AS total FROM p GROUP BY tok) m ORDER BY round(total, 9) DESC, tok LIMIT 100),
         s AS (SELECT DISTINCT source FROM c),
         g AS (SELECT s.source, f.tok, coalesce(CAST(p.rate AS DOUBLE), 0.0) AS rate FROM s CROSS JOIN f LEFT JOIN p ON p.source = s.source AND p.tok = f.tok),

@@ -16,18 +16,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 #: Survey entries that each query covers.
 COVERS: dict[str, str] = {}
-
-
-#: Bytes of files up to which texts are dealt to all cores first: so small a table may be one row group, which one task
-#: reads.  Larger tables split as they are read, and their texts are not shuffled.
-ONE_GROUP = 64 << 20
+#: Functions of a dialect that give a query's SQL.
+BUILDERS: dict[str, Callable[[Dialect], str]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table; the texts of a small one are spread."""
+    """A driver table.  Texts that are read in fewer splits than there are cores, as one row group is, are dealt to all cores."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(spark.sparkContext.defaultParallelism) if "text" in df.columns and size <= ONE_GROUP else df
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if "text" in df.columns and df.rdd.getNumPartitions() < cores else df
 
 
 def views(spark: SparkSession, sf_dir: str, sql: str) -> None:
@@ -58,10 +55,11 @@ def plan(covers: str) -> Callable:
         QUERIES[build.__name__] = run
         ORACLES[build.__name__] = doubles(build(DUCK))
         COVERS[build.__name__] = covers
+        BUILDERS[build.__name__] = build
         return build
 
     return register
 
 
 def chapters(d: Dialect) -> str:
-    return d.values(fixtures.CHAPTERS, "manuscript_id, chapter, ord, raw")
+    return d.table("chapters", fixtures.CHAPTERS, "manuscript_id, chapter, ord, raw")

@@ -8,39 +8,76 @@ from folioscope.plans import fixtures as fx
 from folioscope.plans.registry import chapters, plan
 
 QUOTED = r"[\"“]([^\"“”]+)[\"”]"
+#: A line of dialogue, and names beside a tag verb.
+LINE = r"[“\"]([^”\"]{2,})[”\"]"
 _VERB = "(?:" + "|".join(lx.TAG_VERBS) + ")"
-_NAME = "([A-Z][a-z]+)"
+_NAME = r"([A-Z][\p{L}\p{N}_'’-]+)"
+_END = r"(?:$|[^\p{L}\p{N}_])"
+VERB_NAME, NAME_VERB, NAME_VERB_BEFORE = rf"^[,.\s]*{_VERB}\s+{_NAME}", rf"^[,.\s]*{_NAME}\s+{_VERB}{_END}", rf"{_NAME}\s+{_VERB}[,:]?\s*$"
+#: Characters beside a line in which its tag stands.
+CONTEXT = 60
+#: Lines of a speaker from which a signature says anything, and the gaps within which two cannot be told apart.
+LEAST_LINES, LINE_GAP, QUESTION_GAP, CONTRACTION_GAP = 5, 1.5, 0.10, 0.02
+
+
+def dialogue(d: Dialect, rel: str = "", keep: str = "manuscript_id, chapter, ord") -> str:
+    """Lines with their speaker: a tag behind the line (verb first, then name first), in front of it, or the last speaker of
+    the paragraph.  ``keep`` names the columns of ``rel`` that lines carry."""
+    paras = d.spread(f"(SELECT {keep}, {d.paragraphs(d.strip_comments('raw'))} AS ps FROM {rel or chapters(d)} c WHERE raw IS NOT NULL) p", keep, "ps", "para", "ptext")
+    mark = "\x1f"
+    gaps = f"{'split' if d.spark else 'string_split'}({d.sub('ptext', LINE, mark)}, {d.lit(mark)})"
+    lines = d.spread(f"(SELECT {keep}, para, {d.all_of('ptext', LINE, 1)} AS said, {gaps} AS gaps FROM {paras} q) s", f"{keep}, para, gaps", "said", "i", "line")
+    after, before = f"left(coalesce({d.at('gaps', 'i + 2')}, ''), {CONTEXT})", f"right(coalesce({d.at('gaps', 'i + 1')}, ''), {CONTEXT})"
+    tags = ((after, VERB_NAME), (after, NAME_VERB), (before, NAME_VERB_BEFORE))
+    tag = "coalesce(" + ", ".join(f"nullif({d.first(x, p, 1)}, '')" for x, p in tags) + ")"
+    last = f"last_value(named{') IGNORE NULLS' if d.spark else ' IGNORE NULLS)'} OVER (PARTITION BY {keep}, para ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    return f"(SELECT {keep}, para, i, {d.trim('line')} AS line, coalesce({last}, '?') AS speaker FROM (SELECT {keep}, para, i, line, {tag} AS named FROM {lines} l) n)"
 
 
-def dialogue(d: Dialect, rel: str = "") -> str:
-    """Lines with their speaker: a tag behind the line, in front of it, or the last speaker of the paragraph."""
-    paras = d.spread(f"(SELECT manuscript_id, chapter, ord, {d.paragraphs(d.strip_comments('raw'))} AS ps FROM {rel or chapters(d)} c) p", "manuscript_id, chapter, ord", "ps", "para", "ptext")
-    mark = "\x1f"
-    gaps = f"split({d.sub('ptext', QUOTED, mark)}, {d.lit(mark)})" if d.spark else f"string_split({d.sub('ptext', QUOTED, mark)}, {d.lit(mark)})"
-    lines = d.spread(f"(SELECT manuscript_id, chapter, ord, para, {d.all_of('ptext', QUOTED, 1)} AS said, {gaps} AS gaps FROM {paras} q) s", "manuscript_id, chapter, ord, para, gaps", "said", "i", "line")
-    after, before = d.at("gaps", "i + 2"), d.at("gaps", "i + 1")
-    tag = " ".join(
-        [
-            f"coalesce(nullif({d.first(f'coalesce({after}, {d.lit('')})', '^,?' + chr(92) + 's*' + _VERB + ' ' + _NAME, 1)}, ''),",
-            f"nullif({d.first(f'coalesce({after}, {d.lit('')})', '^,?' + chr(92) + 's*' + _NAME + ' ' + _VERB, 1)}, ''),",
-            f"nullif({d.first(f'coalesce({before}, {d.lit('')})', _NAME + ' ' + _VERB + ',?' + chr(92) + 's*$', 1)}, ''))",
-        ]
-    )
-    last = f"last_value(named{') IGNORE NULLS' if d.spark else ' IGNORE NULLS)'} OVER (PARTITION BY manuscript_id, chapter, para ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    return f"(SELECT manuscript_id, chapter, ord, para, i, line, coalesce({last}, '?') AS speaker FROM (SELECT manuscript_id, chapter, ord, para, i, line, {tag} AS named FROM {lines} l) n)"
+def signatures(d: Dialect, rel: str = "", keys: str = "manuscript_id", keep: str = "manuscript_id, chapter, ord") -> str:
+    """Speakers by ``keys``: lines, words, words a line, and shares of questions, contractions and qualifiers."""
+    qualifiers = ", ".join(d.lit(w) for w in lx.QUALIFIERS)
+    n = lambda a: f"CAST(sum({a}) AS DOUBLE)"
+    contracted = d.size(d.keep("ws", "w", f"{d.has('w', chr(91) + chr(39) + '’' + chr(93))}"))
+    hedged = d.size(d.keep("ws", "w", f"w IN ({qualifiers})"))
+    return f"""(SELECT {keys}, speaker, count(*) AS lines, CAST(sum({d.size('ws')}) AS BIGINT) AS words, {n(d.size('ws'))} / count(*) AS per_line, avg(CASE WHEN line LIKE '%?' THEN 1.0 ELSE 0.0 END) AS questions,
+        {n(contracted)} / greatest(sum({d.size('ws')}), 1) AS contractions, {n(hedged)} / greatest(sum({d.size('ws')}), 1) AS qualifiers
+        FROM (SELECT {keys}, speaker, line, {d.tokens('line')} AS ws FROM {dialogue(d, rel, keep)} s) w GROUP BY {keys}, speaker)"""
+
+
+def collisions(d: Dialect, rel: str = "", keys: str = "manuscript_id", keep: str = "manuscript_id, chapter, ord", least: int = LEAST_LINES) -> str:
+    """Pairs of speakers of ``keys`` whose signatures cannot be told apart, the one with more lines first."""
+    s = signatures(d, rel, keys, keep)
+    same = " AND ".join(f"a.{k.strip()} = b.{k.strip()}" for k in keys.split(","))
+    kept = ", ".join(f"a.{k.strip()}" for k in keys.split(","))
+    able = lambda t: f"{t}.speaker <> '?' AND {t}.lines >= {least} AND {t}.words > 0"
+    return f"""(SELECT {kept}, concat(a.speaker, ' / ', b.speaker) AS pair FROM {s} a JOIN {s} b ON {same} AND (a.lines > b.lines OR (a.lines = b.lines AND a.speaker < b.speaker))
+        WHERE {able('a')} AND {able('b')} AND abs(a.per_line - b.per_line) < {LINE_GAP} AND abs(a.questions - b.questions) < {QUESTION_GAP} AND abs(a.contractions - b.contractions) < {CONTRACTION_GAP})"""
+
+
+#: Chapters from which thirds of a manuscript are compared.
+THIRDS_FROM = 6
+
 
+def thirds(d: Dialect, rel: str) -> str:
+    """Chapters of the first and last third, k = max(1, n div 3), of manuscripts of six chapters or more; numbers are given to keys only."""
+    k = "greatest(1, CAST(floor(n / 3.0) AS BIGINT))"
+    keys = f"(SELECT manuscript_id, chapter, row_number() OVER (PARTITION BY manuscript_id ORDER BY ord, chapter) AS r, count(*) OVER (PARTITION BY manuscript_id) AS n FROM {rel} x WHERE raw IS NOT NULL)"
+    part = f"(SELECT manuscript_id, chapter, CASE WHEN r <= {k} THEN 'early' WHEN r > n - {k} THEN 'late' END AS part FROM {keys} y WHERE n >= {THIRDS_FROM})"
+    return f"(SELECT c.manuscript_id, c.chapter, c.ord, t.part, c.raw FROM {rel} c JOIN {part} t ON t.manuscript_id = c.manuscript_id AND t.chapter = c.chapter WHERE t.part IS NOT NULL)"
 
-def signatures(d: Dialect, where: str = "true", rel: str = "") -> str:
-    w = d.tokens("line")
-    return f"""(SELECT manuscript_id, speaker, count(*) AS lines, CAST(sum({d.size(w)}) AS BIGINT) AS words, avg({d.size(w)}) AS per_line, avg(CASE WHEN line LIKE '%?%' THEN 1.0 ELSE 0.0 END) AS questions,
-        CAST(sum({d.count('line', "[a-z]['’](?:t|s|re|ve|m|ll|d)")}) AS DOUBLE) / greatest(sum({d.size(w)}), 1) AS contractions, CAST(sum({d.count('lower(line)', 'perhaps|maybe|rather|quite')}) AS DOUBLE) / greatest(sum({d.size(w)}), 1) AS qualifiers
-        FROM {dialogue(d, rel)} s WHERE {where} GROUP BY manuscript_id, speaker)"""
 
+def drift(d: Dialect, rel: str, least: int = LEAST_LINES) -> str:
+    """Pairs that collide late and did not early, and speakers with too few lines in a third to tell."""
+    part, keep, keys = thirds(d, rel), "manuscript_id, chapter, ord, part", "manuscript_id, part"
+    pairs = f"SELECT manuscript_id, pair AS who, part FROM {collisions(d, part, keys, keep, least)} c"
+    sign = f"SELECT manuscript_id, speaker AS who, CASE WHEN lines >= {least} AND words > 0 THEN 1 ELSE 0 END AS able FROM {signatures(d, part, keys, keep)} s WHERE speaker <> '?'"
+    return f"""(SELECT manuscript_id, 'drift' AS kind, who FROM ({pairs}) p GROUP BY manuscript_id, who HAVING max(part) = 'late' AND min(part) = 'late'
+        UNION ALL SELECT manuscript_id, 'insufficient', who FROM ({sign}) q GROUP BY manuscript_id, who HAVING sum(able) < 2)"""
 
-def collisions(d: Dialect, where: str, least: int, rel: str = "") -> str:
-    s = signatures(d, where, rel)
-    return f"""(SELECT a.manuscript_id, concat(a.speaker, ' / ', b.speaker) AS pair FROM {s} a JOIN {s} b ON a.manuscript_id = b.manuscript_id AND (a.lines > b.lines OR (a.lines = b.lines AND a.speaker < b.speaker))
-        WHERE a.speaker <> '?' AND b.speaker <> '?' AND a.lines >= {least} AND b.lines >= {least} AND abs(a.per_line - b.per_line) < 1.5 AND abs(a.questions - b.questions) < 0.10 AND abs(a.contractions - b.contractions) < 0.02)"""
+
+def _voices(d: Dialect) -> str:
+    return d.table("chapters", fx.VOICES, "manuscript_id, chapter, ord, raw")
 
 
 @plan("P19 P20 W3")
@@ -48,6 +85,12 @@ def dialogue_attribution(d):
     return f"SELECT manuscript_id, chapter, para, i, speaker, line FROM {dialogue(d)} s"
 
 
+@plan("P19 P20 W3")
+def dialogue_orders(d):
+    """The four orders of name, verb and line, names with apostrophes, hyphens and letters beyond ASCII, and lines without a tag."""
+    return f"SELECT manuscript_id, chapter, para, i, speaker, line FROM {dialogue(d, d.table('chapters', fx.TAGS, 'manuscript_id, chapter, ord, raw'))} s"
+
+
 @plan("A17")
 def speaker_stats(d):
     return f"SELECT manuscript_id, speaker, lines, words, round(per_line, 6) AS per_line, round(questions, 6) AS questions, round(contractions, 6) AS contractions, round(qualifiers, 6) AS qualifiers FROM {signatures(d)} s"
@@ -63,16 +106,13 @@ def speaker_words(d):
 
 @plan("J8")
 def voice_collision(d):
-    return f"SELECT manuscript_id, pair FROM {collisions(d, 'true', 1)} c"
+    return f"SELECT manuscript_id, pair FROM {collisions(d, _voices(d))} c"
 
 
-@plan("J9 U3 U4")
+@plan("J9 U3 U4 W13")
 def voice_drift(d):
-    """Pairs that collide late and did not early, and speakers too thin to tell."""
-    early, late = f"manuscript_id = {d.lit('m1')} AND ord <= 2", f"manuscript_id = {d.lit('m1')} AND ord >= 3"
-    sp = lambda w: f"SELECT manuscript_id, speaker FROM {signatures(d, w)} s WHERE speaker <> '?'"
-    return f"""SELECT manuscript_id, 'drift' AS kind, pair AS who FROM (SELECT * FROM {collisions(d, late, 1)} l EXCEPT SELECT * FROM {collisions(d, early, 1)} e) x
-        UNION ALL SELECT manuscript_id, 'insufficient', speaker FROM (({sp('true')}) EXCEPT (({sp(early)}) INTERSECT ({sp(late)}))) y WHERE manuscript_id = {d.lit('m1')}"""
+    """Pairs that collide in the last third and did not in the first, and speakers too thin to tell."""
+    return f"SELECT manuscript_id, kind, who FROM {drift(d, _voices(d))} x"
 
 
 @plan("A11")
@@ -83,25 +123,35 @@ def dialogue_ratio(d):
 
 @plan("A13 A14 X34")
 def dialogue_tags(d):
-    """Tag verbs behind and in front of a quote, their share, and the share of said and asked."""
-    after = d.all_of("raw", r"[\"”],?\s*" + "(" + "|".join(lx.TAG_VERBS) + r")\b", 1)
-    before = d.all_of("raw", r"\b(" + "|".join(lx.TAG_VERBS) + r"),?\s*[\"“]", 1)
+    """Tag verbs right behind a closing quote and between a word and an opening one, their share, and the share of said and asked."""
+    after = d.all_of("raw", r"(?i)[\"”]\s*,?\s*(" + "|".join(lx.TAG_VERBS) + r")\b", 1)
+    before = d.all_of("raw", r"(?i)\b[\p{L}\p{N}_]+\s+(" + "|".join(lx.TAG_VERBS) + r")[,:]?\s*[\"“]", 1)
     a = d.spread(f"(SELECT manuscript_id, {after} AS vs FROM {chapters(d)} c) t", "manuscript_id", "vs", "pos", "verb")
     b = d.spread(f"(SELECT manuscript_id, {before} AS vs FROM {chapters(d)} c) t", "manuscript_id", "vs", "pos", "verb")
     return f"""SELECT manuscript_id, verb, n, round(n / total, 6) AS share, round(plain / nullif(total, 0), 6) AS plain_share, n > 0.4 * total AS single FROM
         (SELECT manuscript_id, verb, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY manuscript_id) AS DOUBLE) AS total, CAST(sum(CASE WHEN verb IN ('said', 'asked') THEN count(*) ELSE 0 END) OVER (PARTITION BY manuscript_id) AS DOUBLE) AS plain
-        FROM (SELECT manuscript_id, verb FROM {a} x UNION ALL SELECT manuscript_id, verb FROM {b} y) u GROUP BY manuscript_id, verb) v"""
+        FROM (SELECT manuscript_id, lower(verb) AS verb FROM {a} x UNION ALL SELECT manuscript_id, lower(verb) FROM {b} y) u GROUP BY manuscript_id, verb) v"""
+
+
+@plan("X34")
+def beats_and_tags(d):
+    """Lines with a tag against lines with an action beat beside them: a paragraph's prose beside its lines without a tag verb."""
+    paras = d.spread(f"(SELECT manuscript_id, {d.paragraphs(d.strip_comments('raw'))} AS ps FROM {chapters(d)} c) p", "manuscript_id", "ps", "para", "ptext")
+    prose = d.sub("ptext", LINE, " ")
+    tagged, spoken = d.has(prose, rf"\b{_VERB}\b"), d.has("ptext", LINE)
+    return f"""SELECT manuscript_id, tags, beats, round(CAST(beats AS DOUBLE) / nullif(tags + beats, 0), 6) AS beat_share FROM (SELECT manuscript_id, count(CASE WHEN {tagged} THEN 1 END) AS tags, count(CASE WHEN NOT {tagged} AND {d.size(d.tokens(prose))} > 0 THEN 1 END) AS beats
+        FROM {paras} q WHERE {spoken} GROUP BY manuscript_id) t"""
 
 
 @plan("J4")
 def forbidden_words(d):
     """Words that a speaker of the lexicon never says, in their lines; speakers match without case, words whole."""
     toks = d.spread(f"(SELECT manuscript_id, chapter, speaker, line, {d.tokens('line')} AS ws FROM {dialogue(d)} s) t", "manuscript_id, chapter, speaker, line", "ws", "pos", "tok")
-    return f"SELECT k.manuscript_id, k.chapter, k.speaker, x.never_say, count(*) AS hits FROM {toks} k JOIN {d.values(fx.LEXICON, 'who, never_say')} x ON lower(x.who) = lower(k.speaker) AND x.never_say = k.tok GROUP BY k.manuscript_id, k.chapter, k.speaker, x.never_say"
+    return f"SELECT k.manuscript_id, k.chapter, k.speaker, x.never_say, count(*) AS hits FROM {toks} k JOIN {d.table('lexicon', fx.LEXICON, 'who, never_say')} x ON lower(x.who) = lower(k.speaker) AND x.never_say = k.tok GROUP BY k.manuscript_id, k.chapter, k.speaker, x.never_say"
 
 
 def _records(d: Dialect, rows: list, kind: str) -> str:
-    return f"(SELECT * FROM {d.values(rows, 'lineno, line')} r WHERE line NOT LIKE '#%' AND {d.trim('line')} <> '' AND line LIKE {d.lit(kind + ' %')})"
+    return f"(SELECT * FROM {d.table(f'{kind}s', rows, 'lineno, line')} r WHERE line NOT LIKE '#%' AND {d.trim('line')} <> '' AND line LIKE {d.lit(kind + ' %')})"
 
 
 def texture(d: Dialect) -> str:
@@ -118,9 +168,10 @@ def bank_records(d):
 
 @plan("J2 A21")
 def texture_coverage(d):
-    """Chapters that hold each term, in any case and inside words; zero counts kept."""
+    """Chapters that hold each term, in any case and inside words; zero counts kept; of an id's records the first counts."""
+    first = f"(SELECT id, term FROM (SELECT id, term, row_number() OVER (PARTITION BY id ORDER BY lineno) AS r FROM {texture(d)} x) y WHERE r = 1 AND term <> '')"
     return f"""SELECT id, term, coalesce({d.join(d.sorted_set("CASE WHEN hits > 0 THEN concat(manuscript_id, '/', chapter) END"), ',')}, '') AS chapters_used, CAST(sum(hits) AS BIGINT) AS total FROM
-        (SELECT t.id, t.term, c.manuscript_id, c.chapter, CAST((length(c.raw) - length(replace(lower(c.raw), lower(t.term), ''))) / length(t.term) AS BIGINT) AS hits FROM {texture(d)} t CROSS JOIN {chapters(d)} c WHERE t.lineno <> 4) x GROUP BY id, term"""
+        (SELECT t.id, t.term, c.manuscript_id, c.chapter, CAST((length(c.raw) - length(replace(lower(c.raw), lower(t.term), ''))) / length(t.term) AS BIGINT) AS hits FROM {first} t CROSS JOIN {chapters(d)} c) x GROUP BY id, term"""
 
 
 @plan("J2 A21 S6")
@@ -132,7 +183,7 @@ def texture_findings(d):
 @plan("J1 S8 S3")
 def ledger_meta(d):
     """Chapters with the meta record of their report; a chapter without one is missing, never an error."""
-    reports = f"(SELECT manuscript_id, chapter_no, {d.field('line', 'structure')} AS structure, {d.field('line', 'hook')} AS hook FROM {d.values(fx.REPORTS, 'manuscript_id, chapter_no, line')} q)"
+    reports = f"(SELECT manuscript_id, chapter_no, {d.field('line', 'structure')} AS structure, {d.field('line', 'hook')} AS hook FROM {d.table('reports', fx.REPORTS, 'manuscript_id, chapter_no, line')} q)"
     number = d.number(d.first("c.chapter", r"^chapter-([0-9]+)\.md$", 1), "BIGINT")
     return f"SELECT c.manuscript_id, c.chapter, r.structure, r.hook, r.chapter_no IS NULL AS missing FROM {chapters(d)} c LEFT JOIN {reports} r ON r.manuscript_id = c.manuscript_id AND r.chapter_no = {number} WHERE {d.has('c.chapter', '^chapter-[0-9]+[.]md$')}"
 
@@ -140,13 +191,13 @@ def ledger_meta(d):
 @plan("W7 A31 W14")
 def structure_variety(d):
     """Chapters with a meta record whose structure is the one before; the share of each structure."""
-    reports = f"(SELECT manuscript_id, chapter_no, {d.field('line', 'structure')} AS structure FROM {d.values(fx.REPORTS, 'manuscript_id, chapter_no, line')} q)"
+    reports = f"(SELECT manuscript_id, chapter_no, {d.field('line', 'structure')} AS structure FROM {d.table('reports', fx.REPORTS, 'manuscript_id, chapter_no, line')} q)"
     return f"""SELECT manuscript_id, chapter_no, structure, coalesce(structure = before, false) AS repeats, round(same / n, 6) AS share, latest FROM (SELECT manuscript_id, chapter_no, structure, lag(structure) OVER (PARTITION BY manuscript_id ORDER BY chapter_no) AS before,
         CAST(count(*) OVER (PARTITION BY manuscript_id, structure) AS DOUBLE) AS same, count(*) OVER (PARTITION BY manuscript_id) AS n, last_value(structure) OVER (PARTITION BY manuscript_id ORDER BY chapter_no ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS latest FROM {reports} r) t"""
 
 
 def similes(d: Dialect) -> str:
-    return d.spread(f"(SELECT manuscript_id, chapter, {d.all_of(f'lower({d.strip_markdown(chr(114) + chr(97) + chr(119))})', lx.SIMILE)} AS ss FROM {chapters(d)} c) t", "manuscript_id, chapter", "ss", "pos", "simile")
+    return d.spread(f"(SELECT manuscript_id, chapter, {d.all_of('lower(' + d.strip_markdown('raw') + ')', lx.SIMILE)} AS ss FROM {chapters(d)} c) t", "manuscript_id, chapter", "ss", "pos", "simile")
 
 
 @plan("P15 A22 J16 FL5")
@@ -166,15 +217,14 @@ def opening_words(d):
 @plan("J14 U2")
 def watch_union(d):
     """Watched phrases and discovered ones, case aside, discovered ones that a watched one holds dropped."""
-    found = [("In Silence",), ("the cold stone",), ("moment",)]
-    watched = [(p,) for p in lx.WATCH_PHRASES]
-    return f"""SELECT lower(phrase) AS phrase, min(origin) AS origin FROM (SELECT phrase, 'watched' AS origin FROM {d.values(watched, 'phrase')} w UNION ALL
-        SELECT f.phrase, 'found' FROM {d.values(found, 'phrase')} f WHERE NOT EXISTS (SELECT 1 FROM {d.values(watched, 'term')} x WHERE {d.contains('x.term', 'lower(f.phrase)')})) u GROUP BY lower(phrase)"""
+    watched, found = d.table("watched", fx.WATCHED, "phrase"), d.table("discovered", fx.DISCOVERED, "phrase")
+    return f"""SELECT lower(phrase) AS phrase, min(origin) AS origin FROM (SELECT phrase, 'watched' AS origin FROM {watched} w UNION ALL
+        SELECT f.phrase, 'found' FROM {found} f WHERE NOT EXISTS (SELECT 1 FROM {watched} x WHERE {d.contains('lower(x.phrase)', 'lower(f.phrase)')})) u GROUP BY lower(phrase)"""
 
 
 @plan("X30")
 def voice_differentiation(d):
-    """Speakers that differ in three measures at least, of words a line, questions, contractions and qualifiers."""
+    """Speakers that differ in three measures at least, of words a line, questions, contractions and qualifiers, and so share one at most."""
     s = signatures(d)
-    return f"""SELECT a.manuscript_id, a.speaker AS one, b.speaker AS other, CASE WHEN abs(a.per_line - b.per_line) >= 1.5 THEN 1 ELSE 0 END + CASE WHEN abs(a.questions - b.questions) >= 0.1 THEN 1 ELSE 0 END +
-        CASE WHEN abs(a.contractions - b.contractions) >= 0.02 THEN 1 ELSE 0 END + CASE WHEN abs(a.qualifiers - b.qualifiers) >= 0.02 THEN 1 ELSE 0 END >= 3 AS apart FROM {s} a JOIN {s} b ON a.manuscript_id = b.manuscript_id AND a.speaker < b.speaker"""
+    differ = " + ".join(f"CASE WHEN abs(a.{m} - b.{m}) >= {gap} THEN 1 ELSE 0 END" for m, gap in (("per_line", LINE_GAP), ("questions", QUESTION_GAP), ("contractions", CONTRACTION_GAP), ("qualifiers", CONTRACTION_GAP)))
+    return f"SELECT a.manuscript_id, a.speaker AS one, b.speaker AS other, {differ} >= 3 AS apart, 4 - ({differ}) <= 1 AS share_one FROM {s} a JOIN {s} b ON a.manuscript_id = b.manuscript_id AND a.speaker < b.speaker AND a.speaker <> '?'"

@@ -179,3 +179,32 @@ def test_stream(spark, tmp_path):
     query = findings_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"))
     query.awaitTermination(120)
     assert "short_chapter" in {r.check_name for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+
+
+def test_styles_by_runs_of_asterisks():
+    import re
+    from html import escape
+
+    def passes(text):
+        text = escape(text, quote=False)
+        for mark, tag in ((r"[*][*]", "strong"), (r"[*]", "em")):
+            text = re.sub(f"{mark}([^*]+){mark}", lambda m, t=tag: f"<{t}>{m[1]}</{t}>", text)
+        return text
+
+    for text in ("*a **b** c*", "***x***", "**a** and *b*", "* a * b *", "a ** b", "****", "*", "", "**a*b**c*", "x*y*z*w*", "**a** **b**", "*<a>* & **c"):
+        assert markup._styled(text) == passes(text), text
+
+
+def test_books_with_metadata_and_matter(spark):
+    import io
+    import zipfile
+
+    chapters = spark.createDataFrame([("b1", "chapter-01.md", 1, "# One\n\nText."), ("b2", "chapter-01.md", 1, "Text."), ("b3", "chapter-01.md", 1, "Text.")], "manuscript_id string, chapter string, ord long, raw string")
+    meta = spark.createDataFrame([("b1", "The Jar", "A. Nother", "en", "House"), ("b2", "", "B. Else", "en", None)], "manuscript_id string, title string, author string, language string, publisher string")
+    matter = spark.createDataFrame([("b1", "also-by", "More."), ("b1", "dedication", "To all."), ("b3", "index", "No.")], "manuscript_id string, kind string, raw string")
+    made = {r.manuscript_id: r for r in epub.books(chapters, meta=meta, matter=matter).collect()}
+    book = zipfile.ZipFile(io.BytesIO(made["b1"].epub))
+    opf = book.read("OEBPS/content.opf").decode()
+    assert "<dc:title>The Jar</dc:title>" in opf and "<dc:publisher>House</dc:publisher>" in opf and "style.css" in book.read("OEBPS/page00001.xhtml").decode()
+    assert [("To all." in (t := book.read(f"OEBPS/page0000{i}.xhtml").decode()), "More." in t) for i in (1, 2, 3)] == [(True, False), (False, False), (False, True)]
+    assert made["b2"].epub is None and made["b2"].errors == ["title is missing"] and made["b3"].errors == ["index: unknown matter"]

@@ -58,10 +58,6 @@ def test_scores(spark):
     assert ("b1", 2, True) in found(spark, "score_board", "book", "iteration", "approved")
 
 
-def test_state_events(spark):
-    assert dict(found(spark, "state_events", "seq", "code")) == {1: "ok", 2: "human-gate-required", 3: "ok", 4: "stale-phase", 5: "schema-validation", 6: "allowlist-violation", 7: "schema-validation"}
-
-
 def test_variants(spark):
     assert ("Mariam", "Miryam") in found(spark, "name_variants", "name_a", "name_b")
     assert found(spark, "compound_variants", "variants") == {("store-room,storeroom",)}
