@@ -1,4 +1,4 @@
-"""DuckDB counterparts of the operators' queries, written from the contracts and not from the operators' code."""
+"""DuckDB counterparts of operators, from the contracts; fixed patterns and templates are the operators' own."""
 
 from __future__ import annotations
 
@@ -190,3 +190,21 @@ summed AS (
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_linked, 0) AS n_linked
 FROM d LEFT JOIN summed USING (rid)
 """
+
+
+def _op12(clusters: int = 40, rounds: int = 5, width: int = 64) -> str:
+    """Lloyd's rounds as one common table each."""
+    parts = [
+        f"base AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: TRY_CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE len(embedding) = {width} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {width})",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS cluster, v AS c FROM (SELECT *, sha256('2:' || vec_id) AS h FROM base) ORDER BY h, v LIMIT {clusters})",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"a{i} AS MATERIALIZED (SELECT rid, vec_id, v, near.cluster AS cluster, near.distance AS distance FROM (SELECT rid, any_value(vec_id) AS vec_id, any_value(v) AS v, min({{'distance': list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 'cluster': cluster}}) AS near FROM base, c{i} GROUP BY rid))")
+        if i < rounds:
+            parts.append(f"m{i} AS (SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY place) AS c FROM (SELECT cluster, place, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT cluster, unnest(range({width})) AS place, unnest(v) AS x FROM a{i}) GROUP BY cluster, place) GROUP BY cluster)")
+            parts.append(f"c{i + 1} AS MATERIALIZED (SELECT c{i}.cluster, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} USING (cluster))")
+    last = f"SELECT vec_id, CAST(cluster AS INT) AS cluster, CAST(distance AS BIGINT) AS distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} USING (cluster)"
+    return "WITH " + ", ".join(parts) + " " + last
+
+
+OP12 = _op12()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, lines, near, oracles, quality, resample, secrets, substrings, tokens
+from . import centroids, chat, decontaminate, licenses, lines, mixing, near, oracles, quality, repair, resample, secrets, substrings, tokens
 
 #: Tools that the conversations may call.
 TOOLS = {
@@ -80,8 +80,20 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("items")
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op3_bpe_tokens, op4_quality_rules, op5_chat_format, op6_quality_resample, op7_line_dedup, op8_secret_scan, op9_near_dedup, op10_decontaminate)}
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(_table(spark, sf_dir, "documents"))
 
-#: Merges of a vocabulary, hashed n-gram models and banded edit distances are beyond SQL: the tests hold
-#: those operators against brute force.
-ORACLES: dict[str, str] = {"op1_license_scan": oracles.OP1, "op2_substring_dedup": oracles.OP2, "op4_quality_rules": oracles.OP4, "op5_chat_format": oracles.OP5, "op8_secret_scan": oracles.OP8, "op9_near_dedup": oracles.OP9, "op10_decontaminate": oracles.OP10}
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_damaged(_table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op3_bpe_tokens, op4_quality_rules, op5_chat_format, op6_quality_resample, op7_line_dedup, op8_secret_scan, op9_near_dedup, op10_decontaminate, op11_source_mix, op12_centroid_clusters, op13_conversation_repair)}
+
+#: Merges of a vocabulary, hashed n-gram models, banded edit distances, random draws and cheapest edits are beyond SQL: the
+#: tests hold those operators against brute force.
+ORACLES: dict[str, str] = {"op1_license_scan": oracles.OP1, "op2_substring_dedup": oracles.OP2, "op4_quality_rules": oracles.OP4, "op5_chat_format": oracles.OP5, "op8_secret_scan": oracles.OP8, "op9_near_dedup": oracles.OP9, "op10_decontaminate": oracles.OP10, "op12_centroid_clusters": oracles.OP12}
