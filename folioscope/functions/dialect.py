@@ -89,9 +89,13 @@ class Dialect:
         return f"array_distinct({x})" if self.spark else f"list_distinct({x})"
 
     def spread(self, source: str, keep: str, array: str, pos: str = "pos", val: str = "val") -> str:
-        """Rows of an array with their place from 0."""
+        """Rows of an array with their place from 0.
+
+        The outer view keeps the optimizer from inferring a test of the array's size, which it would push down to the
+        scan and write out there: texts would be cut into words once for each use of the array in that test.
+        """
         if self.spark:
-            return f"(SELECT {keep}, CAST({pos} AS BIGINT) AS {pos}, {val} FROM {source} LATERAL VIEW posexplode({array}) spread_view AS {pos}, {val})"
+            return f"(SELECT {keep}, CAST({pos} AS BIGINT) AS {pos}, {val} FROM {source} LATERAL VIEW OUTER posexplode({array}) spread_view AS {pos}, {val} WHERE {pos} IS NOT NULL)"
         return f"(SELECT {keep}, CAST(unnest(range(len({array}))) AS BIGINT) AS {pos}, unnest({array}) AS {val} FROM {source})"
 
     def number(self, x: str, kind: str) -> str:
