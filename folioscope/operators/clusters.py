@@ -2,45 +2,147 @@
 
 from __future__ import annotations
 
+import contextlib
+import tempfile
+import uuid
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import lexicons as lx
 
+#: Spellings of a manuscript that the first round looks at; each round looks at ``GROWTH`` times as many.
+FIRST, GROWTH = 32, 4
+#: Heads up to which the others are held against a manuscript's heads one by one; more heads meet them by their pieces.
+FEW = 64
+
+_LOCAL: dict[str, str] = {}
+
+
+def _folder(df: DataFrame) -> str:
+    spark = df.sparkSession
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return _LOCAL.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="folioscope-"))
+
+
+class _Tables:
+    """Tables between rounds in the shared folder; they go when the next round has read them."""
+
+    def __init__(self, like: DataFrame) -> None:
+        self.spark, self.folder, self.paths = like.sparkSession, _folder(like), []
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/clusters-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, paths: list[str]) -> None:
+        for path in paths:
+            target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            with contextlib.suppress(Exception):  # a leftover is the folder's cleaner's
+                target.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+            self.paths.remove(path)
+
+
+def _deletions(words: DataFrame, most: int) -> DataFrame:
+    """What is left of each spelling when up to ``most`` of its letters go: spellings within the distance share one of them.
+
+    Letters go from the left to the right, one step for each, so a spelling of ``L`` letters has about ``L**most / most!``
+    rows; nothing is too short to take part.
+    """
+    left = words.select("*", F.col("low").alias("rest"), F.lit(0).alias("gone"), F.lit(0).alias("at"))
+    layers = [left]
+    for _ in range(most):
+        left = left.where(F.length("rest") > F.col("at")).select(*words.columns, "rest", "gone", F.explode(F.sequence(F.col("at"), F.length("rest") - 1)).alias("at"))
+        left = left.select(*words.columns, F.expr("concat(substring(rest, 1, at), substring(rest, at + 2))").alias("rest"), (F.col("gone") + 1).alias("gone"), "at")
+        layers.append(left)
+    whole = layers[0]
+    for layer in layers[1:]:
+        whole = whole.unionByName(layer)
+    return whole.select(*words.columns, "rest").distinct()
+
+
+def _apart(a: str, b: str, most: int):
+    return F.levenshtein(F.col(a), F.col(b), most).between(1, most)
+
+
+def _near(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
+    """Pairs of spellings (``low``) and others (``other_low``) of one manuscript within the distance, by their deletions."""
+    a = _deletions(left.select("manuscript_id", "low").distinct(), most)
+    b = _deletions(right.select("manuscript_id", "low").distinct(), most).select("manuscript_id", F.col("low").alias("other_low"), "rest")
+    met = a.join(b, ["manuscript_id", "rest"]).where((F.abs(F.length("low") - F.length("other_low")) <= most)).select("manuscript_id", "low", "other_low").distinct()
+    return met.where(_apart("low", "other_low", most))
+
+
+def _pick(part: pd.DataFrame) -> pd.DataFrame:
+    """Heads among the first spellings of a manuscript: those that no head before them claims."""
+    near: dict[str, set[str]] = {}
+    for low, other in zip(part["low"], part["other_low"], strict=True):
+        if other is not None and not pd.isna(other):
+            near.setdefault(low, set()).add(other)
+    heads: list[tuple] = []
+    blocked: set[str] = set()
+    for row in part.drop_duplicates("word").sort_values(["n", "word"], ascending=[False, True]).itertuples(index=False):
+        if row.low not in blocked:
+            heads.append((row.manuscript_id, row.word, row.low, row.n))
+            blocked |= near.get(row.low, set())
+    return pd.DataFrame(heads, columns=["manuscript_id", "word", "low", "n"])
+
 
 def greedy_variants(counts: DataFrame, most: int = 3) -> DataFrame:
     """manuscript_id, canonical, variants (sorted map entries of spelling and count), for clusters of two or more.
 
-    ``counts`` has manuscript_id, word, n. Pairs within the edit distance are found by an equi-join on deletion pieces:
-    two words at distance k or less share one of k + 1 even pieces of either, at a place shifted by k at most. Words
-    shorter than k + 1 letters are left out. Only spellings that have a neighbour reach the sequential step; a spelling goes by count (then alphabet).
+    ``counts`` has manuscript_id, word, n.  Spellings go by count, then alphabet; each one that is not claimed yet claims all
+    unclaimed spellings at distance 1 to ``most``, case aside.  The rule looks like a loop over a manuscript, but its result is
+    the first independent set in that order, so it is found in rounds: of the spellings that are left, the first few of each
+    manuscript are settled among themselves, the heads that this gives claim their neighbours among all others, and the next
+    round looks at more of the rest (prefixes of a greedy order, as in the parallel algorithms for maximal independent sets).
+    Common short spellings, which are near to nearly all others, are settled while the heads are few; what outlives them is
+    sparse.  Heads and spellings meet by what is left of them when up to ``most`` letters are deleted.
+
+    Rounds grow by a factor of four, so their number goes with the logarithm of the vocabulary.  Spellings that differ in
+    case alone are distance 0 and claim each other never.
     """
-    words = counts.select("manuscript_id", "word", F.lower("word").alias("low"), "n", F.length("word").alias("len")).filter(F.length("word") > most)
-    size = F.col("len") / F.lit(float(most + 1))
-    bounds = F.transform(F.sequence(F.lit(0), F.lit(most)), lambda i: F.struct(F.floor(i * size).cast("int").alias("from"), F.floor((i + 1) * size).cast("int").alias("to")))
-    pieces = words.select("*", F.explode(bounds).alias("b")).filter("b.to > b.from").select("manuscript_id", "word", "n", "len", F.col("b.from").alias("at"), F.expr("substring(low, b.from + 1, b.to - b.from)").alias("piece"))
-    # Windows of the other word, of every piece length that words of a near length can have.
-    wide = words.select("*", F.explode(F.sequence(F.greatest(F.floor((F.col("len") - most) / (most + 1)), F.lit(1)).cast("int"), F.ceil((F.col("len") + most) / (most + 1)).cast("int"))).alias("w"))
-    windows = wide.filter("len >= w").select("manuscript_id", F.col("word").alias("other"), F.col("n").alias("other_n"), F.col("len").alias("other_len"), F.explode(F.expr("sequence(0, len - w)")).alias("other_at"), "w")
-    windows = windows.withColumn("piece", F.expr("substring(lower(other), other_at + 1, w)")).drop("w")
-    pairs = pieces.join(windows, ["manuscript_id", "piece"]).filter(f"word <> other AND abs(len - other_len) <= {most} AND abs(at - other_at) <= {most}")
-    pairs = pairs.select("manuscript_id", "word", "n", "other", "other_n").distinct().filter(F.levenshtein(F.lower("word"), F.lower("other"), most).between(1, most))
-    both = pairs.unionByName(pairs.select("manuscript_id", F.col("other").alias("word"), F.col("other_n").alias("n"), F.col("word").alias("other"), F.col("n").alias("other_n"))).distinct()
-
-    def claim(part: pd.DataFrame) -> pd.DataFrame:
-        near = part.groupby("word").apply(lambda g: dict(zip(g["other"], g["other_n"])), include_groups=False).to_dict()
-        order = sorted(part[["word", "n"]].drop_duplicates().itertuples(index=False), key=lambda r: (-r.n, r.word))
-        taken: set[str] = set()
-        rows = []
-        for word, n in order:
-            free = {o: k for o, k in near[word].items() if o not in taken}
-            if word not in taken and free:
-                taken |= {word, *free}
-                rows.append((part["manuscript_id"].iloc[0], word, ",".join(f"{w}:{k}" for w, k in sorted((free | {word: n}).items()))))
-        return pd.DataFrame(rows, columns=["manuscript_id", "canonical", "variants"])
-
-    return both.groupBy("manuscript_id").applyInPandas(claim, "manuscript_id string, canonical string, variants string")
+    tables = _Tables(counts)
+    kinds = {"manuscript_id": "string", "word": "string", "n": "long"}
+    rest = tables.write(counts.select(*(F.col(c).cast(k).alias(c) for c, k in kinds.items()), F.lower("word").alias("low")))
+    order = Window.partitionBy("manuscript_id").orderBy(F.desc("n"), "word")
+    claimed, reach, kept = [], FIRST, []
+    while not rest.isEmpty():
+        before = list(tables.paths)
+        first = tables.write(rest.withColumn("place", F.row_number().over(order)).where(F.col("place") <= reach).drop("place"))
+        pairs = _near(first, first, most)
+        # bounded: as many spellings as this round looks at, and the pairs among them
+        heads = tables.write(first.join(pairs, ["manuscript_id", "low"], "left").groupBy("manuscript_id").applyInPandas(_pick, "manuscript_id string, word string, low string, n long"))
+        others = rest.join(heads.select("manuscript_id", "word"), ["manuscript_id", "word"], "left_anti")
+        rank = F.struct((-F.col("n")).alias("less"), F.col("word"))
+        if reach <= FEW:
+            listed = heads.groupBy("manuscript_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), F.col("word"), F.col("low")))).alias("heads"))
+            met = others.join(listed, "manuscript_id").withColumn("head", F.get(F.filter("heads", lambda h: F.levenshtein(F.col("low"), h["low"], most).between(1, most)), 0)["word"]).where("head IS NOT NULL").select("manuscript_id", "word", "n", "head")
+        else:
+            near = _near(others, heads, most).withColumnRenamed("low", "my_low")
+            best = near.join(heads.select("manuscript_id", F.col("low").alias("other_low"), "word", "n"), ["manuscript_id", "other_low"]).groupBy("manuscript_id", "my_low").agg(F.min(rank)["word"].alias("head")).withColumnRenamed("my_low", "low")
+            met = others.join(best, ["manuscript_id", "low"]).select("manuscript_id", "word", "n", "head")
+        met = tables.write(met)
+        mine = heads.select("manuscript_id", "word", "n", F.col("word").alias("head")).join(met.select("manuscript_id", "head").distinct(), ["manuscript_id", "head"], "left_semi").select("manuscript_id", "word", "n", "head")
+        claimed.append(tables.write(met.unionByName(mine)))
+        kept.append(tables.paths[-1])
+        rest = tables.write(others.join(met.select("manuscript_id", "word"), ["manuscript_id", "word"], "left_anti"))
+        tables.drop([p for p in before if p not in kept])
+        reach *= GROWTH
+    if not claimed:
+        return counts.sparkSession.createDataFrame([], "manuscript_id string, canonical string, variants string")
+    whole = claimed[0]
+    for part in claimed[1:]:
+        whole = whole.unionByName(part)
+    entry = F.concat("word", F.lit(":"), F.col("n").cast("string"))
+    return whole.groupBy("manuscript_id", F.col("head").alias("canonical")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word", entry.alias("shown")))), lambda x: x["shown"]), ",").alias("variants"))
 
 
 def capitalised(chapters: DataFrame, least: int = 3) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from folioscope.functions import lexicons as lx
 from folioscope.functions.dialect import Dialect
 from folioscope.plans import fixtures as fx
+from folioscope.plans.ranks import ranked
 from folioscope.plans.registry import chapters, plan
 
 
@@ -198,44 +201,116 @@ def gate_verdict(d):
         CASE WHEN max(p.n) > 0 THEN '' ELSE {names(bad + ' AND advisory')} END AS advised FROM {each} e LEFT JOIN (SELECT gate, count(*) AS n FROM {pending} q GROUP BY gate) p ON p.gate = e.gate GROUP BY e.gate"""
 
 
-def state(d: Dialect) -> str:
-    """Events in order with their result code, and the phase that the ones before them led to."""
-    allowed = d.table("allowed_blocks", [(t, b, t in lx.APPROVED_EVENTS) for t, blocks in lx.EVENT_BLOCKS.items() for b in blocks], "event_type, block, needs")
-    types = f"(SELECT event_type, bool_or(needs) AS needs FROM {allowed} a GROUP BY event_type)"
-    events, sets = d.table("state_events", fx.EVENTS, "project, seq, event_type, note, expected_phase, approved"), d.table("state_sets", fx.SETS, "project, seq, path, val")
-    wrong = f"(SELECT s.project, s.seq, min(s.path) AS path FROM {sets} s JOIN {events} v ON v.project = s.project AND v.seq = s.seq WHERE NOT EXISTS (SELECT 1 FROM {allowed} a WHERE a.event_type = v.event_type AND a.block = {d.first('s.path', '^([^.]*)', 1)}) GROUP BY s.project, s.seq)"
-    checked = f"""(SELECT e.project, e.seq, e.event_type, e.note, e.expected_phase, CASE WHEN {d.trim("coalesce(e.note, '')")} = '' THEN 'schema-validation' WHEN t.event_type IS NULL THEN 'schema-validation' WHEN w.path IS NOT NULL THEN 'allowlist-violation'
-        WHEN t.needs AND NOT coalesce(e.approved, false) THEN 'human-gate-required' ELSE 'ok' END AS code, p.val AS next_phase FROM {events} e LEFT JOIN {types} t ON t.event_type = e.event_type LEFT JOIN {wrong} w ON w.project = e.project AND w.seq = e.seq
-        LEFT JOIN {sets} p ON p.project = e.project AND p.seq = e.seq AND p.path = 'phase.current')"""
-    return checked
+class Log(NamedTuple):
+    """Relations of an event log: allowed blocks by type, events, what they set, and the phase each project starts in."""
+
+    allowed: str
+    events: str
+    sets: str
+    projects: str
+
+
+def _log(d: Dialect) -> Log:
+    return Log(
+        d.table("allowed_blocks", [(t, b, t in lx.APPROVED_EVENTS) for t, blocks in lx.EVENT_BLOCKS.items() for b in blocks], "event_type, block, needs"),
+        d.table("state_events", fx.EVENTS, "project, seq, event_type, note, expected_phase, approved"),
+        d.table("state_sets", fx.SETS, "project, seq, path, val"),
+        d.table("projects", fx.PROJECTS, "project, phase"),
+    )
+
+
+def state(d: Dialect, log: Log) -> str:
+    """Events with the code that their own contents give them, the phase they expect and the one they set."""
+    types = f"(SELECT event_type, bool_or(needs) AS needs FROM {log.allowed} a GROUP BY event_type)"
+    block = d.first("s.path", "^([^.]*)", 1)
+    wrong = f"(SELECT s.project, s.seq, min(s.path) AS path FROM {log.sets} s JOIN {log.events} v ON v.project = s.project AND v.seq = s.seq LEFT JOIN {log.allowed} a ON a.event_type = v.event_type AND a.block = {block} WHERE a.block IS NULL GROUP BY s.project, s.seq)"
+    code = f"""CASE WHEN {d.trim("coalesce(e.note, '')")} = '' THEN 'schema-validation' WHEN t.event_type IS NULL THEN 'schema-validation' WHEN w.path IS NOT NULL THEN 'allowlist-violation' WHEN t.needs AND NOT coalesce(e.approved, false) THEN 'human-gate-required' ELSE 'ok' END"""
+    phases = f"(SELECT project, seq, max(val) AS val FROM {log.sets} p0 WHERE path = 'phase.current' GROUP BY project, seq)"
+    return f"""(SELECT e.project, e.seq, {code} AS code, e.expected_phase, p.val AS next_phase FROM {log.events} e LEFT JOIN {types} t ON t.event_type = e.event_type LEFT JOIN {wrong} w ON w.project = e.project AND w.seq = e.seq
+        LEFT JOIN {phases} p ON p.project = e.project AND p.seq = e.seq)"""
+
+
+#: Events that are folded one behind the other; runs of them are folded side by side.
+RUN = 256
+
+
+def walked(d: Dialect, log: Log) -> str:
+    """Code of each event and the phase after it: an event that meets another phase than it expects is stale and changes nothing.
+
+    Spark folds a log in runs.  A run's effect depends on the phase before it only through the phases that its events
+    expect, so each run is tried with each of those, with none and with any other phase, all runs side by side; the
+    phases before the runs follow from these few outcomes, and each run is then read once more.  No task holds more than a run,
+    and of a project one entry for each run.
+    """
+    if not d.spark:
+        stale = "n.code = 'ok' AND coalesce(n.expected_phase, '') <> '' AND f.phase <> '' AND n.expected_phase <> f.phase"
+        numbered = f"(SELECT project, seq, code, expected_phase, next_phase, CAST(row_number() OVER (PARTITION BY project ORDER BY seq) AS BIGINT) AS r FROM {state(d, log)} s)"
+        return f"""(WITH RECURSIVE n AS MATERIALIZED (SELECT * FROM {numbered} m), f(project, r, seq, code, phase) AS (SELECT project, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST('' AS VARCHAR), coalesce(phase, '') FROM {log.projects} p
+            UNION ALL SELECT n.project, n.r, n.seq, CASE WHEN {stale} THEN 'stale-phase' ELSE n.code END, CASE WHEN n.code = 'ok' AND NOT ({stale}) AND n.next_phase IS NOT NULL THEN n.next_phase ELSE f.phase END FROM f JOIN n ON n.project = f.project AND n.r = f.r + 1)
+            SELECT project, seq, code, phase AS phase_after FROM f WHERE r > 0)"""
+    other = d.lit("\x01")
+    stale = lambda ph: f"(e.code = 'ok' AND coalesce(e.expected_phase, '') <> '' AND {ph} <> '' AND e.expected_phase <> {ph})"
+    after = lambda ph: f"CASE WHEN e.code = 'ok' AND e.next_phase IS NOT NULL AND NOT {stale(ph)} THEN e.next_phase ELSE {ph} END"
+    placed = ranked(d, state(d, log), "project", "seq", "code")
+    runs = f"""(SELECT project, CAST(floor((place - 1) / {RUN}) AS BIGINT) AS run, sort_array(collect_list(named_struct('place', place, 'seq', seq, 'code', code, 'expected_phase', expected_phase, 'next_phase', next_phase))) AS es FROM {placed} x GROUP BY project, CAST(floor((place - 1) / {RUN}) AS BIGINT))"""
+    tried = f"(SELECT project, run, array_distinct(concat(transform(filter(es, e -> e.code = 'ok' AND e.expected_phase <> ''), e -> e.expected_phase), array('', {other}))) AS befores, es FROM {runs} r0)"
+    outcomes = f"(SELECT project, run, map_from_arrays(befores, transform(befores, b -> aggregate(es, b, (ph, e) -> {after('ph')}))) AS leads FROM {tried} r1)"
+    led = f"CASE WHEN map_contains_key(f.leads, acc.ph) THEN f.leads[acc.ph] WHEN f.leads[{other}] = {other} THEN acc.ph ELSE f.leads[{other}] END"
+    chain = f"""(SELECT c.project, aggregate(c.fs, named_struct('ph', coalesce(p.phase, ''), 'befores', CAST(array() AS ARRAY<STRING>)), (acc, f) -> named_struct('ph', {led}, 'befores', concat(acc.befores, array(acc.ph)))).befores AS befores
+        FROM (SELECT project, transform(array_sort(collect_list(named_struct('run', run, 'leads', leads)), (x, y) -> CAST(sign(x.run - y.run) AS INT)), z -> named_struct('leads', z.leads)) AS fs FROM {outcomes} o GROUP BY project) c JOIN {log.projects} p ON p.project = c.project)"""
+    starts = d.spread(f"{chain} ch", "project", "befores", "run", "phase")
+    replay = f"""aggregate(r.es, named_struct('ph', s.phase, 'done', CAST(array() AS ARRAY<STRUCT<seq: BIGINT, code: STRING, phase_after: STRING>>)), (acc, e) -> named_struct('ph', {after('acc.ph')}, 'done',
+        concat(acc.done, array(named_struct('seq', CAST(e.seq AS BIGINT), 'code', CASE WHEN {stale('acc.ph')} THEN 'stale-phase' ELSE e.code END, 'phase_after', {after('acc.ph')}))))).done"""
+    done = d.spread(f"(SELECT r.project, {replay} AS done FROM {runs} r JOIN {starts} s ON s.project = r.project AND s.run = r.run) y", "project", "done", "at", "v")
+    return f"(SELECT project, v.seq AS seq, v.code AS code, v.phase_after AS phase_after FROM {done} z)"
+
+
+def _last_values(d: Dialect, log: Log) -> str:
+    return f"""SELECT project, path, {d.first('path', '^([^.]*)', 1)} AS block, {d.best('val', 'seq')} AS val FROM (SELECT s.project, s.seq, s.path, s.val FROM {log.sets} s JOIN {walked(d, log)} e ON e.project = s.project AND e.seq = s.seq WHERE e.code = 'ok') t GROUP BY project, path"""
 
 
 @plan("FL13 FL14")
 def state_codes(d):
     """Code of each event by its own contents: note, type, blocks that it writes, approval; and whether it may be sent again."""
-    return f"SELECT project, seq, code, code IN ('schema-validation', 'reference-validation', 'stale-phase') AS retryable FROM {state(d)} s"
+    return f"SELECT project, seq, code, code IN ('schema-validation', 'reference-validation', 'stale-phase') AS retryable FROM {state(d, _log(d))} s"
 
 
 @plan("FL13 FL14 K6 K14")
 def state_events(d):
-    """Code of each event of a project: as :func:`state_codes`, then the phase that it expects against the one it meets.
-
-    An event that meets another phase than it expects is stale and changes nothing, so phases are folded in order: a
-    recursive walk over a project's events.
-    """
-    start = d.table("projects", fx.PROJECTS, "project, phase")
-    numbered = f"(SELECT project, seq, code, expected_phase, next_phase, CAST(row_number() OVER (PARTITION BY project ORDER BY seq) AS BIGINT) AS r FROM {state(d)} s)"
-    stale = "n.code = 'ok' AND coalesce(n.expected_phase, '') <> '' AND f.phase <> '' AND n.expected_phase <> f.phase"
-    return f"""WITH RECURSIVE n AS (SELECT * FROM {numbered} m), f(project, r, seq, code, phase) AS (SELECT project, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST('' AS {'STRING' if d.spark else 'VARCHAR'}), phase FROM {start} p
-        UNION ALL SELECT n.project, n.r, n.seq, CASE WHEN {stale} THEN 'stale-phase' ELSE n.code END, CASE WHEN n.code = 'ok' AND NOT ({stale}) AND n.next_phase IS NOT NULL THEN n.next_phase ELSE f.phase END FROM f JOIN n ON n.project = f.project AND n.r = f.r + 1)
-        SELECT project, seq, code, phase AS phase_after FROM f WHERE r > 0"""
+    """Code of each event of a project: as :func:`state_codes`, then the phase that it expects against the one it meets."""
+    return f"SELECT project, seq, code, phase_after FROM {walked(d, _log(d))} w"
 
 
 @plan("S11 S12 K14 K6")
 def state_fold(d):
-    """State after all events that their contents let pass: the last value of each dotted path, and its block."""
-    sets = d.table("state_sets", fx.SETS, "project, seq, path, val")
-    return f"""SELECT project, path, {d.first('path', '^([^.]*)', 1)} AS block, {d.best('val', 'seq')} AS val FROM (SELECT s.project, s.seq, s.path, s.val FROM {sets} s JOIN {state(d)} e ON e.project = s.project AND e.seq = s.seq WHERE e.code = 'ok') t GROUP BY project, path"""
+    """State after all events of a project that were taken: the last value of each dotted path, and its block."""
+    return _last_values(d, _log(d))
+
+
+def _event_log(d: Dialect) -> Log:
+    """The events table as a log: each user a project, kinds and values as event types, notes, approvals and phases."""
+    of = lambda x, cases, other: f"CASE {x} " + " ".join(f"WHEN {k} THEN {d.lit(v)}" for k, v in cases) + f" ELSE {d.lit(other)} END"
+    whole = "CAST(floor(value) AS BIGINT)"
+    kind = of("event_type", [("'signup'", "config-update"), ("'view'", "chapter-draft"), ("'click'", "phase-advance"), ("'purchase'", "phase-advance")], "fault")
+    expected = of(f"{whole} % 5", [("0", "plan"), ("1", "draft"), ("2", "review")], "")
+    user = d.text("user_id")
+    events = f"(SELECT {user} AS project, event_id AS seq, {kind} AS event_type, CASE WHEN value < 0.5 THEN ' ' ELSE event_type END AS note, {expected} AS expected_phase, event_type = 'purchase' OR event_id % 2 = 0 AS approved FROM events WHERE user_id IS NOT NULL AND event_id IS NOT NULL)"
+    path = "CASE WHEN event_id % 17 = 0 THEN 'secrets.key' WHEN event_type = 'signup' THEN 'runtime.model' WHEN event_type = 'view' THEN 'chapters.completed' ELSE 'phase.current' END"
+    value = f"CASE WHEN event_type IN ('signup', 'view') THEN {d.text(whole)} ELSE {of('event_id % 3', [('0', 'plan'), ('1', 'draft')], 'review')} END"
+    sets = f"(SELECT {user} AS project, event_id AS seq, {path} AS path, {value} AS val FROM events WHERE event_type <> 'error' AND user_id IS NOT NULL AND event_id IS NOT NULL)"
+    return _log(d)._replace(events=events, sets=sets, projects=f"(SELECT DISTINCT {user} AS project, {d.text(chr(39) + 'plan' + chr(39))} AS phase FROM events WHERE user_id IS NOT NULL)")
+
+
+@plan("FL13 FL14 K6 K14")
+def event_log_codes(d):
+    """Codes and phases of the events table, read as a log of state events: each user a project."""
+    return f"SELECT project, seq, code, phase_after FROM {walked(d, _event_log(d))} w"
+
+
+@plan("S11 S12 K14 K6")
+def event_log_states(d):
+    """State of each user's project after the log's events that were taken."""
+    return _last_values(d, _event_log(d))
 
 
 @plan("S11 S12")

@@ -6,7 +6,7 @@ from collections import Counter
 
 from folioscope.functions.dialect import SPARK
 from folioscope.operators.lint import lint, over_frames, repeats
-from folioscope.plans import phrases
+from folioscope.plans import phrases, ranks
 from folioscope.plans.lint import thresholds
 
 SCHEMA = "manuscript_id string, chapter string, ord long, raw string"
@@ -29,7 +29,7 @@ def test_thirds_of_manuscripts_of_any_numbering(spark):
     dice = random.Random(4)
     rows = [(m, f"c{i}", n, "x") for m, many in (("a", 6), ("b", 5), ("c", 700), ("d", 8), (None, 9)) for i, n in enumerate(dice.sample(range(-(10**6), 10**9), many - 1) + [None])]
     rows += [("e", f"c{i}", 7, "x") for i in range(10)]
-    ranks = {(r.manuscript_id, r.chapter): (r.place, r.n) for r in over_frames(phrases.ranked(SPARK, "rows_to_check", "manuscript_id", "ord", "chapter"), rows=spark.createDataFrame(rows, SCHEMA)).collect()}
+    ranks = {(r.manuscript_id, r.chapter): (r.place, r.n) for r in over_frames(ranks.ranked(SPARK, "rows_to_check", "manuscript_id", "ord", "chapter"), rows=spark.createDataFrame(rows, SCHEMA)).collect()}
     wanted = {}
     for m in {r[0] for r in rows}:
         mine = sorted((r for r in rows if r[0] == m), key=lambda r: (r[2] is not None, r[2] or 0, r[1]))
