@@ -59,8 +59,8 @@ def epub_books(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("J10 A19 O7")
 def name_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spellings of capitalised words in the fixture's manuscripts: a cast, not a vocabulary, is what the rule is for."""
-    return clusters.greedy_variants(clusters.capitalised(_chapters(spark), 1))
+    """Spellings of the capitalised words of every source, three times or more."""
+    return clusters.greedy_variants(clusters.capitalised(_documents(spark, sf_dir).where("raw IS NOT NULL")))
 
 
 @_query("K1 K2 O1 O2")
