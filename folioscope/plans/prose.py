@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from folioscope.functions import lexicons as lx
 from folioscope.functions.dialect import Dialect
+from folioscope.plans.ranks import ranked
 from folioscope.plans.registry import chapters, plan
 
 
@@ -222,12 +223,24 @@ def presence_matrix(d):
 
 @plan("W4")
 def absence_gaps(d):
-    """Words of a source, of any length, that are away from three documents or more between two that hold them."""
-    words = f"(SELECT w.source, c.ord, w.toks FROM (SELECT source, doc_id, {d.distinct(d.tokens('text'))} AS toks FROM documents WHERE text IS NOT NULL) w JOIN c ON c.doc_id = w.doc_id) toks_of"
-    return f"""WITH c AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS ord FROM documents WHERE text IS NOT NULL),
-        seen AS (SELECT source, tok, ord FROM {d.spread(words, 'source, ord', 'toks', 'pos', 'tok')} k),
-        g AS (SELECT source, tok, ord, lag(ord) OVER (PARTITION BY source, tok ORDER BY ord) AS before FROM seen)
-        SELECT source, tok, before AS last_seen, ord AS seen_again, ord - before - 1 AS away FROM g WHERE ord - before - 1 >= 3"""
+    """Words of a source, of any length, that are away from three documents or more between two that hold them.
+
+    A source's documents are dealt in runs of neighbours (the parts of :func:`ranked`).  Of a run, each word hands on the first
+    and last place where it stands and the gaps between: the rows that meet go with the words of a run, not of a document.
+    """
+    docs = "(SELECT source, doc_id, text FROM documents WHERE text IS NOT NULL)"
+    toks = d.spread(f"(SELECT source, stretch, place, {d.distinct(d.tokens('text'))} AS toks FROM {ranked(d, docs, 'source', 'doc_id', 'doc_id')} r)", "source, stretch, place", "toks", "pos", "tok")
+    held = f"(SELECT source, stretch, tok, {'sort_array(collect_list(place))' if d.spark else 'list_sort(list(place))'} AS places FROM {toks} t GROUP BY source, stretch, tok)"
+    # pairs of neighbouring places, as two arrays beside each other
+    pairs = "arrays_zip(places, slice(places, 2, size(places)))" if d.spark else "list_zip(places, list_slice(places, 2, len(places)))"
+    one, other = ("z.`places`", "z.`1`") if d.spark else ("z[1]", "z[2]")
+    inside = d.map(d.keep(pairs, "z", f"{other} IS NOT NULL AND {other} - {one} - 1 >= 3"), "z", d.struct({"a": one, "b": other}))
+    before = f"lag({d.at('places', '-1')}) OVER (PARTITION BY source, tok ORDER BY stretch)"
+    met = f"(SELECT source, tok, {d.at('places', '1')} AS here, {before} AS before, {inside} AS inside FROM {held} h)"
+    gap = d.struct({"a": "before", "b": "here"})
+    both = f"CASE WHEN here - before - 1 >= 3 THEN {'concat' if d.spark else 'list_concat'}(inside, {d.array([gap])}) ELSE inside END"
+    each = d.spread(f"(SELECT source, tok, {both} AS gs FROM {met} m)", "source, tok", "gs", "pos", "g")
+    return f"SELECT source, tok, g.a AS last_seen, g.b AS seen_again, g.b - g.a - 1 AS away FROM {each} y"
 
 
 @plan("J11 P5b")
@@ -250,7 +263,8 @@ def name_variants(d):
 @plan("A23 C16 S14 K4")
 def word_profile(d):
     """Rate per 1,000 words of each source's words, ten times or more."""
-    return f"""SELECT source, tok, round(1000.0 * n / total, 6) AS rate FROM (SELECT source, tok, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY source) AS DOUBLE) AS total FROM {_tokens(d)} k GROUP BY source, tok) t WHERE n >= 10"""
+    totals = f"(SELECT source, CAST(sum({d.size(d.tokens('text'))}) AS DOUBLE) AS total FROM documents WHERE text IS NOT NULL GROUP BY source)"
+    return f"""SELECT k.source, k.tok, round(1000.0 * k.n / t.total, 6) AS rate FROM (SELECT source, tok, count(*) AS n FROM {_tokens(d)} k0 GROUP BY source, tok HAVING count(*) >= 10) k JOIN {totals} t ON t.source = k.source"""
 
 
 @plan("A23 A24 A25 A26 J12 O5 O6")

@@ -38,7 +38,7 @@ def signatures(d: Dialect, rel: str = "", keys: str = "manuscript_id", keep: str
     """Speakers by ``keys``: lines, words, words a line, and shares of questions, contractions and qualifiers."""
     qualifiers = ", ".join(d.lit(w) for w in lx.QUALIFIERS)
     n = lambda a: f"CAST(sum({a}) AS DOUBLE)"
-    contracted = d.size(d.keep("ws", "w", f"{d.has('w', chr(91) + chr(39) + '’' + chr(93))}"))
+    contracted = d.size(d.keep("ws", "w", d.has("w", "['’]")))
     hedged = d.size(d.keep("ws", "w", f"w IN ({qualifiers})"))
     return f"""(SELECT {keys}, speaker, count(*) AS lines, CAST(sum({d.size('ws')}) AS BIGINT) AS words, {n(d.size('ws'))} / count(*) AS per_line, avg(CASE WHEN line LIKE '%?' THEN 1.0 ELSE 0.0 END) AS questions,
         {n(contracted)} / greatest(sum({d.size('ws')}), 1) AS contractions, {n(hedged)} / greatest(sum({d.size('ws')}), 1) AS qualifiers
@@ -166,14 +166,6 @@ def bank_records(d):
         UNION ALL SELECT 'motif', lineno, id, term, NULL FROM {motifs} m"""
 
 
-@plan("J2 A21")
-def texture_coverage(d):
-    """Chapters that hold each term, in any case and inside words; zero counts kept; of an id's records the first counts."""
-    first = f"(SELECT id, term FROM (SELECT id, term, row_number() OVER (PARTITION BY id ORDER BY lineno) AS r FROM {texture(d)} x) y WHERE r = 1 AND term <> '')"
-    return f"""SELECT id, term, coalesce({d.join(d.sorted_set("CASE WHEN hits > 0 THEN concat(manuscript_id, '/', chapter) END"), ',')}, '') AS chapters_used, CAST(sum(hits) AS BIGINT) AS total FROM
-        (SELECT t.id, t.term, c.manuscript_id, c.chapter, CAST((length(c.raw) - length(replace(lower(c.raw), lower(t.term), ''))) / length(t.term) AS BIGINT) AS hits FROM {first} t CROSS JOIN {chapters(d)} c) x GROUP BY id, term"""
-
-
 @plan("J2 A21 S6")
 def texture_findings(d):
     kinds = ", ".join(d.lit(k) for k in lx.TEXTURE_KINDS)
@@ -200,28 +192,12 @@ def similes(d: Dialect) -> str:
     return d.spread(f"(SELECT manuscript_id, chapter, {d.all_of('lower(' + d.strip_markdown('raw') + ')', lx.SIMILE)} AS ss FROM {chapters(d)} c) t", "manuscript_id, chapter", "ss", "pos", "simile")
 
 
-@plan("P15 A22 J16 FL5")
-def simile_ledger(d):
-    """Similes with their chapters, those that hold a motif's term exempt."""
-    motifs = f"(SELECT {d.field('line', 'term')} AS term FROM {_records(d, fx.MOTIFS, 'motif')} q)"
-    return f"""SELECT s.manuscript_id, s.simile, count(*) AS n, {d.join(d.sorted_set('s.chapter'), ',')} AS used_in, max(CASE WHEN m.term IS NOT NULL THEN 1 ELSE 0 END) = 1 AS exempt
-        FROM {similes(d)} s LEFT JOIN {motifs} m ON {d.contains('s.simile', 'm.term')} GROUP BY s.manuscript_id, s.simile"""
-
-
 @plan("P16 A22")
 def opening_words(d):
     word = f"lower({d.at(d.lint_tokens(d.strip_markdown('raw')), '1')})"
     return f"SELECT manuscript_id, word, count(*) AS n, {d.join(d.sorted_set('chapter'), ',')} AS used_in FROM (SELECT manuscript_id, chapter, {word} AS word FROM {chapters(d)} c) t GROUP BY manuscript_id, word"
 
 
-@plan("J14 U2")
-def watch_union(d):
-    """Watched phrases and discovered ones, case aside, discovered ones that a watched one holds dropped."""
-    watched, found = d.table("watched", fx.WATCHED, "phrase"), d.table("discovered", fx.DISCOVERED, "phrase")
-    return f"""SELECT lower(phrase) AS phrase, min(origin) AS origin FROM (SELECT phrase, 'watched' AS origin FROM {watched} w UNION ALL
-        SELECT f.phrase, 'found' FROM {found} f WHERE NOT EXISTS (SELECT 1 FROM {watched} x WHERE {d.contains('lower(x.phrase)', 'lower(f.phrase)')})) u GROUP BY lower(phrase)"""
-
-
 @plan("X30")
 def voice_differentiation(d):
     """Speakers that differ in three measures at least, of words a line, questions, contractions and qualifiers, and so share one at most."""

@@ -29,12 +29,12 @@ def test_thirds_of_manuscripts_of_any_numbering(spark):
     dice = random.Random(4)
     rows = [(m, f"c{i}", n, "x") for m, many in (("a", 6), ("b", 5), ("c", 700), ("d", 8), (None, 9)) for i, n in enumerate(dice.sample(range(-(10**6), 10**9), many - 1) + [None])]
     rows += [("e", f"c{i}", 7, "x") for i in range(10)]
-    ranks = {(r.manuscript_id, r.chapter): (r.place, r.n) for r in over_frames(ranks.ranked(SPARK, "rows_to_check", "manuscript_id", "ord", "chapter"), rows=spark.createDataFrame(rows, SCHEMA)).collect()}
+    places = {(r.manuscript_id, r.chapter): (r.place, r.n) for r in over_frames(ranks.ranked(SPARK, "rows_to_check", "manuscript_id", "ord", "chapter"), rows=spark.createDataFrame(rows, SCHEMA)).collect()}
     wanted = {}
     for m in {r[0] for r in rows}:
         mine = sorted((r for r in rows if r[0] == m), key=lambda r: (r[2] is not None, r[2] or 0, r[1]))
         wanted |= {(m, r[1]): (i, len(mine)) for i, r in enumerate(mine, 1)}
-    assert ranks == wanted
+    assert places == wanted
     third = {(r.t_of, r.t_at): r.third for r in over_frames(phrases.thirds(SPARK, "rows_to_check"), rows=spark.createDataFrame(rows, SCHEMA)).collect()}
     assert third == {k: "early" if place <= n // 3 else "late" for k, (place, n) in wanted.items() if n >= 6 and (place <= n // 3 or place > n - n // 3)}
     assert all((m, c) not in third for m, c in third if m == "b")
