@@ -7,8 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.functions.dialect import DUCK, SPARK, Dialect
-from folioscope.plans import fixtures
+from folioscope.functions.dialect import Dialect
+from folioscope.plans import derived, fixtures
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -46,14 +46,18 @@ def plan(covers: str) -> Callable:
     """Registers a function of a dialect that gives SQL."""
 
     def register(build: Callable[[Dialect], str]) -> Callable[[Dialect], str]:
+        def made(spark: bool) -> str:
+            """The plan over the driver's tables, directly or through relations made of them."""
+            return doubles(build(Dialect(spark, derived.relations(Dialect(spark), build.__name__))))
+
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            sql = doubles(build(SPARK))
+            sql = made(True)
             views(spark, sf_dir, sql)
             return spark.sql(sql)
 
         run.__doc__ = build.__doc__
         QUERIES[build.__name__] = run
-        ORACLES[build.__name__] = doubles(build(DUCK))
+        ORACLES[build.__name__] = made(False)
         COVERS[build.__name__] = covers
         BUILDERS[build.__name__] = build
         return build

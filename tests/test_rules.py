@@ -3,7 +3,8 @@
 import pytest
 
 from folioscope.operators import lint, relations
-from folioscope.plans import catalogue
+from folioscope.functions.dialect import SPARK
+from folioscope.plans import catalogue, registry
 
 DATA = "/root/testdata/sf0.001"
 
@@ -13,7 +14,8 @@ def rows(frame, *columns):
 
 
 def inline(spark, name, *columns):
-    return rows(catalogue.QUERIES[name](spark, DATA), *columns)
+    """The plan over its inline rows."""
+    return rows(spark.sql(registry.doubles(catalogue.BUILDERS[name](SPARK))), *columns)
 
 
 def chapters(spark, *raws, name="m"):
