@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from folioscope.functions.dialect import SPARK
 from folioscope.operators.lint import lint, over_frames
 from folioscope.plans import audits as plans
+from folioscope.plans import places as spans
 
 
 def proof(chapters: DataFrame) -> DataFrame:
@@ -15,8 +16,8 @@ def proof(chapters: DataFrame) -> DataFrame:
 
 
 def places(chapters: DataFrame) -> DataFrame:
-    """Places of doubled words, doubled blanks, control characters and broken encodings, with line number and excerpt."""
-    return over_frames(plans.proof_places(SPARK, "chapters_to_check"), chapters=chapters)
+    """Places of all typographic flaws with severity, line and excerpt; null texts are left out."""
+    return over_frames(f"SELECT * FROM {spans.places(SPARK, 'chapters_to_check')} x", chapters=chapters)
 
 
 def macro(chapters: DataFrame) -> DataFrame:
