@@ -231,16 +231,19 @@ def absence_gaps(d):
     docs = "(SELECT source, doc_id, text FROM documents WHERE text IS NOT NULL)"
     toks = d.spread(f"(SELECT source, stretch, place, {d.distinct(d.tokens('text'))} AS toks FROM {ranked(d, docs, 'source', 'doc_id', 'doc_id')} r)", "source, stretch, place", "toks", "pos", "tok")
     held = f"(SELECT source, stretch, tok, {'sort_array(collect_list(place))' if d.spark else 'list_sort(list(place))'} AS places FROM {toks} t GROUP BY source, stretch, tok)"
-    # pairs of neighbouring places, as two arrays beside each other
+    # pairs of neighbouring places, as two arrays beside each other; a gap travels as one number
+    wide = 1 << 31
     pairs = "arrays_zip(places, slice(places, 2, size(places)))" if d.spark else "list_zip(places, list_slice(places, 2, len(places)))"
     one, other = ("z.`places`", "z.`1`") if d.spark else ("z[1]", "z[2]")
-    inside = d.map(d.keep(pairs, "z", f"{other} IS NOT NULL AND {other} - {one} - 1 >= 3"), "z", d.struct({"a": one, "b": other}))
-    before = f"lag({d.at('places', '-1')}) OVER (PARTITION BY source, tok ORDER BY stretch)"
-    met = f"(SELECT source, tok, {d.at('places', '1')} AS here, {before} AS before, {inside} AS inside FROM {held} h)"
-    gap = d.struct({"a": "before", "b": "here"})
-    both = f"CASE WHEN here - before - 1 >= 3 THEN {'concat' if d.spark else 'list_concat'}(inside, {d.array([gap])}) ELSE inside END"
+    gap = lambda a, b: f"CAST({a} AS BIGINT) * {wide} + {b}"
+    inside = d.map(d.keep(pairs, "z", f"{other} IS NOT NULL AND {other} - {one} - 1 >= 3"), "z", gap(one, other))
+    # first, last and gaps leave a run; the places themselves stay in it
+    ends = f"(SELECT source, tok, stretch, CAST({d.at('places', '1')} AS INT) AS here, CAST({d.at('places', '-1')} AS INT) AS gone, {inside} AS inside FROM {held} h)"
+    met = f"(SELECT source, tok, here, lag(gone) OVER (PARTITION BY source, tok ORDER BY stretch) AS before, inside FROM {ends} e)"
+    both = f"CASE WHEN here - before - 1 >= 3 THEN {'concat' if d.spark else 'list_concat'}(inside, {d.array([gap('before', 'here')])}) ELSE inside END"
     each = d.spread(f"(SELECT source, tok, {both} AS gs FROM {met} m)", "source, tok", "gs", "pos", "g")
-    return f"SELECT source, tok, g.a AS last_seen, g.b AS seen_again, g.b - g.a - 1 AS away FROM {each} y"
+    places = f"(SELECT source, tok, CAST(floor(g / {wide}.0) AS BIGINT) AS last_seen, g % {wide} AS seen_again FROM {each} y)"
+    return f"SELECT source, tok, last_seen, seen_again, seen_again - last_seen - 1 AS away FROM {places} z"
 
 
 @plan("J11 P5b")
