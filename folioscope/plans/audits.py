@@ -138,8 +138,10 @@ def _record_lines(d: Dialect, rel: str, kinds: dict[str, list[str]], numbers: di
     kind = f"lower({d.first('line', r'^\s*([A-Za-z0-9_]+)\s', 1)})"
     lacks = " ".join(f"WHEN record = '{k}' AND ({' OR '.join(f'f_{x} IS NULL' for x in fs)}) THEN 'field missing'" for k, fs in kinds.items())
     odd = " ".join(f"WHEN record = '{k}' AND {expr} IS NULL THEN 'no number'" for k, expr in numbers.items())
-    fields = ", ".join(f"{d.field('line', x)} AS f_{x}" for x in names)
-    real = f"(SELECT manuscript_id, lineno, {kind} AS record, {fields} FROM {rel} src WHERE {d.trim('line')} <> '' AND NOT {d.has('line', r'^\s*#')})"
+    # fields leave one generated struct, so no test of a field is pushed below it and parses the line again
+    parsed = d.struct({"record": kind} | {f"f_{x}": d.field("line", x) for x in names})
+    each = d.spread(f"(SELECT manuscript_id, lineno, {d.array([parsed])} AS fs FROM {rel} src WHERE {d.trim('line')} <> '' AND NOT {d.has('line', r'^\s*#')})", "manuscript_id, lineno", "fs", "fpos", "f")
+    real = f"(SELECT manuscript_id, lineno, f.record AS record, {', '.join(f'f.f_{x} AS f_{x}' for x in names)} FROM {each} r1)"
     return f"(SELECT *, CASE WHEN record NOT IN ({', '.join(d.lit(k) for k in kinds)}) THEN 'unknown record' {lacks} {odd} END AS problem FROM {real} r0)"
 
 

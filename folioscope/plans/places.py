@@ -40,9 +40,22 @@ def _layout(d: Dialect, rel: str) -> str:
 
 def _marks(d: Dialect) -> dict[str, str]:
     return {
-        "line": "\n", "straight": '"', "apostrophe": "'", "curly": "[“”]", "tick": "’", "paren": "[()]", "spaces": r"[ \t]{2,}", "dots": "[.]{3,}", "ellipsis": "…",
-        "heading": _flags(d) + r"^#{1,6}\s+\S.*$", "control": r"[\x01-\x08\x0b\x0c\x0e-\x1f\x{7f}-\x{9f}]", "word": WORD + "+",
-    }
+        "straight": '"', "apostrophe": "'", "curly": "[“”]", "tick": "’", "paren": "[()]", "spaces": r"[ \t]{2,}", "dots": "[.]{3,}", "ellipsis": "…",
+        "heading": _flags(d) + r"^#{1,6}\s+\S.*$", "control": r"[\x01-\x08\x0b\x0c\x0e-\x1f\x{7f}-\x{9f}]",
+    } | ({"doubled": AGAIN} if d.spark else {"word": WORD + "+"})
+
+
+#: What a text must hold for a mark to be looked for at all: most texts hold few of them, and a plain search is cheap.
+NEEDS = {"straight": ['"'], "apostrophe": ["'"], "curly": ["“", "”"], "tick": ["’"], "paren": ["(", ")"], "spaces": ["  ", "\t"], "dots": ["..."], "ellipsis": ["…"], "heading": ["#"]}
+#: A word and itself again, by a reference back; the engine that knows none compares neighbours in an array.
+AGAIN = r"(?iu)(?<![\p{L}\p{N}_])([\p{L}\p{N}_]+)\s+\1(?![\p{L}\p{N}_])"
+
+
+def _guarded(d: Dialect, kind: str, array: str) -> str:
+    if kind not in NEEDS:
+        return array
+    when = "(" + " OR ".join(d.contains("p", d.lit(x)) for x in NEEDS[kind]) + ")"
+    return f"CASE WHEN {when} THEN {array} ELSE {'CAST(array() AS ARRAY<STRING>)' if d.spark else 'CAST([] AS VARCHAR[])'} END"
 
 
 def _mark(d: Dialect, kind: str, i: str, skip: str, hit: str, size: str, pre="''", post="''", blank="false", given="NULL") -> str:
@@ -53,21 +66,23 @@ def _mark(d: Dialect, kind: str, i: str, skip: str, hit: str, size: str, pre="''
 def _arrays(d: Dialect, rel: str) -> str:
     """One row for each chapter with an array of its marks (fs)."""
     marks = _marks(d)
-    held = ", ".join(f"{d.all_of('p', v)} AS h_{k}, {_split(d, 'p', v)} AS g_{k}" for k, v in marks.items())
+    held = ", ".join(f"{_guarded(d, k, d.all_of('p', v))} AS h_{k}, {_guarded(d, k, _split(d, 'p', v))} AS g_{k}" for k, v in marks.items()) + f", {d.lines('p')} AS g_line"
     dashes = " + ".join(f"CASE WHEN {x} THEN 1 ELSE 0 END" for x in (d.contains("p", d.lit("—")), d.has("p", r"\s–\s"), d.contains("p", d.lit("--"))))
     head = _flags(d, "i") + lx.CHAPTER_HEADING
     base = f"(SELECT {_OF}, p, {held}, {_split(d, 'p', chr(92) + 'n' + chr(92) + 's*' + chr(92) + 'n')} AS paras, {dashes} AS dashes, {d.first('p', head, 0)} AS head, {d.first('p', head, 1)} AS head_no FROM {_layout(d, rel)} m0)"
-    # doubled words: one letter for each pair of neighbours, 1 where they are the same word with nothing but blanks between
-    same = f"lower({d.at('h_word', 'i')}) = lower({d.at('h_word', 'i + 1')}) AND {d.has('coalesce(' + d.at('g_word', 'i + 1') + ', ' + d.lit('') + ')', '^' + chr(92) + 's+$')}"
-    paired = f"(SELECT *, coalesce({d.join(d.map(d.numbers('1', d.size('h_word') + ' - 1'), 'i', f'CASE WHEN {same} THEN 1 ELSE 0 END'), '')}, '') AS pairs FROM {base} m1)"
-    runs = f"(SELECT *, {d.all_of('pairs', '11?')} AS h_run, {_split(d, 'pairs', '11?')} AS g_run FROM {paired} m2)"
-    at_word = f"{_lengths(d, 'g_run', 'k')} + {_lengths(d, 'h_run', 'k - 1')} + 1"
+    if not d.spark:
+        # doubled words: one letter for each pair of neighbours, 1 where they are the same word with nothing but blanks between
+        same = f"lower({d.at('h_word', 'i')}) = lower({d.at('h_word', 'i + 1')}) AND {d.has('coalesce(' + d.at('g_word', 'i + 1') + ', ' + d.lit('') + ')', '^' + chr(92) + 's+$')}"
+        paired = f"(SELECT *, coalesce({d.join(d.map(d.numbers('1', d.size('h_word') + ' - 1'), 'i', f'CASE WHEN {same} THEN 1 ELSE 0 END'), '')}, '') AS pairs FROM {base} m1)"
+        runs = f"(SELECT *, {d.all_of('pairs', '11?')} AS h_run, {_split(d, 'pairs', '11?')} AS g_run FROM {paired} m2)"
+        at_word = f"{_lengths(d, 'g_run', 'k')} + {_lengths(d, 'h_run', 'k - 1')} + 1"
+        base = f"(SELECT *, {d.map(d.numbers('1', d.size('h_run')), 'k', at_word)} AS twins FROM {runs} m3)"
     p = d.at("paras", "i")
     left, right, plain = (_times(p, c) for c in "“”\"")
     opens = lambda x: f"coalesce({d.has(x, '^' + chr(92) + 's*[“' + chr(34) + ']')}, false)"
     one = f"(({left} - {right} = 1 AND {plain} = 0) OR ({plain} % 2 = 1 AND {left} = {right}))"
     open_paras = d.keep(d.numbers("1", d.size("paras")), "i", f"({left} <> {right} OR {plain} % 2 = 1) AND NOT ({one} AND {opens(p)} AND {opens(d.at('paras', 'i + 1'))})")
-    found = f"(SELECT *, {d.map(d.numbers('1', d.size('h_run')), 'k', at_word)} AS twins, {open_paras} AS opened FROM {runs} m3)"
+    found = f"(SELECT *, {open_paras} AS opened FROM {base} m4)"
 
     def of(kind: str) -> str:
         h, g, after = d.at(f"h_{kind}", "i"), d.at(f"g_{kind}", "i"), f"coalesce({d.at(f'g_{kind}', 'i + 1')}, '')"
@@ -75,15 +90,16 @@ def _arrays(d: Dialect, rel: str) -> str:
         return d.map(d.numbers("1", d.size(f"h_{kind}")), "i", _mark(d, kind, "i", f"length({g})", h, f"length({h})", f"right({g}, 1)", f"left({after}, 1)", blank))
 
     word = lambda j: d.at("h_word", j)
-    doubled = d.map("twins", "j", _mark(d, "doubled", "j", "0", word("j"), f"length({word('j')}) + length({d.at('g_word', 'j + 1')}) + length({word('j + 1')})", given=f"{_lengths(d, 'g_word', 'j')} + {_lengths(d, 'h_word', 'j - 1')}"))
+    doubled = [] if d.spark else [d.map("twins", "j", _mark(d, "doubled", "j", "0", word("j"), f"length({word('j')}) + length({d.at('g_word', 'j + 1')}) + length({word('j + 1')})", given=f"{_lengths(d, 'g_word', 'j')} + {_lengths(d, 'h_word', 'j - 1')}"))]
     paragraphs = d.map("opened", "i", _mark(d, "paragraph", "i", "0", "''", f"least({PARAGRAPH}, length({p}))", given=_lengths(d, "paras", "i - 1", 2)))
     cut = "slice" if d.spark else "list_slice"
     single = lambda when, mark: f"{cut}({d.array([mark])}, 1, CASE WHEN {when} THEN 1 ELSE 0 END)"
     mixed = single("dashes > 1", _mark(d, "dashes", "1", "0", "''", "0", given="0"))
     broken = [single(d.contains("p", d.lit(m)), _mark(d, "broken", str(i), "0", d.lit(m), str(len(m)), given=f"instr(p, {d.lit(m)}) - 1")) for i, m in enumerate(lx.MOJIBAKE)]
     headed = single("coalesce(head, '') <> ''", _mark(d, "chapter", "1", "0", "head_no", "length(head)", given="instr(p, head) - 1"))
-    arrays = [of(k) for k in marks if k != "word"] + [doubled, paragraphs, mixed, headed, *broken]
-    return f"(SELECT {_OF}, {d.flatten(d.array(arrays))} AS fs FROM {found} m4)"
+    ends = d.map(d.numbers("1", d.size("g_line") + " - 1"), "i", _mark(d, "line", "i", f"length({d.at('g_line', 'i')})", "''", "1"))
+    arrays = [ends] + [of(k) for k in marks if k != "word"] + [*doubled, paragraphs, mixed, headed, *broken]
+    return f"(SELECT {_OF}, {d.flatten(d.array(arrays))} AS fs FROM {found} m5)"
 
 
 def places(d: Dialect, rel: str) -> str:
@@ -92,8 +108,10 @@ def places(d: Dialect, rel: str) -> str:
     Checks of a chapter without a place stand on line 1 (dashes), those of a manuscript or a number on line 0.
     A paragraph's offset takes every break between paragraphs for two letters.
     """
-    quotes, dots = r"[“”]", d.count("p", "[.]{3,}")
-    style = f"""(SELECT manuscript_id AS style_of, sum({d.count('p', quotes)}) AS curly, sum({d.count('p', chr(34))} - {d.count('p', WORD + chr(34))}) AS straight, sum({d.count('p', '…')}) AS one, sum({dots} - {d.count('p', '[.]{4,}')}) AS three FROM {_layout(d, rel)} s0 GROUP BY manuscript_id)"""
+    when = lambda part, n: f"CASE WHEN {d.contains('p', d.lit(part))} THEN {n} ELSE 0 END"
+    straights = when('"', f"{_times('p', chr(34))} - {d.count('p', WORD + chr(34))}")
+    threes = when("...", f"{d.count('p', '[.]{3,}')} - {d.count('p', '[.]{4,}')}")
+    style = f"""(SELECT manuscript_id AS style_of, sum({_times('p', '“')} + {_times('p', '”')}) AS curly, sum({straights}) AS straight, sum({_times('p', '…')}) AS one, sum({threes}) AS three FROM {_layout(d, rel)} s0 GROUP BY manuscript_id)"""
     each = d.spread(f"{_arrays(d, rel)} f0", _OF, "fs", "fpos", "f")
     inner = f"PARTITION BY {_OF}, f.kind ORDER BY f.i, f.hit"
     begun = f"(SELECT {_OF}, f.kind AS kind, f.i AS i, f.hit AS hit, f.size AS size, f.pre AS pre, f.post AS post, f.blank AS blank, coalesce(f.given, CAST(sum(f.skip + f.size) OVER ({inner} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - f.size AS BIGINT)) AS start FROM {each} f1)"
@@ -112,7 +130,7 @@ def places(d: Dialect, rel: str) -> str:
         WHEN kind IN ('broken', 'control') THEN 'mojibake' WHEN kind = 'chapter' AND {d.number('hit', 'BIGINT')} <> {file_no} THEN 'chapter_numbering' END"""
     sunk = "kind = 'paren' AND sunk IS NULL"
     size = f"CASE WHEN kind = 'heading' THEN length({d.first('hit', '^#{1,6}' + chr(92) + 's+' + chr(92) + 'S')}) WHEN kind = 'paren' THEN 1 ELSE size END"
-    item = "CASE WHEN kind IN ('heading', 'paragraph', 'dashes') THEN '' WHEN kind = 'control' THEN 'control character' ELSE hit END"
+    item = "CASE WHEN kind IN ('heading', 'paragraph', 'dashes') THEN '' WHEN kind = 'control' THEN 'control character' WHEN kind = 'doubled' THEN " + d.first("hit", f"^{WORD}+") + " ELSE hit END"
     cols = "k.manuscript_id, k.chapter, k.ord, k.kind"
     flaws = f"""(SELECT {cols}, {check} AS check_name, CASE WHEN {sunk} THEN 0 ELSE start END AS start, CASE WHEN {sunk} THEN 1 ELSE line END AS line, {size} AS size, {item} AS item FROM {known} k JOIN {style} s ON s.style_of = k.manuscript_id WHERE kind <> 'line'
         UNION ALL SELECT {cols}, 'empty_sections', start, line, size, hit FROM {known} k WHERE kind = 'heading' AND blank)"""
@@ -120,7 +138,7 @@ def places(d: Dialect, rel: str) -> str:
     excerpt = f"CASE WHEN f.kind = 'dashes' THEN '' WHEN f.check_name = 'empty_sections' THEN f.item ELSE {d.trim(f'replace(substring(c.p, CAST({low} + 1 AS INT), CAST(f.start + f.size + {PAD} - {low} AS INT)), {d.lit(chr(10))}, {d.lit(chr(32))})')} END"
     fails = "('unbalanced_quotes', 'unbalanced_delims', 'doubled_words', 'mojibake', 'chapter_numbering')"
     within = f"SELECT f.manuscript_id, f.chapter, f.check_name, CASE WHEN f.check_name IN {fails} THEN 'fail' ELSE 'warn' END AS severity, f.start, f.line, {excerpt} AS excerpt, f.item FROM {flaws} f JOIN {_layout(d, rel)} c ON c.manuscript_id = f.manuscript_id AND c.chapter = f.chapter AND c.ord = f.ord WHERE f.check_name IS NOT NULL"
-    breaks = d.spread(f"(SELECT manuscript_id, {d.map(d.all_of('p', _flags(d) + lx.SCENE_BREAK, 1), 'x', d.trim('x'))} AS bs FROM {_layout(d, rel)} b0)", "manuscript_id", "bs", "bpos", "mark")
+    breaks = d.spread(f"(SELECT manuscript_id, {d.map(d.all_of('p', _flags(d) + lx.SCENE_BREAK, 1), 'x', d.trim('x'))} AS bs FROM {_layout(d, rel)} b0 WHERE {' OR '.join(d.contains('p', d.lit(x)) for x in '*#~-')})", "manuscript_id", "bs", "bpos", "mark")
     empty = "CAST(0 AS BIGINT) AS start, CAST(0 AS BIGINT) AS line, '' AS excerpt"
     scenes = f"SELECT manuscript_id, {d.text('NULL')} AS chapter, 'scene_break_consistency' AS check_name, 'warn' AS severity, {empty}, {d.join(d.sorted_set('mark'), ' ')} AS item FROM {breaks} b1 GROUP BY manuscript_id HAVING count(DISTINCT mark) > 1"
     named = f"(SELECT manuscript_id, chapter, {d.number(d.first('chapter', '([0-9]+)', 1), 'BIGINT')} AS file_no FROM {rel} n0 WHERE raw IS NOT NULL)"

@@ -94,7 +94,9 @@ def test_every_check_against_a_plain_reading(spark, seed):
 def test_excerpts(spark):
     text = "First line here.\nShe she went (home and  sat <!-- no\nno --> down.\n"
     found = {r.check_name: r for r in run(spark, [("m", "chapter-01.md", 1, text)])}
+    shown = lambda a, b: laid(text)[max(0, a - 30) : b + 30].replace("\n", " ").strip()
+    assert text[17:24] == "She she" and text[39:41] == "  "
     twice = found["doubled_words"]
-    assert (twice.line, twice.excerpt, twice.item, twice.severity) == (2, "First line here. She she went (home and  sat xxxxxxx", "She", "fail")
-    assert found["doubled_spaces"].excerpt == "line here. She she went (home and  sat xxxxxxx xxxxxx down." or found["doubled_spaces"].line == 2
+    assert (twice.line, twice.excerpt, twice.item, twice.severity) == (2, shown(17, 24), "She", "fail")
+    assert (found["doubled_spaces"].line, found["doubled_spaces"].excerpt) == (2, shown(39, 41))
     assert found["unbalanced_delims"].start == 0 and found["unbalanced_delims"].line == 1
