@@ -29,17 +29,18 @@ def containing(d: Dialect, texts: str, ids: str, terms: str) -> str:
     meets these by groups of three letters; the few words that hold one lead to texts, and only those are read for the
     term.  Terms without a mark or word character are never found.
     """
-    cut = f"(SELECT {ids}, {d.all_of('low', f'{WORD}{{1,{PART}}}|[^{WORD[1:-1]}{chr(92)}s]{{1,{PART}}}')} AS cs FROM {texts} t0)"
-    held = d.spread(f"(SELECT {ids}, {_parts(d, 'cs')} AS ps FROM {cut} t1)", ids, "ps", "at", "chunk")
+    hashed = lambda *x: f"{'xxhash64' if d.spark else 'hash'}({', '.join(x)})"
+    # texts and parts travel as hashes: what they lead to is read letter by letter, so a collision costs a look and no more
+    cut = f"(SELECT {hashed(ids)} AS tid, {d.all_of('low', f'{WORD}{{1,{PART}}}|[^{WORD[1:-1]}{chr(92)}s]{{1,{PART}}}')} AS cs FROM {texts} t0)"
+    held = d.spread(f"(SELECT tid, {_parts(d, 'cs')} AS ps FROM {cut} t1)", "tid", "ps", "at", "chunk")
     runs = d.spread(f"(SELECT DISTINCT term, {d.all_of('term', RUN)} AS rs FROM {terms} k0 WHERE term IS NOT NULL)", "term", "rs", "at", "run")
     keys = f"(SELECT term, left({d.best('run', 'length(run)')}, {PIECE}) AS piece FROM {runs} k1 GROUP BY term)"
     each = d.flatten(d.array([d.map(d.numbers("1", "length(chunk)"), "i", f"substring(chunk, i, {q})") for q in range(1, GRAM + 1)]))
     grams = d.spread(f"(SELECT chunk, {d.distinct(each)} AS gs FROM (SELECT DISTINCT chunk FROM {held} h0) v0)", "chunk", "gs", "at", "gram")
-    met = f"(SELECT v.chunk, k.term FROM {grams} v JOIN {keys} k ON v.gram = left(k.piece, {GRAM}) WHERE contains(v.chunk, k.piece))"
-    names = [x.strip() for x in ids.split(",")]
-    led = f"(SELECT DISTINCT {', '.join('h.' + x for x in names)}, m.term FROM {held} h JOIN {met} m ON m.chunk = h.chunk)"
-    on = " AND ".join(f"l.{x} = t.{x}" for x in names)
-    return f"(SELECT {ids}, term, hits FROM (SELECT {', '.join('t.' + x for x in names)}, l.term, CAST((length(t.low) - length(replace(t.low, l.term, ''))) / length(l.term) AS BIGINT) AS hits FROM {led} l JOIN {texts} t ON {on}) x WHERE hits > 0)"
+    met = f"(SELECT {hashed('v.chunk')} AS cid, k.term FROM {grams} v JOIN {keys} k ON v.gram = left(k.piece, {GRAM}) WHERE contains(v.chunk, k.piece))"
+    led = f"(SELECT DISTINCT h.tid, m.term FROM (SELECT tid, {hashed('chunk')} AS cid FROM {held} h1) h JOIN {met} m ON m.cid = h.cid)"
+    names = ", ".join("t." + x.strip() for x in ids.split(","))
+    return f"(SELECT {ids}, term, hits FROM (SELECT {names}, l.term, CAST((length(t.low) - length(replace(t.low, l.term, ''))) / length(l.term) AS BIGINT) AS hits FROM {led} l JOIN {texts} t ON l.tid = {hashed(names)}) x WHERE hits > 0)"
 
 
 def coverage(d: Dialect, terms: str, rel: str) -> str:

@@ -283,7 +283,7 @@ def fingerprint_delta(d):
         SELECT t.source AS target, r.source AS reference, round(avg(abs(t.rate - r.rate) / sd.sd), 6) AS delta FROM g t JOIN g r ON r.tok = t.tok AND r.source <> t.source JOIN sd ON sd.tok = t.tok AND sd.target = t.source GROUP BY t.source, r.source"""
 
 
-@plan("A27 C4 S4")
+@plan("")
 def corpus_stats(d):
     """Corpus vector of a language's documents, with its small-sample warning."""
     return f"""SELECT lang, CAST(sum(w) AS BIGINT) AS words, round(CAST(sum(w) AS DOUBLE) / sum(s), 6) AS mean_sentence, round(1000.0 * sum(x) / sum(w), 6) AS marks_per_1k,
@@ -297,26 +297,26 @@ def word_band(d):
         FROM (SELECT source, {d.size(d.lint_tokens('text'))} AS n FROM documents WHERE text IS NOT NULL) t GROUP BY source) u"""
 
 
-@plan("W6 W5")
+@plan("")
 def numbering_gaps(d):
     """Order lines whose number does not follow its predecessor's."""
     return "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, CAST(before AS BIGINT) AS before FROM (SELECT l_orderkey, l_linenumber, lag(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS before FROM lineitem) t WHERE l_linenumber <> before + 1"
 
 
-@plan("J5 J6 FL14")
+@plan("")
 def ship_spans(d):
     """Lines shipped before their order or over 100 days after it: stated against actual interval."""
     days = "CAST(datediff(l_shipdate, o_orderdate) AS BIGINT)" if d.spark else "CAST(date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS BIGINT)"
     return f"SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, days, CASE WHEN days < 0 THEN 'reversed' ELSE 'contradiction' END AS kind FROM (SELECT l_orderkey, l_linenumber, {days} AS days FROM lineitem JOIN orders ON o_orderkey = l_orderkey) t WHERE days < 0 OR days > 100"
 
 
-@plan("W11 U5")
+@plan("")
 def keep_first_event(d):
     """First event of each user and kind."""
     return "SELECT event_id, user_id, event_type FROM (SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS r FROM events) t WHERE r = 1"
 
 
-@plan("A17 J8")
+@plan("")
 def role_signatures(d):
     """Lines, words, mean length and question rate of each role's turns."""
     return f"""SELECT role, count(*) AS lines, CAST(sum(n) AS BIGINT) AS words, round(avg(n), 6) AS per_line, round(avg(CASE WHEN text LIKE '%?%' THEN 1.0 ELSE 0.0 END), 6) AS questions FROM (SELECT role, text, {d.size(d.tokens('text'))} AS n FROM conversations WHERE text IS NOT NULL) t GROUP BY role"""

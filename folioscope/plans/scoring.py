@@ -340,7 +340,7 @@ def voice_bank(d):
         LEFT JOIN {samples} s ON s.book = b.book AND (n.kind = 'any' OR s.kind = n.kind) GROUP BY b.book, n.kind, n.least HAVING count(s.kind) < n.least"""
 
 
-@plan("A20 A31")
+@plan("")
 def label_shares(d):
     """Share of good and toxic labels by source."""
     return "SELECT d.source, count(*) AS n, round(avg(CAST(l.quality AS DOUBLE)), 6) AS good, round(avg(CAST(l.toxic AS DOUBLE)), 6) AS toxic, avg(CAST(l.quality AS DOUBLE)) > 0.5 AS passes FROM documents d JOIN labels l ON l.doc_id = d.doc_id GROUP BY d.source"

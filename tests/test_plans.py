@@ -98,3 +98,23 @@ def test_fingerprints_of_every_source_from_every_other(spark, tmp_path):
         sd = [abs(rates[others[0]][i] - rates[others[1]][i]) / 2 for i in (0, 1)]
         wanted |= {(t, r): sum(abs(rates[t][i] - rates[r][i]) / sd[i] for i in (0, 1)) / 2 for r in others}
     assert {(t, r): d for t, r, d in over(spark, tmp_path, "fingerprint_delta", rows)} == pytest.approx(wanted, abs=1e-5)
+
+
+def test_winner_needs_six_references(spark, tmp_path):
+    def docs(many):
+        return [(i, " ".join(["sun"] * (i + 1) + ["moon"] * (many - i) + ["sea"] * (i % 3 + 1)), "en", f"s{i}") for i in range(many)]
+
+    assert {(t, r, w) for t, r, w in over(spark, tmp_path / "few", "fingerprint_winner", docs(4))} == {(f"s{i}", 3, None) for i in range(4)}
+    found = {t: (w, refs) for t, refs, w in over(spark, tmp_path / "many", "fingerprint_winner", docs(8))}
+    deltas = {}
+    for target, reference, delta in over(spark, tmp_path / "again", "fingerprint_delta", docs(8)):
+        deltas.setdefault(target, []).append((delta, reference))
+    assert found == {t: (min(x)[1], 7) for t, x in deltas.items()}
+
+
+def test_texts_are_cut_into_words_once(spark):
+    """No inferred test of an array's size is pushed to the scan, where it would cut the text again for each use."""
+    spark.createDataFrame([(1, "x", "en", "s")], "doc_id long, text string, lang string, source string").createOrReplaceTempView("documents")
+    for name, most in (("ngram_seeds", 1), ("ngram_containment", 4), ("word_echo", 1)):
+        plan = spark.sql(registry.doubles(catalogue.BUILDERS[name](SPARK)))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract_all") <= most, name
