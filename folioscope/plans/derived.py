@@ -125,6 +125,7 @@ def relations(d: Dialect, name: str) -> dict[str, str]:
         "targets": f"(SELECT source AS manuscript_id, {file} AS chapter, {whole('doc_id % 900')} AS target FROM documents) given",
         "books": f"(SELECT {order} AS book, {genre('l_orderkey')} AS genre, {whole('sum(l_quantity) * 500')} AS words, {real('5.0 + max(l_partkey) % 40 / 10.0')} AS grade, {whole('sum(l_suppkey) % 1200')} AS adverbs FROM {lines} GROUP BY l_orderkey) given",
         "turning_points": f"(SELECT {order} AS book, {whole('l_linenumber')} AS ord, {whole('l_linenumber * 18000 + l_quantity * 100')} AS at_word FROM {lines} WHERE l_linenumber <= 3) given",
+        "pack_projects": f"(SELECT manuscript_id, {pick('no', 'Historical', 'Drama', 'Verse')} AS genre, {pick('no', None, 'City', 'Period Drama', 'sea')} AS subgenre FROM (SELECT DISTINCT source AS manuscript_id, CAST({d.first('source', '[0-9]+')} AS BIGINT) AS no FROM documents WHERE {d.has('source', '[0-9]')}) n) given",
         "samples": f"(SELECT {order} AS book, {pick('l_partkey', 'voice-breaking', 'plain', 'irrelevant-thought', 'plain')} AS kind FROM {lines}) given",
     }
     return out

@@ -156,3 +156,12 @@ def epub_problems(spark: SparkSession, path: str) -> DataFrame:
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.epub").load(path)
     return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.explode(F.pandas_udf(check, "array<string>")("content")).alias("problem"))
+
+
+def packs(spark: SparkSession, path: str) -> DataFrame:
+    """Rule packs from CSV files with a header (pack, rule, pattern, most_per_1k): another file in the folder is another pack.
+
+    Rows without a pack, rule or pattern, or with a limit that is no number, are left out.
+    """
+    rows = spark.read.option("header", True).option("escape", '"').csv(path)
+    return rows.select("pack", "rule", "pattern", F.expr("try_cast(most_per_1k AS DOUBLE)").alias("most_per_1k")).where("pack IS NOT NULL AND rule IS NOT NULL AND pattern IS NOT NULL AND most_per_1k IS NOT NULL")
