@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from folioscope.functions.dialect import SPARK
 from folioscope.operators.clusters import capitalised, greedy_variants
@@ -30,7 +31,11 @@ def lint(chapters: DataFrame, profile: str = "", overrides: dict[str, float] | N
     chapters = chapters.filter("raw IS NOT NULL").select("manuscript_id", "chapter", "ord", "raw")
     found = over_frames(plans.findings(SPARK, "chapters_to_check", th), chapters=chapters)
     spans = repeats(chapters, profile, overrides)
-    growing = over_frames(phrases.escalation_findings(SPARK, "chapters_to_check", "spans_to_check", th), chapters=chapters, spans=spans)
+    placed = chapters
+    if not isinstance(chapters.schema["ord"].dataType, NumericType):
+        # chapters that are ordered by a name: it stands in front of the chapter's own, and nothing numbers them
+        placed = chapters.select("manuscript_id", F.concat_ws("\x01", F.col("ord").cast("string"), "chapter").alias("chapter"), F.lit(None).cast("long").alias("ord"), "raw")
+    growing = over_frames(phrases.escalation_findings(SPARK, "chapters_to_check", "spans_to_check", th), chapters=placed, spans=spans)
     known = found.filter("check_name = 'phrase_repetition'").groupBy("manuscript_id").agg(F.collect_set(F.lower("item")).alias("watched"))
     spans = spans.join(known, "manuscript_id", "left").filter(F.col("watched").isNull() | ~F.exists("watched", lambda w: F.contains(w, F.col("phrase"))))
     text, number = (lambda x: F.lit(x).cast("string")), (lambda x: F.lit(x).cast("double"))

@@ -132,8 +132,11 @@ def places(d: Dialect, rel: str) -> str:
     size = f"CASE WHEN kind = 'heading' THEN length({d.first('hit', '^#{1,6}' + chr(92) + 's+' + chr(92) + 'S')}) WHEN kind = 'paren' THEN 1 ELSE size END"
     item = "CASE WHEN kind IN ('heading', 'paragraph', 'dashes') THEN '' WHEN kind = 'control' THEN 'control character' WHEN kind = 'doubled' THEN " + d.first("hit", f"^{WORD}+") + " ELSE hit END"
     cols = "k.manuscript_id, k.chapter, k.ord, k.kind"
-    flaws = f"""(SELECT {cols}, {check} AS check_name, CASE WHEN {sunk} THEN 0 ELSE start END AS start, CASE WHEN {sunk} THEN 1 ELSE line END AS line, {size} AS size, {item} AS item FROM {known} k JOIN {style} s ON s.style_of = k.manuscript_id WHERE kind <> 'line'
-        UNION ALL SELECT {cols}, 'empty_sections', start, line, size, hit FROM {known} k WHERE kind = 'heading' AND blank)"""
+    # a heading may break two rules; the marks are read once for both
+    both = d.array([d.struct({"name": check, "item": d.text(item), "size": f"CAST({size} AS BIGINT)"}), d.struct({"name": "CASE WHEN kind = 'heading' AND blank THEN 'empty_sections' END", "item": "hit", "size": "CAST(size AS BIGINT)"})])
+    told = f"(SELECT {cols}, CASE WHEN {sunk} THEN 0 ELSE start END AS start, CASE WHEN {sunk} THEN 1 ELSE line END AS line, {both} AS cs FROM {known} k JOIN {style} s ON s.style_of = k.manuscript_id WHERE kind <> 'line')"
+    out = "manuscript_id, chapter, ord, kind, start, line"
+    flaws = f"(SELECT {out}, c.name AS check_name, c.item AS item, c.size AS size FROM {d.spread(f'{told} t0', out, 'cs', 'cpos', 'c')} t1 WHERE c.name IS NOT NULL)"
     low = f"greatest(f.start - {PAD}, 0)"
     excerpt = f"CASE WHEN f.kind = 'dashes' THEN '' WHEN f.check_name = 'empty_sections' THEN f.item ELSE {d.trim(f'replace(substring(c.p, CAST({low} + 1 AS INT), CAST(f.start + f.size + {PAD} - {low} AS INT)), {d.lit(chr(10))}, {d.lit(chr(32))})')} END"
     fails = "('unbalanced_quotes', 'unbalanced_delims', 'doubled_words', 'mojibake', 'chapter_numbering')"
