@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from folioscope.functions import lexicons as lx
 from folioscope.functions.dialect import Dialect
-from folioscope.plans.ranks import ranked
 from folioscope.plans.registry import chapters, plan
 
 
@@ -221,15 +220,25 @@ def presence_matrix(d):
         LEFT JOIN (SELECT manuscript_id, chapter, w, count(*) AS hits FROM {toks} x GROUP BY manuscript_id, chapter, w) k ON k.manuscript_id = c.manuscript_id AND k.chapter = c.chapter AND k.w = n.name"""
 
 
+#: Ids of a run of neighbouring documents.
+RUN_IDS = 2000
+
+
 @plan("W4")
 def absence_gaps(d):
     """Words of a source, of any length, that are away from three documents or more between two that hold them.
 
-    A source's documents are dealt in runs of neighbours (the parts of :func:`ranked`).  Of a run, each word hands on the first
-    and last place where it stands and the gaps between: the rows that meet go with the words of a run, not of a document.
+    A source's documents are dealt in runs of neighbours, ``RUN_IDS`` ids wide.  Of a run, each word hands on the first and last
+    place where it stands and the gaps between: the rows that meet go with the words of a run, not of a document, and texts move once.
     """
-    docs = "(SELECT source, doc_id, text FROM documents WHERE text IS NOT NULL)"
-    toks = d.spread(f"(SELECT source, stretch, place, {d.distinct(d.tokens('text'))} AS toks FROM {ranked(d, docs, 'source', 'doc_id', 'doc_id')} r)", "source, stretch, place", "toks", "pos", "tok")
+    # plain equality on both columns: what the window has dealt by them is not dealt again by the join, nor by the grouping
+    none = d.lit("\x01none")
+    keyed = f"(SELECT coalesce(source, {none}) AS source, coalesce(CAST(floor(doc_id / {RUN_IDS}.0) AS BIGINT), -1) AS stretch, doc_id, text FROM documents WHERE text IS NOT NULL)"
+    sizes = f"(SELECT source AS s_of, stretch AS s_at, count(*) AS k FROM {keyed} k0 GROUP BY source, stretch)"
+    bases = f"(SELECT s_of, s_at, CAST(sum(k) OVER (PARTITION BY s_of ORDER BY s_at ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - k AS base FROM {sizes} s0)"
+    numbered = f"(SELECT source, stretch, text, row_number() OVER (PARTITION BY source, stretch ORDER BY doc_id) AS at FROM {keyed} k1)"
+    placed = f"(SELECT n.source, n.stretch, b.base + n.at AS place, n.text FROM {numbered} n JOIN {bases} b ON b.s_of = n.source AND b.s_at = n.stretch)"
+    toks = d.spread(f"(SELECT source, stretch, place, {d.distinct(d.tokens('text'))} AS toks FROM {placed} r)", "source, stretch, place", "toks", "pos", "tok")
     held = f"(SELECT source, stretch, tok, {'sort_array(collect_list(place))' if d.spark else 'list_sort(list(place))'} AS places FROM {toks} t GROUP BY source, stretch, tok)"
     # pairs of neighbouring places, as two arrays beside each other; a gap travels as one number
     wide = 1 << 31
@@ -243,7 +252,7 @@ def absence_gaps(d):
     both = f"CASE WHEN here - before - 1 >= 3 THEN {'concat' if d.spark else 'list_concat'}(inside, {d.array([gap('before', 'here')])}) ELSE inside END"
     each = d.spread(f"(SELECT source, tok, {both} AS gs FROM {met} m)", "source, tok", "gs", "pos", "g")
     places = f"(SELECT source, tok, CAST(floor(g / {wide}.0) AS BIGINT) AS last_seen, g % {wide} AS seen_again FROM {each} y)"
-    return f"SELECT source, tok, last_seen, seen_again, seen_again - last_seen - 1 AS away FROM {places} z"
+    return f"SELECT nullif(source, {none}) AS source, tok, last_seen, seen_again, seen_again - last_seen - 1 AS away FROM {places} z"
 
 
 @plan("J11 P5b")
