@@ -63,6 +63,27 @@ def term_coverage(d):
 LEDGER = {"ngram_min_count": 2, "ngram_per_10k": 1.0}
 
 
+def uses(d: Dialect, rel: str) -> str:
+    """Similes, opening word and dialogue tags of each chapter on its own, and a row that it was seen: what adds up over chapters."""
+    clean = f"(SELECT manuscript_id, chapter, {d.strip_comments('raw')} AS p FROM {rel} c0 WHERE raw IS NOT NULL)"
+    verbs = "|".join(lx.TAG_VERBS)
+    item = lambda kind, x: d.struct({"kind": d.lit(kind), "item": x})
+    found = [
+        d.map(d.all_of(f"lower({d.strip_markdown('p')})", lx.SIMILE), "x", item("simile", "x")),
+        d.map(d.all_of("p", r"(?i)[\"”]\s*,?\s*(" + verbs + r")\b", 1), "x", item("tag", "lower(x)")),
+        d.map(d.all_of("p", r"(?i)\b[\p{L}\p{N}_]+\s+(" + verbs + r")[,:]?\s*[\"“]", 1), "x", item("tag", "lower(x)")),
+        d.array([item("opening", f"lower({d.at(d.lint_tokens(d.strip_markdown('p')), '1')})"), item("seen", d.text("''"))]),
+    ]
+    each = d.spread(f"(SELECT manuscript_id, chapter, {d.flatten(d.array(found))} AS fs FROM {clean} c1)", "manuscript_id, chapter", "fs", "at", "f")
+    return f"(SELECT manuscript_id, chapter, f.kind AS kind, f.item AS item, count(*) AS n FROM {each} e WHERE f.item IS NOT NULL AND NOT (f.kind = 'tag' AND f.item IN ('said', 'asked')) GROUP BY manuscript_id, chapter, f.kind, f.item)"
+
+
+@plan("J16 A22 P15 P16")
+def chapter_uses(d):
+    """What each document uses of similes, openings and tags."""
+    return f"SELECT manuscript_id, chapter, kind, item, n FROM {uses(d, _documents(d))} x"
+
+
 def used(d: Dialect, rel: str, motifs: str) -> str:
     """What chapters have used already: phrases, similes, opening words and dialogue tags other than said and asked.
 
