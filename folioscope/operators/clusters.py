@@ -58,12 +58,14 @@ def _deletions(words: DataFrame, most: int) -> DataFrame:
     """What is left of each spelling when up to ``most`` of its letters go: spellings within the distance share one of them.
 
     Letters go from the left to the right, one step for each, so a spelling of ``L`` letters has about ``L**most / most!``
-    rows; nothing is too short to take part.
+    rows; nothing is too short to take part.  No letter goes that equals the one kept before it, so each rest comes once:
+    of a run of one letter, whichever of its letters go leaves the same.
     """
     left = words.select("*", F.col("low").alias("rest"), F.lit(0).alias("gone"), F.lit(0).alias("at"))
     layers = [left]
     for _ in range(most):
         left = left.where(F.length("rest") > F.col("at")).select(*words.columns, "rest", "gone", F.explode(F.sequence(F.col("at"), F.length("rest") - 1)).alias("at"))
+        left = left.where("at = 0 OR substring(rest, at, 1) <> substring(rest, at + 1, 1)")
         left = left.select(*words.columns, F.expr("concat(substring(rest, 1, at), substring(rest, at + 2))").alias("rest"), (F.col("gone") + 1).alias("gone"), "at")
         layers.append(left)
     whole = layers[0]
@@ -80,7 +82,8 @@ def _near(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
     """Pairs of spellings (``low``) and others (``other_low``) of one manuscript within the distance, by their deletions."""
     a = _deletions(left.select("manuscript_id", "low").distinct(), most)
     b = _deletions(right.select("manuscript_id", "low").distinct(), most).select("manuscript_id", F.col("low").alias("other_low"), "rest")
-    met = a.join(b, ["manuscript_id", "rest"]).where((F.abs(F.length("low") - F.length("other_low")) <= most)).select("manuscript_id", "low", "other_low").distinct()
+    # a spelling's deletions are many times its size, which estimates made of the spellings do not see: they are never broadcast
+    met = a.join(b.hint("merge"), ["manuscript_id", "rest"]).where((F.abs(F.length("low") - F.length("other_low")) <= most)).select("manuscript_id", "low", "other_low").distinct()
     return met.where(_apart("low", "other_low", most))
 
 
@@ -141,16 +144,16 @@ def greedy_variants(counts: DataFrame, most: int = 3, prefixes: tuple[int, ...]
             near = _near(others, heads, most)
             rank = F.struct((-F.col("n")).alias("less"), F.col("word"))
             best = near.join(heads.select("manuscript_id", F.col("low").alias("other_low"), "word", "n"), ["manuscript_id", "other_low"]).groupBy("manuscript_id", "low").agg(F.min(rank)["word"].alias("head"))
-            met = others.join(best, ["manuscript_id", "low"])
+            met = others.join(best.hint("merge"), ["manuscript_id", "low"])
         met = tables.write(met.select("manuscript_id", "word", "n", "head"))
         settle(met, heads)
-        rest = tables.write(others.join(met.select("manuscript_id", "word"), ["manuscript_id", "word"], "left_anti"))
+        rest = tables.write(others.join(met.select("manuscript_id", "word").hint("merge"), ["manuscript_id", "word"], "left_anti"))
         tables.drop(before)
     if not rest.isEmpty():
         near = _near(rest, rest, most)
         a, b = rest.select("manuscript_id", "low", "word", "n"), rest.select("manuscript_id", F.col("low").alias("other_low"), F.col("word").alias("other"), F.col("n").alias("other_n"))
         earlier = (F.col("other_n") > F.col("n")) | ((F.col("other_n") == F.col("n")) & (F.col("other") < F.col("word")))
-        edges = tables.write(near.join(a, ["manuscript_id", "low"]).join(b, ["manuscript_id", "other_low"]).where(earlier).select("manuscript_id", "word", "n", "other", "other_n"))
+        edges = tables.write(near.join(a.hint("merge"), ["manuscript_id", "low"]).join(b.hint("merge"), ["manuscript_id", "other_low"]).where(earlier).select("manuscript_id", "word", "n", "other", "other_n"))
         left, lost = edges.select("manuscript_id", "word", "other"), []
         while not left.isEmpty():
             before = tables.temporary([*claimed, *lost, edges, rest])

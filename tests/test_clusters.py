@@ -1,6 +1,7 @@
 """Greedy clusters against the loop over a manuscript's spellings that the rule states."""
 
 import random
+from itertools import combinations
 
 import pytest
 
@@ -58,6 +59,20 @@ def test_chains_are_settled_in_order(spark):
     assert rows(clusters.greedy_variants(frame, prefixes=())) == loop(counts + chain)
 
 
+def test_deletions_are_not_broadcast(spark, tmp_path):
+    """A few spellings are small, their deletions are not: estimates take them for small, and the driver would gather them."""
+    spark.createDataFrame([("m", f"word{i}") for i in range(50)], "manuscript_id string, low string").write.parquet(str(tmp_path / "words"))
+    words = spark.read.parquet(str(tmp_path / "words"))
+    assert "Broadcast" not in clusters._near(words, words, 3)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_each_rest_comes_once(spark):
+    words = spark.createDataFrame([("m", w) for w in ("aaaabbbbb", "abab", "aab", "b")], "manuscript_id string, low string")
+    found = sorted((r.low, r.rest) for r in clusters._deletions(words, 3).collect())
+    expected = {(w, "".join(kept)) for w in ("aaaabbbbb", "abab", "aab", "b") for k in range(4) if k <= len(w) for kept in combinations(w, len(w) - k)}
+    assert found == sorted(expected)
+
+
 def test_empty(spark):
     assert rows(clusters.greedy_variants(spark.createDataFrame([], "manuscript_id string, word string, n long"))) == set()
 
