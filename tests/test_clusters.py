@@ -5,7 +5,7 @@ from itertools import combinations
 
 import pytest
 
-from folioscope.operators import clusters
+from folioscope.operators import clusters, relations
 from folioscope.plans import library
 
 
@@ -81,3 +81,15 @@ def test_whole_table(spark):
     found = rows(library.name_clusters(spark, "/root/testdata/sf0.001"))
     counts = [tuple(r) for r in clusters.capitalised(library._documents(spark, "/root/testdata/sf0.001").where("raw IS NOT NULL")).collect()]
     assert found == loop(counts) and found
+
+
+def test_near_names_are_those_of_all_pairs(spark):
+    """Words meet in cells of a length and a part, and nothing but words of like letters is measured; the pairs stay those of the rule."""
+    dice = random.Random(5)
+    words = sorted({"".join(dice.choices("abcd", k=dice.randint(5, 10))).capitalize() for _ in range(120)} | {"Mariam", "Miryam", "Aaaaa", "Bbbbb"})
+    chapters = spark.createDataFrame([("m", "c1", 1, " and ".join(words)), ("k", "c1", 1, "Mariam")], "manuscript_id string, chapter string, ord long, raw string")
+    frame = relations.run("name_variants", chapters=chapters)
+    found = sorted((r.manuscript_id, r.name_a, r.name_b, r.distance) for r in frame.collect())
+    assert found == [("m", a, b, k) for i, a in enumerate(words) for b in words[i + 1 :] if (k := distance(a, b)) <= 3] and found
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "bit_count" in plan and "short" in plan
