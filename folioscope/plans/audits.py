@@ -132,15 +132,19 @@ def _finding(d: Dialect, check: str, severity: str, item: str, measured: str, so
     return f"SELECT manuscript_id, {d.text('NULL')} AS chapter, '{check}' AS check_name, '{severity}' AS severity, {item} AS item, CAST(1 AS BIGINT) AS n, CAST({measured} AS DOUBLE) AS measured, CAST(NULL AS DOUBLE) AS low, CAST(NULL AS DOUBLE) AS high FROM {source}"
 
 
-def _record_lines(d: Dialect, rel: str, kinds: dict[str, list[str]], numbers: dict[str, str]) -> str:
-    """Records of a bank with their fields and why a line is none: an unknown kind, a field missing or no number."""
-    names = sorted({f for fs in kinds.values() for f in fs} | {"src", "kind"})
+def _record_lines(d: Dialect, rel: str, kinds: dict[str, list[str]], numbers: dict[str, str], more: tuple[str, ...] = ("src", "kind"), only: str = "") -> str:
+    """Records of a bank with their fields and why a line is none: an unknown kind, a field missing or no number.
+
+    ``more`` names fields that no kind asks for; with ``only``, lines of other kinds are left out before their fields are read.
+    """
+    names = sorted({f for fs in kinds.values() for f in fs} | set(more))
     kind = f"lower({d.first('line', r'^\s*([A-Za-z0-9_]+)\s', 1)})"
     lacks = " ".join(f"WHEN record = '{k}' AND ({' OR '.join(f'f_{x} IS NULL' for x in fs)}) THEN 'field missing'" for k, fs in kinds.items())
     odd = " ".join(f"WHEN record = '{k}' AND {expr} IS NULL THEN 'no number'" for k, expr in numbers.items())
     # fields leave one generated struct, so no test of a field is pushed below it and parses the line again
+    told = f"contains(lower(line), {d.lit(only)}) AND {kind} = {d.lit(only)}" if only else f"{d.trim('line')} <> '' AND NOT {d.has('line', r'^\s*#')}"
     parsed = d.struct({"record": kind} | {f"f_{x}": d.field("line", x) for x in names})
-    each = d.spread(f"(SELECT manuscript_id, lineno, {d.array([parsed])} AS fs FROM {rel} src WHERE {d.trim('line')} <> '' AND NOT {d.has('line', r'^\s*#')})", "manuscript_id, lineno", "fs", "fpos", "f")
+    each = d.spread(f"(SELECT manuscript_id, lineno, {d.array([parsed])} AS fs FROM {rel} src WHERE {told})", "manuscript_id, lineno", "fs", "fpos", "f")
     real = f"(SELECT manuscript_id, lineno, f.record AS record, {', '.join(f'f.f_{x} AS f_{x}' for x in names)} FROM {each} r1)"
     return f"(SELECT *, CASE WHEN record NOT IN ({', '.join(d.lit(k) for k in kinds)}) THEN 'unknown record' {lacks} {odd} END AS problem FROM {real} r0)"
 
@@ -148,10 +152,14 @@ def _record_lines(d: Dialect, rel: str, kinds: dict[str, list[str]], numbers: di
 def timeline(d: Dialect, rel: str) -> str:
     """Contradictions of chronology records (manuscript_id, lineno, line)."""
     kinds = {"event": ["id", "day"], "age": ["person", "at", "years"], "span": ["from", "to", "stated"], "once": ["id", "at"]}
-    lines = _record_lines(d, rel, kinds, {"event": d.days("f_day"), "age": d.number("f_years", "DOUBLE"), "span": d.days("f_stated")})
-    again = f"(SELECT *, row_number() OVER (PARTITION BY manuscript_id, f_id ORDER BY lineno) AS place FROM {lines} l WHERE record = 'event' AND problem IS NULL)"
+    numbers = {"event": d.days("f_day"), "age": d.number("f_years", "DOUBLE"), "span": d.days("f_stated")}
+    lines = _record_lines(d, rel, kinds, numbers, () if d.spark else ("src", "kind"))
+    # Spark reads the lines anew for each use: of a kind, that is the lines and fields of this kind alone
+    of_one = lambda k: _record_lines(d, rel, {k: kinds[k]}, {x: v for x, v in numbers.items() if x == k}, (), k)
+    kept = lambda k: f"{of_one(k) if d.spark else lines} l WHERE record = '{k}' AND problem IS NULL"
+    of = lambda k: f"(SELECT * FROM {kept(k)})"
+    again = f"(SELECT *, row_number() OVER (PARTITION BY manuscript_id, f_id ORDER BY lineno) AS place FROM {kept('event')})"
     events = f"(SELECT manuscript_id AS of_id, f_id AS event_id, {d.days('f_day')} AS day FROM {again} a WHERE place = 1)"
-    of = lambda k: f"(SELECT * FROM {lines} l WHERE record = '{k}' AND problem IS NULL)"
     at = lambda x, e, f: f"{e}.of_id = {x}.manuscript_id AND {e}.event_id = {x}.{f}"
     refs = " UNION ALL ".join(f"SELECT manuscript_id, {f} AS ref FROM {of(k)} r{i}" for i, (k, f) in enumerate((("age", "f_at"), ("span", "f_from"), ("span", "f_to"), ("once", "f_at"))))
     aged = f"(SELECT a.manuscript_id, a.f_person, a.lineno, {d.number('a.f_years', 'DOUBLE')} AS years, e.day FROM {of('age')} a JOIN {events} e ON {at('a', 'e', 'f_at')})"

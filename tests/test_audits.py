@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from folioscope.operators import audits
+from folioscope.operators import audits, relations
 from folioscope.sinks import reports
 
 CHAPTERS = "manuscript_id string, chapter string, ord long, raw string"
@@ -101,3 +101,13 @@ def test_audit_report(spark):
     found = audits.audit(chapters(spark, "She she went."), records, bank)
     (row,) = reports.markdown(found, "Audit").collect()
     assert not row.passed and all(x in row.report for x in ("doubled_words", "unused_texture", "unknown record", "short_chapter"))
+
+
+def test_the_timeline_reads_the_fields_of_a_kind_from_its_lines_alone(spark):
+    """Each use of the records reads lines anew; only the one that looks for faults reads all fields of all lines."""
+    lines = ["event id=a day=1", "  EVENT id=b day=3w", "event id=a day=5", "age person=p at=a years=20", "age person=p at=b years=25", "span from=b to=a stated=2d", "once id=x at=a", "once id=x at=b", "# once id=y at=q", "once id=event at=age", "", "mage person=p"]
+    frame = relations.run("timeline_issues", records=spark.createDataFrame([("m", i, x) for i, x in enumerate(lines, 1)], "manuscript_id string, lineno long, line string"))
+    found = sorted((r.check_name, r["item"]) for r in frame.collect())
+    assert found == [("age_contradiction", "p"), ("duplicate_occurrence", "x"), ("parse", "line 12: unknown record"), ("parse", "line 3: id stands before"), ("reversed_span", "b to a"), ("span_contradiction", "b to a"), ("unknown_event", "age")]
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("person=") <= 2 * (1 + 3), "person is read by the faults and the three uses of ages at most"
