@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from folioscope.functions import lexicons as lx
 from folioscope.functions.dialect import Dialect
+from folioscope.plans import frequent
 from folioscope.plans.registry import chapters, plan
 from folioscope.plans.voices import collisions, drift
 
@@ -199,19 +200,23 @@ def repeats(d: Dialect, rel: str, th: dict[str, float]) -> str:
     """Maximal repeats: phrases five times or more in two chapters or more, extended while every occurrence agrees.
 
     The words that all occurrences of a seed share to the right are the common beginning of the smallest and the largest
-    of their right contexts, so two aggregates that combine on the map side replace any gathering of occurrences. Spans
+    of their right contexts, so two aggregates replace any gathering of occurrences. On Spark, rare runs do not move. Spans
     end at 40 words; a longer repeat shows as spans that overlap. A phrase inside a longer one is dropped.
     """
     stop = ", ".join(d.lit(w) for w in lx.FUNCTION_WORDS)
-    # grams are made in each chapter's own array, so no token meets its neighbour in a window
-    marked = f"(SELECT manuscript_id, chapter, toks, {d.map('toks', 'w', f'CASE WHEN w IN ({stop}) THEN 0 ELSE 1 END')} AS marks FROM {_toks(d, rel)} m)"
-    grams = d.spread(f"(SELECT manuscript_id, chapter, {d.ngrams('toks', 3, 'marks', 2)} AS gs FROM {marked} g)", "manuscript_id, chapter", "gs", "pos", "gram")
-    occ = f"(SELECT manuscript_id, chapter, pos + 1 AS place, gram FROM {grams} o WHERE gram IS NOT NULL)"
-    seeds = f"(SELECT s.manuscript_id, s.gram FROM (SELECT manuscript_id, gram, count(*) AS n FROM {occ} o GROUP BY manuscript_id, gram HAVING count(*) >= {th['ngram_min_count']} AND count(DISTINCT chapter) >= 2) s JOIN {_totals(d, rel)} t ON t.manuscript_id = s.manuscript_id WHERE s.n * 10000.0 / t.total >= {th['ngram_per_10k']})"
-    ctx = f"""(SELECT o.manuscript_id, o.chapter, o.gram, {d.cut('c.toks', 'o.place', f'least(o.place + {SPAN - 1}, {d.size("c.toks")})')} AS ahead, {d.reverse(d.cut('c.toks', f'greatest(o.place - {SPAN - 3}, 1)', 'o.place'))} AS behind
+    if d.spark:
+        met = frequent.seeds(d, _toks(d, rel), stop, _totals(d, rel), th["ngram_min_count"], th["ngram_per_10k"], SPAN)
+    else:
+        # grams are made in each chapter's own array, so no token meets its neighbour in a window
+        marked = f"(SELECT manuscript_id, chapter, toks, {d.map('toks', 'w', f'CASE WHEN w IN ({stop}) THEN 0 ELSE 1 END')} AS marks FROM {_toks(d, rel)} m)"
+        grams = d.spread(f"(SELECT manuscript_id, chapter, {d.ngrams('toks', 3, 'marks', 2)} AS gs FROM {marked} g)", "manuscript_id, chapter", "gs", "pos", "gram")
+        occ = f"(SELECT manuscript_id, chapter, pos + 1 AS place, gram FROM {grams} o WHERE gram IS NOT NULL)"
+        seeds = f"(SELECT s.manuscript_id, s.gram FROM (SELECT manuscript_id, gram, count(*) AS n FROM {occ} o GROUP BY manuscript_id, gram HAVING count(*) >= {th['ngram_min_count']} AND count(DISTINCT chapter) >= 2) s JOIN {_totals(d, rel)} t ON t.manuscript_id = s.manuscript_id WHERE s.n * 10000.0 / t.total >= {th['ngram_per_10k']})"
+        ctx = f"""(SELECT o.manuscript_id, o.chapter, o.gram, {d.cut('c.toks', 'o.place', f'least(o.place + {SPAN - 1}, {d.size("c.toks")})')} AS ahead, {d.reverse(d.cut('c.toks', f'greatest(o.place - {SPAN - 3}, 1)', 'o.place'))} AS behind
         FROM {occ} o JOIN {seeds} s ON s.manuscript_id = o.manuscript_id AND s.gram = o.gram JOIN {_toks(d, rel)} c ON c.manuscript_id = o.manuscript_id AND c.chapter = o.chapter)"""
+        met = f"(SELECT manuscript_id, gram, count(*) AS n, count(DISTINCT chapter) AS chs, min(ahead) AS ahead, max(ahead) AS ahead_max, min(behind) AS behind, max(behind) AS behind_max FROM {ctx} x GROUP BY manuscript_id, gram)"
     ext = f"""(SELECT manuscript_id, gram, n, chs, ahead, behind, {d.shared('ahead', 'ahead_max')} AS n_ahead, {d.shared('behind', 'behind_max')} - 1 AS n_behind FROM
-        (SELECT manuscript_id, gram, count(*) AS n, count(DISTINCT chapter) AS chs, min(ahead) AS ahead, max(ahead) AS ahead_max, min(behind) AS behind, max(behind) AS behind_max FROM {ctx} x GROUP BY manuscript_id, gram) e)"""
+        {met} e)"""
     left = f"{d.reverse(d.cut('behind', '2', f'1 + least(n_behind, {SPAN} - n_ahead)'))}"
     spans = f"(SELECT DISTINCT manuscript_id, {'concat' if d.spark else 'list_concat'}({left}, {d.cut('ahead', '1', 'n_ahead')}) AS span, n, chs FROM {ext} y)"
     named = f"(SELECT manuscript_id, {d.join('span', ' ')} AS phrase, {d.size('span')} AS len, span, n, chs, {d.join(d.cut('span', '2', d.size('span') + ' - 1'), ' ')} AS inner_key FROM {spans} z)"

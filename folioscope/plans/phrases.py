@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from folioscope.functions import lexicons as lx
 from folioscope.functions.dialect import WORD, Dialect
+from folioscope.plans import frequent
 from folioscope.plans.lint import _documents, repeats, thresholds
 from folioscope.plans.ranks import ranked
 from folioscope.plans.registry import plan
@@ -33,8 +34,14 @@ def counted(d: Dialect, texts: str, phrases: str) -> str:
     or more).  Texts and phrases meet by the first three words of the phrase, so the phrases may be any number, and
     what meets is counted letter by letter: the words' distances must be those of the phrase, too.
     """
-    grams = d.spread(f"(SELECT manuscript_id, chapter, {d.distinct(d.ngrams('atoms', HEAD))} AS gs FROM (SELECT manuscript_id, chapter, {d.all_of('low', ATOM)} AS atoms FROM {texts} t0) t1)", "manuscript_id, chapter", "gs", "gpos", "head")
     heads = f"(SELECT manuscript_id, phrase, {_marked(d, 'phrase')} AS marked, {d.join(d.cut(d.all_of('phrase', ATOM), '1', str(HEAD)), ' ')} AS head FROM (SELECT DISTINCT manuscript_id, phrase FROM {phrases} p0) p1)"
+    if d.spark:
+        # most beginnings lead to no phrase: they are dropped where the text is read
+        begun = f"(SELECT manuscript_id, chapter, {d.distinct(d.ngrams('atoms', HEAD))} AS heads FROM (SELECT manuscript_id, chapter, {d.all_of('low', ATOM)} AS atoms FROM {texts} t0) t1)"
+        led = f"(SELECT manuscript_id, chapter, filter(heads, g -> {frequent.held('xxhash64(manuscript_id, g)')}) AS gs FROM {frequent.beside(begun, frequent.key_bits(d, heads, 'manuscript_id, head'))} t3)"
+        grams = d.spread(led, "manuscript_id, chapter", "gs", "gpos", "head")
+    else:
+        grams = d.spread(f"(SELECT manuscript_id, chapter, {d.distinct(d.ngrams('atoms', HEAD))} AS gs FROM (SELECT manuscript_id, chapter, {d.all_of('low', ATOM)} AS atoms FROM {texts} t0) t1)", "manuscript_id, chapter", "gs", "gpos", "head")
     met = f"(SELECT g.manuscript_id AS m_of, g.chapter AS m_at, h.phrase, h.marked FROM {grams} g JOIN {heads} h ON h.manuscript_id = g.manuscript_id AND h.head = g.head)"
     whole = f"(SELECT manuscript_id, chapter, {_marked(d, 'low')} AS body FROM {texts} t2)"
     hits = "CAST((length(w.body) - length(replace(w.body, m.marked, ''))) / length(m.marked) AS BIGINT)"
