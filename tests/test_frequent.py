@@ -5,7 +5,7 @@ import random
 import pytest
 
 from folioscope.functions.dialect import SPARK
-from folioscope.plans import frequent, lint
+from folioscope.plans import catalogue, frequent, lint
 from folioscope.plans.registry import doubles
 
 PLANTED = "silver lantern swung above harbour"
@@ -44,3 +44,8 @@ def test_rare_runs_do_not_move(spark):
 def test_full_slots_decide_nothing(spark, monkeypatch, slot_bits):
     monkeypatch.setattr(frequent, "SLOT_BITS", slot_bits)
     assert _found(spark, 3, 400) == [("book", PLANTED, 5, 6, 3)]
+
+
+def test_seeds_are_dealt_once(spark):
+    plan = catalogue.QUERIES["ngram_seeds"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
