@@ -44,34 +44,48 @@ def key_bits(d: Dialect, keys: str, names: str) -> str:
     return bits(d.spread(f"(SELECT array({', '.join(_slots('h', 2))}) AS ss FROM (SELECT xxhash64({names}) AS h FROM {keys} k0) k1)", "ss", "ss", "at", "slot"))
 
 
-def _runs(rel: str, idle: str) -> str:
-    """The slot of each run of three words of a chapter, in order, null where two or three are idle; ``rel`` has manuscript_id, chapter and toks.
+def _dealt(rel: str) -> str:
+    """Chapters as arrays ts of their name, coded, and then their words: cut into words once, dealt once as lines and read by all parts of a plan.
 
-    Words go as hashes, their last bit telling whether they are idle (``idle`` lists such words).
+    A column of its own for the name would be left out where it is not read, and texts be cut anew for that.
     """
-    words = f"(SELECT manuscript_id, chapter, toks, transform(toks, w -> (xxhash64(w) & -2L) | CASE WHEN w IN ({idle}) THEN 0L ELSE 1L END) AS ws FROM {rel} f0)"
-    three = "slice(arrays_zip(ws, slice(ws, 2, size(ws)), slice(ws, 3, size(ws))), 1, greatest(size(ws) - 2, 0))"
-    slot = f"CASE WHEN (x.`ws` & 1L) + (x.`1` & 1L) + (x.`2` & 1L) >= 2 THEN {_slots('xxhash64(manuscript_id, x.`ws`, x.`1`, x.`2`)', 1)[0]} END"
-    return f"(SELECT manuscript_id, chapter, toks, transform({three}, x -> {slot}) AS ss FROM {words} f1)"
+    name = "coalesce(concat('c', hex(CAST(chapter AS STRING))), '-')"
+    lines = f"(SELECT /*+ REPARTITION(line) */ manuscript_id, line FROM (SELECT manuscript_id, concat_ws(' ', {name}, toks) AS line FROM {rel} d0 WHERE manuscript_id IS NOT NULL) d1)"
+    return f"(SELECT manuscript_id, split(line, ' ') AS ts FROM {lines} d2)"
 
 
-def seeds(d: Dialect, rel: str, idle: str, totals: str, least: float, rate: float, span: int) -> str:
+def _runs(d: Dialect, rel: str, idle: str, keep: str) -> str:
+    """Runs of three words of a chapter of which two are not ``idle`` (a list), as rows with the hash h and the place at, from 1.
+
+    ``rel`` has manuscript_id, ts and the column ``keep``.  Words are rows, not elements of arrays: Spark compiles what it
+    does with a row and interprets what it does with an element.
+    """
+    words = d.spread(rel, f"manuscript_id, ts, {keep}", "ts", "at", "w")
+    # a word is never empty; of a null test, the optimizer would infer one of ts, which it would push down to the texts
+    after = [f"get(ts, CAST(at AS INT) + {i})" for i in (1, 2)]
+    busy = " + ".join(f"CASE WHEN {w} IN ({idle}) THEN 0 ELSE 1 END" for w in ("w", "w1", "w2"))
+    near = f"(SELECT manuscript_id, ts, {keep}, CAST(at AS INT) AS at, w, {after[0]} AS w1, {after[1]} AS w2 FROM {words} f0)"
+    return f"(SELECT manuscript_id, ts, {keep}, at, xxhash64(manuscript_id, w, w1, w2) AS h FROM {near} f1 WHERE at > 0 AND coalesce(w2, '') <> '' AND {busy} >= 2)"
+
+
+def seeds(d: Dialect, rel: str, idle: str, least: float, rate: float, span: int) -> str:
     """Runs (manuscript_id, gram) with ``least`` places, ``rate`` of 10,000 words and two chapters at least: their places n and chapters chs.
 
-    With them the smallest and largest text to the right and to the left of all places of a run, the run included.  Words
-    joined by blanks sort so that what the smallest and the largest begin with, all begin with.
+    ``rel`` has manuscript_id, chapter and toks.  With them the smallest and largest text to the right and to the left of
+    all places of a run, the run included.  Words joined by blanks sort so that what the smallest and the largest begin
+    with, all begin with.
     """
-    weighed = f"(SELECT /*+ BROADCAST(w) */ r.ss, 1E0 / greatest({least}, {rate} * w.total / 10000E0) AS weight FROM {_runs(rel, idle)} r JOIN {totals} w ON w.manuscript_id = r.manuscript_id)"
-    slots = d.spread(weighed, "weight", "ss", "at", "slot")
+    rel = _dealt(rel)
+    totals = f"(SELECT manuscript_id, CAST(greatest(sum(CAST(size(ts) - 1 AS BIGINT)), 1) AS DOUBLE) AS total FROM {rel} t0 GROUP BY manuscript_id)"
+    weighed = f"(SELECT /*+ BROADCAST(w) */ r.manuscript_id, r.ts, 1E0 / greatest({least}, {rate} * w.total / 10000E0) AS weight FROM {rel} r JOIN {totals} w ON w.manuscript_id = r.manuscript_id)"
+    slots = f"(SELECT weight, {_slots('h', 1)[0]} AS slot FROM {_runs(d, weighed, idle, 'weight')} w1)"
     # a sum of doubles may fall short by its rounding
-    heavy = f"(SELECT slot FROM {slots} w2 WHERE slot IS NOT NULL GROUP BY slot HAVING sum(weight) > 0.999E0)"
-    hits = f"filter(transform(ss, (s, i) -> CASE WHEN {_bit('s')} THEN i END), i -> i IS NOT NULL)"
-    ahead = f"array_join(slice(toks, i + 1, {span}), ' ')"
-    behind = f"array_join(reverse(slice(toks, greatest(i - {span - 4}, 1), i + 2 - greatest(i - {span - 4}, 1))), ' ')"
-    near = f"transform({hits}, i -> named_struct('gram', array_join(slice(toks, i + 1, 3), ' '), 'ahead', {ahead}, 'behind', {behind}))"
-    each = d.spread(f"(SELECT manuscript_id, chapter, {near} AS ns FROM {beside(_runs(rel, idle), bits(heavy))} r2)", "manuscript_id, chapter", "ns", "at", "c")
+    heavy = f"(SELECT slot FROM {slots} w2 GROUP BY slot HAVING sum(weight) > 0.999E0)"
+    ahead = f"array_join(slice(ts, at + 1, {span}), ' ')"
+    behind = f"array_join(reverse(slice(ts, greatest(at - {span - 4}, 2), at + 2 - greatest(at - {span - 4}, 2))), ' ')"
+    each = f"(SELECT manuscript_id, nullif(get(ts, 0), '-') AS chapter, array_join(slice(ts, at + 1, 3), ' ') AS gram, {ahead} AS ahead, {behind} AS behind FROM {_runs(d, beside(rel, bits(heavy)), idle, 'bits')} r2 WHERE {_bit(_slots('h', 1)[0])})"
     # dealt once, by run: places meet by chapter and then by run where they are
-    dealt = f"(SELECT /*+ REPARTITION(manuscript_id, gram) */ manuscript_id, chapter, gram, ahead, behind FROM (SELECT manuscript_id, chapter, c.gram AS gram, c.ahead AS ahead, c.behind AS behind FROM {each} e) e1)"
+    dealt = f"(SELECT /*+ REPARTITION(manuscript_id, gram) */ manuscript_id, chapter, gram, ahead, behind FROM {each} e)"
     told = ", ".join(f"{f}(CASE WHEN chapter IS NOT NULL THEN {k} END) AS {k}{end}" for k in ("ahead", "behind") for f, end in (("min", ""), ("max", "_max")))
     counted = f"(SELECT manuscript_id, gram, count(*) AS total_n, count(chapter) AS n, count(DISTINCT chapter) AS chs, {told} FROM {dealt} e2 GROUP BY manuscript_id, gram HAVING count(*) >= {least} AND count(DISTINCT chapter) >= 2)"
     parted = ", ".join(f"split(s.{k}, ' ') AS {k}" for k in ("ahead", "ahead_max", "behind", "behind_max"))

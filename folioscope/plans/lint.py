@@ -139,6 +139,8 @@ def _toks(d: Dialect, rel: str) -> str:
 
 
 def _totals(d: Dialect, rel: str) -> str:
+    if d.spark:
+        return f"(SELECT manuscript_id, CAST(greatest(sum({d.n_tokens(d.strip_markdown('raw'))}), 1) AS DOUBLE) AS total FROM {rel} tt GROUP BY manuscript_id)"
     return f"(SELECT manuscript_id, CAST(greatest(sum({d.size('toks')}), 1) AS DOUBLE) AS total FROM {_toks(d, rel)} tt GROUP BY manuscript_id)"
 
 
@@ -205,7 +207,7 @@ def repeats(d: Dialect, rel: str, th: dict[str, float]) -> str:
     """
     stop = ", ".join(d.lit(w) for w in lx.FUNCTION_WORDS)
     if d.spark:
-        met = frequent.seeds(d, _toks(d, rel), stop, _totals(d, rel), th["ngram_min_count"], th["ngram_per_10k"], SPAN)
+        met = frequent.seeds(d, _toks(d, rel), stop, th["ngram_min_count"], th["ngram_per_10k"], SPAN)
     else:
         # grams are made in each chapter's own array, so no token meets its neighbour in a window
         marked = f"(SELECT manuscript_id, chapter, toks, {d.map('toks', 'w', f'CASE WHEN w IN ({stop}) THEN 0 ELSE 1 END')} AS marks FROM {_toks(d, rel)} m)"

@@ -49,3 +49,20 @@ def test_full_slots_decide_nothing(spark, monkeypatch, slot_bits):
 def test_seeds_are_dealt_once(spark):
     plan = catalogue.QUERIES["ngram_seeds"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_texts_are_cut_once(spark):
+    df = catalogue.QUERIES["maximal_repeats"](spark, "/root/testdata/sf0.001")
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    final = plan[plan.index("Final Plan") : plan.index("Initial Plan")]
+    dealt = [line for line in final.splitlines() if "Exchange hashpartitioning(line" in line]
+    assert len([line for line in dealt if "ReusedExchange" not in line]) == 1, final
+
+
+def test_capitals_that_lower_by_their_neighbours(spark):
+    texts = ["ΑΣ.Α ΟΔΟΣ Σ", "İstanbul Ünal's", "PLAIN Words-Here ⅣⅤ", "", None]
+    spark.createDataFrame([(t,) for t in texts], "x STRING").createOrReplaceTempView("cased")
+    word_by_word = SPARK.map(SPARK.all_of("x", r"[\p{L}\p{N}_](?:[\p{L}\p{N}_'’-]*[\p{L}\p{N}_])?"), "w", "lower(w)")
+    for row in spark.sql(f"SELECT {SPARK.tokens('x')} AS a, {word_by_word} AS b, {SPARK.n_tokens('x')} AS n FROM cased").collect():
+        assert row.a == row.b and row.n == (None if row.b is None else len(row.b))
