@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from folioscope.functions import lexicons as lx
-from folioscope.functions.dialect import WORD, Dialect
+from folioscope.functions.dialect import LINT_TOKEN, WORD, Dialect
 from folioscope.plans import fixtures as fx
 from folioscope.plans.lint import _documents, repeats, thresholds
 from folioscope.plans.registry import chapters, plan
@@ -84,11 +84,36 @@ def chapter_uses(d):
     return f"SELECT manuscript_id, chapter, kind, item, n FROM {uses(d, _documents(d))} x"
 
 
+def _used_once(d: Dialect, rel: str, motifs: str) -> str:
+    """The same for Spark, each part read once: texts for what adds up over chapters, items for the motifs that they hold.
+
+    Items meet terms by the first letters of a term and are read for it where they stand.  Repeats of one phrase that differ
+    in their chapters alone stay rows of their own.
+    """
+    phrases = f"SELECT manuscript_id, 'phrase' AS kind, phrase AS item, n, chs FROM ({repeats(d, rel, thresholds() | LEDGER)}) r"
+    verbs = "|".join(lx.TAG_VERBS)
+    item = lambda kind, x: d.struct({"kind": d.lit(kind), "item": x})
+    spoken = [d.all_of("p", r"(?i)[\"”]\s*,?\s*(" + verbs + r")\b", 1), d.all_of("p", r"(?i)\b[\p{L}\p{N}_]+\s+(" + verbs + r")[,:]?\s*[\"“]", 1)]
+    first = f"nullif({d.first('t', LINT_TOKEN)}, '')"
+    found = [d.map(d.all_of("lower(t)", lx.SIMILE), "x", item("simile", "x")), *(d.map(v, "x", item("tag", "lower(x)")) for v in spoken), d.array([item("opening", f"lower({first})")])]
+    taken = d.let(d.strip_comments("raw"), "p", d.let(d.strip_markdown("p"), "t", f"concat({', '.join(found)})"))
+    each = d.spread(f"(SELECT manuscript_id, {taken} AS fs FROM {rel} c0 WHERE raw IS NOT NULL)", "manuscript_id", "fs", "at", "f")
+    others = f"SELECT manuscript_id, f.kind AS kind, f.item AS item, count(*) AS n, 0L AS chs FROM {each} e WHERE f.item IS NOT NULL AND NOT (f.kind = 'tag' AND f.item IN ('said', 'asked')) GROUP BY manuscript_id, f.kind, f.item"
+    items = f"(SELECT manuscript_id, kind, item, n, chs FROM ({phrases} UNION ALL {others}) u)"
+    terms = f"(SELECT DISTINCT lower(term) AS term FROM {motifs} m0 WHERE {d.has('term', RUN)})"
+    starts = d.distinct(d.flatten(d.array([d.map(d.numbers("1", "length(item)"), "i", f"substring(lower(item), i, {q})") for q in range(1, GRAM + 1)])))
+    begun = d.spread(f"(SELECT *, CASE WHEN kind = 'tag' THEN array('') ELSE array_union(array(''), {starts}) END AS gs FROM {items} i0)", "manuscript_id, kind, item, n, chs", "gs", "at", "gram")
+    hit = f"(SELECT /*+ BROADCAST(k) */ b.manuscript_id, b.kind, b.item, b.n, b.chs, coalesce(contains(lower(b.item), k.term), false) AS hit FROM {begun} b LEFT JOIN {terms} k ON b.gram = left(k.term, {GRAM}) WHERE b.gram = '' OR k.term IS NOT NULL)"
+    return f"(SELECT manuscript_id, kind, item, n, bool_or(hit) AS exempt FROM {hit} h GROUP BY manuscript_id, kind, item, n, chs)"
+
+
 def used(d: Dialect, rel: str, motifs: str) -> str:
     """What chapters have used already: phrases, similes, opening words and dialogue tags other than said and asked.
 
     Phrases, similes and opening words that hold a motif's term (term) are exempt: their return is meant.
     """
+    if d.spark:
+        return _used_once(d, rel, motifs)
     clean = f"(SELECT manuscript_id, chapter, {d.strip_comments('raw')} AS p FROM {rel} c0 WHERE raw IS NOT NULL)"
     phrases = f"SELECT manuscript_id, 'phrase' AS kind, phrase AS item, n FROM ({repeats(d, rel, thresholds() | LEDGER)}) r"
     vehicles = d.spread(f"(SELECT manuscript_id, {d.all_of('lower(' + d.strip_markdown('p') + ')', lx.SIMILE)} AS ss FROM {clean} c1)", "manuscript_id", "ss", "at", "item")

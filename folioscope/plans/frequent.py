@@ -22,12 +22,12 @@ def _slots(h: str, probes: int) -> list[str]:
 def bits(slots: str) -> str:
     """A relation of slots (slot) as one array of bits, 64 in a number."""
     numbers = f"(SELECT shiftright(slot, 6) AS at, bit_or(shiftleft(1L, CAST(slot & 63 AS INT))) AS b FROM {slots} s0 GROUP BY shiftright(slot, 6))"
-    return f"(SELECT transform(sort_array(collect_list(struct(r.id, coalesce(n.b, 0L) AS b))), x -> x.b) AS bits FROM range(0, {1 << (SLOT_BITS - 6)}) r LEFT JOIN {numbers} n ON n.at = r.id)"
+    return f"(SELECT transform(sort_array(collect_list(struct(r.id, coalesce(n.b, 0L) AS b))), x -> x.b) AS bits, CAST(count(*) > 0 AS INT) AS one FROM range(0, {1 << (SLOT_BITS - 6)}) r LEFT JOIN {numbers} n ON n.at = r.id)"
 
 
 def beside(rel: str, array: str) -> str:
-    """Rows of a relation with the array of bits.  A join: what several parts of a plan read is then worked out once."""
-    return f"(SELECT /*+ BROADCAST(o) */ l.*, o.bits FROM {rel} l CROSS JOIN {array} o)"
+    """Rows of a relation that are of a manuscript, with the array of bits.  A join: what several parts of a plan read is then worked out once."""
+    return f"(SELECT /*+ BROADCAST(o) */ l.*, o.bits FROM {rel} l JOIN {array} o ON o.one = CAST(length(CAST(l.manuscript_id AS STRING)) >= 0 AS INT))"
 
 
 def _bit(slot: str) -> str:

@@ -8,7 +8,7 @@ from folioscope.functions import lexicons as lx
 from folioscope.functions.dialect import SPARK
 from folioscope.operators import relations
 from folioscope.operators.lint import over_frames
-from folioscope.plans import contain, registry
+from folioscope.plans import catalogue, contain, registry
 
 
 def run(spark, texts, terms):
@@ -60,3 +60,13 @@ def test_coverage_over_documents(spark, tmp_path):
     spark.createDataFrame([(1, "the red fox sleeps"), (2, None), (3, "…"), (4, "red"), (5, "Not held at all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     found = {tuple(r) for r in relations.catalogue.QUERIES["term_coverage"](spark, str(tmp_path)).collect()}
     assert found == {(1, "the red fox", 2, "a,b", 3), (4, "red", 3, "a,b", 4), (5, "Not held at", 0, "", 0)}
+
+
+@pytest.mark.parametrize("name", ["used_ledger", "used_ledger_chapters"])
+def test_ledger_reads_texts_twice_at_most(spark, name):
+    df = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    final = plan[plan.index("Final Plan") : plan.index("Initial Plan")]
+    # once for the repeats, once for what adds up over chapters
+    assert len([line for line in final.splitlines() if "Scan parquet" in line and "/documents.parquet" in line]) <= 2, final
