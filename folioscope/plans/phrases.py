@@ -36,10 +36,12 @@ def counted(d: Dialect, texts: str, phrases: str) -> str:
     """
     heads = f"(SELECT manuscript_id, phrase, {_marked(d, 'phrase')} AS marked, {d.join(d.cut(d.all_of('phrase', ATOM), '1', str(HEAD)), ' ')} AS head FROM (SELECT DISTINCT manuscript_id, phrase FROM {phrases} p0) p1)"
     if d.spark:
-        # most beginnings lead to no phrase: they are dropped where the text is read
-        begun = f"(SELECT manuscript_id, chapter, {d.distinct(d.ngrams('atoms', HEAD))} AS heads FROM (SELECT manuscript_id, chapter, {d.all_of('low', ATOM)} AS atoms FROM {texts} t0) t1)"
-        led = f"(SELECT manuscript_id, chapter, filter(heads, g -> {frequent.held('xxhash64(manuscript_id, g)')}) AS gs FROM {frequent.beside(begun, frequent.key_bits(d, heads, 'manuscript_id, head'))} t3)"
-        grams = d.spread(led, "manuscript_id, chapter", "gs", "gpos", "head")
+        # most beginnings lead to no phrase: they are dropped where the text is read, as rows, which Spark compiles
+        begun = f"(SELECT manuscript_id, chapter, {d.all_of('low', ATOM)} AS atoms FROM {texts} t0)"
+        rows = d.spread(frequent.beside(begun, frequent.key_bits(d, heads, "manuscript_id, head")), "manuscript_id, chapter, bits, atoms", "atoms", "gpos", "w")
+        after = ", ".join(f"coalesce(get(atoms, CAST(gpos AS INT) + {j}), '')" for j in range(1, HEAD))
+        runs = f"(SELECT manuscript_id, chapter, bits, concat_ws(' ', w, {after}) AS head FROM {rows} t3)"
+        grams = f"(SELECT DISTINCT manuscript_id, chapter, head FROM {runs} t4 WHERE {frequent.held('xxhash64(manuscript_id, head)')})"
     else:
         grams = d.spread(f"(SELECT manuscript_id, chapter, {d.distinct(d.ngrams('atoms', HEAD))} AS gs FROM (SELECT manuscript_id, chapter, {d.all_of('low', ATOM)} AS atoms FROM {texts} t0) t1)", "manuscript_id, chapter", "gs", "gpos", "head")
     met = f"(SELECT g.manuscript_id AS m_of, g.chapter AS m_at, h.phrase, h.marked FROM {grams} g JOIN {heads} h ON h.manuscript_id = g.manuscript_id AND h.head = g.head)"
