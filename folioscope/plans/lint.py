@@ -10,7 +10,7 @@ Counts of a manuscript are sums over its chapters: a pattern or sentence does no
 from __future__ import annotations
 
 from folioscope.functions import lexicons as lx
-from folioscope.functions.dialect import Dialect
+from folioscope.functions.dialect import END, LINT_END, PARAGRAPH_END, Dialect
 from folioscope.plans import frequent
 from folioscope.plans.registry import chapters, plan
 from folioscope.plans.voices import collisions, drift
@@ -39,8 +39,13 @@ def _counts(d: Dialect, rel: str) -> tuple[str, list[str]]:
     text = f"(SELECT manuscript_id, chapter, ord, {d.strip_markdown('raw')} AS p FROM {rel} src)"
     parts = f"""(SELECT manuscript_id, chapter, ord, p, {d.lint_tokens('p')} AS ws, {d.tokens('p')} AS toks, {d.lint_sentences('p')} AS ss, {d.size(d.sentences('p'))} AS n_sents,
         {d.paragraphs('p')} AS opens, {d.join(d.all_of('p', QUOTED, 1), ' ')} AS spoken FROM {text} t)"""
+    if d.spark:
+        # sentences are not trimmed and paragraphs only counted; words and letters of words are counted in one line, not word by word
+        parts = f"""(SELECT manuscript_id, chapter, ord, p, {d.tokens('p')} AS toks, {d.whole_parts('p', LINT_END)} AS ss, {d.size(d.whole_parts('p', END))} AS n_sents,
+            {d.size(d.whole_parts('p', f'()(?:{PARAGRAPH_END})'))} AS opens, {d.join(d.all_of('p', QUOTED, 1), ' ')} AS spoken FROM {text} t)"""
     lens = d.keep(d.map(d.map("ss", "s", d.size(d.lint_tokens("s"))), "k", "CAST(k AS DOUBLE)"), "k", "k > 0")
-    sized = f"(SELECT *, {lens} AS lens FROM {parts} q)"
+    line = f", concat(' ', {d.join('toks', ' ')}, ' ') AS line" if d.spark else ""
+    sized = f"(SELECT *, {lens} AS lens{line} FROM {parts} q)"
     filters = r"\b(?:I|[Hh]e|[Ss]he|[Tt]hey|[Ww]e|[A-Z][\w'’-]+)\s+(?:" + "|".join(lx.FILTER_VERBS) + r")\b"
     not_adverb = "(" + ", ".join(d.lit(w) for w in lx.NOT_ADVERBS) + ")"
     last = f"lower({d.at('ss', '-1')})"
@@ -60,6 +65,16 @@ def _counts(d: Dialect, rel: str) -> tuple[str, list[str]]:
         "tags": f"{d.count('p', r'(?i)[\"”]\s*,?\s*(?:' + _TAGS + r')\b')} + {d.count('p', r'(?i)\b\w+\s+(?:' + _TAGS + r')[,:]?\s*[\"“]')}",
         "plain_tags": f"{d.count('p', r'(?i)[\"”]\s*,?\s*(?:said|asked)\b')} + {d.count('p', r'(?i)\b\w+\s+(?:said|asked)[,:]?\s*[\"“]')}",
     }
+    if d.spark:
+        last = f"lower({d.trim(d.at('ss', '-1'))})"
+        sums |= {
+            "words": f"CAST({d.total('lens')} AS BIGINT)",
+            "adverbs": d.size(d.keep(d.all_of("line", " ([^ ]{2,}ly)(?= )", 1), "w", f"w NOT IN {not_adverb}")),
+            "syllables": d.line_syllables("line"),
+            "spoken_n": f"coalesce({d.n_tokens('spoken')}, 0)",
+            "paras": "opens",
+            "maxims": f"CASE WHEN {d.has(last, lx.ABSTRACT)} AND NOT {d.has(last, lx.CONCRETE)} THEN 1 ELSE 0 END",
+        }
     cols = ", ".join(f"{v} AS {k}" for k, v in sums.items())
     n, s, q = d.size("lens"), d.total("lens"), d.total(d.map("lens", "k", "k * k"))
     cv = f"CASE WHEN {n} < 2 THEN 0.0 ELSE sqrt(greatest({q} - {s} * {s} / {n}, 0.0) / ({n} - 1)) / ({s} / {n}) END"

@@ -66,3 +66,13 @@ def test_capitals_that_lower_by_their_neighbours(spark):
     word_by_word = SPARK.map(SPARK.all_of("x", r"[\p{L}\p{N}_](?:[\p{L}\p{N}_'’-]*[\p{L}\p{N}_])?"), "w", "lower(w)")
     for row in spark.sql(f"SELECT {SPARK.tokens('x')} AS a, {word_by_word} AS b, {SPARK.n_tokens('x')} AS n FROM cased").collect():
         assert row.a == row.b and row.n == (None if row.b is None else len(row.b))
+
+
+def test_lines_count_as_words_do(spark):
+    lines = ["the queue e le ee rhythm tree, ß née i'e -", "be", "", "rhythm", "eye aye toe see'e ae"]
+    words = [[w for w in line.split(" ") if w] for line in lines]
+    spark.createDataFrame([(ws,) for ws in words], "ws ARRAY<STRING>").createOrReplaceTempView("worded")
+    line = "concat(' ', array_join(ws, ' '), ' ')"
+    each = f"aggregate(transform(ws, w -> {SPARK.syllables('w')}), 0L, (a, x) -> a + x)"
+    for row in spark.sql(doubles(f"SELECT ws, {SPARK.line_syllables(line)} AS a, {each} AS b FROM worded")).collect():
+        assert row.a == row.b, row
