@@ -7,7 +7,7 @@ Each takes relations by name, so the plans below run them on the driver's docume
 from __future__ import annotations
 
 from folioscope.functions import lexicons as lx
-from folioscope.functions.dialect import WORD, Dialect
+from folioscope.functions.dialect import END, PARAGRAPH_END, WORD, Dialect
 from folioscope.plans import fixtures as fx
 from folioscope.plans.lint import FIELDS, _documents, _row
 from folioscope.plans.registry import chapters, plan
@@ -34,17 +34,35 @@ def _open_quotes(d: Dialect) -> str:
     p = d.at("ps", "i")
     left, right, plain = (_times(p, c) for c in "“”\"")
     one = f"(({left} - {right} = 1 AND {plain} = 0) OR ({plain} % 2 = 1 AND {left} = {right}))"
-    goes_on = f"coalesce({one} AND {d.has(p, '^[“' + chr(34) + ']')} AND {d.has(d.at('ps', 'i + 1'), '^[“' + chr(34) + ']')}, false)"
+    begins = f"^{chr(92) + 's*' if d.spark else ''}[“" + chr(34) + "]"  # Spark's paragraphs are not trimmed
+    goes_on = f"coalesce({one} AND {d.has(p, begins)} AND {d.has(d.at('ps', 'i + 1'), begins)}, false)"
     return d.size(d.keep(d.numbers("1", d.size("ps")), "i", f"({left} <> {right} OR {plain} % 2 = 1) AND NOT {goes_on}"))
 
 
 def _doubled(d: Dialect) -> str:
     """A word and the same word again with nothing but blanks between; three in a row are one place."""
+    if d.spark:
+        # letter by letter, as in Dialect.tokens; a pair behind a pair is met by the next match, so places are the same
+        return f"CASE WHEN {ODD_CASE} THEN {_pairs(d)} ELSE {d.count('lower(p)', f'(?<!{WORD})({WORD}++)' + chr(92) + 's+' + chr(92) + f'1(?!{WORD})')} END"
+    return _pairs(d)
+
+
+#: Texts on Spark whose lower case is not that of their letters one by one.
+ODD_CASE = "(contains(p, 'Σ') OR contains(p, 'İ'))"
+
+
+def _pairs(d: Dialect) -> str:
+    """The same in an array of words and marks, any two neighbours held against each other."""
     a, b = d.at("pieces", "i"), d.at("pieces", "i + 1")
     same = d.map(d.numbers("1", d.size("pieces") + " - 1"), "i", f"CASE WHEN lower({a}) = lower({b}) AND {d.has(a, '^' + WORD)} THEN '1' ELSE '0' END")
     return d.count(f"coalesce({d.join(same, '')}, '')", "11?")
 
 
+def _where(d: Dialect, needs: list[str], x: str, other: str = "CAST(0 AS BIGINT)") -> str:
+    """``x`` where the text p holds any of ``needs``, else ``other``: on Spark a plain search spares most texts a regular expression."""
+    return f"CASE WHEN {' OR '.join(d.contains('p', d.lit(n)) for n in needs)} THEN {x} ELSE {other} END" if d.spark else x
+
+
 def proof(d: Dialect, rel: str) -> str:
     """Typographic findings of chapters (manuscript_id, chapter, ord, raw).
 
@@ -55,20 +73,25 @@ def proof(d: Dialect, rel: str) -> str:
     text = f"(SELECT manuscript_id, chapter, ord, {d.sub('raw', '(?s)<!--.*?-->', 'x')} AS p FROM {rel} src WHERE raw IS NOT NULL)"
     parts = f"""(SELECT manuscript_id, chapter, ord, p, {d.paragraphs('p')} AS ps, {d.all_of('p', WORD + r'+|[^' + WORD[1:-1] + r'\s]')} AS pieces, {d.keep(d.lines('p'), 'x', f"{d.trim('x')} <> ''")} AS ls,
         {d.all_of('p', _flags(d) + r'^(#{1,6})\s+\S', 1)} AS hs, {d.map(d.all_of('p', _flags(d) + lx.SCENE_BREAK, 1), 'x', d.trim('x'))} AS breaks, {d.first('p', _flags(d, 'i') + lx.CHAPTER_HEADING, 1)} AS head FROM {text} t)"""
+    if d.spark:
+        none = "CAST(array() AS ARRAY<STRING>)"
+        parts = f"""(SELECT manuscript_id, chapter, ord, p, {_where(d, ['“', '”', '"'], d.whole_parts('p', f'()(?:{PARAGRAPH_END})'), none)} AS ps, CASE WHEN {ODD_CASE} THEN {d.all_of('p', WORD + r'+|[^' + WORD[1:-1] + r'\s]')} ELSE {none} END AS pieces,
+            {_where(d, ['#'], d.keep(d.lines('p'), 'x', f"{d.trim('x')} <> ''"), none)} AS ls, {_where(d, ['#'], d.all_of('p', _flags(d) + r'^(#{1,6})\s+\S', 1), none)} AS hs,
+            {_where(d, list('*#~-'), d.map(d.all_of('p', _flags(d) + lx.SCENE_BREAK, 1), 'x', d.trim('x')), none)} AS breaks, {_where(d, ['#'], d.first('p', _flags(d, 'i') + lx.CHAPTER_HEADING, 1), "''")} AS head FROM {text} t)"""
     heading = r"^#{1,6}\s+\S"
     counts = {
-        "curly": d.count("p", "[“”]"),
-        "curly_any": d.count("p", "[“”’]"),
-        "straight": f"{d.count('p', chr(34))} - {d.count('p', WORD + chr(34))}",
-        "apostrophes": d.count(d.sub("p", f"({WORD})'", r"\1_"), "'" + WORD),
-        "dots_one": d.count("p", "…"),
-        "dots_three": f"{d.count('p', '[.]{3,}')} - {d.count('p', '[.]{4,}')}",
-        "dots_more": d.count("p", "[.]{4,}"),
+        "curly": _where(d, ["“", "”"], d.count("p", "[“”]")),
+        "curly_any": _where(d, ["“", "”", "’"], d.count("p", "[“”’]")),
+        "straight": _where(d, ['"'], f"{d.count('p', chr(34))} - {d.count('p', WORD + chr(34))}"),
+        "apostrophes": _where(d, ["'"], d.count(d.sub("p", f"({WORD})'", r"\1_"), "'" + WORD)),
+        "dots_one": _where(d, ["…"], d.count("p", "…")),
+        "dots_three": _where(d, ["..."], f"{d.count('p', '[.]{3,}')} - {d.count('p', '[.]{4,}')}"),
+        "dots_more": _where(d, ["...."], d.count("p", "[.]{4,}")),
         "open_quotes": _open_quotes(d),
         "depth": f"CAST({_times('p', '(')} - {_times('p', ')')} AS BIGINT)",
         "doubled": _doubled(d),
-        "spaces": d.count("p", r"[ \t]{2,}"),
-        "dashes": f"CASE WHEN {d.contains('p', d.lit('—'))} THEN 1 ELSE 0 END + CASE WHEN {d.has('p', r'\s–\s')} THEN 1 ELSE 0 END + CASE WHEN {d.contains('p', d.lit('--'))} THEN 1 ELSE 0 END",
+        "spaces": _where(d, ["  ", "\t"], d.count("p", r"[ \t]{2,}")),
+        "dashes": f"CASE WHEN {d.contains('p', d.lit('—'))} THEN 1 ELSE 0 END + CASE WHEN {_where(d, ['–'], d.has('p', r'\s–\s'), 'false')} THEN 1 ELSE 0 END + CASE WHEN {d.contains('p', d.lit('--'))} THEN 1 ELSE 0 END",
         "tops": d.size(d.keep("hs", "h", f"h = {low}")),
         "broken": " + ".join(f"CASE WHEN {d.contains('p', d.lit(m))} THEN 1 ELSE 0 END" for m in lx.MOJIBAKE),
         "controls": d.count("p", r"[\x01-\x08\x0b\x0c\x0e-\x1f\x{7f}-\x{9f}]"),
@@ -115,9 +138,14 @@ def macro(d: Dialect, rel: str) -> str:
     text = f"(SELECT manuscript_id, {d.strip_comments('raw')} AS p FROM {rel} src WHERE raw IS NOT NULL)"
     title = d.sub("title", r"(?i)^Chapter\s+[0-9]+\s*[:.\-]?\s*", "")
     body = f"CASE WHEN title = '' THEN p ELSE {d.sub('p', _flags(d) + '^#{1,6}' + chr(92) + 's+.+$', '')} END"
-    parts = f"""(SELECT manuscript_id, {d.sentences(body)} AS ss, {d.count('p', _flags(d) + lx.SCENE_BREAK)} AS breaks, lower({d.first(title, r"[\p{L}\p{N}_'’-]+")}) AS lead_word
+    sents = d.whole_parts(body, END) if d.spark else d.sentences(body)
+    side = lambda i: d.trim(d.at("ss", i)) if d.spark else d.at("ss", i)
+    parts = f"""(SELECT manuscript_id, {sents} AS ss, {d.count('p', _flags(d) + lx.SCENE_BREAK)} AS breaks, lower({d.first(title, r"[\p{L}\p{N}_'’-]+")}) AS lead_word
         FROM (SELECT manuscript_id, p, {d.first('p', _flags(d) + r'^#{1,6}\s+(.+)$', 1)} AS title FROM {text} t) u)"""
-    shapes = f"(SELECT manuscript_id, breaks, nullif(lead_word, '') AS lead_word, {_mode(d, d.at('ss', '1'))} AS opens, {_mode(d, d.at('ss', '-1'))} AS closes FROM {parts} q)"
+    modes = f"{_mode(d, side('1'))} AS opens, {_mode(d, side('-1'))} AS closes FROM {parts} q"
+    if d.spark:
+        modes = f"{_mode(d, 'first_s')} AS opens, {_mode(d, 'last_s')} AS closes FROM (SELECT manuscript_id, breaks, lead_word, {side('1')} AS first_s, {side('-1')} AS last_s FROM {parts} q) q1"
+    shapes = f"(SELECT manuscript_id, breaks, nullif(lead_word, '') AS lead_word, {modes})"
     total = f"(SELECT manuscript_id AS whole_id, count(*) AS chs, count(lead_word) AS titled FROM {shapes} s GROUP BY manuscript_id HAVING count(*) >= {lx.MACRO_CHAPTERS})"
     kinds = d.array([d.struct({"kind": d.lit(k), "val": v}) for k, v in (("opening_mode_share", "opens"), ("closing_mode_share", "closes"), ("title_parallelism", "lead_word"), ("scene_break_uniformity", d.text("breaks")))])
     each = d.spread(f"(SELECT manuscript_id, {kinds} AS fs FROM {shapes} s)", "manuscript_id", "fs", "fpos", "f")
@@ -188,7 +216,9 @@ def texture(d: Dialect, bank: str, rel: str) -> str:
     lines = _record_lines(d, bank, {"texture": ["id", "term"]}, {})
     ranked = f"(SELECT *, row_number() OVER (PARTITION BY manuscript_id, f_id ORDER BY lineno) AS place FROM {lines} l WHERE problem IS NULL)"
     terms = f"(SELECT manuscript_id AS of_id, {d.sorted_set('lower(f_term)')} AS terms FROM {ranked} r WHERE place = 1 GROUP BY manuscript_id)"
-    held = d.spread(f"(SELECT c.manuscript_id, {d.keep('t.terms', 'x', 'contains(lower(c.raw), x)')} AS fs FROM {rel} c JOIN {terms} t ON t.of_id = c.manuscript_id WHERE c.raw IS NOT NULL)", "manuscript_id", "fs", "fpos", "term")
+    # on Spark, a text is put into lower case once, not for each term, and texts stay where they are read
+    kept = d.let("lower(c.raw)", "low", d.keep("t.terms", "x", "contains(low, x)")) if d.spark else d.keep("t.terms", "x", "contains(lower(c.raw), x)")
+    held = d.spread(f"(SELECT {'/*+ BROADCAST(t) */ ' if d.spark else ''}c.manuscript_id, {kept} AS fs FROM {rel} c JOIN {terms} t ON t.of_id = c.manuscript_id WHERE c.raw IS NOT NULL)", "manuscript_id", "fs", "fpos", "term")
     used = f"(SELECT DISTINCT manuscript_id AS used_in, term AS used_term FROM {held} h)"
     some = f"(SELECT DISTINCT manuscript_id AS some_id FROM {rel} c0)"
     kinds = ", ".join(d.lit(k) for k in lx.TEXTURE_KINDS)
