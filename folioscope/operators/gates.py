@@ -120,8 +120,9 @@ def check_lint(r: Relations, asked: DataFrame) -> DataFrame:
     found = None
     # at most one row for each profile that there is
     for profile in sorted(p.profile for p in wanted.select("profile").distinct().collect()):
-        mine = r.chapters.join(wanted.where(F.col("profile") == profile).select("manuscript_id").distinct(), "manuscript_id", "left_semi")
-        one = _fails(over_frames(lint_plans.findings(SPARK, "chapters_to_check", lint_plans.thresholds(profile)), chapters=mine)).withColumn("profile", F.lit(profile))
+        # names of manuscripts, which are few beside their texts: those stay where they are read
+        mine = r.chapters.join(F.broadcast(wanted.where(F.col("profile") == profile).select("manuscript_id").distinct()), "manuscript_id", "left_semi")
+        one = _fails(over_frames(lint_plans.failures(SPARK, "chapters_to_check", lint_plans.thresholds(profile)), chapters=mine)).withColumn("profile", F.lit(profile))
         found = one if found is None else found.unionByName(one)
     rows = _by(wanted, r.counts, r.setting("project.language", "language"))
     rows = rows.withColumn("n", F.lit(None).cast("long")) if found is None else rows.join(found, ["manuscript_id", "profile"], "left")
@@ -140,7 +141,7 @@ def check_chapter_order(r: Relations, asked: DataFrame) -> DataFrame:
 
 @check
 def check_wordcount(r: Relations, asked: DataFrame) -> DataFrame:
-    words = r.chapters.groupBy("manuscript_id").agg(F.expr(f"sum({SPARK.size(SPARK.tokens(SPARK.strip_comments('raw')))})").alias("words"))
+    words = r.chapters.groupBy("manuscript_id").agg(F.expr(f"sum({SPARK.n_tokens(SPARK.strip_comments('raw'))})").alias("words"))
     rows = _by(asked, r.counts, words, r.setting("project.word_count_target", "target")).withColumn("target", F.expr("try_cast(target AS DOUBLE)"))
     share = lambda i, usual: F.coalesce(F.when(F.get("args", i) != "", F.get("args", i)).cast("double"), F.lit(usual))
     off = ~F.col("words").between(F.col("target") * share(0, 0.85), F.col("target") * share(1, 1.25))

@@ -34,8 +34,8 @@ def _phrase(words: str) -> str:
     return r"(?i)\b" + words.replace("-", "[-]") + r"\b"
 
 
-def _counts(d: Dialect, rel: str) -> tuple[str, list[str]]:
-    """One row of counts per chapter, and the names of the counts that add up."""
+def _counts(d: Dialect, rel: str, fails: bool = False) -> tuple[str, list[str]]:
+    """One row of counts per chapter, and the names of the counts that add up.  Findings that fail ask nothing of a sentence's length."""
     text = f"(SELECT manuscript_id, chapter, ord, {d.strip_markdown('raw')} AS p FROM {rel} src)"
     parts = f"""(SELECT manuscript_id, chapter, ord, p, {d.lint_tokens('p')} AS ws, {d.tokens('p')} AS toks, {d.lint_sentences('p')} AS ss, {d.size(d.sentences('p'))} AS n_sents,
         {d.paragraphs('p')} AS opens, {d.join(d.all_of('p', QUOTED, 1), ' ')} AS spoken FROM {text} t)"""
@@ -68,7 +68,7 @@ def _counts(d: Dialect, rel: str) -> tuple[str, list[str]]:
     if d.spark:
         last = f"lower({d.trim(d.at('ss', '-1'))})"
         sums |= {
-            "words": f"CAST({d.total('lens')} AS BIGINT)",
+            "words": d.count("p", LINT_TOKEN) if fails else f"CAST({d.total('lens')} AS BIGINT)",
             "adverbs": d.size(d.keep(d.all_of("line", " ([^ ]{2,}ly)(?= )", 1), "w", f"w NOT IN {not_adverb}")),
             "syllables": d.line_syllables("line"),
             "spoken_n": f"coalesce({d.n_tokens('spoken')}, 0)",
@@ -86,8 +86,8 @@ def _row(d: Dialect, check: str, severity: str, when: str, n: str, measured: str
     return d.struct({"hit": f"coalesce({when}, false)", "check_name": d.lit(check), "severity": d.lit(severity), "item": d.text(item), "n": f"CAST({n} AS BIGINT)", "measured": num(measured), "low": num(low), "high": num(high)})
 
 
-def _scalar_findings(d: Dialect, rel: str, th: dict[str, float]) -> str:
-    counts, names = _counts(d, rel)
+def _scalar_findings(d: Dialect, rel: str, th: dict[str, float], fails: bool = False) -> str:
+    counts, names = _counts(d, rel, fails)
     mono = f"CASE WHEN lint_sents >= {th['sentence_monotony_min_sentences']} AND cv < {th['sentence_cv_min']} THEN 1 ELSE 0 END"
     both = f"""(SELECT manuscript_id, chapter, count(*) AS chs, {', '.join(f'CAST(sum({k}) AS BIGINT) AS {k}' for k in names)}, CAST(sum({mono}) AS BIGINT) AS monotone,
         coalesce(stddev_samp(CAST(words AS DOUBLE)), 0.0) / greatest(avg(words), 1e-9) AS length_cv, avg(CASE WHEN lint_sents > 0 THEN CAST(words AS DOUBLE) / lint_sents ELSE 0.0 END) AS mean_len
@@ -122,21 +122,28 @@ def _scalar_findings(d: Dialect, rel: str, th: dict[str, float]) -> str:
         over("filter_word_density", "warn", whole, "filters", per("filters", "1000.0"), th["filter_word_per_1k"]),
         _row(d, "dialogue_tag_variety", "warn", f"{whole} AND tags >= {th['min_tag_sample']} AND {share('plain_tags', 'tags')} < {th['said_tag_share_min']}", "tags", share("plain_tags", "tags"), low=str(th["said_tag_share_min"])),
     ]
+    rows = [r for r in rows if not fails or f"'severity', {d.lit('fail')}" in r]
     found = d.spread(f"(SELECT manuscript_id, chapter, {d.array(rows)} AS fs FROM {both} b)", "manuscript_id, chapter", "fs", "fpos", "f")
     return f"SELECT manuscript_id, chapter, {', '.join(f'f.{k} AS {k}' for k in FIELDS)} FROM {found} g WHERE f.hit"
 
 
-def _item_findings(d: Dialect, rel: str, th: dict[str, float]) -> str:
+def _item_findings(d: Dialect, rel: str, th: dict[str, float], fails: bool = False) -> str:
     """Watched phrases, openers, modern words and line defects: each chapter yields only the items that it has.
 
     One alternation finds all watched phrases and modern words: none of them ends as another begins, so none hides another.
     """
-    listed = [("phrase_repetition", w.lower(), w) for w in lx.WATCH_PHRASES] + [("modern_register", w.lower(), w) for w in lx.MODERN_WORDS]
+    listed = [("phrase_repetition", w.lower(), w) for w in lx.WATCH_PHRASES] + [("modern_register", w.lower(), w) for w in lx.MODERN_WORDS if not fails]
     opener = " ".join(f"WHEN x LIKE {d.lit(o.lower() + '%')} THEN {d.lit(o)}" for o in lx.OPENERS)
     opens = d.map(d.map(d.paragraphs("low"), "x", d.sub("x", '^["“‘' + chr(39) + r"]+\s*", "")), "x", f"CASE {opener} ELSE '' END")
     item = lambda check, x, n: d.struct({"check_name": d.lit(check), "item": x, "n": f"CAST({n} AS BIGINT)"})
     watched = d.all_of("low", r"\b(?:" + "|".join(key for _, key, _ in listed) + r")\b")
-    alone = [item("line_defect", d.lit(label), d.count("p", pattern)) for pattern, label in lx.LINE_DEFECTS] + [item("words", "''", d.size(d.lint_tokens("p")))]
+    if d.spark:
+        # most texts hold none of them, which a plain search tells; paragraphs are not trimmed, as only their beginnings count
+        watched = f"CASE WHEN {' OR '.join(d.contains('low', d.lit(key)) for _, key, _ in listed)} THEN {watched} ELSE CAST(array() AS ARRAY<STRING>) END"
+        opens = d.map(d.map(d.whole_parts("low", f"()(?:{PARAGRAPH_END})"), "x", d.sub("x", r'^\s*(?:["“‘' + chr(39) + r"]+\s*)?", "")), "x", f"CASE {opener} ELSE '' END")
+    words = d.count("p", LINT_TOKEN) if d.spark else d.size(d.lint_tokens("p"))
+    defects = [] if fails else [item("line_defect", d.lit(label), d.count("p", pattern)) for pattern, label in lx.LINE_DEFECTS]
+    alone = defects + [item("words", "''", words)]
     arrays = d.flatten(d.array([d.map(watched, "x", item("watched", "x", "1")), d.map(opens, "x", item("opener_monotony", "x", "1")), d.array(alone)]))
     parts = f"(SELECT manuscript_id, p, lower(p) AS low FROM (SELECT manuscript_id, {d.strip_markdown('raw')} AS p FROM {rel} src) t)"
     each = d.spread(f"(SELECT manuscript_id, {arrays} AS fs FROM {parts} q)", "manuscript_id", "fs", "fpos", "f")
@@ -248,9 +255,18 @@ def repeats(d: Dialect, rel: str, th: dict[str, float]) -> str:
     return f"""SELECT manuscript_id, phrase, len, n, chs FROM {named} h WHERE NOT EXISTS (SELECT 1 FROM {windows} v WHERE v.manuscript_id = h.manuscript_id AND v.win = h.inner_key AND length(v.phrase) > length(h.phrase) AND {d.contains('v.phrase', 'h.phrase')})"""
 
 
+def failures(d: Dialect, rel: str, th: dict[str, float]) -> str:
+    """The findings with severity fail, the same rows; what only warns is not reckoned.  Escalation, echoes, runs and voices never fail."""
+    return _rounded([_scalar_findings(d, rel, th, True), _item_findings(d, rel, th, True)])
+
+
+def _rounded(arms: list[str]) -> str:
+    return f"SELECT manuscript_id, chapter, check_name, severity, item, n, round(measured, 6) AS measured, low, high FROM ({' UNION ALL '.join(arms)}) all_findings"
+
+
 def findings(d: Dialect, rel: str, th: dict[str, float]) -> str:
     arms = [_scalar_findings(d, rel, th), _item_findings(d, rel, th), _echo_findings(d, rel, th), _run_findings(d, rel, th), _escalation_findings(d, rel, th), _voice_findings(d, rel)]
-    return f"SELECT manuscript_id, chapter, check_name, severity, item, n, round(measured, 6) AS measured, low, high FROM ({' UNION ALL '.join(arms)}) all_findings"
+    return _rounded(arms)
 
 
 def _documents(d: Dialect, by: str = "source") -> str:

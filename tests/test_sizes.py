@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.dialect import SPARK
 from folioscope.operators import audits
+from folioscope.operators.lint import over_frames
+from folioscope.plans import lint
 
 CHAPTERS = "manuscript_id string, chapter string, ord long, raw string"
 
@@ -14,6 +16,21 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_failures_are_the_findings_that_fail(spark):
+    """Only what can fail is reckoned: no syllables, adverbs, modern words or echoes."""
+    dashes = "It was late — not cold but wet — and exactly so -- my own particular truth. I understood, exactly."
+    plain = "He walked, quietly and slowly, to the governance office.\n\n" * 8
+    rows = [("a", f"chapter-{i}.md", i, f"# Chapter {i}\n\n{dashes}\n\n{plain}" + "It was the truth." * (i % 2)) for i in range(7)] + [("b", "chapter-1.md", 1, "<!-- nothing -->"), ("c", "x", 1, plain)]
+    chapters = spark.createDataFrame(rows, CHAPTERS)
+    th = lint.thresholds()
+    all_found = over_frames(lint.findings(SPARK, "chapters_to_check", th), chapters=chapters).where("severity = 'fail'")
+    failing = over_frames(lint.failures(SPARK, "chapters_to_check", th), chapters=chapters)
+    found = sorted(map(str, failing.collect()))
+    assert found == sorted(map(str, all_found.collect()))
+    assert {r.check_name for r in failing.collect()} >= {"em_dash_density", "phrase_repetition", "manuscript", "opener_monotony"}
+    assert "aeiouy" not in _plan(failing) and "governance" not in _plan(failing)
+
+
 def test_doubled_words_are_counted_without_an_array_of_words(spark):
     """Three words are one place, four are two; case is that of each word, also where it looks at its neighbours."""
     texts = ["the the", "The the THE", "a a a a", "a-a a", "bathe the the", "a. a", "a\n\n a", "ΟΔΟΣ οδος", "οδοσ ΟΔΟΣ x x", "été Été", "a_a a_a", "a b a b", "x1 x1 x1y x1y"]
