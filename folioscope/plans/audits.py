@@ -282,15 +282,51 @@ def occurrences(d: Dialect, rel: str, text: str, pattern: str) -> str:
     return f"(SELECT manuscript_id, chapter, i, hit, gap, CAST(sum(length(gap) + length(hit)) {w} - length(hit) AS BIGINT) AS start FROM (SELECT manuscript_id, chapter, i, hit, {d.at('gaps', 'i + 1')} AS gap FROM {each} e) f)"
 
 
+#: Flaws that a pattern finds by itself, and what a text must hold to be searched for some of them.
+SIMPLE = {"doubled_spaces": r"[^\s.]  +", "mojibake": "|".join(m.replace("|", "[|]") for m in lx.MOJIBAKE), "control_character": "[\x01-\x08\x0b\x0c\x0e-\x1e\x7f]"}
+NEEDS = {"doubled_spaces": ["  "], "mojibake": lx.MOJIBAKE}
+#: A word with itself in any case behind blanks, which stay for the next match.
+AHEAD = f"(?iu)(?<!{WORD})({WORD}++)(?=\\s++\\1(?!{WORD}))"
+
+
+def _excerpt(d: Dialect) -> str:
+    return f"replace(substring(c.raw, CAST(greatest(f.start - 29, 1) AS INT), CAST(f.size + 30 + least(f.start, 30) AS INT)), {d.lit(chr(10))}, ' ')"
+
+
+def _marked_places(d: Dialect, rel: str) -> str:
+    """``proof_places`` for Spark: a text is cut at its flaws, so rows go with these, not with its words.
+
+    Of each kind, odd parts are flaws and even ones what stands between.  Lengths and ends of lines of the parts before a flaw
+    give its start and line.  Two words are the same if each one's lower case is, which the pattern is wider than.
+    """
+    mark = "\x1f"
+    cuts = {k: f"split({d.sub('p', v if k == 'doubled_words' else f'({v})', mark + chr(92) + '1' + mark)}, {d.lit(mark)})" for k, v in ({"doubled_words": AHEAD} | SIMPLE).items()}
+    whole = {k: _where(d, NEEDS[k], v, "CAST(array() AS ARRAY<STRING>)") if k in NEEDS else v for k, v in cuts.items()}
+    kinds = d.keep(d.array([d.struct({"kind": d.lit(k), "ps": v}) for k, v in whole.items()]), "x", "size(x.ps) > 1")
+    texts = f"(SELECT manuscript_id, chapter, replace(raw, {d.lit(mark)}, ' ') AS p FROM {rel} src WHERE raw IS NOT NULL)"
+    of_kind = d.spread(f"(SELECT manuscript_id, chapter, {kinds} AS ks FROM {texts} t0)", "manuscript_id, chapter", "ks", "kpos", "k")
+    parts = d.spread(f"(SELECT manuscript_id, chapter, k.kind AS kind, k.ps AS ps FROM {of_kind} t1)", "manuscript_id, chapter, kind, ps", "ps", "i", "hit")
+    beside = ", ".join(f"get(ps, CAST(i AS INT) + {j}) AS {n}" for j, n in ((-1, "gap"), (1, "after"), (2, "next_hit")))
+    near = f"(SELECT manuscript_id, chapter, kind, i, hit, {beside} FROM {parts} t2 WHERE i % 2 = 1)"
+    ends = lambda x: f"(length({x}) - length(replace({x}, {d.lit(chr(10))}, '')))"
+    blanks = f"(SELECT *, CASE WHEN kind = 'doubled_words' THEN {d.first('after', '^' + chr(92) + 's+')} END AS blank FROM {near} t3)"
+    again = "CASE WHEN kind = 'doubled_words' THEN lower(hit) = lower(CASE WHEN length(after) > length(blank) THEN substring(after, length(blank) + 1, length(hit)) ELSE next_hit END) ELSE true END"
+    sized = f"(SELECT manuscript_id, chapter, kind, i, length(gap) AS skip, length(hit) AS len, {ends('gap')} AS skip_ends, {ends('hit')} AS len_ends, CASE WHEN kind = 'doubled_words' THEN 2 * length(hit) + length(blank) ELSE length(hit) END AS size, {again} AS again FROM {blanks} t4)"
+    w = "OVER (PARTITION BY manuscript_id, chapter, kind ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    placed = f"(SELECT manuscript_id, chapter, kind AS check_name, CAST(sum(skip + len) {w} - len AS BIGINT) AS start, CAST(size AS BIGINT) AS size, CAST(sum(skip_ends + len_ends) {w} - len_ends + 1 AS BIGINT) AS line, again FROM {sized} t5)"
+    return f"SELECT f.manuscript_id, f.chapter, f.check_name, f.start, f.line, {_excerpt(d)} AS excerpt FROM {placed} f JOIN {rel} c ON c.manuscript_id = f.manuscript_id AND c.chapter = f.chapter WHERE f.again"
+
+
 def proof_places(d: Dialect, rel: str) -> str:
     """Places of doubled words, doubled blanks, control characters and broken encodings, with line number and excerpt."""
+    if d.spark:
+        return _marked_places(d, rel)
     text = "raw"
     words = occurrences(d, rel, text, WORD + "+")
     doubled = f"SELECT manuscript_id, chapter, 'doubled_words' AS check_name, start, size FROM (SELECT manuscript_id, chapter, lag(start) OVER w AS start, CAST(start + length(hit) - lag(start) OVER w AS BIGINT) AS size, lower(hit) = lower(lag(hit) OVER w) AND {d.has('gap', r'^\s+$')} AS again FROM {words} x WINDOW w AS (PARTITION BY manuscript_id, chapter ORDER BY i)) y WHERE again"
-    simple = {"doubled_spaces": r"[^\s.]  +", "mojibake": "|".join(m.replace("|", "[|]") for m in lx.MOJIBAKE), "control_character": "[\x01-\x08\x0b\x0c\x0e-\x1e\x7f]"}
-    arms = [doubled, *(f"SELECT manuscript_id, chapter, '{name}', start, CAST(length(hit) AS BIGINT) FROM {occurrences(d, rel, text, p)} o" for name, p in simple.items())]
+    arms = [doubled, *(f"SELECT manuscript_id, chapter, '{name}', start, CAST(length(hit) AS BIGINT) FROM {occurrences(d, rel, text, p)} o" for name, p in SIMPLE.items())]
     lines = f"length(left(c.raw, CAST(f.start AS INT))) - length(replace(left(c.raw, CAST(f.start AS INT)), {d.lit(chr(10))}, '')) + 1"
-    excerpt = f"replace(substring(c.raw, CAST(greatest(f.start - 29, 1) AS INT), CAST(f.size + 30 + least(f.start, 30) AS INT)), {d.lit(chr(10))}, ' ')"
+    excerpt = _excerpt(d)
     return f"SELECT f.manuscript_id, f.chapter, f.check_name, f.start, CAST({lines} AS BIGINT) AS line, {excerpt} AS excerpt FROM ({' UNION ALL '.join(arms)}) f JOIN {rel} c ON c.manuscript_id = f.manuscript_id AND c.chapter = f.chapter"
 
 

@@ -8,6 +8,7 @@ from folioscope.functions.dialect import SPARK
 from folioscope.operators import audits
 from folioscope.operators.lint import over_frames
 from folioscope.plans import lint
+from folioscope.plans.audits import proof_places
 
 CHAPTERS = "manuscript_id string, chapter string, ord long, raw string"
 
@@ -49,3 +50,17 @@ def test_gate_texts_stay_where_they_are_read(spark):
     found = audits.texture(bank, chapters).where("check_name = 'unused_texture'")
     assert [(r.manuscript_id, r.item) for r in found.collect()] == [("m", "b")]
     assert "strategy=broadcast" in _plan(audits.texture(bank, chapters).select(F.lit(1)))
+
+
+def test_flaws_not_words_are_rows(spark):
+    """Places of doubled words by hand: three in a row are two, blanks of any kind between, case by each word; no word is a row."""
+    texts = ["The the THE end", "x\nsee\n\n see  it", "ΟΔΟΣ οδος s ſ", "bathe the\x1fthe", "so  so � \x07", "a-a a"]
+    chapters = spark.createDataFrame([("m", f"{i}", i, t) for i, t in enumerate(texts)], CHAPTERS)
+    found = over_frames(proof_places(SPARK, "chapters_to_check"), chapters=chapters)
+    wanted = {
+        ("0", "doubled_words", 0, 1, "The the THE end"), ("0", "doubled_words", 4, 1, "The the THE end"), ("1", "doubled_words", 2, 2, "x see   see  it"), ("1", "doubled_spaces", 10, 4, "x see   see  it"),
+        ("2", "doubled_words", 0, 1, "ΟΔΟΣ οδος s ſ"), ("3", "doubled_words", 6, 1, "bathe the\x1fthe"), ("4", "doubled_words", 0, 1, "so  so � \x07"), ("4", "doubled_spaces", 1, 1, "so  so � \x07"),
+        ("4", "mojibake", 7, 1, "so  so � \x07"), ("4", "control_character", 9, 1, "so  so � \x07"), ("5", "doubled_words", 2, 1, "a-a a"),
+    }
+    assert {(r.chapter, r.check_name, r.start, r.line, r.excerpt) for r in found.collect()} == wanted
+    assert _plan(found).count("Generate ") == 2
