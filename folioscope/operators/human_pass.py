@@ -7,10 +7,13 @@ by a native aggregate, highest offset first.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from folioscope.functions import lexicons as lx
 
@@ -19,7 +22,10 @@ QUOTES = "\"'“”‘’"
 _BLANK = "\x00"
 _BREAK = re.compile(r"(?<=[.!?])[\"'”’\s]+")
 _HIDDEN = re.compile(re.escape(START) + r".*?" + re.escape(END) + r"|<!--.*?-->|^#[^\n]*$", re.DOTALL | re.MULTILINE)
-_SPAN = "array<struct<kind:string,start:int,end:int,text:string>>"
+_LINE = "index int, kind string, start int, end int, text string"
+_ARROW = {"index": pa.int32(), "kind": pa.string(), "start": pa.int32(), "end": pa.int32(), "text": pa.string()}
+#: Lines that leave a batch together.
+LINES = 1024
 _ENTRY = "struct<entries:array<struct<chapter:string,index:int,kind:string,start:int,end:int,sha256:string,original:string,rewrite:string>>,errors:array<string>>"
 
 
@@ -59,13 +65,36 @@ def choose(raw: str | None, most: int = 10) -> list[dict]:
 
 
 def select_lines(chapters: DataFrame) -> DataFrame:
-    """manuscript_id, chapter, sha256 of the text, index from 1, kind, start, end (code points), text."""
+    """manuscript_id, chapter, sha256 of the text, index from 1, kind, start, end (code points), text.
 
-    def pick(raw: pd.Series) -> pd.Series:
-        return raw.map(choose)
-
-    picked = chapters.select("manuscript_id", "chapter", F.sha2("raw", 256).alias("sha256"), F.posexplode(F.pandas_udf(pick, _SPAN)("raw")).alias("place", "e"))
-    return picked.select("manuscript_id", "chapter", "sha256", (F.col("place") + 1).alias("index"), "e.*")
+    Of an Arrow batch, one text at a time becomes a Python string, and lines leave it ``LINES`` at a time.
+    """
+    read = chapters.select("manuscript_id", "chapter", F.sha2("raw", 256).alias("sha256"), "raw")
+    told = StructType([f for f in read.schema if f.name != "raw"] + list(StructType.fromDDL(_LINE)))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, ids = batch.column("raw"), batch.select(["manuscript_id", "chapter", "sha256"])
+            rows, lines = [], []
+            for at in range(batch.num_rows):
+                found = choose(raw[at].as_py())
+                rows += [at] * len(found)
+                lines += [{"index": k} | x for k, x in enumerate(found, 1)]
+                if len(lines) >= LINES:
+                    yield _beside(ids, rows, lines)
+                    rows, lines = [], []
+            if lines:
+                yield _beside(ids, rows, lines)
+
+    return read.mapInArrow(pick, told)
+
+
+def _beside(ids: pa.RecordBatch, rows: list[int], lines: list[dict]) -> pa.RecordBatch:
+    """Lines behind the columns of the rows that they are of."""
+    own = ids.take(pa.array(rows, pa.int32()))
+    return pa.RecordBatch.from_arrays(
+        [*own.columns, *(pa.array([x[n] for x in lines], t) for n, t in _ARROW.items())], names=[*own.schema.names, *_ARROW]
+    )
 
 
 def worksheet(lines: DataFrame) -> DataFrame:

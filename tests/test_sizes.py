@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioscope.functions.dialect import SPARK
-from folioscope.operators import audits
+from folioscope.operators import audits, human_pass
 from folioscope.operators.lint import over_frames
 from folioscope.plans import lint
 from folioscope.plans.audits import proof_places
+from folioscope.plans.contain import coverage
 
 CHAPTERS = "manuscript_id string, chapter string, ord long, raw string"
 
@@ -64,3 +65,27 @@ def test_flaws_not_words_are_rows(spark):
     }
     assert {(r.chapter, r.check_name, r.start, r.line, r.excerpt) for r in found.collect()} == wanted
     assert _plan(found).count("Generate ") == 2
+
+
+def test_lines_leave_a_batch_in_parts(spark):
+    """More lines than leave together, rows without any between; texts reach Python as Arrow, not all as strings at once."""
+    text = "It was late. “Go,” she said. He ran like a dog through the rain all night. Truth is a debt. The end came."
+    rows = [("m", f"c{i}", i, None if i % 5 == 0 else text) for i in range(600)]
+    chapters = spark.createDataFrame(rows, CHAPTERS).coalesce(1)
+    lines = human_pass.select_lines(chapters)
+    wanted = [(k, x["kind"], x["start"], x["end"], x["text"]) for k, x in enumerate(human_pass.choose(text), 1)]
+    found = {}
+    for r in lines.collect():
+        found.setdefault(r.chapter, []).append((r["index"], r.kind, r.start, r.end, r.text))
+    assert len(found) == 480 and 480 * len(wanted) > 2 * 1024 and all(sorted(v) == wanted for v in found.values())
+    assert "MapInArrow" in _plan(lines)
+
+
+def test_runs_are_joined_where_a_text_has_a_long_one(spark):
+    """A term over the border of two parts of a long run is found; the plan asks for such a run first."""
+    long_run = "x" * 40 + "needleinthehaystack" + "y" * 60
+    chapters = spark.createDataFrame([("m", "a", 1, f"see {long_run} here"), ("m", "b", 2, "no needle here")], CHAPTERS)
+    terms = spark.createDataFrame([(1, "NeedleInTheHaystack"), (2, "needle"), (3, "absent")], "id long, term string")
+    found = over_frames(f"SELECT id, chapters, total FROM {coverage(SPARK, 'terms_to_check', 'chapters_to_check')} x", chapters=chapters, terms=terms)
+    assert sorted(map(tuple, found.collect())) == [(1, 1, 1), (2, 2, 2), (3, 0, 0)]
+    assert "exists(" in _plan(found)
