@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from folioscope.functions.dialect import SPARK
 from folioscope.operators import audits, human_pass
 from folioscope.operators.lint import over_frames
-from folioscope.plans import lint
+from folioscope.plans import derived, lint
 from folioscope.plans.audits import proof_places
 from folioscope.plans.contain import coverage
 
@@ -89,3 +89,8 @@ def test_runs_are_joined_where_a_text_has_a_long_one(spark):
     found = over_frames(f"SELECT id, chapters, total FROM {coverage(SPARK, 'terms_to_check', 'chapters_to_check')} x", chapters=chapters, terms=terms)
     assert sorted(map(tuple, found.collect())) == [(1, 1, 1), (2, 2, 2), (3, 0, 0)]
     assert "exists(" in _plan(found)
+
+
+def test_scores_read_lines_once():
+    """Three dimensions of a line are told from one grouping of the lines on Spark."""
+    assert derived.relations(SPARK, "score_board")["scores"].count("FROM lineitem") == 1
