@@ -19,6 +19,9 @@ GRAM = 3
 def _parts(d: Dialect, text: str) -> str:
     """Runs of a text; long ones in parts, each also with the next one behind it, so that a piece lies in one of them."""
     joined = d.map(d.keep(d.ngrams("cs", 2), "g", f"instr(g, ' ') = {PART + 1}"), "g", "replace(g, ' ', '')")
+    if d.spark:
+        # few texts have a run as long as a part; the others' neighbours need not be joined
+        joined = f"CASE WHEN exists({text}, c -> length(c) = {PART}) THEN {joined} ELSE CAST(array() AS ARRAY<STRING>) END"
     return d.distinct(f"{'concat' if d.spark else 'list_concat'}({text}, {joined})")
 
 
