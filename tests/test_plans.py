@@ -71,6 +71,21 @@ def over(spark, folder, name, rows):
     return {tuple(r) for r in catalogue.QUERIES[name](spark, str(folder)).collect()}
 
 
+def by_sql(folder, name):
+    """Rows of a plan's DuckDB counterpart over the same table."""
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    return set(db.execute(catalogue.ORACLES[name]).fetchall())
+
+
+def test_dashes_of_texts_without_words(spark, tmp_path):
+    texts = {"a": ["", "— —"], "b": ["# Title", "one two"], "c": ["> quoted", "one — two"]}
+    rows = [(10 * i + j, t, "en", s) for i, (s, ts) in enumerate(texts.items()) for j, t in enumerate(ts)]
+    found = over(spark, tmp_path, "em_dash_density", rows)
+    assert {("a", None, 2, 0, True), ("a", "chapter-0.md", 0, 0, True), ("a", "chapter-1.md", 2, 0, True), ("b", None, 0, 2, False), ("b", "chapter-10.md", 0, 0, True)} <= found
+    assert found == by_sql(tmp_path, "em_dash_density")
+
+
 def test_absence_gaps_of_words_of_any_length(spark, tmp_path):
     texts = ["Mary saw an extraordinary fox, a fox.", "fox", "fox hut", None, "hut", "fox lanterns", "Mary extraordinary hut lanterns"]
     rows = [(i, t, "en", "a") for i, t in enumerate(texts)] + [(10 + i, t, "en", "b") for i, t in enumerate(["ox", "", "-", "x", "ox"])]
