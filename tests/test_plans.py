@@ -104,6 +104,14 @@ def test_ngrams_from_five_times_on(spark, tmp_path):
     assert over(spark, tmp_path, "ngram_containment", rows) == {("a", "red fox", 2, 5)}
 
 
+def test_triples_of_texts_of_one_word(spark, tmp_path):
+    texts = [("Erö.", "a")] * 5 + [("This.", "a")] * 4 + [("", "a"), ("—", "a")] * 5 + [("Old owl.", "b")] * 5 + [("Erö owl this.", "c")] * 5
+    rows = [(i, t, "en", s) for i, (t, s) in enumerate(texts)]
+    found = over(spark, tmp_path, "ngram_containment", rows)
+    assert found == {("a", "erö  ", 3, 5), ("b", "old owl", 2, 5), ("c", "erö owl this", 3, 5)}
+    assert found == by_sql(tmp_path, "ngram_containment")
+
+
 def test_fingerprints_of_every_source_from_every_other(spark, tmp_path):
     rows = [(1, "sun sun moon", "en", "a"), (2, "sun moon moon", "en", "b"), (3, "sun sun sun moon", "en", "c")]
     rates = {"a": (2000 / 3, 1000 / 3), "b": (1000 / 3, 2000 / 3), "c": (750.0, 250.0)}
