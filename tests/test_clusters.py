@@ -6,7 +6,7 @@ from itertools import combinations
 import pytest
 
 from folioscope.operators import clusters, relations
-from folioscope.plans import library
+from folioscope.plans import library, prose
 
 
 def distance(a, b):
@@ -93,3 +93,24 @@ def test_near_names_are_those_of_all_pairs(spark):
     assert found == [("m", a, b, k) for i, a in enumerate(words) for b in words[i + 1 :] if (k := distance(a, b)) <= 3] and found
     plan = frame._jdf.queryExecution().executedPlan().toString()
     assert "bit_count" in plan and "short" in plan
+
+
+def test_names_far_apart_hardly_meet(spark):
+    """Words meet by halves with one change: few pairs do, none within distance 3 is missed and none comes twice, whatever their length."""
+    dice = random.Random(7)
+    letters = "eeeeaaannnrrstiodlhbcgmuz"
+    words = {"".join(dice.choices(letters, k=dice.randint(5, 17))) for _ in range(160)}
+    for word in sorted(words):
+        for _ in range(dice.randint(0, 3)):
+            at = dice.randint(0, len(word) - 1)
+            word = word[:at] + dice.choice(["", dice.choice(letters), word[at] + word[at], dice.choice(letters) + word[at]]) + word[at + 1 :]
+        words.add(word)
+    words = sorted({w.capitalize() for w in words if len(w) >= 5} | {"Eeeee", "Eeeeeeee", "Neeee", "Eneee", "Aeeeeeeeeeee", "Aeeeeeeeeeeee"})
+    spark.createDataFrame([(m, w) for m in ("m", "k") for w in words], "manuscript_id string, w string").createOrReplaceTempView("coined")
+    wanted = sorted((m, a, b, k) for i, a in enumerate(words) for b in words[i + 1 :] if (k := distance(a, b)) <= 3 for m in ("m", "k"))
+    assert {(len(a) > 12) + (len(b) > 12) for _, a, b, _ in wanted} == {0, 1, 2} and {k for *_, k in wanted} == {1, 2, 3}
+    assert sorted(tuple(r) for r in spark.sql(prose.near_names("SELECT * FROM coined")).collect()) == wanted
+    shorter, longer = prose.name_cells(prose._coded("SELECT * FROM coined WHERE length(w) > 7"))
+    met = spark.sql(f"SELECT a.w, b.w FROM {shorter} a JOIN {longer} b ON a.k = b.k AND a.manuscript_id = b.manuscript_id AND a.w <> b.w").count()
+    several = sum(7 < len(w) <= 12 for w in words)
+    assert met < several * several / 10, (met, several)
