@@ -6,7 +6,7 @@ from itertools import combinations
 import pytest
 
 from folioscope.operators import clusters, relations
-from folioscope.plans import library, prose
+from folioscope.plans import catalogue, library, prose
 
 
 def distance(a, b):
@@ -114,3 +114,11 @@ def test_names_far_apart_hardly_meet(spark):
     met = spark.sql(f"SELECT a.w, b.w FROM {shorter} a JOIN {longer} b ON a.k = b.k AND a.manuscript_id = b.manuscript_id AND a.w <> b.w").count()
     several = sum(7 < len(w) <= 12 for w in words)
     assert met < several * several / 10, (met, several)
+
+
+def test_names_are_read_once(spark):
+    frame = catalogue.QUERIES["name_variants"](spark, "/root/testdata/sf0.001")
+    frame.collect()
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    final = plan[plan.index("Final Plan") : plan.index("Initial Plan")]
+    assert final.count("regexp_extract_all") == 1, final
